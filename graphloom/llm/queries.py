@@ -2,7 +2,15 @@
 
 from __future__ import annotations
 
-from . import decontaminate
+from . import decontaminate, mix_sources, token_counts
 
-QUERIES = {"op1_benchmark_decontamination": decontaminate.op1_benchmark_decontamination}
-ORACLES = {"op1_benchmark_decontamination": decontaminate.OP1_SQL}
+QUERIES = {
+    "op1_benchmark_decontamination": decontaminate.op1_benchmark_decontamination,
+    "op5_source_mixing": mix_sources.op5_source_mixing,
+    "op10_token_counts": token_counts.op10_token_counts,
+}
+#: Where SQL can express the query.
+ORACLES = {
+    "op1_benchmark_decontamination": decontaminate.OP1_SQL,
+    "op5_source_mixing": mix_sources.OP5_SQL,
+}
