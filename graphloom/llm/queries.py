@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mix_sources, token_counts
+from . import decontaminate, mix_sources, simhash, token_counts, topk_search
 
 QUERIES = {
     "op1_benchmark_decontamination": decontaminate.op1_benchmark_decontamination,
+    "op4_simhash_near_dedup": simhash.op4_simhash_near_dedup,
     "op5_source_mixing": mix_sources.op5_source_mixing,
+    "op9_exact_topk": topk_search.op9_exact_topk,
     "op10_token_counts": token_counts.op10_token_counts,
 }
 #: Where SQL can express the query.
 ORACLES = {
     "op1_benchmark_decontamination": decontaminate.OP1_SQL,
     "op5_source_mixing": mix_sources.OP5_SQL,
+    "op9_exact_topk": topk_search.OP9_SQL,
 }
