@@ -45,8 +45,8 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WIND
     An item of fewer words than the window, but not none, is one window. Null and word-free texts have n_words 0 and no
     hits. Rows that repeat a doc_id are judged each by its own text. Other columns of documents are dropped.
 
-    Only built-in functions: each position of a document is one hash, looked up in the broadcast set of window hashes;
-    the words themselves are compared for each hash hit. What is shuffled is hits and one small row a document.
+    Only built-in functions: hashes of a document's words are looked up in the broadcast set of window hashes; the
+    words themselves are compared for each hash hit. What is shuffled is hits and one small row a document.
     """
     spark = documents.sparkSession
     grams = benchmark_windows(benchmark, window).persist()
@@ -61,8 +61,16 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WIND
         w = docs.select("doc_id", key, words(F.col("text")).alias("_w"))
         at = None
         for n in lengths:
-            hashes = F.expr(f"CASE WHEN size(_w) < {n} THEN array() ELSE transform(sequence(1, size(_w) - {n - 1}), i -> xxhash64(slice(_w, i, {n}))) END")
-            part = w.select("doc_id", "_row", "_w", F.posexplode(hashes).alias("_pos", "gram_hash"), F.lit(n).alias("_len"))
+            # A window of n words covers just one position that is a multiple of n - a + 1 with a words after it, so
+            # only such anchors are hashed; windows about an anchor that the benchmark has are looked up in full.
+            a = (n + 1) // 2
+            step = n - a + 1
+            anchors = grams.where(F.col("gram_len") == n).select(F.explode(F.expr(f"transform(sequence(1, {step}), i -> xxhash64(slice(gram, i, {a})))")).alias("_anchor")).distinct()
+            hashes = F.expr(f"CASE WHEN size(_w) < {n} THEN array() ELSE transform(sequence(1, size(_w) - {a - 1}, {step}), i -> xxhash64(slice(_w, i, {a}))) END")
+            part = w.select("doc_id", "_row", "_w", F.posexplode(hashes).alias("_k", "_anchor"))
+            part = part.join(F.broadcast(anchors) if small else anchors, "_anchor")
+            part = part.select("doc_id", "_row", "_w", F.explode(F.expr(f"sequence(greatest(_k * {step} - {step - 1}, 0), least(_k * {step}, size(_w) - {n}))")).alias("_pos"), F.lit(n).alias("_len"))
+            part = part.withColumn("gram_hash", F.xxhash64(F.slice("_w", F.col("_pos") + 1, n)))
             at = part if at is None else at.unionByName(part)
         side = F.broadcast(grams) if small else grams
         found = at.join(side, "gram_hash").where((F.col("_len") == F.col("gram_len")) & (F.slice("_w", F.col("_pos") + 1, F.col("_len")) == F.col("gram")))
