@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_text, language_id, mix_sources, simhash, substring_dedup, token_counts, topk_search
+from . import decontaminate, html_text, language_id, mix_sources, simhash, substring_dedup, suffix_dedup, token_counts, topk_search
 
 QUERIES = {
     "op1_benchmark_decontamination": decontaminate.op1_benchmark_decontamination,
     "op2_html_extraction": html_text.op2_html_extraction,
+    "op3_suffix_array_dedup": suffix_dedup.op3_suffix_array_dedup,
     "op4_simhash_near_dedup": simhash.op4_simhash_near_dedup,
     "op5_source_mixing": mix_sources.op5_source_mixing,
     "op6_substring_dedup": substring_dedup.op6_substring_dedup,
