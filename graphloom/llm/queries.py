@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_text, language_id, mix_sources, simhash, substring_dedup, suffix_dedup, token_counts, topk_search
+from . import decontaminate, html_text, language_id, mix_sources, quality, simhash, substring_dedup, suffix_dedup, token_counts, topk_search
 
 QUERIES = {
     "op1_benchmark_decontamination": decontaminate.op1_benchmark_decontamination,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_simhash_near_dedup": simhash.op4_simhash_near_dedup,
     "op5_source_mixing": mix_sources.op5_source_mixing,
     "op6_substring_dedup": substring_dedup.op6_substring_dedup,
+    "op7_quality_cotraining": quality.op7_quality_cotraining,
     "op8_language_id": language_id.op8_language_id,
     "op9_exact_topk": topk_search.op9_exact_topk,
     "op10_token_counts": token_counts.op10_token_counts,
