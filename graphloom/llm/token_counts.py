@@ -9,12 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .base import table
 
-#: Fixed values of the vocabulary file: its pre-token pattern, and characters for which its normaliser (canonical
-#: composition, white space to one space, lower case) and Python's own lower() agree code point by code point.
-PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Characters for which the vocabulary's normaliser (canonical composition, white space to one space, lower case) and
+#: Python's own lower() and split() agree code point by code point.
 PLAIN = r"[\t-\r\x20-\x7e\xa1-\xac\xae-\xff‐-‧‰-⁞€]*"
 #: Distinct pre-tokens whose counts one task keeps; beyond it the store is emptied and filled anew.
-KEPT_PRE_TOKENS = 500_000
+KEPT_PRE_TOKENS = 1_000_000
 #: Documents handled together. Their pre-token table is what a task holds besides the store.
 BATCH_BYTES = 4_000_000
 VOCABULARY = "word_bpe_49k.json"
@@ -29,8 +28,8 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 class PieceCounter:
     """Counts the ids that a word-end BPE vocabulary gives for texts, without making the ids of texts.
 
-    A text is cut to pre-tokens, each distinct pre-token of a batch is encoded once, and a text's count is the sum of
-    frequency times pieces. Texts that hold a special string, or characters outside PLAIN for which normalising might
+    A text is cut to pre-tokens at white space, which no piece of the vocabulary spans; each distinct pre-token of a
+    task is encoded once, and a text's count is the sum of frequency times pieces. Texts that hold a special string, or characters outside PLAIN for which normalising might
     move code points, go to the library whole: rare, and exact by definition.
     """
 
@@ -42,7 +41,6 @@ class PieceCounter:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.find = regex.compile(PRE_TOKEN).findall
         self.plain = regex.compile(PLAIN).fullmatch
         self.pieces: dict[str, int] = {}
 
@@ -55,8 +53,8 @@ class PieceCounter:
             elif not self.plain(text) or any(s in text for s in self.special):
                 tables.append(len(self.tokenizer.encode(text, add_special_tokens=False).ids))
             else:
-                frequency = Counter(self.find(text.lower()))
-                new.update(frequency.keys() - self.pieces.keys())
+                frequency = Counter(text.lower().split())
+                new.update([w for w in frequency if w not in self.pieces])
                 tables.append(frequency)
         if len(self.pieces) + len(new) > KEPT_PRE_TOKENS:
             self.pieces.clear()
