@@ -279,9 +279,9 @@ def fit_on_rest(documents: DataFrame) -> LanguageModel:
 def keep_identified(documents: DataFrame, model: LanguageModel, least: float = 0.4) -> DataFrame:
     """documents, all columns, without those that the model rejects: no letters at all, or no language has `least` of
     the positions (text in none of the learned languages, or an even mixture)."""
-    columns = documents.columns
-    scored = identify(documents.withColumn("__text", F.col("text")), model, tuple(columns), "__text")
-    return scored.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*columns)
+    whole = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("_whole"), F.col("text").alias("_text"))
+    scored = identify(whole, model, ("_whole",), "_text")
+    return scored.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("_whole.*")
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
