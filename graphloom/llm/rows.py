@@ -92,3 +92,10 @@ def mixed(h: np.ndarray) -> np.ndarray:
     """Spread the bits of polynomial hashes."""
     h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     return h ^ (h >> np.uint64(32))
+
+
+def slices(batches, rows: int = 128):
+    """Batches in parts of a few rows, so that texts are opened a few at a time."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)

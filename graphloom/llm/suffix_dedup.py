@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .base import checkpoint, table, written
 from .bwt import repeated
-from .rows import SHARED_HASHES, attach, copies, covered, doubled, keyed, member, mixed, shared_or_located
+from .rows import SHARED_HASHES, attach, copies, doubled, keyed, member, mixed, shared_or_located, slices
 
 LENGTH = 200
 #: Bytes of the grams that route windows: every window goes where the smallest gram hash in it says.
@@ -195,8 +195,8 @@ def repeats(docs: DataFrame, length: int, gram: int, limit: int, group: int) ->
                 count.clear(), data.clear()
                 return made
 
-            for i, (d, r, t) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("_row").to_pylist(), batch.column("text").to_pylist())):
-                text = encode(t)
+            for i, (d, r) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("_row").to_pylist())):
+                text = encode(batch.column("text")[i].as_py())
                 known = held.value if hashes is None else np.sort(np.array(hashes[i].as_py(), np.int64))
                 for m, s, n in segments(text, length, gram, known):
                     piece = text[s : s + n + length - 1]
@@ -208,7 +208,7 @@ def repeats(docs: DataFrame, length: int, gram: int, limit: int, group: int) ->
                     count[key] += 1
                     for column, v in zip(rows, (*key, d, r, s, n, None)):
                         column.append(v)
-                if size > 16_000_000:
+                if size > 4_000_000:
                     yield out()
                     size = 0
             yield out()
@@ -298,9 +298,36 @@ def _dealt(pieces: DataFrame, length: int) -> DataFrame:
     return hit.mapInArrow(runs, "a long, b long, runs binary")
 
 
+def repeat_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, limit: int = SHARED_HASHES, group: int = GROUP) -> DataFrame:
+    """For keyed docs the rows that lose bytes: (doc_id, _row, all, spans). all: the text is an exact copy of another
+    row's, so all of it goes if it has `length` bytes; spans: int32 bytes of start and end pairs."""
+    same = copies(docs)
+    more = checkpoint(same.where(~F.col("first")).select("doc_id", "_row"))
+    rest = attach(docs, more, "left_anti")
+    # rows that are equal in doc_id and text have one key: one of them searches
+    twice = checkpoint(same.where("first").select("doc_id", "_row"))
+    single = attach(rest, twice, "left_anti").unionByName(attach(rest, twice, "left_semi").dropDuplicates(["doc_id", "_row"]))
+    spans = repeats(single, length, gram, limit, group).select(F.col("doc_id").alias("_i"), F.col("_row").alias("_r"), "spans")
+    every = same.select("doc_id", "_row", F.lit(True).alias("all"))
+    side = every.join(spans, F.col("doc_id").eqNullSafe(F.col("_i")) & (F.col("_row") == F.col("_r")), "full")
+    return checkpoint(side.select(F.coalesce("doc_id", "_i").alias("doc_id"), F.coalesce("_row", "_r").alias("_row"), F.coalesce("all", F.lit(False)).alias("all"), "spans"))
+
+
+def _cut(text: str | None, every: bool | None, spans: bytes | None, length: int) -> tuple[bytes, bytes, bytes]:
+    """The text's bytes, the removed spans and the bytes that stay."""
+    data = (text or "").encode("utf-8", "surrogatepass")
+    if every:
+        spans = np.array([0, len(data)], np.int32).tobytes() if len(data) >= length else b""
+    stay, at = [], 0
+    for s, e in np.frombuffer(spans or b"", np.int32).reshape(-1, 2).tolist():
+        stay.append(data[at:s])
+        at = e
+    return data, spans or b"", b"".join([*stay, data[at:]])
+
+
 def without_repeats(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, limit: int = SHARED_HASHES, group: int = GROUP) -> DataFrame:
-    """One row for each row of documents (doc_id, text): doc_id, _row, n_bytes, n_removed, spans (int32 bytes of start and
-    end pairs of maximal removed runs), kept_sha256, kept (the remaining bytes).
+    """One row for each row of documents (doc_id, text): doc_id, n_bytes, n_removed, n_spans, spans (int32 bytes of start
+    and end pairs of maximal removed runs), kept_sha256, kept (the remaining bytes).
 
     A byte goes if a string of `length` bytes that covers it also starts anywhere else in documents, the same row
     included; strings are those of the input and never cross rows. Null texts are empty. Repeated rows, also of one
@@ -311,38 +338,46 @@ def without_repeats(documents: DataFrame, length: int = LENGTH, gram: int = GRAM
     """
     docs = keyed(documents)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    same = copies(docs)
-    more = checkpoint(same.where(~F.col("first")).select("doc_id", "_row"))
-    rest = attach(docs, more, "left_anti")
-    # rows that are equal in doc_id and text have one key: one of them searches
-    twice = checkpoint(same.where("first").select("doc_id", "_row"))
-    single = attach(rest, twice, "left_anti").unionByName(attach(rest, twice, "left_semi").dropDuplicates(["doc_id", "_row"]))
-    spans = repeats(single, length, gram, limit, group)
-    every = same.select("doc_id", "_row", F.lit(True).alias("all"))
-    side = every.join(spans.select(F.col("doc_id").alias("_i"), F.col("_row").alias("_r"), "spans"), F.col("doc_id").eqNullSafe(F.col("_i")) & (F.col("_row") == F.col("_r")), "full")
-    side = checkpoint(side.select(F.coalesce("doc_id", "_i").alias("doc_id"), F.coalesce("_row", "_r").alias("_row"), F.coalesce("all", F.lit(False)).alias("all"), "spans"))
 
     def cut(batches):
-        for batch in batches:
-            size, removed, out, sha, kept = [], [], [], [], []
-            for t, every, found in zip(batch.column("text").to_pylist(), batch.column("all").to_pylist(), batch.column("spans").to_pylist()):
-                text = (t or "").encode("utf-8", "surrogatepass")
-                if every:
-                    found = np.array([0, len(text)], np.int32).tobytes() if len(text) >= length else b""
-                pairs = np.frombuffer(found or b"", np.int32).reshape(-1, 2).tolist()
-                stay, at = [], 0
-                for s, e in pairs:
-                    stay.append(text[at:s])
-                    at = e
-                left = b"".join([*stay, text[at:]])
-                size.append(len(text)), removed.append(len(text) - len(left)), out.append(found or b"")
-                sha.append(hashlib.sha256(left).hexdigest()), kept.append(left)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("_row"), pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array([len(x) // 8 for x in out], pa.int64()), pa.array(out, pa.binary()), pa.array(sha, pa.string()), pa.array(kept, pa.binary())],
-                names=["doc_id", "_row", "n_bytes", "n_removed", "n_spans", "spans", "kept_sha256", "kept"],
-            )
-
-    return attach(docs, side).mapInArrow(cut, f"doc_id {kind}, _row long, n_bytes long, n_removed long, n_spans long, spans binary, kept_sha256 string, kept binary")
+        for batch in slices(batches):
+            rows = [_cut(*x, length) for x in zip(*(batch.column(c).to_pylist() for c in ("text", "all", "spans")))]
+            columns = [
+                (pa.int64(), [len(a) for a, _, _ in rows]), (pa.int64(), [len(a) - len(c) for a, _, c in rows]), (pa.int64(), [len(b) // 8 for _, b, _ in rows]),
+                (pa.binary(), [b for _, b, _ in rows]), (pa.string(), [hashlib.sha256(c).hexdigest() for _, _, c in rows]), (pa.binary(), [c for _, _, c in rows]),
+            ]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, t) for t, x in columns)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "spans", "kept_sha256", "kept"])
+
+    source = attach(docs, repeat_spans(docs, length, gram, limit, group)).select("doc_id", "text", "all", "spans")
+    return source.mapInArrow(cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, spans binary, kept_sha256 string, kept binary")
+
+
+def drop_repeats(documents: DataFrame, length: int = LENGTH, **how) -> DataFrame:
+    """documents, all columns, with repeated bytes cut from text as in without_repeats. What a cut leaves of a character
+    goes too; documents of which nothing but white space is left go; n_chars, if there, follows the text. Texts that
+    lose nothing, null ones included, stay as they are."""
+    docs = keyed(documents)
+    side = repeat_spans(docs, length, **how)
+    whole = F.struct(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(documents.columns)])
+    rows = documents.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("_row"), whole.alias("_whole"))
+
+    def cut(batches):
+        for batch in slices(batches):
+            left = []
+            for x in zip(*(batch.column(c).to_pylist() for c in ("text", "all", "spans"))):
+                data, _, stay = _cut(*x, length)
+                left.append(None if len(stay) == len(data) else stay.decode("utf-8", "ignore"))
+            yield pa.RecordBatch.from_arrays([batch.column("_whole"), pa.array(left, pa.string())], names=["_whole", "_left"])
+
+    kind = rows.schema["_whole"].dataType.simpleString()
+    out = attach(rows, side).select("_whole", "text", "all", "spans").mapInArrow(cut, f"_whole {kind}, _left string")
+    out = out.where("_left IS NULL OR trim(_left) <> ''")
+    columns = []
+    for k, c in enumerate(documents.columns):
+        old = F.col("_whole")[f"c{k}"]
+        new = {"text": F.col("_left"), "n_chars": F.length("_left").cast(documents.schema[c].dataType)}.get(c)
+        columns.append((old if new is None else F.when(F.col("_left").isNull(), old).otherwise(new)).alias(c))
+    return out.select(*columns)
 
 
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
