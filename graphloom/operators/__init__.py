@@ -1,0 +1 @@
+"""Operators over graph, metric and finding tables."""
