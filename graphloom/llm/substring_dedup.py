@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import checkpoint, table
+from .base import checkpoint, table, written
 from .rows import attach, copies, covered, doubled, keyed, member, mixed, shared_or_located
 
 WINDOW = 50
@@ -18,7 +16,7 @@ PERIOD = 31
 COVER = (1, 5, 11, 24, 25, 27)
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 #: Word codes that one task keeps; beyond it the store is emptied and filled anew.
-KEPT_WORDS = 1_000_000
+KEPT_WORDS = 400_000
 
 
 def difference_cover(period: int = PERIOD, cover: tuple[int, ...] = COVER) -> np.ndarray:
@@ -27,21 +25,19 @@ def difference_cover(period: int = PERIOD, cover: tuple[int, ...] = COVER) -> np
     return np.isin(np.arange(period), cover)
 
 
-class Coder:
+class Coder(dict):
     """64-bit codes of words, each distinct word hashed once while it is kept."""
 
-    def __init__(self):
-        self.known: dict[bytes, int] = {}
-
-    def __call__(self, words: list[bytes]) -> np.ndarray:
+    def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        known = self.known
-        if len(known) > KEPT_WORDS:
-            known.clear()
-        for w in set(words).difference(known):
-            known[w] = xxhash.xxh3_64_intdigest(w)
-        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+        code = self[word] = xxhash.xxh3_64_intdigest(word)
+        return code
+
+    def __call__(self, words: list[bytes]) -> np.ndarray:
+        if len(self) > KEPT_WORDS:
+            self.clear()
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -116,7 +112,8 @@ def shared_windows(docs: DataFrame, rest: DataFrame, window: int, period: int, c
         return [pa.array(flat(first, np.uint64).view(np.int64)), pa.array(flat(second, np.uint64).view(np.int64)), _repeat(ids, n), _repeat(rows, n), pa.array(flat(at, np.int32))]
 
     extra = () if held is not None else ("hashes",)
-    found = _per_text(source, ["a", "b", "doc_id", "_row", "s"], f"a long, b long, doc_id {kind}, _row long, s int", windows, *extra)
+    # read twice: written once
+    found = written(_per_text(source, ["a", "b", "doc_id", "_row", "s"], f"a long, b long, doc_id {kind}, _row long, s int", windows, *extra), "windows")
     least = found.groupBy("a", "b").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
     least = least.select(F.col("a").alias("_a"), F.col("b").alias("_b"), "lo")
     hit = found.join(least, (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b"))).where("lo < doc_id")
