@@ -9,6 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .base import table
 
+#: Fixed values of the vocabulary file: its pre-token pattern, and the characters by which its byte-level alphabet
+#: writes bytes (printable ones stand for themselves, the others follow from code point 256 on).
+PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+PRINTABLE = (*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100))
 #: Characters for which the vocabulary's normaliser (canonical composition, white space to one space, lower case) and
 #: Python's own lower() and split() agree code point by code point.
 PLAIN = r"[\t-\r\x20-\x7e\xa1-\xac\xae-\xff‐-‧‰-⁞€]*"
@@ -28,8 +32,8 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 class PieceCounter:
     """Counts the ids that a word-end BPE vocabulary gives for texts, without making the ids of texts.
 
-    A text is cut to pre-tokens at white space, which no piece of the vocabulary spans; each distinct pre-token of a
-    task is encoded once, and a text's count is the sum of frequency times pieces. Texts that hold a special string, or characters outside PLAIN for which normalising might
+    A text is cut at white space, which no pre-token spans; each distinct run is cut to pre-tokens once, the pieces of
+    each distinct pre-token are counted once, and a text's count is the sum of frequency times pieces. Texts that hold a special string, or characters outside PLAIN for which normalising might
     move code points, go to the library whole: rare, and exact by definition.
     """
 
@@ -42,8 +46,18 @@ class PieceCounter:
         self.tokenizer.no_padding()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.plain = regex.compile(PLAIN).fullmatch
+        self.find = regex.compile(PRE_TOKEN).findall
+        others = [b for b in range(256) if b not in set(PRINTABLE)]
+        self.alphabet = str.maketrans({b: chr(256 + k) for k, b in enumerate(others)})
+        self.runs: dict[str, int] = {}
         self.pieces: dict[str, int] = {}
 
+    def _pieces(self, token: str) -> int:
+        n = self.pieces.get(token)
+        if n is None:
+            n = self.pieces[token] = len(self.tokenizer.model.tokenize(token.encode().decode("latin-1").translate(self.alphabet)))
+        return n
+
     def count(self, texts: list[str | None]) -> list[int]:
         tables: list[Counter | int] = []
         new: set[str] = set()
@@ -54,18 +68,15 @@ class PieceCounter:
                 tables.append(len(self.tokenizer.encode(text, add_special_tokens=False).ids))
             else:
                 frequency = Counter(text.lower().split())
-                new.update([w for w in frequency if w not in self.pieces])
+                new.update([w for w in frequency if w not in self.runs])
                 tables.append(frequency)
-        if len(self.pieces) + len(new) > KEPT_PRE_TOKENS:
-            self.pieces.clear()
+        if len(self.runs) + len(new) > KEPT_PRE_TOKENS:
+            self.runs.clear(), self.pieces.clear()
             new = {k for x in tables if isinstance(x, Counter) for k in x}
-        if new:
-            names = list(new)
-            for k in range(0, len(names), 20_000):
-                part = names[k : k + 20_000]
-                self.pieces.update((w, len(e.ids)) for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)))
-        pieces = self.pieces
-        return [x if isinstance(x, int) else sum([n * pieces[w] for w, n in x.items()]) for x in tables]
+        for w in new:
+            self.runs[w] = sum(map(self._pieces, self.find(w)))
+        runs = self.runs
+        return [x if isinstance(x, int) else sum([n * runs[w] for w, n in x.items()]) for x in tables]
 
 
 def token_counts(df: DataFrame, path: str | None = None, id_column: str = "doc_id", text_column: str = "text", limit: int = 2048) -> DataFrame:
