@@ -189,7 +189,7 @@ def near_duplicates(df: DataFrame, shingle: int = SHINGLE, distance: int = DISTA
     distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("rep"))
     roots = components(checkpoint(links(distinct.select("fp"), distance)))
     named = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
-    smallest = named.groupBy("root").agg(F.min("rep").alias("component_id"))
+    smallest = checkpoint(named.groupBy("root").agg(F.min("rep").alias("component_id")))  # so that the join can split a large component
     classes = named.join(smallest, "root").select(F.col("fp").alias("_fp"), "component_id")
     return fps.join(classes, F.col("fp") == F.col("_fp")).select("doc_id", "fp", "component_id")
 
@@ -226,7 +226,7 @@ def similar_documents(df: DataFrame, shingle: int = SHINGLE, words: int = 4, dis
     met = distinct.select("node", *cols).mapInArrow(meet, "key long, node long, " + ", ".join(f"{c} long" for c in cols))
     roots = components(checkpoint(_meet(met, words, distance)))
     named = distinct.join(roots.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select(*cols, "rep", F.coalesce("root", "node").alias("root"))
-    smallest = named.groupBy("root").agg(F.min("rep").alias("component_id"))
+    smallest = checkpoint(named.groupBy("root").agg(F.min("rep").alias("component_id")))  # so that the join can split a large component
     classes = named.join(smallest, "root").select(*[F.col(c).alias(f"_{c}") for c in cols], "component_id")
     on = F.col("w0") == F.col("_w0")
     for c in cols[1:]:

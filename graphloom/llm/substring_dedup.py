@@ -114,8 +114,8 @@ def shared_windows(docs: DataFrame, rest: DataFrame, window: int, period: int, c
     extra = () if held is not None else ("hashes",)
     # read twice: written once
     found = written(_per_text(source, ["a", "b", "doc_id", "_row", "s"], f"a long, b long, doc_id {kind}, _row long, s int", windows, *extra), "windows")
-    least = found.groupBy("a", "b").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
-    least = least.select(F.col("a").alias("_a"), F.col("b").alias("_b"), "lo")
+    # materialised, so that the join deals both sides anew and a very frequent window can be split
+    least = written(found.groupBy("a", "b").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select(F.col("a").alias("_a"), F.col("b").alias("_b"), "lo"), "least")
     hit = found.join(least, (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b"))).where("lo < doc_id")
     return hit.groupBy("doc_id", "_row").agg(F.collect_set("s").alias("starts"))
 
