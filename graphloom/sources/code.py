@@ -220,7 +220,7 @@ def tables(table: DataFrame) -> dict[str, DataFrame]:
         rest = F.regexp_replace("target", r"^[^.]*\.?", "")
         r = rows.withColumn("_h", head).join(reach.select(F.col("module").alias("_m"), F.col("surface").alias("_s"), "bound"), (F.col("module") == F.col("_m")) & (F.col("_h") == F.col("_s")), "left")
         cls = F.regexp_replace("owner", r"\.[^.]*$", "")
-        want = F.when(head.isin("self", "cls"), F.concat_ws(".", cls, F.when(rest != "", rest))).when(F.col("bound").isNotNull(), F.concat_ws(".", "bound", F.when(rest != "", rest))).otherwise(F.concat_ws(".", "module", "target"))
+        want = F.when(F.col("target").isNull(), F.lit(None)).when(head.isin("self", "cls"), F.concat_ws(".", cls, F.when(rest != "", rest))).when(F.col("bound").isNotNull(), F.concat_ws(".", "bound", F.when(rest != "", rest))).otherwise(F.concat_ws(".", "module", "target"))
         return r.withColumn("_w", want).join(known.select(F.col("alias").alias("_w"), F.col("handle").alias("dst")), "_w", "left").drop("_h", "_m", "_s", "bound", "_w")
 
     called = looked_up(of(table, "call").select("module", F.col("parent").alias("owner"), "target", "ord"))

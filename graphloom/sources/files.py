@@ -13,22 +13,48 @@ from ..functions.scalar import excluded_path, module_name
 MOST_BYTES = 10 * 1024 * 1024
 
 
-def source_files(spark: SparkSession, roots: list[str], pattern: str = "*.py", recursive: bool = True, contains: str | None = None) -> DataFrame:
+def listing(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
+    """(uri, file, length) of the files under a root, by the session's own file systems. Spark's file sources hide names
+    that begin with an underscore, so they would miss every package's __init__.py."""
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(root)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(path, recursive)
+    rows = []
+    while found.hasNext():
+        f = found.next()
+        rows.append((f.getPath().toString(), f.getPath().toUri().getPath(), f.getLen()))
+    return spark.createDataFrame(rows, "uri string, file string, length long")
+
+
+def _contents(batches):
+    """Contents by pyarrow's file systems on the executors; null for what can't be read or isn't UTF-8."""
+    import pyarrow as pa
+    from pyarrow import fs
+
+    for batch in batches:
+        texts = []
+        for uri in batch.column("uri").to_pylist():
+            try:
+                system, path = fs.FileSystem.from_uri(uri if "://" in uri else "file://" + uri.removeprefix("file:"))
+                with system.open_input_stream(path) as f:
+                    texts.append(f.read().decode("utf-8"))
+            except (OSError, UnicodeDecodeError, pa.ArrowInvalid):
+                texts.append(None)
+        yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("file", "root", "root_rank")] + [pa.array(texts, pa.string())], names=["file", "root", "root_rank", "content"])
+
+
+def source_files(spark: SparkSession, roots: list[str], suffix: str = ".py", recursive: bool = True, contains: str | None = None) -> DataFrame:
     """(file, root, root_rank, module, content) of every file under the roots, a file once: at its first root.
 
-    Excluded directories and files over 10 MB are dropped before contents are decoded; `contains` is a pattern that a
-    content must match, applied ahead of any parse. Unreadable files are skipped."""
+    Excluded directories, other suffixes and files over 10 MB are dropped before anything is read; `contains` is a
+    pattern that a content must match, applied ahead of any parse. Unreadable files are skipped."""
     out = None
     for rank, root in enumerate(roots):
-        base = root.rstrip("/")
-        reader = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", recursive).option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True)
-        part = reader.load(base).where(F.col("length") <= MOST_BYTES)
-        path = F.regexp_replace("path", "^[a-z]+:/+", "/")
-        part = part.select(path.alias("file"), F.lit(base).alias("root"), F.lit(rank).alias("root_rank"), F.decode("content", "UTF-8").alias("content"))
+        part = listing(spark, root, recursive).select("*", F.lit(root.rstrip("/")).alias("root"), F.lit(rank).alias("root_rank"))
         out = part if out is None else out.unionByName(part)
-    best = out.where(~excluded_path(F.col("file"))).withColumn("_k", F.struct("root_rank"))
-    first = best.groupBy("file").agg(F.min("root_rank").alias("_r"))
-    files = best.drop("_k").join(first, "file").where(F.col("root_rank") == F.col("_r")).drop("_r")
+    ok = out.where(F.endswith("file", F.lit(suffix)) & (F.col("length") <= MOST_BYTES) & ~excluded_path(F.col("file")))
+    first = ok.groupBy("file").agg(F.min_by(F.struct("uri", "root", "root_rank"), "root_rank").alias("b")).select("file", "b.*")
+    files = first.mapInArrow(_contents, "file string, root string, root_rank int, content string").where("content IS NOT NULL")
     if contains:
         files = files.where(F.col("content").rlike(contains))
     name = None
