@@ -52,14 +52,14 @@ def mix(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     sample: documents in the order of [u / (1 - u)] / [p / (1 - p)], u a hash of doc_id, are taken while their words
     fit; then the one document left that comes nearest to the words still missing, if taking it comes closer. Sizes
     count in words, so each source meets its target to within about one small document. Repeated rows are documents of
-    their own; an empty table gives no rows; a source of size 0 takes nothing.
+    their own (of rows that repeat a doc_id, smaller and then lower hashes of the text go first); an empty table gives no rows; a source of size 0 takes nothing.
 
     p is one number a source, so the order within a source is that of u. A hot source isn't sorted in one task: sums by
     slice of u (square root of the number of documents) find the slice in which the sample ends, and only that slice is
     put in order.
     """
     sized = checkpoint(
-        documents.select("doc_id", "source", F.size(space_words(F.col("text"))).cast("long").alias("size"), uniform(F.col("doc_id")).alias("u"), F.monotonically_increasing_id().alias("rid"))
+        documents.select("doc_id", "source", F.size(space_words(F.col("text"))).cast("long").alias("size"), uniform(F.col("doc_id")).alias("u"), F.xxhash64("text").alias("th"), F.monotonically_increasing_id().alias("rid"))
     )
     n = sized.count()
     slices = 1 << max(4, math.ceil(math.log2(max(n, 1)) / 2))
@@ -81,7 +81,7 @@ def mix(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
 
     # the ranking variable of order sampling; within a source it grows with u alone
     pareto = (F.col("u") / (1 - F.col("u"))) / (F.col("p") / (1 - F.col("p")))
-    place = F.struct(F.when(F.col("p") > 0, pareto).otherwise(F.col("u")).alias("q"), "doc_id", "rid")
+    place = F.struct(F.when(F.col("p") > 0, pareto).otherwise(F.col("u")).alias("q"), "doc_id", "size", "th", "rid")
     last = by_source(sized, plan, "gap", "p", "cut", "before").where(F.col("slice") == F.col("cut")).withColumn("place", place)
     ordered = Window.partitionBy("source").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
     fits = last.withColumn("cum", F.col("before") + F.sum("size").over(ordered)).where(F.col("cum") <= F.col("gap"))

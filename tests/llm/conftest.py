@@ -15,6 +15,7 @@ def corpus() -> list[tuple]:
     r = random.Random(4)
     passage = " ".join(words(r, 70, 10_000))
     texts = [" ".join(words(r, r.randint(1, 200), 10_000)) for _ in range(30)]
+    texts[0], texts[2], texts[3] = (" ".join(words(r, 120, 10_000)) for _ in range(3))
     texts += [texts[0], texts[0], texts[3], None, "", "  \n\t ", "!!! 123 ???", "one", "Été à l'école — ÇA VA", "\x00\x01 bytes"]
     long = words(r, 3000, 10_000)
     texts += [" ".join(long), " ".join(long[:2990] + ["changed"] * 10)]

@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from graphloom.llm import html_text, language_id, quality, token_counts, topk_search
 
@@ -87,7 +88,7 @@ def tongues(spark):
 
 def test_language_of_held_out_documents(spark, tongues):
     model = language_id.fit_on_rest(tongues)
-    got = language_id.identify(tongues, model, ("doc_id", "lang")).withColumn("held", language_id.held_out(tongues.doc_id.cast("string"))).collect()
+    got = language_id.identify(tongues, model, ("doc_id", "lang")).withColumn("held", language_id.held_out(F.col("doc_id"))).collect()
     assert len(got) == tongues.count()
     seen = [r for r in got if r.lang and r.doc_id is not None and r.doc_id < 1000 and r.held]
     assert seen and sum(r.lang == r.lang_pred for r in seen) >= 0.95 * len(seen)
