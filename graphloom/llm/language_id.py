@@ -116,11 +116,14 @@ class ByteGRU:
             g["E"] += by_byte @ W.T
         return loss, g
 
-    def fit(self, words: list[bytes], y: np.ndarray, weight: np.ndarray, epochs: int = 5, batch: int = 256, rate: float = 0.01, seed: int = 11) -> float:
+    def fit(self, words: list[bytes], y: np.ndarray, weight: np.ndarray, epochs: int = 5, batch: int = 256, rate: float = 0.01, seed: int = 11, least_steps: int = 300) -> float:
+        """Adam over batches of words of like length; few words are gone through more often, for `least_steps` steps."""
         r = np.random.default_rng(seed)
         lens = np.fromiter(map(len, words), np.int64, len(words))
         m1, m2, step, loss = {k: 0 for k in self.p}, {k: 0 for k in self.p}, 0, 0.0
-        total = max(1, epochs * -(-len(words) // batch))
+        parts = -(-len(words) // batch)
+        epochs = max(epochs, -(-least_steps // max(1, parts)))
+        total = max(1, epochs * parts)
         for _ in range(epochs):
             order = np.argsort(lens + r.random(len(words)), kind="stable")  # words of one length go together
             parts = [order[k : k + batch] for k in range(0, len(order), batch)]
