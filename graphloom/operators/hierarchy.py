@@ -23,7 +23,7 @@ def closure(pairs: DataFrame, start: DataFrame | None = None, most: int = 1000)
         level = cut(new.join(found.select("root", "handle"), ["root", "handle"], "left_anti").withColumn("depth", F.lit(d)))
         if level.isEmpty():
             return found
-        found = cut(found.unionByName(level))
+        found = found.unionByName(level)  # a union of checkpoints
     return found
 
 

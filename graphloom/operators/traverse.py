@@ -76,12 +76,13 @@ def trace(nodes: DataFrame, edges: DataFrame, unresolved: DataFrame, start: list
     order = F.element_at(F.create_map(*[F.lit(x) for e, i in place.items() for x in (e, i)]), F.col("kind")) if place else F.lit(0)
     roots = spark.createDataFrame([(h, i) for i, h in enumerate(dict.fromkeys(start))], "handle string, rank long")
     found = cut(roots.join(nodes.select("handle", "scope"), "handle").select("handle", F.lit(0).alias("depth"), "rank"))
-    known = {r[0] for r in found.select("handle").collect()}
+    known = {r[0] for r in found.select("handle").collect()}  # as many as roots were given
     reach = edges.where(F.col("kind").isin(supported or [""])).withColumn("_f", order)
     target = nodes.select(F.col("handle").alias("dst"), stops(F.col("handle"), F.col("scope"), stop_when or {}).alias("_stop"))
-    level, count = found, found.count()
+    level, new_ones = found, len(known)
+    count = new_ones
     for d in range(max_depth):
-        if level.isEmpty() or count >= max_nodes:
+        if not new_ones or count >= max_nodes:
             break
         step = level.select(F.col("handle").alias("src"), "rank").join(reach, "src").join(target, "dst").where(~F.col("_stop"))
         step = step.join(found.select(F.col("handle").alias("dst")), "dst", "left_anti")
@@ -89,8 +90,9 @@ def trace(nodes: DataFrame, edges: DataFrame, unresolved: DataFrame, start: list
         # at most max_nodes rows are ranked together
         ranked = new.select(F.col("dst").alias("handle"), F.lit(d + 1).alias("depth"), (F.row_number().over(Window.orderBy("_at")) + F.lit(count)).cast("long").alias("rank"))
         level = cut(ranked)
-        found = cut(found.unionByName(level))
-        count = found.count()
+        new_ones = level.count()
+        count += new_ones
+        found = found.unionByName(level)  # a union of checkpoints: no lineage grows
     ends = found.select(F.col("handle").alias("_h"), F.col("depth").alias("_d"), F.col("rank").alias("_r"))
     out = reach.join(ends, F.col("src") == F.col("_h")).join(target, "dst")
     inner = out.join(found.select(F.col("handle").alias("dst")), "dst", "left_semi")

@@ -596,3 +596,32 @@ def rendered_unresolved_imports(s, d):
     from .sources.code import tables as derived
 
     return derived(_facts(s, d))["unresolved"].where("edge = 'imports' AND target LIKE 'pydantic.BaseModel'").select("src", "target")
+
+
+# --- catalogue -------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT 's' || s_suppkey AS project, 1::BIGINT AS hits, 'src.s' || s_suppkey || '.helper' AS handle FROM supplier", base=False)
+def search_projects(s, d):
+    from .operators import catalog
+    from .sources.code import of
+
+    defs = of(_facts(s, d), "def").select(scalar.leaf(F.col("module")).alias("project"), "name", "full_name")
+    return catalog.search_projects(defs, "helper").select("project", "hits", F.element_at("handles", 1).alias("handle"))
+
+
+@query("SELECT 'src/s' || s_suppkey || '.py' AS file, 2 AS line, unnest(['from pydantic import BaseModel', 'from pydantic import field_validator']) AS statement FROM supplier", base=False)
+def find_imports(s, d):
+    from .operators import catalog
+    from .sources.code import of
+
+    return catalog.find_imports(of(_facts(s, d), "import"), "pydantic").select("file", "line", "statement")
+
+
+@query("SELECT count(*) AS bases, 0::BIGINT AS resolved, 0.0::DOUBLE AS ratio FROM supplier", base=False)
+def base_resolution(s, d):
+    """All rendered classes derive from an external class, which tables alone don't resolve."""
+    from .operators import catalog
+    from .sources.code import tables as derived
+
+    return catalog.base_resolution(derived(_facts(s, d))["bases"])
