@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import math
 from itertools import combinations
 
 import numpy as np
@@ -18,6 +20,10 @@ BITS = 64
 DISTANCE = 3
 #: Rows of one cell at most (about): larger groups of one block are compared part against part.
 CELL = 2000
+#: Sets of at most so many shingles also meet by their lowest hashes.
+SMALL = 40
+#: Nodes whose ids are broadcast to find their texts; more are joined by a shuffle.
+BROADCAST_ROWS = 4_000_000
 _LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
 
@@ -50,8 +56,12 @@ def _shingle_hashes(text: str | None, shingle: int, seed: int):
 
 def wide_simhash(text: str | None, shingle: int = SHINGLE, words: int = 4, seed: int = SEED) -> np.ndarray:
     """A fingerprint of 64 * words bits: the first 64 are simhash(), the others come from remixed shingle hashes."""
+    return _folded(_shingle_hashes(text, shingle, seed), words)
+
+
+def _folded(parts, words: int) -> np.ndarray:
     ones, n = np.zeros(64 * words, np.int64), 0
-    for h in _shingle_hashes(text, shingle, seed):
+    for h in parts:
         n += len(h)
         for k in range(words):
             x = h
@@ -63,6 +73,12 @@ def wide_simhash(text: str | None, shingle: int = SHINGLE, words: int = 4, seed:
     return np.packbits(2 * ones > n, bitorder="little").view(np.uint64)
 
 
+def shingle_set(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
+    """The distinct hashes of the word shingles, ascending; empty for null, empty and blank texts."""
+    parts = list(_shingle_hashes(text, shingle, seed))
+    return np.unique(np.concatenate(parts)) if parts else np.empty(0, np.uint64)
+
+
 def fingerprints(df: DataFrame, shingle: int = SHINGLE, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(id, fp: the fingerprint's 64 bits as a signed long) for every row. Narrow, whole texts."""
 
@@ -155,27 +171,73 @@ def _meet(keys: DataFrame, words: int, distance: int) -> DataFrame:
     """Edges (u, v) of keys (key, node, w0, w1, ...): of the rows with one key a star for each set of near ones."""
     names = ["key", "node", *(f"w{k}" for k in range(words))]
 
+    def edges(rows):
+        # bitwise_count takes the absolute value of signed numbers
+        u, v = _forest(rows[0], np.ascontiguousarray(rows[2:].T).view(np.uint64), distance)
+        yield rows[1, u], rows[1, v]
+
+    return _by_key(keys, names, edges).distinct()
+
+
+def _across(keys: DataFrame, words: int, distance: int, least: float) -> DataFrame:
+    """Pairs (u, v), u < v, of keys (key, node, part, size, w0, w1, ...): all near ones with one key and different parts
+    whose sizes allow a Jaccard of `least`.
+
+    Rows with a negative key may differ in half as many bits again."""
+    names = ["key", "node", "part", "size", *(f"w{k}" for k in range(words))]
+
+    def pairs(rows):
+        rows = rows[:, np.lexsort((rows[2], rows[0]))]
+        key, n = rows[0], rows.shape[1]
+        bits, limit = np.ascontiguousarray(rows[4:].T).view(np.uint64), np.where(key < 0, distance * 3 // 2, distance)
+        last = np.flatnonzero(np.concatenate(((key[1:] != key[:-1]) | (rows[2, 1:] != rows[2, :-1]), [True]))) + 1
+        after = last[np.searchsorted(last, np.arange(n), "right")]  # the first row of the next part
+        at, found, held, d = np.arange(n), [], 0, 0
+        while len(at):
+            at = at[after[at] + d < n]
+            to = after[at] + d
+            same = key[at] == key[to]
+            at, to = at[same], to[same]
+            sizes = rows[3, at], rows[3, to]
+            fits = np.minimum(*sizes) >= (least - 1e-9) * np.maximum(*sizes)
+            near = fits & (np.bitwise_count(bits[at] ^ bits[to]).sum(axis=1) <= limit[at])
+            if near.any():
+                a, b = rows[1, at[near]], rows[1, to[near]]
+                found.append(np.stack((np.minimum(a, b), np.maximum(a, b))))
+                held += len(a)
+            d += 1
+            if found and (held > 1_000_000 or not len(at)):
+                yield tuple(np.unique(np.concatenate(found, axis=1), axis=1))
+                found, held = [], 0
+        if found:
+            yield tuple(np.unique(np.concatenate(found, axis=1), axis=1))
+
+    return _by_key(keys, names, pairs).distinct()
+
+
+def _by_key(keys: DataFrame, names: list[str], edges) -> DataFrame:
+    """(u, v) of what edges() yields for the rows (columns names, key first) of whole keys that two rows have at least."""
+
     def run(batches):
         held = np.empty((len(names), 0), np.int64)
 
-        def edges(rows):
+        def found(rows):
             same = rows[0, 1:] == rows[0, :-1]
             rows = rows[:, np.concatenate((same, [False])) | np.concatenate(([False], same))]  # lone keys can't link
-            # bitwise_count takes the absolute value of signed numbers
-            u, v = _forest(rows[0], np.ascontiguousarray(rows[2:].T).view(np.uint64), distance)
-            return pa.RecordBatch.from_arrays([pa.array(rows[1, u]), pa.array(rows[1, v])], names=["u", "v"])
+            for u, v in edges(rows) if rows.shape[1] else ():
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
         for batch in batches:
             held = np.concatenate((held, np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in names])), axis=1)
             if held.shape[1]:
                 whole = np.searchsorted(held[0], held[0, -1])
                 if whole:
-                    yield edges(held[:, :whole])
+                    yield from found(held[:, :whole])
                     held = held[:, whole:]
         if held.shape[1]:
-            yield edges(held)
+            yield from found(held)
 
-    return keys.select(*names).repartition("key").sortWithinPartitions("key").mapInArrow(run, "u long, v long").distinct()
+    return keys.select(*names).repartition("key").sortWithinPartitions("key").mapInArrow(run, "u long, v long")
 
 
 def near_duplicates(df: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
@@ -194,44 +256,108 @@ def near_duplicates(df: DataFrame, shingle: int = SHINGLE, distance: int = DISTA
     return fps.join(classes, F.col("fp") == F.col("_fp")).select("doc_id", "fp", "component_id")
 
 
-def similar_documents(df: DataFrame, shingle: int = SHINGLE, words: int = 4, distance: int = 46, keys: int = 64, key_bits: int = 16) -> DataFrame:
-    """As near_duplicates, for pairs of a shingle similarity (Jaccard) of about 0.8 or more: doc_id and component_id.
+def similar_documents(
+    df: DataFrame, shingle: int = SHINGLE, least: float = 0.8, words: int = 4, compared: int = 3, distance: int = 54, keys: int = 128, key_bits: int = 14
+) -> DataFrame:
+    """As near_duplicates, for pairs of a shingle similarity (Jaccard of the shingle sets) of `least` or more: doc_id and
+    component_id.
+
+    SimHash only proposes pairs; what links is their similarity itself, counted on the whole sets. Fingerprints of
+    64 * words bits are made of the sets (repeats don't count); documents meet where they agree in one of `keys` choices
+    of `key_bits` bits, and are proposed if the first 64 * compared bits differ in `distance` at most. With the defaults
+    a pair at 0.8 (15 % of the bits differ) is proposed with a chance of 0.9995, one at 0.85 with 0.99995. Sets of at
+    most SMALL shingles also meet by their lowest hashes, of which two similar ones share one for certain.
 
-    At 0.8 about 15 % of the bits differ, more than pigeonhole blocks of 64 bits can promise to leave alike. So
-    fingerprints have 64 * words bits, documents meet where they agree in one of `keys` choices of `key_bits` bits, and
-    a Hamming distance up to `distance` links them. With the defaults a pair at 0.8 meets with a chance of 0.99 and
-    passes with one of 0.9; at 0.9 both are above 0.999; at 0.6 it passes with one of 0.05. Rows with one
-    fingerprint are one node, as there. Lengthen key_bits and add keys as documents grow beyond some 10^8.
+    A few of the choices first give stars of very near pairs; then all pairs are proposed that these have not yet
+    joined, so that a large group of copies doesn't make all of its pairs. Rows with one set of shingles are one node.
+    Lengthen key_bits and add keys as documents grow beyond some 10^7.
     """
     kind = df.schema["doc_id"].dataType.simpleString()
     cols = [f"w{k}" for k in range(words)]
+    sent = cols[:compared]
 
     def mark(batches):
-        for batch in batches:
-            fp = np.stack([wide_simhash(t.as_py(), shingle, words) for t in batch.column(1)]).view(np.int64) if batch.num_rows else np.empty((0, words), np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(fp[:, k])) for k in range(words))], names=["doc_id", *cols])
+        import xxhash
 
-    fps = written(df.select("doc_id", "text").mapInArrow(mark, f"doc_id {kind}, " + ", ".join(f"{c} long" for c in cols)), "fingerprints")
-    distinct = checkpoint(fps.groupBy(*cols).agg(F.min("doc_id").alias("rep")).withColumn("node", F.monotonically_increasing_id()))
+        for batch in batches:
+            out, first = np.zeros((3 + words, batch.num_rows), np.uint64), []
+            for i, text in enumerate(batch.column(2)):
+                h = shingle_set(text.as_py(), shingle)
+                first.append(h[: len(h) - math.ceil(least * len(h) - 1e-9) + 1].view(np.int64) if 0 < len(h) <= SMALL else [])
+                if len(h):
+                    out[:2, i] = np.frombuffer(xxhash.xxh3_128_digest(h.tobytes()), np.uint64)
+                    out[2, i] = len(h)
+                    out[3:, i] = _folded([h[k : k + (1 << 15)] for k in range(0, len(h), 1 << 15)], words)
+            arrays = [*map(pa.array, out.view(np.int64)), pa.array(first, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], names=["doc_id", "t", "s0", "s1", "size", *cols, "first"])
+
+    texts = df.select("doc_id", F.xxhash64("text").alias("t"), "text")
+    fps = written(texts.mapInArrow(mark, f"doc_id {kind}, t long, s0 long, s1 long, size long, " + ", ".join(f"{c} long" for c in cols) + ", first array<long>"), "fingerprints")
+    distinct = fps.groupBy("s0", "s1", "size", *cols, "first").agg(F.min("doc_id").alias("rep"), F.min("t").alias("t")).withColumn("node", F.monotonically_increasing_id())
+    distinct = written(distinct, "shingle-sets")
     choice = np.random.default_rng(2).permuted(np.tile(np.arange(64 * words), (keys, 1)), axis=1)[:, :key_bits]
 
-    def meet(batches):
-        for batch in batches:
-            rows = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("node", *cols)])
-            bits = np.unpackbits(np.ascontiguousarray(rows[1:].T).view(np.uint8), axis=1, bitorder="little").astype(np.int64)
-            for k in range(keys):
-                key = (bits[:, choice[k]] << np.arange(key_bits)).sum(axis=1) | (k << key_bits)
-                yield pa.RecordBatch.from_arrays([pa.array(key), *map(pa.array, rows)], names=["key", "node", *cols])
-
-    met = distinct.select("node", *cols).mapInArrow(meet, "key long, node long, " + ", ".join(f"{c} long" for c in cols))
-    roots = components(checkpoint(_meet(met, words, distance)))
-    named = distinct.join(roots.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select(*cols, "rep", F.coalesce("root", "node").alias("root"))
+    def meet(choices, kept):
+        def run(batches):
+            for batch in batches:
+                rows = [batch.column(c) for c in kept]
+                bits = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in cols], axis=1)
+                bits = np.unpackbits(bits.view(np.uint8), axis=1, bitorder="little").astype(np.int64)
+                for k in choices:
+                    key = (bits[:, choice[k]] << np.arange(key_bits)).sum(axis=1) | (k << key_bits)
+                    yield pa.RecordBatch.from_arrays([pa.array(key), *rows], names=["key", *kept])
+
+        return run
+
+    def proposed(nodes, choices, *kept):
+        nodes = nodes.where("size > 0")  # texts without words are one node
+        return nodes.select(*{c: 0 for c in (*kept, *cols)}).mapInArrow(meet(choices, kept), ", ".join(f"{c} long" for c in ("key", *kept)))
+
+    stars = checkpoint(_meet(proposed(distinct, range(max(1, keys // 16)), "node", *sent), compared, distance // 2))
+    parts = components(checkpoint(_similar(stars, distinct, df, shingle, least))).withColumnRenamed("node", "_node")
+    nodes = written(distinct.join(parts, F.col("node") == F.col("_node"), "left").drop("_node").withColumn("part", F.coalesce("root", "node")).drop("root"), "parts")
+    del stars, parts
+    _release(df.sparkSession)
+    kept = ("node", "part", "size", *sent)
+    lowest = nodes.select(F.explode("first").alias("key"), *kept).withColumn("key", F.col("key").bitwiseOR(F.lit(-(1 << 63)).cast("long")))
+    pairs = checkpoint(_across(proposed(nodes, range(keys), *kept).unionByName(lowest), compared, distance, least))
+    _release(df.sparkSession)
+    pairs = _similar(pairs, distinct, df, shingle, least)
+    a, b = nodes.select(F.col("node").alias("_a"), F.col("part").alias("_pa")), nodes.select(F.col("node").alias("_b"), F.col("part").alias("_pb"))
+    roots = components(checkpoint(pairs.join(a, F.col("u") == F.col("_a")).join(b, F.col("v") == F.col("_b")).select(F.col("_pa").alias("u"), F.col("_pb").alias("v"))))
+
+    named = nodes.join(roots.withColumnRenamed("node", "_node"), F.col("part") == F.col("_node"), "left").select("s0", "s1", "rep", F.coalesce("root", "part").alias("root"))
     smallest = checkpoint(named.groupBy("root").agg(F.min("rep").alias("component_id")))  # so that the join can split a large component
-    classes = named.join(smallest, "root").select(*[F.col(c).alias(f"_{c}") for c in cols], "component_id")
-    on = F.col("w0") == F.col("_w0")
-    for c in cols[1:]:
-        on = on & (F.col(c) == F.col(f"_{c}"))
-    return fps.join(classes, on).select("doc_id", "component_id")
+    classes = named.join(smallest, "root").select(F.col("s0").alias("_s0"), F.col("s1").alias("_s1"), "component_id")
+    return fps.join(classes, (F.col("s0") == F.col("_s0")) & (F.col("s1") == F.col("_s1"))).select("doc_id", "component_id")
+
+
+def _release(spark: SparkSession) -> None:
+    """Has the driver collect what no plan refers to, so that Spark deletes the shuffles and checkpoints behind it."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def _similar(pairs: DataFrame, nodes: DataFrame, df: DataFrame, shingle: int, least: float) -> DataFrame:
+    """Those of pairs (u, v) whose sets of shingles have a Jaccard of `least` or more. The sets of the nodes that occur
+    in pairs are made anew from their texts."""
+
+    def sets(batches):
+        for batch in batches:
+            found = [shingle_set(t.as_py(), shingle).view(np.int64) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["node", "hashes"])
+
+    need = pairs.select(F.explode(F.array("u", "v")).alias("_n")).distinct()
+    need = checkpoint(nodes.select("node", F.col("t").alias("_t")).join(need, F.col("node") == F.col("_n")).select("node", "_t"))
+    if need.count() <= BROADCAST_ROWS:
+        need = F.broadcast(need)
+    texts = df.select(F.xxhash64("text").alias("t"), "text").join(need, F.col("t") == F.col("_t")).select("node", "text")
+    made = texts.mapInArrow(sets, "node long, hashes array<long>").groupBy("node").agg(F.first("hashes").alias("hashes"))  # one of exact copies
+    made = written(made, "shingles")
+    a, b = made.select(F.col("node").alias("_a"), F.col("hashes").alias("x")), made.select(F.col("node").alias("_b"), F.col("hashes").alias("y"))
+    both = pairs.join(a, F.col("u") == F.col("_a")).join(b, F.col("v") == F.col("_b"))
+    both = both.select("u", "v", F.size(F.array_intersect("x", "y")).alias("both"), (F.size("x") + F.size("y")).alias("sum"))
+    return both.where(F.col("both") / (F.col("sum") - F.col("both")) >= F.lit(least)).select("u", "v")
 
 
 def keep_one(df: DataFrame, **how) -> DataFrame:

@@ -166,6 +166,41 @@ def test_near_duplicates_of_odd_tables(odd, empty, documents):
     assert set(passages) <= ids or len(passages) - len(ids & set(passages)) <= 1
 
 
+def brute_shingles(t, n=5):
+    w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    return {" ".join(w[k : k + n]) for k in range(max(1, len(w) - n + 1))} if w else set()
+
+
+def test_similar_documents_match_brute_force_on_both_sides(spark):
+    r = random.Random(12)
+    word, texts = lambda: f"v{r.randrange(10**6)}", []
+    for size in [8, 9, 10, 14, 24, 44, 60, 100, 184, 400]:
+        for _ in range(6):
+            base = [word() for _ in range(size)]
+            texts.append(" ".join(base))
+            for share in (0.7, 0.75, 0.79, 0.8, 0.81, 0.85):  # a changed end of k words changes k shingles of each text
+                n = size - 4
+                k = max(1, round(n * (1 - share) / (1 + share)))
+                texts.append(" ".join(base[:-k] + [word() for _ in range(k)]))
+            texts.append(" ".join(base[:-1]))
+    for _ in range(6):  # one repeated line rules the words, but not the set
+        line, a = [word() for _ in range(6)], [word() for _ in range(90)]
+        texts += [" ".join(a + line * 5), " ".join(a + line * 60), " ".join([word() for _ in range(60)] + line * 60), " ".join([word() for _ in range(60)] + line * 60)]
+    r.shuffle(texts)
+    sets = [brute_shingles(t) for t in texts]
+    near = lambda a, b: 5 * len(a & b) >= 4 * len(a | b)
+    label = list(range(len(texts)))
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets[:i]):
+            if x & y and near(x, y) and label[i] != label[j]:
+                low, high = sorted((label[i], label[j]))
+                label = [low if z == high else z for z in label]
+    assert any(4 * len(x | y) == 5 * len(x & y) for i, x in enumerate(sets) for y in sets[:i] if x & y)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x.doc_id: x.component_id for x in simhash.similar_documents(df).collect()}
+    assert got == dict(enumerate(label))
+
+
 def test_components_of_chains_and_hubs(spark):
     chain = [(i, i + 1) for i in range(1, 60)] + [(1000, k) for k in range(100, 160)] + [(7, 7)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(chain, "u long, v long")).collect()}
