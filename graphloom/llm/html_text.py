@@ -20,10 +20,13 @@ BLANKS = WINDOW + 1
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*>?"
-    r"|<(?P<raw>script|style|template|noscript|iframe|object|svg|math|canvas|video|audio|textarea|select|head)\b(?:[^<>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<raw>script|style|template|noscript|iframe|textarea|title)\b(?:[^<>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attr>(?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>|<[a-zA-Z/][^<>]*\Z|(?P<text>[^<]+|<)",
     re.S | re.I,
 )
+#: Dropped up to their end tag; self-closed or without a later end tag they are empty. All that a head can hold is raw
+#: or void, so it needs no end.
+_CUT = {t: re.compile(rf"</{t}\s*>", re.I) for t in "object svg math canvas video audio select".split()}
 _ATTR = re.compile(r"\b(class|id|role|itemprop|style|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _NAMES = re.compile(r"[a-z0-9]+")
 
@@ -99,7 +102,9 @@ def lines(page: str) -> list[tuple[str, int, int]]:
                 if not boiler:
                     out.extend([("", 0, 0)] * BLANKS)
 
-    for m in _TOKEN.finditer(page):
+    at, endless = 0, set()
+    while m := _TOKEN.search(page, at):
+        at = m.end()
         text = m["text"]
         if text is not None or m["cdata"] is not None:
             if not boiler:
@@ -115,6 +120,14 @@ def lines(page: str) -> list[tuple[str, int, int]]:
         if tag is None:
             continue
         tag = tag.lower()
+        if tag in _CUT:
+            parts.append(" ")
+            if not m["end"] and not m["attr"].endswith("/") and tag not in endless:
+                if end := _CUT[tag].search(page, at):
+                    at = end.end()
+                else:
+                    endless.add(tag)
+            continue
         block = tag in _BLOCK
         if m["end"]:
             if block:

@@ -52,6 +52,13 @@ def test_odd_pages(spark):
     assert html_text.extract(df.limit(0)).count() == 0
 
 
+def test_elements_without_end_tags_keep_the_rest():
+    for page in ("<html><head><title>x</title><meta a=b><body><p>text", "<html><head><title>x</title><script>'<p>'</script><p>text", "<svg class=i/><p>text", "<math/><p>text</p>", "<p><svg class=i><p>text", "<select><p>text", "<svg><title>x</title></svg><p>text"):
+        assert html_text.main_text(page) == "text", page
+    assert html_text.main_text("<p>one <svg><text>x</text></svg>two</p>") == "one two"
+    html_text.main_text("<svg>" * 20_000 + "<object>" * 20_000)  # in linear time
+
+
 def test_gradients_match_finite_differences():
     net = language_id.ByteGRU(3, 4, 5)
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
