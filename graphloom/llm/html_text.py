@@ -34,6 +34,7 @@ _BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6"
     " header hgroup hr html li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split()
 )
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: An end tag may be missing: a new element of the kind ends the open one.
 _SINGLE = frozenset("p li dt dd tr td th option".split())
@@ -71,11 +72,11 @@ def _boiler(tag: str, attrs: str, in_content: bool) -> bool:
     return bool(found) and not (names & _CONTENT_NAMES and found <= {"header", "side", "body"})
 
 
-def lines(page: str) -> list[tuple[str, int, int]]:
-    """The page without markup as lines (text, characters inside links, container: 0 none, 1 main, 2 article).
+def lines(page: str) -> list[tuple[str, int, int, bool]]:
+    """The page without markup as lines (text, characters inside links, container: 0 none, 1 main, 2 article, heading?).
 
     Every block is a line; a boundary of blocks adds an empty line, a part of page furniture BLANKS of them."""
-    out: list[tuple[str, int, int]] = []
+    out: list[tuple[str, int, int, bool]] = []
     stack: list[tuple[str, bool, int]] = []  # open element, furniture?, container
     opened: Counter[str] = Counter()
     parts: list[str] = []
@@ -88,7 +89,7 @@ def lines(page: str) -> list[tuple[str, int, int]]:
         if parts:
             text = " ".join(html_lib.unescape("".join(parts)).split())
             if text:
-                out.append((text, min(links, len(text)), stack[-1][2] if stack else 0))
+                out.append((text, min(links, len(text)), stack[-1][2] if stack else 0, any(x[0] in _HEADINGS for x in stack[-3:])))
             parts.clear()
         links = 0
 
@@ -100,7 +101,7 @@ def lines(page: str) -> list[tuple[str, int, int]]:
             if bad:
                 boiler -= 1
                 if not boiler:
-                    out.extend([("", 0, 0)] * BLANKS)
+                    out.extend([("", 0, 0, False)] * BLANKS)
 
     at, endless = 0, set()
     while m := _TOKEN.search(page, at):
@@ -141,7 +142,7 @@ def lines(page: str) -> list[tuple[str, int, int]]:
                 if not block and stack[k][0] in _BLOCK:
                     break
             if block:
-                out.append(("", 0, 0))
+                out.append(("", 0, 0, False))
             continue
         if tag == "br":
             parts.append(" ")
@@ -158,7 +159,7 @@ def lines(page: str) -> list[tuple[str, int, int]]:
                 close(k)
             if tag in _SINGLE and stack and stack[-1][0] == tag:
                 close(len(stack) - 1)
-            out.append(("", 0, 0))
+            out.append(("", 0, 0, False))
             held = stack[-1][2] if stack else 0
         elif tag == "a":
             anchor = 1
@@ -168,7 +169,7 @@ def lines(page: str) -> list[tuple[str, int, int]]:
         if block or bad:
             if bad and not boiler:
                 flush()
-                out.extend([("", 0, 0)] * BLANKS)
+                out.extend([("", 0, 0, False)] * BLANKS)
             boiler += bad
             role = 2 if tag == "article" else 1 if tag == "main" or re.search(r"\brole\s*=\s*[\"']?main\b", m["attr"], re.I) else 0
             if re.search(r"\bitemprop\s*=\s*[\"']?articleBody\b", m["attr"], re.I):
@@ -184,13 +185,14 @@ def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str
 
     Lines outside the article (or main part), if the page marks one, have length 0, and so have links outside it. The
     sum over a window of lines surges where text begins and dives to 0 where it ends. On a page that marks its article
-    every stretch between surge and dive is kept whole. Else a stretch is kept if one of its windows sums to more than
-    `surge` and most of it isn't links; if there is none, the longest stretch is kept."""
+    every stretch between surge and dive is kept whole. Else a stretch surges if one of its windows sums to more than
+    `surge` and most of it isn't links (if there is none, the longest does); all from the first to the last that surges
+    is kept, and headings directly before."""
     if not page:
         return ""
     found = lines(page)
-    level = max((c for t, _, c in found if t), default=0)
-    lengths = [(len(t) if level else max(len(t) - a, 0) or (1 if t else 0)) if c >= level else 0 for t, a, c in found]
+    level = max((c for t, _, c, _ in found if t), default=0)
+    lengths = [(len(t) if level else max(len(t) - a, 0) or (1 if t else 0)) if c >= level else 0 for t, a, c, _ in found]
     sums, run = [], 0
     for i in range(len(lengths)):
         run += lengths[i] - (lengths[i - window] if i >= window else 0)
@@ -209,10 +211,14 @@ def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str
         kept = stretches
     else:
         def linked(x) -> bool:
-            whole = sum(len(t) for t, _, _ in found[x[0] : x[1]])
-            return 2 * sum(a for _, a, _ in found[x[0] : x[1]]) > whole
-
-        kept = [x for x in stretches if x[2] > surge and not linked(x)] or [max(stretches, key=lambda x: x[3])]
+            whole = sum(len(t) for t, *_ in found[x[0] : x[1]])
+            return 2 * sum(a for _, a, *_ in found[x[0] : x[1]]) > whole
+
+        surging = [k for k, x in enumerate(stretches) if x[2] > surge and not linked(x)] or [max(range(len(stretches)), key=lambda k: stretches[k][3])]
+        first = stretches[surging[0]][0]
+        while first and (not found[first - 1][0] or found[first - 1][3]):
+            first -= 1
+        kept = [(first, stretches[surging[-1]][1])]
     return "\n\n".join(found[i][0] for a, b, *_ in kept for i in range(a, b) if lengths[i])
 
 

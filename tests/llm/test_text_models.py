@@ -52,6 +52,13 @@ def test_odd_pages(spark):
     assert html_text.extract(df.limit(0)).count() == 0
 
 
+def test_short_blocks_between_long_ones_are_kept_on_unmarked_pages():
+    long = "<p>" + "A long paragraph of prose. " * 6 + "</p>"
+    for part, want in [("<ul><li>%s</li><li>%s</li></ul>" % ("a" * 40, "b" * 45), ["a" * 40, "b" * 45]), ("<table><tr><td>x</td><td>y</td></tr></table>", ["x", "y"])]:
+        assert html_text.main_text(long + part + long).split("\n\n")[1:-1] == want
+    assert html_text.main_text("<p>menu</p><h1>Title</h1><div>" + long + "</div>").split("\n\n")[0] == "Title"
+
+
 def test_elements_without_end_tags_keep_the_rest():
     for page in ("<html><head><title>x</title><meta a=b><body><p>text", "<html><head><title>x</title><script>'<p>'</script><p>text", "<svg class=i/><p>text", "<math/><p>text</p>", "<p><svg class=i><p>text", "<select><p>text", "<svg><title>x</title></svg><p>text"):
         assert html_text.main_text(page) == "text", page
