@@ -40,39 +40,51 @@ def space_words(c: Column) -> Column:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session.
 
-    Only where the cluster names none (tests on one machine) a temporary folder takes its place.
+    Only where none is named and the master is local (tests on one machine) a temporary folder takes its place; on a
+    cluster that is an error, as executors would write where the driver can't read.
     """
     sc = spark.sparkContext
     at = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not at:
         at = sc._jsc.sc().getCheckpointDir().getOrElse(None) if sc._jsc.sc().getCheckpointDir().isDefined() else None
     if not at:
+        if not (sc.master or "").startswith("local") or (sc.master or "").startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         local = tempfile.mkdtemp(prefix="graphloom-")
         atexit.register(shutil.rmtree, local, ignore_errors=True)
         at = f"file://{local}"
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(at)
     return at
 
 
-def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager)
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: like checkpoint(), but columnar and compressed."""
+    """Write df as Parquet to the shared folder and read it back: cuts the lineage, computes df once, survives executors."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """As written(): a reliable checkpoint would compute df twice."""
+    return written(df, "cut")
 
 
-def rows_of(df: DataFrame, key: str = "doc_id") -> Column:
-    """An id of a row's content, for tables in which doc_id may repeat."""
-    return F.xxhash64(F.col(key), F.col("text"))
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that written() made, once nothing is left to read them."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._written)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def spread(df: DataFrame, *cols) -> DataFrame:
-    return df.repartition(*cols)
+def beside(df: DataFrame, side: DataFrame, on, how: str = "left", **keys: Column) -> DataFrame:
+    """df joined to side by on(keys of df, side), all columns of df whatever their names: they travel as one struct, so
+    that no name of side or of a key can clash with them. With left_semi and left_anti the columns of df come back;
+    with left the struct `whole` and the columns of side."""
+    whole = df.select(F.struct(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(df.columns)]).alias("whole"), *[v.alias(k) for k, v in keys.items()])
+    out = whole.join(side, on(whole, side), how)
+    if how == "left":
+        return out
+    return out.select(*[F.col("whole")[f"c{k}"].alias(c) for k, c in enumerate(df.columns)])

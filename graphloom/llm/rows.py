@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 
 from .base import checkpoint
 
-#: A side table is broadcast up to so many bytes, a set of shared hashes up to so many members; beyond it a shuffle
-#: joins them.
+#: A side table is broadcast up to so many bytes; beyond it a shuffle joins it.
 SIDE_BYTES = 48_000_000
-SHARED_HASHES = 4_000_000
+#: Bits of the table by which tasks know most hashes that no other place has: 2^27 bits are 16 MB for any input.
+FILTER_BITS = 27
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -20,18 +20,19 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def copies(docs: DataFrame) -> DataFrame:
-    """(doc_id, _row, first, n) of rows of keyed docs whose text other rows have too. first: the row of the smallest
-    doc_id (then _row) stands for all. Only hashes of texts are shuffled; sums combine before."""
+    """(doc_id, _row, first, n, least, least_row) of rows of keyed docs whose text other rows have too. first: the row of
+    the smallest doc_id (then _row), which is least and least_row, stands for all n. Only hashes of texts are shuffled."""
     sums = docs.where(F.col("text").isNotNull()).select("doc_id", "_row", F.md5("text").alias("_md5"), F.octet_length("text").alias("_len"))
     groups = sums.groupBy("_md5", "_len").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "_row")).alias("rep")).where("n > 1")
-    groups = groups.select(F.col("_md5").alias("_m"), F.col("_len").alias("_l"), "n", "rep")
+    groups = checkpoint(groups.select(F.col("_md5").alias("_m"), F.col("_len").alias("_l"), "n", "rep"))  # so that the join can split a large group
     found = sums.join(groups, (F.col("_md5") == F.col("_m")) & (F.col("_len") == F.col("_l")))
     first = F.col("doc_id").eqNullSafe(F.col("rep.doc_id")) & (F.col("_row") == F.col("rep._row"))
-    return checkpoint(found.select("doc_id", "_row", first.alias("first"), "n", F.col("rep.doc_id").alias("least")).distinct())
+    return checkpoint(found.select("doc_id", "_row", first.alias("first"), "n", F.col("rep.doc_id").alias("least"), F.col("rep._row").alias("least_row")).distinct())
 
 
-def _small(side: DataFrame, limit: int) -> bool:
-    size = sum((F.octet_length(c) if t in ("binary", "string") else F.lit(8)) for c, t in side.dtypes)
+def small(side: DataFrame, limit: int) -> bool:
+    """Are the rows of side, which is materialised, within `limit` bytes?"""
+    size = sum((F.octet_length(c) if t in ("binary", "string") else 16 + 8 * F.size(c) if t.startswith("array") else F.lit(8)) for c, t in side.dtypes)
     return (side.agg(F.sum(F.lit(48) + F.coalesce(size, F.lit(48)))).first()[0] or 0) <= limit
 
 
@@ -39,33 +40,29 @@ def attach(docs: DataFrame, side: DataFrame, how: str = "left", limit: int = SID
     """Join a side table (doc_id, _row, ...; one row a key, already materialised) to docs: broadcast if its size, which
     is measured first, is within the limit, so that texts stay where they are; else by shuffle."""
     side = side.withColumnRenamed("doc_id", "_id").withColumnRenamed("_row", "_key")
-    small = _small(side, limit)
+    narrow = small(side, limit)
     on = docs["doc_id"].eqNullSafe(side["_id"]) & (docs["_row"] == side["_key"])
-    out = docs.join(F.broadcast(side) if small else side, on, how)
+    out = docs.join(F.broadcast(side) if narrow else side, on, how)
     return out.drop("_id", "_key") if how == "left" else out
 
 
-def shared_or_located(occurrences: DataFrame, shared: DataFrame, limit: int = SHARED_HASHES):
-    """How a second pass learns which hashes are shared: (broadcast sorted array, None) if there are at most `limit`,
-    else (None, table of doc_id, _row and their shared hashes).
+def hash_filter(shared: DataFrame, bits: int = FILTER_BITS):
+    """A broadcast table of 2^bits bits in which every h of `shared` (h: long) has its bit set.
 
-    occurrences: (h, doc_id, _row), lazily; shared: (h), materialised."""
-    if shared.count() <= limit:
-        table = shared.select("h").toArrow()
-        held = np.sort(np.asarray(table.column("h").to_numpy(), np.int64))
-        return shared.sparkSession.sparkContext.broadcast(held), None
-    side = shared.select(F.col("h").alias("_h"))
-    located = occurrences.join(side, F.col("h") == F.col("_h")).groupBy("doc_id", "_row").agg(F.collect_set("h").alias("hashes"))
-    return None, located
+    It is as large for any input, so it keeps work away but decides nothing: what passes must be judged by those who
+    ask. Bits are gathered by machine words, of which the driver sees 2^(bits - 6) at most."""
+    slot = F.col("h").bitwiseAND(F.lit((1 << bits) - 1))
+    one = F.expr("shiftleft(1L, cast(h & 63L AS int))")
+    words = shared.select(F.shiftright(slot, 6).alias("w"), one.alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    held = np.zeros(1 << (bits - 6), np.uint64)
+    held[words.column("w").to_numpy().astype(np.int64)] = words.column("b").to_numpy().astype(np.int64).view(np.uint64)
+    return shared.sparkSession.sparkContext.broadcast(held)
 
 
-def member(values: np.ndarray, held: np.ndarray) -> np.ndarray:
-    """Which values are in the sorted array."""
-    if not len(held):
-        return np.zeros(len(values), bool)
-    at = np.searchsorted(held, values)
-    at[at == len(held)] = 0
-    return held[at] == values
+def passes(values: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """Which hashes (any 64-bit type) have their bit set in a hash_filter."""
+    values = values.view(np.uint64)
+    return (held[(values >> np.uint64(6)) & np.uint64(len(held) - 1)] >> (values & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
 def covered(starts: np.ndarray, length: int, n: int) -> np.ndarray:

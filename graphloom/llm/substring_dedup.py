@@ -1,4 +1,4 @@
-"""Substring dedup by words: difference-cover anchors find shared passages, whole windows decide."""
+"""Substring dedup by words: difference-cover anchors find shared passages and are extended word by word."""
 
 from __future__ import annotations
 
@@ -8,13 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .base import checkpoint, table, written
-from .rows import attach, copies, covered, doubled, keyed, member, mixed, shared_or_located
+from .rows import attach, copies, doubled, hash_filter, keyed, mixed, passes
 
 WINDOW = 50
 #: A perfect difference set: every residue modulo PERIOD is a difference of two of these.
 PERIOD = 31
 COVER = (1, 5, 11, 24, 25, 27)
-BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+BASE = 0x9E3779B97F4A7C15
 #: Word codes that one task keeps; beyond it the store is emptied and filled anew.
 KEPT_WORDS = 400_000
 
@@ -53,7 +53,7 @@ def anchor_hashes(codes: np.ndarray, window: int, cover: np.ndarray) -> tuple[np
     if len(codes) < window:
         return np.empty(0, np.int64), np.empty(0, np.int64)
     at = np.flatnonzero(np.resize(cover, len(codes) - size + 1))
-    return mixed(doubled(codes, size, BASES[0]))[at].view(np.int64), at
+    return mixed(doubled(codes, size, BASE))[at].view(np.int64), at
 
 
 def _per_text(df: DataFrame, names: list[str], schema: str, make, *extra: str) -> DataFrame:
@@ -74,53 +74,184 @@ def _repeat(column: pa.Array, counts: list[int]) -> pa.Array:
     return column.take(pa.array(np.repeat(np.arange(len(column)), counts)))
 
 
-def shared_windows(docs: DataFrame, rest: DataFrame, window: int, period: int, cover: tuple[int, ...], limit: int) -> DataFrame:
-    """(doc_id, _row, starts: int32 bytes) of rest's windows that also start in a document of a smaller doc_id."""
-    mask = difference_cover(period, cover)
-    kind = docs.schema["doc_id"].dataType.simpleString()
+class Words:
+    """The words of a text and the bytes of any run of them, joined by one space."""
 
-    def anchors(coder, ids, rows, texts):
-        found = [anchor_hashes(coder(words_of(t)), window, mask)[0] for t in texts.to_pylist()]
-        n = [len(x) for x in found]
-        return [pa.array(np.concatenate(found)), _repeat(ids, n), _repeat(rows, n)]
+    def __init__(self, text: str | None):
+        self.words = words_of(text)
+        self.joined = b" ".join(self.words)
+        self.ends = np.cumsum(np.fromiter(map(len, self.words), np.int64, len(self.words)) + 1) - 1
 
-    occurrences = _per_text(rest, ["h", "doc_id", "_row"], f"h long, doc_id {kind}, _row long", anchors)
-    spread = occurrences.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
-    shared = checkpoint(spread.where("lo < hi").select("h"))
-    held, located = shared_or_located(occurrences, shared, limit)
-    source = rest if held is not None else attach(rest, checkpoint(located), "left").where(F.col("hashes").isNotNull())
+    def run(self, first: int, end: int) -> bytes:
+        return self.joined[self.ends[first - 1] + 1 if first else 0 : self.ends[end - 1]]
 
-    def windows(coder, ids, rows, texts, hashes=None):
-        first, second, at, n = [], [], [], []
-        for k, t in enumerate(texts.to_pylist()):
-            words = words_of(t)
-            if len(words) < window:
-                n.append(0)
+
+def extended(own: list[bytes], at: int, other: list[bytes], there: int, size: int) -> tuple[int, int] | None:
+    """Words by which an anchor of `size` words at own[at] and other[there] extends to the left and to the right with
+    both agreeing; None if the anchors differ."""
+    if own[at : at + size] != other[there : there + size]:
+        return None
+    most = min(at, there)
+    left = next((k for k in range(most) if own[at - k - 1] != other[there - k - 1]), most)
+    most = min(len(own) - at, len(other) - there) - size
+    right = next((k for k in range(most) if own[at + size + k] != other[there + size + k]), most)
+    return left, right
+
+
+def _anchors(rest: DataFrame, window: int, mask: np.ndarray) -> DataFrame:
+    """(h) of the anchors that occur in two documents or more."""
+    kind = rest.schema["doc_id"].dataType.simpleString()
+
+    def found(coder, ids, rows, texts):
+        hashes = [anchor_hashes(coder(words_of(t)), window, mask)[0] for t in texts.to_pylist()]
+        return [pa.array(np.concatenate(hashes)), _repeat(ids, [len(x) for x in hashes])]
+
+    spread = _per_text(rest, ["h", "doc_id"], f"h long, doc_id {kind}", found).groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
+    return spread.where("lo < hi").select("h")
+
+
+def _places(rest: DataFrame, held, window: int, mask: np.ndarray) -> DataFrame:
+    """(h, a, b, l, doc_id, _row, p, r) of the anchors that pass the filter `held`: where they are, how many words of the
+    text lie left and right of them within reach of a window, and 128 bits of all these words."""
+    kind = rest.schema["doc_id"].dataType.simpleString()
+    reach = len(mask) - 1
+    size = window - reach
+
+    def found(coder, ids, rows, texts):
+        import xxhash
+
+        digest, sums, h_all, at, lefts, rights, n = xxhash.xxh3_128_digest, [], [], [], [], [], []
+        for t in texts.to_pylist():
+            w = Words(t)
+            h, p = anchor_hashes(coder(w.words), window, mask)
+            if len(p):
+                known = passes(h, held.value)
+                h, p = h[known], p[known]
+            n.append(len(p))
+            if not len(p):
                 continue
-            codes = coder(words)
-            h, p = anchor_hashes(codes, window, mask)
-            known = held.value if hashes is None else np.sort(np.array(hashes[k].as_py(), np.int64))
-            p = p[member(h, known)]
-            # the window at s holds the anchor at p if p - (period - 1) <= s <= p
-            near = np.flatnonzero(covered(np.maximum(p - (period - 1), 0), period, len(words))[: len(words) - window + 1]) if len(p) else p
-            n.append(len(near))
-            if len(near):
-                first.append(mixed(doubled(codes, window, BASES[0]))[near])
-                second.append(mixed(doubled(codes, window, BASES[1]))[near])
-                at.append(near.astype(np.int32))
-        flat = lambda x, kind: np.concatenate(x) if x else np.empty(0, kind)
-        return [pa.array(flat(first, np.uint64).view(np.int64)), pa.array(flat(second, np.uint64).view(np.int64)), _repeat(ids, n), _repeat(rows, n), pa.array(flat(at, np.int32))]
-
-    extra = () if held is not None else ("hashes",)
-    # read twice: written once
-    found = written(_per_text(source, ["a", "b", "doc_id", "_row", "s"], f"a long, b long, doc_id {kind}, _row long, s int", windows, *extra), "windows")
-    # materialised, so that the join deals both sides anew and a very frequent window can be split
-    least = written(found.groupBy("a", "b").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select(F.col("a").alias("_a"), F.col("b").alias("_b"), "lo"), "least")
-    hit = found.join(least, (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b"))).where("lo < doc_id")
-    return hit.groupBy("doc_id", "_row").agg(F.collect_set("s").alias("starts"))
-
-
-def substring_dedup(documents: DataFrame, window: int = WINDOW, period: int = PERIOD, cover: tuple[int, ...] = COVER, limit: int | None = None) -> DataFrame:
+            left, right = np.minimum(p, reach), np.minimum(len(w.words) - p - size, reach)
+            first = p - left
+            begin = np.where(first > 0, w.ends[first - 1] + 1, 0)
+            end = w.ends[p + size + right - 1]
+            sums += [digest(w.joined[x:y]) for x, y in zip(begin.tolist(), end.tolist())]
+            h_all.append(h), at.append(p), lefts.append(left), rights.append(right)
+        flat = lambda x: np.concatenate(x) if x else np.empty(0, np.int64)
+        both = np.frombuffer(b"".join(sums), np.int64).reshape(-1, 2)
+        numbers = [pa.array(flat(x).astype(np.int32)) for x in (at, lefts, rights)]
+        return [pa.array(flat(h_all)), pa.array(both[:, 0]), pa.array(both[:, 1]), _repeat(ids, n), _repeat(rows, n), *numbers]
+
+    return _per_text(rest, ["h", "a", "b", "doc_id", "_row", "p", "l", "r"], f"h long, a long, b long, doc_id {kind}, _row long, p int, l int, r int", found)
+
+
+def _surroundings(docs: DataFrame, ones: DataFrame, size: int) -> DataFrame:
+    """(g, doc_id, _row, p, l, a, b, words): for anchors (h, doc_id, _row, p, l, r) the words within reach."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    where = checkpoint(ones.groupBy("doc_id", "_row").agg(F.collect_list(F.struct("h", "p", "l", "r")).alias("at")))
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                w, at = Words(batch.column("text")[i].as_py()), batch.column("at")[i].as_py()
+                k = pa.array(np.full(len(at), i))
+                texts = [w.run(x["p"] - x["l"], x["p"] + size + x["r"]) for x in at]
+                zero = pa.array(np.zeros(len(at), np.int32))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([x["h"] for x in at], pa.int64()), batch.column("doc_id").take(k), batch.column("_row").take(k), pa.array([x["p"] for x in at], pa.int32()), pa.array([x["l"] for x in at], pa.int32()), zero, zero, pa.array(texts, pa.binary())],
+                    names=["g", "doc_id", "_row", "p", "l", "a", "b", "words"],
+                )
+
+    source = attach(docs, where).where(F.col("at").isNotNull())
+    return source.select("doc_id", "_row", "text", "at").mapInArrow(run, f"g long, doc_id {kind}, _row long, p int, l int, a int, b int, words binary").dropDuplicates(["g", "doc_id", "_row", "p"])
+
+
+def _extension(rows: DataFrame, size: int, reach: int) -> DataFrame:
+    """For rows beside their group's reference (columns x_*): marks (doc_id, _row, lo, hi: first windows) and the rows'
+    next groups (g not null).
+
+    A group's rows agree in a words to the left of the anchor and b to the right. A row that leaves the reference after
+    more words can still share windows with rows that leave it at the same place with the same word: with these it
+    makes up the next group on that side, as long as a window has room for what they agree in."""
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    names = ["g", "doc_id", "_row", "p", "l", "a", "b", "words", "lo", "hi"]
+    kinds = [pa.int64(), None, pa.int64(), *[pa.int32()] * 4, pa.binary(), pa.int32(), pa.int32()]
+
+    def run(batches):
+        import xxhash
+
+        for batch in batches:
+            out: list[list] = [[] for _ in names]
+            ids = []
+            columns = [batch.column(c).to_pylist() for c in ("g", "_row", "p", "l", "a", "b", "words", "x_l", "x_words", "smaller")]
+            for i, (g, row, p, at, a, b, words, there, x_words, smaller) in enumerate(zip(*columns)):
+                own = words.split(b" ")
+
+                def put(g, a, b, words=None, lo=None, hi=None):
+                    for column, x in zip(out, (g, None, row, p, at, a, b, words, lo, hi)):
+                        column.append(x)
+                    ids.append(i)
+
+                def group(a, b, seed=0):
+                    return xxhash.xxh3_64_intdigest(b" ".join(own[at - a : at + size + b]), seed=(31 * a + b + seed) & (1 << 64) - 1) - (1 << 63)
+
+                met = extended(own, at, x_words.split(b" "), there, size)
+                if met is None or met[0] < a or met[1] < b:  # one hash, other words: on with those of the same words
+                    put(group(a, b, g + 1), a, b, words)
+                    continue
+                left, right = met
+                if smaller and left + right >= reach:
+                    put(None, None, None, None, p - min(left, reach), p - (reach - min(right, reach)))
+                if left < at and left + 1 + b <= reach:
+                    put(group(left + 1, b), left + 1, b, words)
+                if right < len(own) - at - size and a + right + 1 <= reach:
+                    put(group(a, right + 1), a, right + 1, words)
+            made = [batch.column("doc_id").take(pa.array(ids, pa.int64())) if t is None else pa.array(x, t) for x, t in zip(out, kinds)]
+            yield pa.RecordBatch.from_arrays(made, names=names)
+
+    return rows.mapInArrow(run, f"g long, doc_id {kind}, _row long, p int, l int, a int, b int, words binary, lo int, hi int")
+
+
+def shared_windows(docs: DataFrame, rest: DataFrame, window: int, period: int, cover: tuple[int, ...]) -> DataFrame:
+    """(doc_id, _row, lo, hi): ranges of first words of rest's windows that also start in a document of a smaller doc_id.
+
+    Anchors that two documents have meet by hash, with 128 bits of the words in reach: of places where these agree only
+    the one of the smallest doc_id goes on, the others lose all windows about it. What goes on is extended word by word
+    from the anchor, against the reference of its group (the smallest doc_id), and regroups where it leaves the
+    reference, until no group has two rows. A row can leave it at most `period` times; no group is gathered anywhere."""
+    mask = difference_cover(period, cover)
+    reach = period - 1
+    size = window - reach
+    held = hash_filter(_anchors(rest, window, mask))
+    places = written(_places(rest, held, window, mask), "anchors")
+    held.unpersist()
+    one = ["h", "a", "b", "l"]
+    classes = checkpoint(places.groupBy(*one).agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("hi")))
+    many = classes.groupBy("h").agg(F.min("least").alias("lo"), F.max("least").alias("up")).where("lo < up").select(F.col("h").alias("_g"))
+    classes = classes.select(*[F.col(c).alias(f"_{c}") for c in one], "least", "hi")
+    classes = checkpoint(classes.join(checkpoint(many), F.col("_h") == F.col("_g"), "left").withColumn("open", F.col("_g").isNotNull()).where("least < hi OR open"))
+    met = written(places.join(classes, [F.col(c) == F.col(f"_{c}") for c in one]).where("least < doc_id OR open").select("h", "doc_id", "_row", "p", "l", "r", (F.col("least") < F.col("doc_id")).alias("later")), "places")
+    marks = [met.where("later").select("doc_id", "_row", (F.col("p") - F.col("l")).alias("lo"), (F.col("p") - F.lit(reach) + F.col("r")).alias("hi"))]
+    ones = met.where("NOT later").drop("later")
+    left = written(_surroundings(docs, ones, size), "surroundings")
+    while True:
+        # materialised, so that the join deals both sides anew and a very frequent anchor can be split
+        reference = F.min(F.struct("doc_id", "_row", "p", "l", "words"))
+        refs = written(left.groupBy(F.col("g").alias("_g")).agg(reference.alias("x"), F.count("*").alias("n")).where("n > 1"), "references")
+        if refs.isEmpty():
+            break
+        rows = left.join(refs, F.col("g") == F.col("_g"))
+        itself = (F.col("doc_id") == F.col("x.doc_id")) & (F.col("_row") == F.col("x._row")) & (F.col("p") == F.col("x.p"))
+        rows = rows.where(~itself).select(*left.columns, F.col("x.l").alias("x_l"), F.col("x.words").alias("x_words"), (F.col("x.doc_id") < F.col("doc_id")).alias("smaller"))
+        out = written(_extension(rows, size, reach), "extended")
+        marks.append(out.where("g IS NULL").select("doc_id", "_row", "lo", "hi"))
+        left = out.where("g IS NOT NULL").select(*left.columns).dropDuplicates(["g", "doc_id", "_row", "p"])
+    found = marks[0]
+    for x in marks[1:]:
+        found = found.unionByName(x)
+    return found
+
+
+def substring_dedup(documents: DataFrame, window: int = WINDOW, period: int = PERIOD, cover: tuple[int, ...] = COVER) -> DataFrame:
     """One row for each row of documents (doc_id, text): doc_id, n_words, n_removed, kept (the text that stays, words
     joined by one space).
 
@@ -128,20 +259,14 @@ def substring_dedup(documents: DataFrame, window: int = WINDOW, period: int = PE
     windows are those of the input. Words part at ASCII white space and are compared as they are. Null texts have no
     words. Rows that repeat a doc_id are one document for "smaller"; a null doc_id is neither smaller nor larger.
     Exact copies: the row of the smallest doc_id stands for all, the others lose every word if they have a window.
-    Windows are compared by 128-bit hashes, and only those that hold an anchor which two documents share. The shuffles
-    carry hashes, never texts, while what is found fits the broadcast limit.
+    Other columns aren't read. Empty table: no rows. Very long texts are handled whole, one at a time.
     """
-    from .rows import SHARED_HASHES
-
     docs = keyed(documents)
     same = copies(docs)
     later = checkpoint(same.where(F.col("least") < F.col("doc_id")).select("doc_id", "_row"))
-    rest = attach(docs, later, "left_anti")
-    hits = checkpoint(shared_windows(docs, rest, window, period, cover, SHARED_HASHES if limit is None else limit))
-    side = hits.select("doc_id", "_row", F.col("starts").alias("starts"), F.lit(False).alias("all")).unionByName(
-        later.select("doc_id", "_row", F.array().cast("array<int>").alias("starts"), F.lit(True).alias("all"))
-    )
-    side = checkpoint(_packed_starts(side))
+    rest = attach(docs, later, "left_anti").where(F.col("doc_id").isNotNull())
+    hits = shared_windows(docs, rest, window, period, cover).groupBy("doc_id", "_row").agg(F.collect_set(F.struct("lo", "hi")).alias("at"))
+    side = checkpoint(_packed(hits).unionByName(later.select("doc_id", "_row", F.lit(None).cast("binary").alias("starts"), F.lit(True).alias("all"))))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def cut(_, ids, rows, texts, starts, every):
@@ -152,7 +277,11 @@ def substring_dedup(documents: DataFrame, window: int = WINDOW, period: int = PE
             if a and len(words) >= window:
                 gone = np.ones(len(words), bool)
             elif s:
-                gone = covered(np.frombuffer(s, np.int32).astype(np.int64), window, len(words))
+                lo, hi = np.frombuffer(s, np.int32).reshape(-1, 2).T.astype(np.int64)
+                change = np.zeros(len(words) + 1, np.int64)
+                np.add.at(change, lo, 1)
+                np.add.at(change, hi + window, -1)
+                gone = np.cumsum(change[:-1]) > 0
             else:
                 gone = None
             removed.append(0 if gone is None else int(gone.sum()))
@@ -163,16 +292,21 @@ def substring_dedup(documents: DataFrame, window: int = WINDOW, period: int = PE
     return _per_text(attach(docs, side), ["doc_id", "n_words", "n_removed", "kept"], f"doc_id {kind}, n_words long, n_removed long, kept string", cut, "starts", "all")
 
 
-def _packed_starts(side: DataFrame) -> DataFrame:
-    """starts as the int32 bytes of its runs' members: small, and measurable."""
+def _packed(hits: DataFrame) -> DataFrame:
+    """Ranges of first words merged and packed (int32 pairs): small, and measurable."""
 
     def run(batches):
         for batch in batches:
-            packed = [np.sort(np.array(x or [], np.int32)).tobytes() for x in batch.column("starts").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_row"), pa.array(packed, pa.binary()), batch.column("all")], names=["doc_id", "_row", "starts", "all"])
-
-    kind = side.schema["doc_id"].dataType.simpleString()
-    return side.mapInArrow(run, f"doc_id {kind}, _row long, starts binary, all boolean")
+            packed = []
+            for x in batch.column("at").to_pylist():
+                lo, hi = np.array(sorted((r["lo"], r["hi"]) for r in x), np.int64).T
+                reach = np.maximum.accumulate(hi)
+                new = np.concatenate(([True], lo[1:] > reach[:-1] + 1))
+                packed.append(np.stack((lo[new], reach[np.append(np.flatnonzero(new)[1:] - 1, len(lo) - 1)]), axis=1).astype(np.int32).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_row"), pa.array(packed, pa.binary()), pa.array([False] * len(packed))], names=["doc_id", "_row", "starts", "all"])
+
+    kind = hits.schema["doc_id"].dataType.simpleString()
+    return hits.mapInArrow(run, f"doc_id {kind}, _row long, starts binary, all boolean")
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

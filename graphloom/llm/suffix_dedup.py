@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-from bisect import bisect_left
 from collections import Counter
 
 import numpy as np
@@ -13,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .base import checkpoint, table, written
 from .bwt import repeated
-from .rows import SHARED_HASHES, attach, copies, doubled, keyed, member, mixed, shared_or_located, slices
+from .rows import attach, copies, doubled, hash_filter, keyed, mixed, passes, slices
 
 LENGTH = 200
 #: Bytes of the grams that route windows: every window goes where the smallest gram hash in it says.
@@ -21,10 +20,10 @@ GRAM = 32
 BASE = 0x9E3779B97F4A7C15
 #: Windows taken at once from a long text, and at most in one segment.
 BLOCK, SEGMENT = 1 << 20, 1 << 14
-#: Bytes of a shard, and of segments (whole groups of one gram) that are merged together.
-SHARD, BATCH = 1 << 17, 1 << 18
-#: Different segments of one gram that meet in a task; windows of larger groups are dealt out by their own hashes.
-GROUP = 1 << 15
+#: Bytes of a shard, and of segments (whole groups) whose shards are merged together.
+SHARD, BATCH = 1 << 16, 1 << 19
+#: Bytes of a group's segments. A larger group is split by more of its windows' smallest grams.
+GROUP = 1 << 20
 
 
 def _slide(x: np.ndarray, width: int, f) -> np.ndarray:
@@ -64,87 +63,30 @@ def chosen_grams(text: bytes, length: int, gram: int) -> np.ndarray:
 
 
 def segments(text: bytes, length: int, gram: int, held: np.ndarray):
-    """(gram hash, first window, windows) of maximal runs of windows with one smallest gram, if that is in held."""
+    """(gram hash, first window, windows) of maximal runs of windows with one smallest gram, if that passes held."""
     for at, data in _blocks(text, length):
         low = minima(gram_hashes(data, gram), length, gram).view(np.int64)
         cut = np.flatnonzero(np.concatenate(([True], low[1:] != low[:-1])))
         cut = np.unique(np.concatenate((cut, np.arange(0, len(low), SEGMENT))))
-        ok = member(low[cut], held)
+        ok = passes(low[cut], held)
         for m, s, e in zip(low[cut][ok].tolist(), cut[ok].tolist(), np.append(cut[1:], len(low))[ok].tolist()):
             yield m, at + s, e - s
 
 
-def _shared_prefix(a: bytes, b: bytes) -> int:
-    n = min(len(a), len(b))
-    if a[:n] == b[:n]:
-        return n
-    lo, hi = 0, n
-    while hi - lo > 1:
-        mid = (lo + hi) // 2
-        if a[lo:mid] == b[lo:mid]:
-            lo = mid
-        else:
-            hi = mid
-    return lo
-
-
-def _reach(sides: list[bytes]) -> list[int]:
-    """For each string its longest common prefix with any other: with a neighbour in sorted order."""
-    order = sorted(range(len(sides)), key=sides.__getitem__)
-    out, before = [0] * len(sides), 0
-    for x, y in zip(order, order[1:]):
-        common = _shared_prefix(sides[x], sides[y])
-        out[x] = max(before, common)
-        before = common
-    if order:
-        out[order[-1]] = before
-    return out
-
-
-def candidates(m: int, pieces: list[bytes], times: list[int], length: int, gram: int):
-    """What of one gram's different segments can hold repeats: (string, times, [(piece, window offset)]).
-
-    Where every piece holds the gram once, a repeated window reaches no further left and right of it than the piece
-    agrees with another piece; equal remains are one string that counts for all of them."""
-    places = []
-    for p in pieces:
-        at = np.flatnonzero(gram_hashes(np.frombuffer(p, np.uint8), gram).view(np.int64) == m)
-        if len(at) != 1:
-            return [(p, t, [(i, 0)]) for i, (p, t) in enumerate(zip(pieces, times))]
-        places.append(int(at[0]))
-    right = _reach([p[k:] for p, k in zip(pieces, places)])
-    left = _reach([p[:k][::-1] for p, k in zip(pieces, places)])
-    found: dict[bytes, list] = {}
-    for i, (p, k) in enumerate(zip(pieces, places)):
-        if left[i] + right[i] >= length:
-            entry = found.setdefault(p[k - left[i] : k + right[i]], [0, []])
-            entry[0] += times[i]
-            entry[1].append((i, k - left[i]))
-    return [(s, t, who) for s, (t, who) in found.items()]
-
-
-def decide(groups: list[tuple[int, list[bytes], list[int]]], length: int, gram: int) -> list[list[np.ndarray]]:
-    """For each piece of each group (gram hash, different pieces, how often each occurs) which windows are repeated."""
-    out = [[np.full(len(p) - length + 1, t > 1) for p, t in zip(pieces, times)] for _, pieces, times in groups]
-    strings, times, owner = [], [], []
-    for g, (m, pieces, n) in enumerate(groups):
-        if len(pieces) == 1 and n[0] > 1:
-            continue
-        for s, t, who in candidates(m, pieces, n, length, gram):
-            strings.append(s), times.append(t), owner.append((g, who))
-    open_groups = {g for (g, _), t in zip(owner, times) if t == 1}
-    for (g, who), s, t in zip(owner, strings, times):
-        if t > 1:  # equal strings: every window of them is repeated
-            for i, at in who:
-                out[g][i][at : at + len(s) - length + 1] = True
-    kept = [k for k, (g, _) in enumerate(owner) if g in open_groups]
-    if kept:
-        marks = repeated([strings[k] for k in kept], [times[k] for k in kept], length, SHARD)
-        for k, found in zip(kept, marks):
-            g, who = owner[k]
-            for i, at in who:
-                out[g][i][at : at + len(found)] |= found
-    return out
+def narrower(piece: bytes, length: int, gram: int, grams: int):
+    """(key, first window, windows) of maximal runs of windows whose `grams` smallest grams are the same. Equal windows
+    have equal ones, so what is equal still meets."""
+    h = gram_hashes(np.frombuffer(piece, np.uint8), gram)
+    width = length - gram + 1
+    grams = min(grams, width)
+    views = np.lib.stride_tricks.sliding_window_view(h, width)
+    key = np.empty(len(views), np.uint64)
+    powers = np.cumprod(np.full(grams, BASE, np.uint64))
+    for k in range(0, len(views), 4096):
+        low = np.sort(views[k : k + 4096], axis=1)[:, :grams]
+        key[k : k + 4096] = mixed((low * powers).sum(axis=1))
+    cut = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    yield from zip(key[cut].view(np.int64).tolist(), cut.tolist(), (np.append(cut[1:], len(key)) - cut).tolist())
 
 
 def _runs(mask: np.ndarray) -> np.ndarray:
@@ -153,9 +95,53 @@ def _runs(mask: np.ndarray) -> np.ndarray:
     return edge.astype(np.int32)
 
 
-def repeats(docs: DataFrame, length: int, gram: int, limit: int, group: int) -> DataFrame:
-    """(doc_id, _row, spans: int32 bytes of start and end pairs) of the bytes of keyed docs that a repeated window covers."""
+def _pieces(batches, cut):
+    """Segments as rows: of each batch every different one once with its data and how often the batch has it, and a row
+    for each place of it.
+
+    cut: batch -> (doc_id, _row, weight, group, first window of the row, the segment's bytes)."""
+    import xxhash
+
+    for batch in batches:
+        types = [pa.int64(), pa.int64(), pa.int64(), batch.schema.field("doc_id").type, pa.int64(), pa.int32(), pa.int64(), pa.binary()]
+        rows: list[list] = [[] for _ in PIECE]
+        count: Counter = Counter()
+        data: dict = {}
+        size = 0
+
+        def out():
+            for key, n in count.items():
+                for column, x in zip(rows, (*key, None, None, None, n, data[key])):
+                    column.append(x)
+            made = pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, types)], names=PIECE)
+            for column in rows:
+                column.clear()
+            count.clear(), data.clear()
+            return made
+
+        for d, r, weight, m, start, piece in cut(batch):
+            x = xxhash.xxh3_128_intdigest(piece)
+            key = (m, (x >> 64) - (1 << 63), (x & (1 << 64) - 1) - (1 << 63))
+            if not count[key]:
+                data[key] = piece
+                size += len(piece)
+            count[key] += weight
+            for column, v in zip(rows, (*key, d, r, start, None, None)):
+                column.append(v)
+            if size > 4_000_000:
+                yield out()
+                size = 0
+        yield out()
+
+
+PIECE = ["m", "a", "b", "doc_id", "_row", "start", "n", "data"]
+
+
+def repeats(docs: DataFrame, length: int, gram: int, group: int) -> DataFrame:
+    """(doc_id, _row, spans: int32 bytes of start and end pairs) of the bytes of keyed docs (with n, the number of rows that
+    each stands for) that a repeated window covers."""
     kind = docs.schema["doc_id"].dataType.simpleString()
+    schema = f"m long, a long, b long, doc_id {kind}, _row long, start int, n long, data binary"
 
     def encode(t):
         return (t or "").encode("utf-8", "surrogatepass")
@@ -166,93 +152,58 @@ def repeats(docs: DataFrame, length: int, gram: int, limit: int, group: int) ->
                 part = batch.slice(k, 64)
                 found = [chosen_grams(encode(t), length, gram) for t in part.column("text").to_pylist()]
                 at = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), part.column("doc_id").take(at), part.column("_row").take(at)], names=["h", "doc_id", "_row"])
-
-    places = docs.mapInArrow(grams, f"h long, doc_id {kind}, _row long")
-    shared = checkpoint(places.groupBy("h").count().where("count > 1").select("h"))
-    held, located = shared_or_located(places, shared, limit)
-    source = docs if held is not None else attach(docs, checkpoint(located)).where(F.col("hashes").isNotNull())
-    names = ["m", "a", "b", "doc_id", "_row", "start", "n", "data"]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), part.column("n").take(at)], names=["h", "n"])
 
-    def cut(batches):
-        import xxhash
+    counted = docs.select("text", "n").mapInArrow(grams, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    held = hash_filter(counted.where("n > 1").select("h"))
 
-        for batch in batches:
-            hashes = batch.column("hashes") if held is None else None
-            rows: list[list] = [[] for _ in names]
-            count: Counter = Counter()
-            data: dict = {}
-            size = 0
-
-            def out():
-                for key, n in count.items():
-                    for column, x in zip(rows, (*key, None, None, None, n, data[key])):
-                        column.append(x)
-                types = [pa.int64(), pa.int64(), pa.int64(), batch.schema.field("doc_id").type, pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-                made = pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, types)], names=names)
-                for column in rows:
-                    column.clear()
-                count.clear(), data.clear()
-                return made
-
-            for i, (d, r) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("_row").to_pylist())):
-                text = encode(batch.column("text")[i].as_py())
-                known = held.value if hashes is None else np.sort(np.array(hashes[i].as_py(), np.int64))
-                for m, s, n in segments(text, length, gram, known):
-                    piece = text[s : s + n + length - 1]
-                    x = xxhash.xxh3_128_intdigest(piece)
-                    key = (m, (x >> 64) - (1 << 63), (x & (1 << 64) - 1) - (1 << 63))
-                    if not count[key]:
-                        data[key] = piece
-                        size += len(piece)
-                    count[key] += 1
-                    for column, v in zip(rows, (*key, d, r, s, n, None)):
-                        column.append(v)
-                if size > 4_000_000:
-                    yield out()
-                    size = 0
-            yield out()
+    def cut(batch):
+        for i, (d, r, n) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("doc_id", "_row", "n")))):
+            text = encode(batch.column("text")[i].as_py())
+            for m, s, k in segments(text, length, gram, held.value):
+                yield d, r, n, m, s, text[s : s + k + length - 1]
 
-    # Rows with data: a different segment and how often this batch has it. Rows without: the places of segments.
-    found = written(source.mapInArrow(cut, f"m long, a long, b long, doc_id {kind}, _row long, start int, n int, data binary"), "segments")
+    found = written(docs.mapInArrow(lambda batches: _pieces(batches, cut), schema), "segments")
     pieces = found.where("data IS NOT NULL").select("m", "a", "b", "n", "data")
-    large = checkpoint(pieces.groupBy("m").count().where(F.col("count") > group).select(F.col("m").alias("_m")))
-    dealt = None
-    if not large.isEmpty():
-        dealt = _dealt(pieces.join(large, F.col("m") == F.col("_m"), "left_semi"), length)
-        pieces = pieces.join(large, F.col("m") == F.col("_m"), "left_anti")
+    places = found.where("data IS NULL").select("m", "a", "b", "doc_id", "_row", "start")
+    level = 1
+    while level < length:
+        level *= 2
+        bytes_of = F.sum(F.octet_length("data")).alias("size")
+        large = checkpoint(pieces.groupBy("m").agg(bytes_of).where(F.col("size") > group).select(F.col("m").alias("_m")))
+        if large.isEmpty():
+            break
+        pieces, places = _split(pieces, places, large, length, gram, level)
 
     def judge(batches):
-        groups: list = []
-        size, last, same = 0, None, None
+        strings, times, names, size, last = [], [], [], 0, None
 
         def out():
-            marks = decide([(g[0], g[2], g[3]) for g in groups], length, gram)
-            rows = [(a, b, _runs(w).tobytes()) for g, of in zip(groups, marks) for (a, b), w in zip(g[1], of) if w.any()]
-            groups.clear()
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], names=["a", "b", "runs"])
+            of = Counter(m for m, _, _ in names)
+            # a group of one segment that has no gram twice repeats nothing
+            kept = [i for i, s in enumerate(strings) if times[i] > 1 or of[names[i][0]] > 1 or len(np.unique(h := gram_hashes(np.frombuffer(s, np.uint8), gram))) < len(h)]
+            marks = repeated([strings[i] for i in kept], [times[i] for i in kept], length, SHARD) if kept else []
+            rows = [(*names[i], _runs(w).tobytes()) for i, w in zip(kept, marks) if w.any()]
+            strings.clear(), times.clear(), names.clear()
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(3)] + [pa.array([r[3] for r in rows], pa.binary())], names=["m", "a", "b", "runs"])
 
         for batch in batches:
             for m, a, b, n, data in zip(*(batch.column(c).to_pylist() for c in ("m", "a", "b", "n", "data"))):
-                if m != last and size > BATCH:
+                if (m, a, b) == last:
+                    times[-1] += n
+                    continue
+                if size > BATCH and m != last[0]:
                     yield out()
                     size = 0
-                if m != last:
-                    groups.append((m, [], [], []))
-                if m == last and same == (a, b):
-                    groups[-1][3][-1] += n
-                else:
-                    groups[-1][1].append((a, b)), groups[-1][2].append(data), groups[-1][3].append(n)
-                    size += len(data)
-                last, same = m, (a, b)
-        yield out()
+                strings.append(data), times.append(n), names.append((m, a, b))
+                size += len(data)
+                last = (m, a, b)
+        if strings:
+            yield out()
 
-    judged = pieces.repartition("m").sortWithinPartitions("m", "a", "b").mapInArrow(judge, "a long, b long, runs binary")
-    if dealt is not None:
-        judged = judged.unionByName(dealt)
-    judged = judged.select(F.col("a").alias("_a"), F.col("b").alias("_b"), "runs")
-    at = found.where("data IS NULL").select("a", "b", "doc_id", "_row", "start")
-    hits = at.join(judged, (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b"))).groupBy("doc_id", "_row").agg(F.collect_set(F.struct("start", "runs")).alias("hits"))
+    judged = pieces.repartition("m").sortWithinPartitions("m", "a", "b").mapInArrow(judge, "m long, a long, b long, runs binary")
+    judged = checkpoint(judged.select(F.col("m").alias("_m"), F.col("a").alias("_a"), F.col("b").alias("_b"), "runs"))  # so that the join can split a segment with many places
+    hits = places.join(judged, (F.col("m") == F.col("_m")) & (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b"))).groupBy("doc_id", "_row").agg(F.collect_set(F.struct("start", "runs")).alias("hits"))
 
     def spans(batches):
         for batch in batches:
@@ -270,54 +221,51 @@ def repeats(docs: DataFrame, length: int, gram: int, limit: int, group: int) ->
     return hits.mapInArrow(spans, f"doc_id {kind}, _row long, spans binary")
 
 
-def _dealt(pieces: DataFrame, length: int) -> DataFrame:
-    """(a, b, runs) of the segments of very large groups: every window by a hash of 128 bits, counted before it moves."""
+def _split(pieces: DataFrame, places: DataFrame, large: DataFrame, length: int, gram: int, grams: int) -> tuple[DataFrame, DataFrame]:
+    """pieces and places with the groups `large` (_m) split by the `grams` smallest grams of their windows."""
+    of = F.col("m") == F.col("_m")
 
-    def windows(batches):
-        for batch in batches:
-            for a, b, n, data in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "n", "data"))):
-                codes = np.frombuffer(data, np.uint8).astype(np.uint64) + np.uint64(1)
-                x, y = mixed(doubled(codes, length, BASE)).view(np.int64), mixed(doubled(codes, length, 0xC2B2AE3D27D4EB4F)).view(np.int64)
-                k = len(x)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(k, a)), pa.array(np.full(k, b)), pa.array(np.arange(k, dtype=np.int32)), pa.array(x), pa.array(y)], names=["a", "b", "w", "x", "y"])
-
-    once = pieces.groupBy("a", "b").agg(F.sum("n").alias("n"), F.first("data").alias("data"))
-    found = once.select("a", "b", F.col("n").cast("int").alias("n"), "data").mapInArrow(windows, "a long, b long, w int, x long, y long").join(once.select("a", "b", "n"), ["a", "b"])
-    often = found.groupBy("x", "y").agg(F.sum("n").alias("t")).where("t > 1").select(F.col("x").alias("_x"), F.col("y").alias("_y"))
-    hit = found.join(often, (F.col("x") == F.col("_x")) & (F.col("y") == F.col("_y"))).groupBy("a", "b").agg(F.sort_array(F.collect_set("w")).alias("w"))
-
-    def runs(batches):
+    def narrow(batches):
         for batch in batches:
-            out = []
-            for w in batch.column("w").to_pylist():
-                mask = np.zeros(max(w) + 1, bool)
-                mask[w] = True
-                out.append(_runs(mask).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(out, pa.binary())], names=["a", "b", "runs"])
-
-    return hit.mapInArrow(runs, "a long, b long, runs binary")
-
+            rows = [[] for _ in range(9)]
+            for m, a, b, n, data in zip(*(batch.column(c).to_pylist() for c in ("m", "a", "b", "n", "data"))):
+                import xxhash
 
-def repeat_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, limit: int = SHARED_HASHES, group: int = GROUP) -> DataFrame:
-    """For keyed docs the rows that lose bytes: (doc_id, _row, all, spans). all: the text is an exact copy of another
-    row's, so all of it goes if it has `length` bytes; spans: int32 bytes of start and end pairs."""
+                for m2, s, k in narrower(data, length, gram, grams):
+                    piece = data[s : s + k + length - 1]
+                    x = xxhash.xxh3_128_intdigest(piece)
+                    for column, v in zip(rows, (m2, (x >> 64) - (1 << 63), (x & (1 << 64) - 1) - (1 << 63), n, piece, m, a, b, s)):
+                        column.append(v)
+            types = [pa.int64()] * 4 + [pa.binary()] + [pa.int64()] * 3 + [pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, types)], names=["m", "a", "b", "n", "data", "_pm", "_pa", "_pb", "at"])
+
+    once = pieces.join(large, of, "left_semi").groupBy("m", "a", "b").agg(F.sum("n").alias("n"), F.first("data").alias("data"))
+    parts = written(once.mapInArrow(narrow, "m long, a long, b long, n long, data binary, _pm long, _pa long, _pb long, at int"), "parts")
+    links = parts.select(*[F.col(c).alias(f"_{c}2") for c in "mab"], "_pm", "_pa", "_pb", "at")
+    moved = places.join(links, (F.col("m") == F.col("_pm")) & (F.col("a") == F.col("_pa")) & (F.col("b") == F.col("_pb")))
+    moved = moved.select(*[F.col(f"_{c}2").alias(c) for c in "mab"], "doc_id", "_row", (F.col("start") + F.col("at")).alias("start"))
+    return (
+        pieces.join(large, of, "left_anti").unionByName(parts.select("m", "a", "b", "n", "data")),
+        written(places.join(large, of, "left_anti").unionByName(moved), "places"),
+    )
+
+
+def repeat_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int = GROUP) -> DataFrame:
+    """For keyed docs the rows that lose bytes: (doc_id, _row, spans: int32 bytes of start and end pairs). Of exact copies
+    one row is searched for all of them, and counts as often as there are copies; all get its spans."""
     same = copies(docs)
     more = checkpoint(same.where(~F.col("first")).select("doc_id", "_row"))
-    rest = attach(docs, more, "left_anti")
-    # rows that are equal in doc_id and text have one key: one of them searches
-    twice = checkpoint(same.where("first").select("doc_id", "_row"))
-    single = attach(rest, twice, "left_anti").unionByName(attach(rest, twice, "left_semi").dropDuplicates(["doc_id", "_row"]))
-    spans = repeats(single, length, gram, limit, group).select(F.col("doc_id").alias("_i"), F.col("_row").alias("_r"), "spans")
-    every = same.select("doc_id", "_row", F.lit(True).alias("all"))
-    side = every.join(spans, F.col("doc_id").eqNullSafe(F.col("_i")) & (F.col("_row") == F.col("_r")), "full")
-    return checkpoint(side.select(F.coalesce("doc_id", "_i").alias("doc_id"), F.coalesce("_row", "_r").alias("_row"), F.coalesce("all", F.lit(False)).alias("all"), "spans"))
+    often = checkpoint(same.where("first").select("doc_id", "_row", F.col("n").alias("times")))
+    single = attach(attach(docs, more, "left_anti"), often).withColumn("n", F.coalesce("times", F.lit(1).cast("long"))).select("doc_id", "_row", "text", "n")
+    spans = checkpoint(repeats(single, length, gram, group))
+    of = spans.select(F.col("doc_id").alias("_i"), F.col("_row").alias("_r"), "spans")
+    rest = same.where(~F.col("first")).join(of, F.col("least").eqNullSafe(F.col("_i")) & (F.col("least_row") == F.col("_r")))
+    return checkpoint(spans.unionByName(rest.select("doc_id", "_row", "spans")))
 
 
-def _cut(text: str | None, every: bool | None, spans: bytes | None, length: int) -> tuple[bytes, bytes, bytes]:
+def _cut(text: str | None, spans: bytes | None) -> tuple[bytes, bytes, bytes]:
     """The text's bytes, the removed spans and the bytes that stay."""
     data = (text or "").encode("utf-8", "surrogatepass")
-    if every:
-        spans = np.array([0, len(data)], np.int32).tobytes() if len(data) >= length else b""
     stay, at = [], 0
     for s, e in np.frombuffer(spans or b"", np.int32).reshape(-1, 2).tolist():
         stay.append(data[at:s])
@@ -325,7 +273,7 @@ def _cut(text: str | None, every: bool | None, spans: bytes | None, length: int)
     return data, spans or b"", b"".join([*stay, data[at:]])
 
 
-def without_repeats(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, limit: int = SHARED_HASHES, group: int = GROUP) -> DataFrame:
+def without_repeats(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int = GROUP) -> DataFrame:
     """One row for each row of documents (doc_id, text): doc_id, n_bytes, n_removed, n_spans, spans (int32 bytes of start
     and end pairs of maximal removed runs), kept_sha256, kept (the remaining bytes).
 
@@ -333,22 +281,24 @@ def without_repeats(documents: DataFrame, length: int = LENGTH, gram: int = GRAM
     included; strings are those of the input and never cross rows. Null texts are empty. Repeated rows, also of one
     doc_id, are texts of their own and so repeat each other.
 
-    Windows meet by the smallest gram in them; what only one place has never moves. Exact copies are known by hash:
-    one stands for all in the search. The different segments of a gram are sorted shard by shard and merged (bwt.py).
+    Windows meet by the smallest gram in them; what only one place has never moves. The different segments of a gram
+    are sorted shard by shard, and the shards' transforms merged (bwt.py): its common prefixes and the weights of its
+    intervals decide. A gram with more than `group` bytes of segments is split by more of its windows' grams. Exact
+    copies are found by hash, one counts for all. An empty table gives no rows; very long texts are cut in blocks.
     """
     docs = keyed(documents)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def cut(batches):
         for batch in slices(batches):
-            rows = [_cut(*x, length) for x in zip(*(batch.column(c).to_pylist() for c in ("text", "all", "spans")))]
+            rows = [_cut(*x) for x in zip(*(batch.column(c).to_pylist() for c in ("text", "spans")))]
             columns = [
                 (pa.int64(), [len(a) for a, _, _ in rows]), (pa.int64(), [len(a) - len(c) for a, _, c in rows]), (pa.int64(), [len(b) // 8 for _, b, _ in rows]),
                 (pa.binary(), [b for _, b, _ in rows]), (pa.string(), [hashlib.sha256(c).hexdigest() for _, _, c in rows]), (pa.binary(), [c for _, _, c in rows]),
             ]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, t) for t, x in columns)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "spans", "kept_sha256", "kept"])
 
-    source = attach(docs, repeat_spans(docs, length, gram, limit, group)).select("doc_id", "text", "all", "spans")
+    source = attach(docs, repeat_spans(docs, length, gram, group)).select("doc_id", "text", "spans")
     return source.mapInArrow(cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, spans binary, kept_sha256 string, kept binary")
 
 
@@ -364,13 +314,13 @@ def drop_repeats(documents: DataFrame, length: int = LENGTH, **how) -> DataFrame
     def cut(batches):
         for batch in slices(batches):
             left = []
-            for x in zip(*(batch.column(c).to_pylist() for c in ("text", "all", "spans"))):
-                data, _, stay = _cut(*x, length)
+            for x in zip(*(batch.column(c).to_pylist() for c in ("text", "spans"))):
+                data, _, stay = _cut(*x)
                 left.append(None if len(stay) == len(data) else stay.decode("utf-8", "ignore"))
             yield pa.RecordBatch.from_arrays([batch.column("_whole"), pa.array(left, pa.string())], names=["_whole", "_left"])
 
     kind = rows.schema["_whole"].dataType.simpleString()
-    out = attach(rows, side).select("_whole", "text", "all", "spans").mapInArrow(cut, f"_whole {kind}, _left string")
+    out = attach(rows, side).select("_whole", "text", "spans").mapInArrow(cut, f"_whole {kind}, _left string")
     out = out.where("_left IS NULL OR trim(_left) <> ''")
     columns = []
     for k, c in enumerate(documents.columns):

@@ -27,11 +27,19 @@ def test_merged_transforms_find_repeats():
         assert [x.tolist() for x in bwt.repeated(strings, times, depth, r.choice([5, 20, 60, 1000]))] == want
 
 
-def test_merge_gives_the_transform_of_all():
-    strings = [b"banana", b"ananas", b"band", b"", b"nab"]
-    whole = bwt.build(strings)
-    merged, _ = bwt.merge(bwt.build(strings[:2]), bwt.build(strings[2:], 2), 20)
-    assert merged.bwt.tolist() == whole.bwt.tolist() and list(zip(merged.string, merged.offset)) == list(zip(whole.string, whole.offset))
+def test_merge_orders_all_suffixes_and_gives_their_common_prefixes():
+    r = random.Random(5)
+    for _ in range(100):
+        strings = [bytes(r.choices(r.choice([b"ab", b"abc", bytes(range(245))]), k=r.randint(0, 60))) for _ in range(r.randint(1, 9))]
+        strings += [r.choice(strings)]
+        shards = [bwt.build(strings[k : k + 3], k) for k in range(0, len(strings), 3)]
+        string, offset, parted, _ = bwt.merge(shards, 64)
+        suffixes = [strings[i][j:] for i, j in zip(string, offset)]
+        assert suffixes == sorted(suffixes) and len(suffixes) == sum(map(len, strings))
+        common = bwt.common_prefixes(strings, string, offset, parted, 64)
+        for k in range(1, len(suffixes)):
+            same = [a == b for a, b in zip(suffixes[k], suffixes[k - 1])]
+            assert common[k] == (same + [False]).index(False)
 
 
 def brute_bytes(texts, n):
@@ -48,7 +56,7 @@ def brute_bytes(texts, n):
     return out
 
 
-@pytest.mark.parametrize("how", [{}, {"limit": 0}, {"group": 1}, {"length": 60, "gram": 16}])
+@pytest.mark.parametrize("how", [{}, {"group": 1}, {"group": 3000, "length": 60, "gram": 16}])
 def test_suffix_dedup_matches_brute_force(documents, odd, empty, how):
     for df in (documents, odd):
         data = df.select("doc_id", "text").collect()
@@ -98,13 +106,30 @@ def brute_words(data, n):
     return sorted(out)
 
 
-@pytest.mark.parametrize("limit", [None, 0])
-def test_substring_dedup_matches_brute_force(documents, odd, empty, limit):
-    for df in (documents, odd):
+def test_substring_dedup_matches_brute_force(documents, odd, empty, monkeypatch):
+    for df, side in ((documents, sub.attach.__defaults__[1]), (odd, 0)):
+        monkeypatch.setattr(rows.attach, "__defaults__", ("left", side))
         want = brute_words([(r.doc_id, r.text) for r in df.collect()], 50)
-        got = sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept) for r in sub.substring_dedup(df, limit=limit).collect())
+        got = sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept) for r in sub.substring_dedup(df).collect())
         assert got == want
-    assert sub.substring_dedup(empty, limit=limit).count() == 0
+    assert sub.substring_dedup(empty).count() == 0
+
+
+def test_extension_descends_where_rows_leave_the_reference(spark):
+    """Texts that share a passage and differ around it in every way: no partner may be lost behind the first."""
+    r = random.Random(8)
+    core = [f"c{i}" for i in range(24)]
+    left, right = [f"l{i}" for i in range(40)], [f"r{i}" for i in range(40)]
+    texts = []
+    for d in range(60):
+        a, b = r.randint(0, 40), r.randint(0, 40)
+        own = [f"x{r.randrange(3)}" for _ in range(r.randint(0, 30))]
+        texts.append(" ".join([*own, *left[40 - a :], *core, *right[:b], *[f"y{r.randrange(3)}" for _ in range(r.randint(0, 30))]]))
+    texts += [" ".join(["a b"] * 60), " ".join(["a b"] * 55 + core + ["a b"] * 40), " ".join(["a b"] * 30 + core + ["a b"] * 40)]
+    df = spark.createDataFrame([(d % 50, t) for d, t in enumerate(texts)], "doc_id long, text string")
+    want = brute_words([(r.doc_id, r.text) for r in df.collect()], 50)
+    assert sum(x[2] for x in want) > 500
+    assert sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept) for r in sub.substring_dedup(df).collect()) == want
 
 
 def test_difference_cover():
@@ -203,7 +228,9 @@ def test_similar_documents_match_brute_force_on_both_sides(spark):
 
 def test_components_of_chains_and_hubs(spark):
     chain = [(i, i + 1) for i in range(1, 60)] + [(1000, k) for k in range(100, 160)] + [(7, 7)]
-    got = {r.node: r.root for r in components.components(spark.createDataFrame(chain, "u long, v long")).collect()}
+    for size in (None, 7):
+        got = {r.node: r.root for r in components.components(spark.createDataFrame(chain, "u long, v long"), size).collect()}
+        assert set(got) == {x for e in chain[:-1] for x in e}
     assert len({got[i] for i in range(1, 61)}) == 1 and got[1] != got[1000] and len({got[k] for k in [1000, *range(100, 160)]}) == 1
     assert components.components(spark.createDataFrame([], "u long, v long")).count() == 0
 
