@@ -8,22 +8,25 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import LOWER, UPPER, checkpoint, table, written
+from .base import LOWER, UPPER, beside, checkpoint, table, written
 from .components import components
+from .rows import SIDE_BYTES, small
 
 SHINGLE = 5
 SEED = 42
 BITS = 64
 DISTANCE = 3
 #: Rows of one cell at most (about): larger groups of one block are compared part against part.
-CELL = 2000
+CELL = 4000
 #: Sets of at most so many shingles also meet by their lowest hashes.
 SMALL = 40
-#: Nodes whose ids are broadcast to find their texts; more are joined by a shuffle.
-BROADCAST_ROWS = 4_000_000
+#: Chance that a pair of sets at the least similarity meets nowhere.
+MISS = 5e-4
+#: Hashes of sets that a part of a loose component holds (a set counts as a thousandth of it at least).
+PART = 1 << 20
 _LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
 
@@ -103,9 +106,9 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def _forest(key: np.ndarray, bits: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+def _forest(key: np.ndarray, bits: np.ndarray, distance: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Star edges (row of the root, row of the member) that connect, within each run of equal keys, fingerprints (rows
-    of unsigned words) at that distance or less."""
+    of unsigned words) at the row's distance or less."""
     n = len(key)
     label, at = np.arange(n), np.arange(n)
     a, b, held = [], [], 0
@@ -130,7 +133,7 @@ def _forest(key: np.ndarray, bits: np.ndarray, distance: int) -> tuple[np.ndarra
         d += 1
         at = at[at + d < n]
         at = at[key[at] == key[at + d]]
-        near = at[np.bitwise_count(bits[at] ^ bits[at + d]).sum(axis=1) <= distance]
+        near = at[np.bitwise_count(bits[at] ^ bits[at + d]).sum(axis=1) <= distance[at]]
         if len(near):
             a.append(near), b.append(near + d)
             held += len(near)
@@ -151,93 +154,80 @@ def links(distinct: DataFrame, distance: int = DISTANCE, cell: int = CELL) -> Da
     """
     masks = block_masks(distance)
     keys = distinct.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m)).cast("long")) for m in masks])).alias("choice", "kept"))
-    large = keys.groupBy("choice", "kept").count().where(F.col("count") > cell)
-    large = large.select(F.col("choice").alias("_c"), F.col("kept").alias("_k"), F.ceil(F.col("count") * 2 / cell).cast("int").alias("parts"))
-    large = checkpoint(large)
-    if not large.isEmpty():
-        keys = keys.join(large, (F.col("choice") == F.col("_c")) & (F.col("kept") == F.col("_k")), "left")
-        part = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
-        cells = F.when(F.col("parts").isNull(), F.array(F.lit(0).cast("long"))).otherwise(
-            F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.least(k, part).cast("long") * 1_000_000 + F.greatest(k, part))
-        )
-        keys = keys.select("fp", "choice", "kept", F.explode(cells).alias("cell"))
-    else:
-        keys = keys.withColumn("cell", F.lit(0).cast("long"))
-    keys = keys.select(F.xxhash64("choice", "kept", "cell").alias("key"), F.col("fp").alias("node"), F.col("fp").alias("w0"))
-    return _meet(keys, 1, distance)
-
-
-def _meet(keys: DataFrame, words: int, distance: int) -> DataFrame:
-    """Edges (u, v) of keys (key, node, w0, w1, ...): of the rows with one key a star for each set of near ones."""
-    names = ["key", "node", *(f"w{k}" for k in range(words))]
-
-    def edges(rows):
-        # bitwise_count takes the absolute value of signed numbers
-        u, v = _forest(rows[0], np.ascontiguousarray(rows[2:].T).view(np.uint64), distance)
-        yield rows[1, u], rows[1, v]
+    key = F.xxhash64("choice", "kept").bitwiseAND(F.lit((1 << 63) - 1))
+    return _dealt_meet(keys.select(key.alias("key"), F.col("fp").alias("node"), F.col("fp").alias("w0")), 1, distance, cell)
 
-    return _by_key(keys, names, edges).distinct()
 
+def _meet(keys: DataFrame, words: int, distance: int, cell: int | None = None) -> DataFrame:
+    """Edges (u, v) of keys (key, node, w0, w1, ...): of the rows with one key a star for each set of near ones.
 
-def _across(keys: DataFrame, words: int, distance: int, least: float) -> DataFrame:
-    """Pairs (u, v), u < v, of keys (key, node, part, size, w0, w1, ...): all near ones with one key and different parts
-    whose sizes allow a Jaccard of `least`.
-
+    Keys of more than `cell` rows aren't compared: their rows come back as they are, with a null v, to be dealt out.
     Rows with a negative key may differ in half as many bits again."""
-    names = ["key", "node", "part", "size", *(f"w{k}" for k in range(words))]
-
-    def pairs(rows):
-        rows = rows[:, np.lexsort((rows[2], rows[0]))]
-        key, n = rows[0], rows.shape[1]
-        bits, limit = np.ascontiguousarray(rows[4:].T).view(np.uint64), np.where(key < 0, distance * 3 // 2, distance)
-        last = np.flatnonzero(np.concatenate(((key[1:] != key[:-1]) | (rows[2, 1:] != rows[2, :-1]), [True]))) + 1
-        after = last[np.searchsorted(last, np.arange(n), "right")]  # the first row of the next part
-        at, found, held, d = np.arange(n), [], 0, 0
-        while len(at):
-            at = at[after[at] + d < n]
-            to = after[at] + d
-            same = key[at] == key[to]
-            at, to = at[same], to[same]
-            sizes = rows[3, at], rows[3, to]
-            fits = np.minimum(*sizes) >= (least - 1e-9) * np.maximum(*sizes)
-            near = fits & (np.bitwise_count(bits[at] ^ bits[to]).sum(axis=1) <= limit[at])
-            if near.any():
-                a, b = rows[1, at[near]], rows[1, to[near]]
-                found.append(np.stack((np.minimum(a, b), np.maximum(a, b))))
-                held += len(a)
-            d += 1
-            if found and (held > 1_000_000 or not len(at)):
-                yield tuple(np.unique(np.concatenate(found, axis=1), axis=1))
-                found, held = [], 0
-        if found:
-            yield tuple(np.unique(np.concatenate(found, axis=1), axis=1))
-
-    return _by_key(keys, names, pairs).distinct()
-
-
-def _by_key(keys: DataFrame, names: list[str], edges) -> DataFrame:
-    """(u, v) of what edges() yields for the rows (columns names, key first) of whole keys that two rows have at least."""
-
-    def run(batches):
-        held = np.empty((len(names), 0), np.int64)
+    names = ["key", "node", *(f"w{k}" for k in range(words))]
+    out = ["u", "v", "key", *names[2:]]
 
-        def found(rows):
-            same = rows[0, 1:] == rows[0, :-1]
-            rows = rows[:, np.concatenate((same, [False])) | np.concatenate(([False], same))]  # lone keys can't link
-            for u, v in edges(rows) if rows.shape[1] else ():
-                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+    def edges(rows):
+        # bitwise_count takes the absolute value of signed numbers
+        bits = np.ascontiguousarray(rows[2:].T).view(np.uint64)
+        u, v = _forest(rows[0], bits, np.where(rows[0] < 0, distance * 3 // 2, distance))
+        return pa.RecordBatch.from_arrays([pa.array(rows[1, u]), pa.array(rows[1, v]), *(pa.nulls(len(u), pa.int64()) for _ in out[2:])], names=out)
+
+    def passed(rows):
+        return pa.RecordBatch.from_arrays([pa.array(rows[1]), pa.nulls(rows.shape[1], pa.int64()), pa.array(rows[0]), *map(pa.array, rows[2:])], names=out)
+
+    def judged(rows):
+        first = np.flatnonzero(np.concatenate(([True], rows[0, 1:] != rows[0, :-1])))
+        count = np.diff(np.append(first, rows.shape[1]))
+        count = np.repeat(count, count)
+        if cell and (count > cell).any():
+            yield passed(rows[:, count > cell])
+        small = (count > 1) & (count <= cell) if cell else count > 1  # lone keys can't link
+        if small.any():
+            yield edges(rows[:, small])
 
+    def run(batches):
+        held, large = np.empty((len(names), 0), np.int64), None
         for batch in batches:
-            held = np.concatenate((held, np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in names])), axis=1)
+            rows = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in names])
+            if large is not None and rows.shape[1]:
+                at = np.searchsorted(rows[0], large, "right")
+                if at:
+                    yield passed(rows[:, :at])
+                rows = rows[:, at:]
+            held = np.concatenate((held, rows), axis=1)
             if held.shape[1]:
                 whole = np.searchsorted(held[0], held[0, -1])
                 if whole:
-                    yield from found(held[:, :whole])
+                    yield from judged(held[:, :whole])
                     held = held[:, whole:]
+                if cell and held.shape[1] > cell:
+                    large = held[0, 0]
+                    yield passed(held)
+                    held = held[:, :0]
         if held.shape[1]:
-            yield from found(held)
+            yield from judged(held)
+
+    return keys.select(*names).repartition("key").sortWithinPartitions("key").mapInArrow(run, ", ".join(f"{c} long" for c in out))
+
 
-    return keys.select(*names).repartition("key").sortWithinPartitions("key").mapInArrow(run, "u long, v long")
+def _dealt_meet(keys: DataFrame, words: int, distance: int, cell: int) -> DataFrame:
+    """Edges (u, v) as of _meet for keys of any size: rows of a key of more than `cell` rows fall into parts by hash, and
+    each two parts meet in a cell of their own."""
+    met = written(_meet(keys, words, distance, cell), "met")
+    edges, large = met.where("v IS NOT NULL").select("u", "v"), met.where("v IS NULL").select("key", F.col("u").alias("node"), *(f"w{k}" for k in range(words)))
+    sizes = checkpoint(large.groupBy("key").count().select(F.col("key").alias("_k"), F.ceil(F.col("count") * 2 / cell).cast("int").alias("parts")))
+    if not sizes.isEmpty():
+        cells = _cells(F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"), F.col("parts"))
+        large = large.join(sizes, F.col("key") == F.col("_k")).withColumn("cell", F.explode(cells))
+        # the sign of a key stays: it tells the distance
+        key = F.when(F.col("key") < 0, F.xxhash64("key", "cell").bitwiseOR(F.lit(-(1 << 63)).cast("long"))).otherwise(F.xxhash64("key", "cell").bitwiseAND(F.lit((1 << 63) - 1)))
+        edges = edges.unionByName(_meet(large.withColumn("key", key), words, distance).select("u", "v"))
+    return edges
+
+
+def _cells(part: Column, parts: Column) -> Column:
+    """Numbers of the cells in which a part meets each part, itself included."""
+    return F.transform(F.sequence(F.lit(0), parts - 1), lambda k: F.least(k, part).cast("long") * 1_000_000_000 + F.greatest(k, part))
 
 
 def near_duplicates(df: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
@@ -256,21 +246,31 @@ def near_duplicates(df: DataFrame, shingle: int = SHINGLE, distance: int = DISTA
     return fps.join(classes, F.col("fp") == F.col("_fp")).select("doc_id", "fp", "component_id")
 
 
-def similar_documents(
-    df: DataFrame, shingle: int = SHINGLE, least: float = 0.8, words: int = 4, compared: int = 3, distance: int = 54, keys: int = 128, key_bits: int = 14
-) -> DataFrame:
+def meeting_plan(n: int, least: float, miss: float = MISS, rows: int = 8) -> tuple[int, int]:
+    """(bits a key, keys) for n fingerprints: about `rows` unrelated ones share a key at any n, and a pair whose sets
+    have a Jaccard of `least` misses every key with a chance of `miss`.
+
+    SimHash bits of two sets differ with the angle between them; the work grows as n to the power 1.2."""
+    differ = math.acos(2 * least / (1 + least)) / math.pi
+    bits = max(12, round(math.log2(max(n, 1) / rows)))
+    return bits, math.ceil(math.log(miss) / math.log1p(-((1 - differ) ** bits)))
+
+
+def similar_documents(df: DataFrame, shingle: int = SHINGLE, least: float = 0.8, words: int = 4, compared: int = 2, distance: int = 36, miss: float = MISS, part: int = PART) -> DataFrame:
     """As near_duplicates, for pairs of a shingle similarity (Jaccard of the shingle sets) of `least` or more: doc_id and
     component_id.
 
-    SimHash only proposes pairs; what links is their similarity itself, counted on the whole sets. Fingerprints of
-    64 * words bits are made of the sets (repeats don't count); documents meet where they agree in one of `keys` choices
-    of `key_bits` bits, and are proposed if the first 64 * compared bits differ in `distance` at most. With the defaults
-    a pair at 0.8 (15 % of the bits differ) is proposed with a chance of 0.9995, one at 0.85 with 0.99995. Sets of at
-    most SMALL shingles also meet by their lowest hashes, of which two similar ones share one for certain.
-
-    A few of the choices first give stars of very near pairs; then all pairs are proposed that these have not yet
-    joined, so that a large group of copies doesn't make all of its pairs. Rows with one set of shingles are one node.
-    Lengthen key_bits and add keys as documents grow beyond some 10^7.
+    SimHash only groups; what links is the similarity itself, counted on whole sets. Fingerprints of 64 * words bits are
+    made of the sets (repeats don't count); they meet where they agree in a key of blocks of bits (meeting_plan), and
+    are loosely linked, by a star a key, if the first 64 * compared bits differ in `distance` at most: by far more than
+    similar sets do (at 0.8 15 % differ, 36 of 128 lie four standard deviations higher). Sets of at most SMALL shingles
+    also meet by their lowest hashes, of which two similar ones share one for certain. Then the sets of each loose
+    component meet, and every pair in it that is not yet joined is counted exactly; only stars leave the task. A
+    component of over `part` hashes is dealt out: each two of its parts meet in a cell of their own.
+
+    Rows with one set of shingles are one node; texts without words are one node. Null texts have no words. Repeated
+    rows and rows of one doc_id are compared each by its own text. Empty table: no rows. Very long texts are one set
+    each, in one cell's memory at eight bytes a word.
     """
     kind = df.schema["doc_id"].dataType.simpleString()
     cols = [f"w{k}" for k in range(words)]
@@ -293,40 +293,30 @@ def similar_documents(
 
     texts = df.select("doc_id", F.xxhash64("text").alias("t"), "text")
     fps = written(texts.mapInArrow(mark, f"doc_id {kind}, t long, s0 long, s1 long, size long, " + ", ".join(f"{c} long" for c in cols) + ", first array<long>"), "fingerprints")
-    distinct = fps.groupBy("s0", "s1", "size", *cols, "first").agg(F.min("doc_id").alias("rep"), F.min("t").alias("t")).withColumn("node", F.monotonically_increasing_id())
-    distinct = written(distinct, "shingle-sets")
-    choice = np.random.default_rng(2).permuted(np.tile(np.arange(64 * words), (keys, 1)), axis=1)[:, :key_bits]
-
-    def meet(choices, kept):
-        def run(batches):
-            for batch in batches:
-                rows = [batch.column(c) for c in kept]
-                bits = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in cols], axis=1)
-                bits = np.unpackbits(bits.view(np.uint8), axis=1, bitorder="little").astype(np.int64)
-                for k in choices:
-                    key = (bits[:, choice[k]] << np.arange(key_bits)).sum(axis=1) | (k << key_bits)
-                    yield pa.RecordBatch.from_arrays([pa.array(key), *rows], names=["key", *kept])
-
-        return run
-
-    def proposed(nodes, choices, *kept):
-        nodes = nodes.where("size > 0")  # texts without words are one node
-        return nodes.select(*{c: 0 for c in (*kept, *cols)}).mapInArrow(meet(choices, kept), ", ".join(f"{c} long" for c in ("key", *kept)))
-
-    stars = checkpoint(_meet(proposed(distinct, range(max(1, keys // 16)), "node", *sent), compared, distance // 2))
-    parts = components(checkpoint(_similar(stars, distinct, df, shingle, least))).withColumnRenamed("node", "_node")
-    nodes = written(distinct.join(parts, F.col("node") == F.col("_node"), "left").drop("_node").withColumn("part", F.coalesce("root", "node")).drop("root"), "parts")
-    del stars, parts
-    _release(df.sparkSession)
-    kept = ("node", "part", "size", *sent)
-    lowest = nodes.select(F.explode("first").alias("key"), *kept).withColumn("key", F.col("key").bitwiseOR(F.lit(-(1 << 63)).cast("long")))
-    pairs = checkpoint(_across(proposed(nodes, range(keys), *kept).unionByName(lowest), compared, distance, least))
+    rep = F.min(F.struct("doc_id", "t"))
+    distinct = fps.groupBy("s0", "s1", "size", *cols).agg(rep.alias("one"), F.first("first").alias("first"), F.min("doc_id").alias("rep"))
+    distinct = written(distinct.withColumn("node", F.monotonically_increasing_id()), "shingle-sets")
+    nodes = distinct.where("size > 0")  # texts without words are one node
+    key_bits, keys = meeting_plan(nodes.count(), least, miss)
+    draw = np.random.default_rng(2)
+    choice = [np.sort(draw.permutation(64 * words)[:key_bits]) for _ in range(keys)]
+
+    def meet(batches):
+        for batch in batches:
+            rows = [batch.column(c) for c in ("node", *sent)]
+            bits = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in cols], axis=1)
+            bits = np.unpackbits(bits.view(np.uint8), axis=1, bitorder="little").astype(np.int64)
+            for k, at in enumerate(choice):
+                key = (bits[:, at] << np.arange(key_bits)).sum(axis=1) | (k << key_bits)
+                yield pa.RecordBatch.from_arrays([pa.array(key), *rows], names=["key", "node", *sent])
+
+    met = nodes.select("node", *cols).mapInArrow(meet, ", ".join(f"{c} long" for c in ("key", "node", *sent)))
+    lowest = nodes.select(F.explode("first").alias("key"), "node", *sent).withColumn("key", F.col("key").bitwiseOR(F.lit(-(1 << 63)).cast("long")))
+    loose = components(checkpoint(_dealt_meet(met.unionByName(lowest), compared, distance, CELL).distinct()))
     _release(df.sparkSession)
-    pairs = _similar(pairs, distinct, df, shingle, least)
-    a, b = nodes.select(F.col("node").alias("_a"), F.col("part").alias("_pa")), nodes.select(F.col("node").alias("_b"), F.col("part").alias("_pb"))
-    roots = components(checkpoint(pairs.join(a, F.col("u") == F.col("_a")).join(b, F.col("v") == F.col("_b")).select(F.col("_pa").alias("u"), F.col("_pb").alias("v"))))
+    roots = components(checkpoint(_similar(loose, nodes, df, shingle, least, part)))
 
-    named = nodes.join(roots.withColumnRenamed("node", "_node"), F.col("part") == F.col("_node"), "left").select("s0", "s1", "rep", F.coalesce("root", "part").alias("root"))
+    named = distinct.join(roots.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select("s0", "s1", "rep", F.coalesce("root", "node").alias("root"))
     smallest = checkpoint(named.groupBy("root").agg(F.min("rep").alias("component_id")))  # so that the join can split a large component
     classes = named.join(smallest, "root").select(F.col("s0").alias("_s0"), F.col("s1").alias("_s1"), "component_id")
     return fps.join(classes, (F.col("s0") == F.col("_s0")) & (F.col("s1") == F.col("_s1"))).select("doc_id", "component_id")
@@ -338,33 +328,81 @@ def _release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def _similar(pairs: DataFrame, nodes: DataFrame, df: DataFrame, shingle: int, least: float) -> DataFrame:
-    """Those of pairs (u, v) whose sets of shingles have a Jaccard of `least` or more. The sets of the nodes that occur
-    in pairs are made anew from their texts."""
+def alike(sets: list[np.ndarray], least: float) -> tuple[list[int], list[int]]:
+    """Edges (i, j) that connect just those of the sets (distinct hashes each) that chains of pairs with a Jaccard of
+    `least` or more connect. Pairs already joined aren't counted."""
+    n = len(sets)
+    size = np.fromiter(map(len, sets), np.int64, n)
+    end = np.cumsum(size)
+    begin = end - size
+    distinct, member = np.unique(np.concatenate(sets), return_inverse=True)
+    mark, label, a, b = np.zeros(len(distinct), bool), np.arange(n), [], []
+    for i in range(n - 1):
+        fit = np.minimum(size[i], size[i + 1 :]) >= (least - 1e-9) * np.maximum(size[i], size[i + 1 :])
+        at = i + 1 + np.flatnonzero(fit & (label[i + 1 :] != label[i]))
+        if not len(at):
+            continue
+        own = member[begin[i] : end[i]]
+        mark[own] = True
+        hit = mark[np.concatenate([member[begin[j] : end[j]] for j in at])]
+        both = np.add.reduceat(hit.astype(np.int64), np.cumsum(size[at]) - size[at])
+        mark[own] = False
+        for j in at[both >= (least - 1e-9) * (size[i] + size[at] - both)].tolist():
+            if label[j] != label[i]:
+                label[label == label[j]] = label[i]
+                a.append(i), b.append(j)
+    return a, b
+
+
+def _similar(loose: DataFrame, nodes: DataFrame, df: DataFrame, shingle: int, least: float, part: int) -> DataFrame:
+    """Edges (u, v) between the nodes of each component of loose (node, root) whose sets are alike, by whole sets, which
+    are made anew from the texts of the nodes' representatives."""
+    of = loose.withColumnRenamed("node", "_node")
+    need = nodes.join(of, F.col("node") == F.col("_node")).select("node", "root", F.greatest("size", F.lit(part // 1000)).alias("weight"), "one.*")
+    need = written(need, "loose")
+    large = need.groupBy("root").agg(F.sum("weight").alias("whole")).where(F.col("whole") > part).select(F.col("root").alias("_root"), F.ceil(F.col("whole") / part).cast("int").alias("parts"))
+    need = need.join(checkpoint(large), F.col("root") == F.col("_root"), "left")
+    number = F.when(F.col("parts").isNull(), F.array(F.lit(-1).cast("long"))).otherwise(_cells(F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"), F.col("parts")))
+    cells = F.transform(number, lambda c: F.xxhash64("root", c))
+    need = written(need.select(F.col("doc_id").alias("_id"), F.col("t").alias("_t"), "node", cells.alias("cells")), "cells")
 
     def sets(batches):
         for batch in batches:
-            found = [shingle_set(t.as_py(), shingle).view(np.int64) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["node", "hashes"])
-
-    need = pairs.select(F.explode(F.array("u", "v")).alias("_n")).distinct()
-    need = checkpoint(nodes.select("node", F.col("t").alias("_t")).join(need, F.col("node") == F.col("_n")).select("node", "_t"))
-    if need.count() <= BROADCAST_ROWS:
-        need = F.broadcast(need)
-    texts = df.select(F.xxhash64("text").alias("t"), "text").join(need, F.col("t") == F.col("_t")).select("node", "text")
-    made = texts.mapInArrow(sets, "node long, hashes array<long>").groupBy("node").agg(F.first("hashes").alias("hashes"))  # one of exact copies
-    made = written(made, "shingles")
-    a, b = made.select(F.col("node").alias("_a"), F.col("hashes").alias("x")), made.select(F.col("node").alias("_b"), F.col("hashes").alias("y"))
-    both = pairs.join(a, F.col("u") == F.col("_a")).join(b, F.col("v") == F.col("_b"))
-    both = both.select("u", "v", F.size(F.array_intersect("x", "y")).alias("both"), (F.size("x") + F.size("y")).alias("sum"))
-    return both.where(F.col("both") / (F.col("sum") - F.col("both")) >= F.lit(least)).select("u", "v")
+            for text, node, cells in zip(*(batch.column(k) for k in range(3))):
+                found, cells = shingle_set(text.as_py(), shingle).tobytes(), cells.as_py()
+                yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), pa.array([node.as_py()] * len(cells), pa.int64()), pa.array([found] * len(cells), pa.binary())], names=["cell", "node", "hashes"])
+
+    def judged(batches):
+        last, held = None, {}
+
+        def out():
+            ids = list(held)
+            u, v = alike([np.frombuffer(x, np.uint64) for x in held.values()], least)
+            return pa.RecordBatch.from_arrays([pa.array([ids[i] for i in u], pa.int64()), pa.array([ids[j] for j in v], pa.int64())], names=["u", "v"])
+
+        for batch in batches:
+            for cell, node, found in zip(*(batch.column(k) for k in range(3))):
+                cell = cell.as_py()
+                if cell != last and len(held) > 1:
+                    yield out()
+                if cell != last:
+                    last, held = cell, {}
+                held[node.as_py()] = found.as_py()  # a repeated row of one doc_id gives its set once more
+        if len(held) > 1:
+            yield out()
+
+    own = df.select("doc_id", F.xxhash64("text").alias("t"), "text")
+    on = own["doc_id"].eqNullSafe(need["_id"]) & (own["t"] == need["_t"])
+    texts = own.join(F.broadcast(need) if small(need, SIDE_BYTES) else need, on).select("text", "node", "cells")
+    made = texts.mapInArrow(sets, "cell long, node long, hashes binary")
+    return made.repartition("cell").sortWithinPartitions("cell").mapInArrow(judged, "u long, v long")
 
 
 def keep_one(df: DataFrame, **how) -> DataFrame:
-    """df, all columns, with the document of the smallest doc_id of each component of similar_documents (of rows that
-    repeat a doc_id, all that are that document stay)."""
-    found = similar_documents(df, **how).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    return df.join(found, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    """df, all columns whatever their names, with the document of the smallest doc_id of each component of
+    similar_documents (of rows that repeat a doc_id, all that are that document stay)."""
+    found = similar_documents(df, **how).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
+    return beside(df, found.select(F.col("doc_id").alias("id")), lambda left, right: left["id"].eqNullSafe(right["id"]), "left_semi", id=F.col("doc_id"))
 
 
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
