@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 
 from .base import table
 
-#: Lines a window spans, and the sum of text lengths above which a window counts as a surge on pages that do not mark
-#: their article.
-WINDOW, SURGE = 3, 80
+#: Lines a window spans; the part of a page's typical line that a window must reach to surge; on pages that mark their
+#: article, what a character outside it counts.
+WINDOW, SURGE, NEUTRAL = 3, 0.5, 0.0005
 BLANKS = WINDOW + 1
+BLANK = ("", 0, 0, False, False)
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*>?"
@@ -72,24 +73,26 @@ def _boiler(tag: str, attrs: str, in_content: bool) -> bool:
     return bool(found) and not (names & _CONTENT_NAMES and found <= {"header", "side", "body"})
 
 
-def lines(page: str) -> list[tuple[str, int, int, bool]]:
-    """The page without markup as lines (text, characters inside links, container: 0 none, 1 main, 2 article, heading?).
+def lines(page: str) -> list[tuple[str, int, int, bool, bool]]:
+    """The page without markup as lines (text, characters inside links, container: 0 none, 1 main, 2 article, heading?,
+    begun by a start tag?).
 
     Every block is a line; a boundary of blocks adds an empty line, a part of page furniture BLANKS of them."""
-    out: list[tuple[str, int, int, bool]] = []
+    out: list[tuple[str, int, int, bool, bool]] = []
     stack: list[tuple[str, bool, int]] = []  # open element, furniture?, container
     opened: Counter[str] = Counter()
     parts: list[str] = []
     links = 0
     anchor = 0
     boiler = 0
+    own = False
 
     def flush() -> None:
         nonlocal links
         if parts:
             text = " ".join(html_lib.unescape("".join(parts)).split())
             if text:
-                out.append((text, min(links, len(text)), stack[-1][2] if stack else 0, any(x[0] in _HEADINGS for x in stack[-3:])))
+                out.append((text, min(links, len(text)), stack[-1][2] if stack else 0, any(x[0] in _HEADINGS for x in stack[-3:]), own))
             parts.clear()
         links = 0
 
@@ -101,7 +104,7 @@ def lines(page: str) -> list[tuple[str, int, int, bool]]:
             if bad:
                 boiler -= 1
                 if not boiler:
-                    out.extend([("", 0, 0, False)] * BLANKS)
+                    out.extend([BLANK] * BLANKS)
 
     at, endless = 0, set()
     while m := _TOKEN.search(page, at):
@@ -142,7 +145,8 @@ def lines(page: str) -> list[tuple[str, int, int, bool]]:
                 if not block and stack[k][0] in _BLOCK:
                     break
             if block:
-                out.append(("", 0, 0, False))
+                out.append(BLANK)
+                own = False
             continue
         if tag == "br":
             parts.append(" ")
@@ -159,7 +163,8 @@ def lines(page: str) -> list[tuple[str, int, int, bool]]:
                 close(k)
             if tag in _SINGLE and stack and stack[-1][0] == tag:
                 close(len(stack) - 1)
-            out.append(("", 0, 0, False))
+            out.append(BLANK)
+            own = True
             held = stack[-1][2] if stack else 0
         elif tag == "a":
             anchor = 1
@@ -169,7 +174,7 @@ def lines(page: str) -> list[tuple[str, int, int, bool]]:
         if block or bad:
             if bad and not boiler:
                 flush()
-                out.extend([("", 0, 0, False)] * BLANKS)
+                out.extend([BLANK] * BLANKS)
             boiler += bad
             role = 2 if tag == "article" else 1 if tag == "main" or re.search(r"\brole\s*=\s*[\"']?main\b", m["attr"], re.I) else 0
             if re.search(r"\bitemprop\s*=\s*[\"']?articleBody\b", m["attr"], re.I):
@@ -180,46 +185,81 @@ def lines(page: str) -> list[tuple[str, int, int, bool]]:
     return out
 
 
-def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
+def thresholds(lengths: list[int]) -> float:
+    """The surge of a page: SURGE of the length that half of its text reaches or exceeds line by line."""
+    half, held = sum(lengths) / 2, 0
+    for n in sorted(lengths, reverse=True):
+        held += n
+        if held >= half:
+            return SURGE * n
+    return 0.0
+
+
+def weighted(found: list[tuple]) -> tuple[list[float], bool]:
+    """What each line counts, and whether names part content from the rest.
+
+    Names only weigh: furniture counts nothing (its lines are empty); where lines inside an article or main part hold
+    half of the text or more, those outside count NEUTRAL of their length; characters of links count outside the article
+    not at all."""
+    marked = 2 * sum(len(x[0]) for x in found if x[2]) >= sum(len(t) for t, *_ in found) > 0
+    if marked:
+        return [float(len(t)) if c else NEUTRAL * max(len(t) - a, 0) for t, a, c, *_ in found], True
+    return [float(max(len(t) - a, 0)) for t, a, *_ in found], False
+
+
+def stretch(found: list[tuple], window: int = WINDOW) -> list[int]:
+    """The lines of the main text, in order: from where sums over windows of lines surge to where they dive."""
+    value, marked = weighted(found)
+    surge = thresholds([len(t) for t, *_ in found if t])
+    sums, run = [], 0.0
+    for i in range(len(value)):
+        run = sum(value[max(0, i - window + 1) : i + 1])
+        sums.append(run)  # of the window that ends at line i
+    high = [i for i, s in enumerate(sums) if s >= surge > 0]
+    if not high:
+        high = [max(range(len(sums)), key=sums.__getitem__)] if any(t for t, *_ in found) else []
+    if not high:
+        return []
+    first, last = max(0, high[0] - window + 1), high[-1]
+    while not value[first] and first < last:
+        first += 1
+    while not found[last][0] and last > first:
+        last -= 1
+    text = [i for i, x in enumerate(found) if x[0]]
+    before, after = [i for i in text if i < first], [i for i in text if i > last]
+    if marked:  # dives where lines count less than one character of the article
+        while before and value[before[-1]] >= 1:
+            first = before.pop()
+        while after and value[after[0]] >= 1:
+            last = after.pop(0)
+        return [i for i in text if first <= i <= last and value[i] >= 1]
+    # what runs up to the first window without a gap, from its last heading on; headings directly before
+    k, edge = len(before), first
+    while k and edge - before[k - 1] <= window:
+        k -= 1
+        edge = before[k]
+        if found[edge][3]:
+            first = edge
+            break
+    while first and (not found[first - 1][0] or found[first - 1][3]):
+        first -= 1
+    # lines after the last window that begin with their own block, up to the next gap
+    while after and after[0] - last <= window and found[after[0]][4]:
+        last = after.pop(0)
+    return [i for i in text if first <= i <= last]
+
+
+def main_text(page: str | None, window: int = WINDOW) -> str:
     """The article of a page: its blocks in page order, joined by two line feeds; "" for null, empty or text-free pages.
 
-    Lines outside the article (or main part), if the page marks one, have length 0, and so have links outside it. The
-    sum over a window of lines surges where text begins and dives to 0 where it ends. On a page that marks its article
-    every stretch between surge and dive is kept whole. Else a stretch surges if one of its windows sums to more than
-    `surge` and most of it isn't links (if there is none, the longest does); all from the first to the last that surges
-    is kept, and headings directly before."""
+    Lengths of lines, weighed by what elements and names say (weighted), are summed over sliding windows. Text surges
+    with the first window that reaches the page's threshold (thresholds) and dives after the last; all between is kept,
+    with the headings before. Where names mark the article, it dives only where lines count next to nothing. A page on
+    which no window surges keeps its highest window. Links count only inside the article."""
     if not page:
         return ""
     found = lines(page)
-    level = max((c for t, _, c, _ in found if t), default=0)
-    lengths = [(len(t) if level else max(len(t) - a, 0) or (1 if t else 0)) if c >= level else 0 for t, a, c, _ in found]
-    sums, run = [], 0
-    for i in range(len(lengths)):
-        run += lengths[i] - (lengths[i - window] if i >= window else 0)
-        sums.append(run)  # of the window that ends at line i
-    stretches: list[tuple[int, int, int, int]] = []  # first and last line, largest window, sum
-    first = None
-    for i, s in enumerate([*sums, 0]):
-        if s and first is None:
-            first = i
-        elif not s and first is not None:
-            stretches.append((first, i, max(sums[first:i]), sum(lengths[first:i])))
-            first = None
-    if not stretches:
-        return ""
-    if level:
-        kept = stretches
-    else:
-        def linked(x) -> bool:
-            whole = sum(len(t) for t, *_ in found[x[0] : x[1]])
-            return 2 * sum(a for _, a, *_ in found[x[0] : x[1]]) > whole
-
-        surging = [k for k, x in enumerate(stretches) if x[2] > surge and not linked(x)] or [max(range(len(stretches)), key=lambda k: stretches[k][3])]
-        first = stretches[surging[0]][0]
-        while first and (not found[first - 1][0] or found[first - 1][3]):
-            first -= 1
-        kept = [(first, stretches[surging[-1]][1])]
-    return "\n\n".join(found[i][0] for a, b, *_ in kept for i in range(a, b) if lengths[i])
+    return "\n\n".join(found[i][0] for i in stretch(found, window))
 
 
 def extract(pages: DataFrame, columns: tuple[str, ...] = ("page_id", "url"), html_column: str = "html") -> DataFrame:
