@@ -13,6 +13,8 @@ from .base import table
 #: writes bytes (printable ones stand for themselves, the others follow from code point 256 on).
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 PRINTABLE = (*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100))
+#: Runs of what the vocabulary's patterns take for white space.
+WHITE = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 #: Characters for which the vocabulary's normaliser (canonical composition, white space to one space, lower case) and
 #: Python's own lower() and split() agree code point by code point.
 PLAIN = r"[\t-\r\x20-\x7e\xa1-\xac\xae-\xff‐-‧‰-⁞€]*"
@@ -32,9 +34,10 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 class PieceCounter:
     """Counts the ids that a word-end BPE vocabulary gives for texts, without making the ids of texts.
 
-    A text is cut at white space, which no pre-token spans; each distinct run is cut to pre-tokens once, the pieces of
-    each distinct pre-token are counted once, and a text's count is the sum of frequency times pieces. Texts that hold a special string, or characters outside PLAIN for which normalising might
-    move code points, go to the library whole: rare, and exact by definition.
+    A text is cut at the vocabulary's special strings, which count one each, and at white space, which no pre-token
+    spans and across which normalising moves nothing. Each distinct run is normalised and cut to pre-tokens once, the
+    pieces of each distinct pre-token are counted once, and a text's count is the sum of frequency times pieces. Runs of
+    PLAIN characters are normalised by Python, all others by the vocabulary's own normaliser and pre-tokeniser.
     """
 
     def __init__(self, path: str):
@@ -42,48 +45,63 @@ class PieceCounter:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        if any(not t.special or t.normalized or t.lstrip or t.rstrip or t.single_word for t in added):
+            raise ValueError(f"{path}: added tokens that take in what is around them are not supported")
+        special = sorted((t.content for t in added), key=len, reverse=True)
+        self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
         self.plain = regex.compile(PLAIN).fullmatch
+        self.white = regex.compile(WHITE).split
         self.find = regex.compile(PRE_TOKEN).findall
         others = [b for b in range(256) if b not in set(PRINTABLE)]
         self.alphabet = str.maketrans({b: chr(256 + k) for k, b in enumerate(others)})
         self.runs: dict[str, int] = {}
+        self.others: dict[str, int] = {}
         self.pieces: dict[str, int] = {}
 
     def _pieces(self, token: str) -> int:
+        """token: written in the byte-level alphabet."""
         n = self.pieces.get(token)
         if n is None:
-            n = self.pieces[token] = len(self.tokenizer.model.tokenize(token.encode().decode("latin-1").translate(self.alphabet)))
+            n = self.pieces[token] = len(self.tokenizer.model.tokenize(token))
         return n
 
+    def _run(self, run: str) -> int:
+        return sum(self._pieces(t.encode().decode("latin-1").translate(self.alphabet)) for t in self.find(run))
+
+    def _other(self, run: str) -> int:
+        t = self.tokenizer
+        return sum(self._pieces(x) for x, _ in t.pre_tokenizer.pre_tokenize_str(t.normalizer.normalize_str(run)))
+
     def count(self, texts: list[str | None]) -> list[int]:
-        tables: list[Counter | int] = []
-        new: set[str] = set()
+        tables: list[tuple[int, Counter, Counter]] = []
         for text in texts:
-            if not text:
-                tables.append(0)
-            elif not self.plain(text) or any(s in text for s in self.special):
-                tables.append(len(self.tokenizer.encode(text, add_special_tokens=False).ids))
-            else:
-                frequency = Counter(text.lower().split())
-                new.update([w for w in frequency if w not in self.runs])
-                tables.append(frequency)
-        if len(self.runs) + len(new) > KEPT_PRE_TOKENS:
-            self.runs.clear(), self.pieces.clear()
-            new = {k for x in tables if isinstance(x, Counter) for k in x}
-        for w in new:
-            self.runs[w] = sum(map(self._pieces, self.find(w)))
-        runs = self.runs
-        return [x if isinstance(x, int) else sum([n * runs[w] for w, n in x.items()]) for x in tables]
+            parts = self.special.split(text or "") if self.special else [text or ""]
+            low, other = Counter(), Counter()
+            for part in parts:
+                if self.plain(part):
+                    low.update(part.lower().split())
+                    continue
+                for run, n in Counter(self.white(part)).items():
+                    if self.plain(run):
+                        low[run.lower()] += n if run else 0
+                    else:
+                        other[run] += n
+            tables.append((len(parts) - 1, low, other))
+        if len(self.runs) + len(self.others) > KEPT_PRE_TOKENS:
+            self.runs.clear(), self.others.clear(), self.pieces.clear()
+        for k, (held, make) in enumerate(((self.runs, self._run), (self.others, self._other)), 1):
+            for run in {r for x in tables for r in x[k] if r not in held}:
+                held[run] = make(run)
+        return [special + sum([n * self.runs[r] for r, n in low.items()]) + sum([n * self.others[r] for r, n in other.items()]) for special, low, other in tables]
 
 
 def token_counts(df: DataFrame, path: str | None = None, id_column: str = "doc_id", text_column: str = "text", limit: int = 2048) -> DataFrame:
     """One row for each row of df: the id, n_bytes (UTF-8), n_tokens and over_limit (n_tokens > limit).
 
-    Null texts count as empty: 0 bytes, 0 tokens. Repeated rows give repeated rows. Other columns are not read. Narrow:
-    no shuffle; a task holds one batch of texts and a bounded store of piece counts.
+    Null texts count as empty: 0 bytes, 0 tokens. Repeated rows give repeated rows, an empty table none. Other columns
+    are not read. Narrow: no shuffle; a task holds one batch of texts, or one very long text, and a bounded store of
+    piece counts.
     """
     path = path or vocabulary_path()
 
