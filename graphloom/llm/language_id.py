@@ -2,22 +2,18 @@
 
 from __future__ import annotations
 
-from collections import Counter
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .base import table
 
-#: Bounds of what a fit reads: documents of each language, distinct words of each language, languages.
-TRAIN_DOCUMENTS, TRAIN_WORDS, LANGUAGES = 400, 8000, 64
-#: Longer letter runs are cut into pieces of so many bytes; each piece is one sequence.
-PIECE = 40
-WORD = r"\p{L}[\p{L}\p{M}]*"
-#: Distinct words whose pooled labels one task keeps; beyond it the store is emptied and filled anew.
-KEPT_WORDS = 300_000
+#: Bound of what a fit reads: labelled documents of each language (all languages, whole texts).
+TRAIN_DOCUMENTS = 100
+#: A text's bytes go through the network in windows of CORE bytes that are labelled, with EDGE more on either side from
+#: which the states of both directions come, so that a cut does not show.
+CORE, EDGE = 224, 16
 UNKNOWN = "und"
 
 
@@ -26,234 +22,210 @@ def held_out(key: Column) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def _gates(x):
-    return 1 / (1 + np.exp(-x))
+def windows(text: bytes, core: int = CORE, edge: int = EDGE) -> list[tuple[int, int, int]]:
+    """(start, end, labelled from) of the windows of a text, which label each byte once."""
+    n = len(text)
+    return [(max(0, k - edge), min(n, k + core + edge), min(k, edge)) for k in range(0, n, core)]
 
 
 class ByteGRU:
-    """Bytes of a word, marked at both ends, to a label distribution at every byte."""
+    """Bytes of a text to a label distribution at every byte: a gated recurrent network in both directions.
+
+    Arrays have time first and sequences last. A sequence that is shorter than its batch is padded; the backward state
+    is held at zero there. In a cell z and r are gates of the byte and the state h, n = tanh(byte + r * (U h)) and
+    h becomes h + z * (n - h)."""
 
-    def __init__(self, classes: int, embed: int = 12, hidden: int = 16, seed: int = 7):
+    def __init__(self, classes: int, embed: int = 12, hidden: int = 12, seed: int = 7):
         r = np.random.default_rng(seed)
 
         def w(*shape, scale):
             return (r.standard_normal(shape) * scale).astype(np.float32)
 
         self.hidden, self.classes = hidden, classes
-        self.p = {"E": w(256, embed, scale=0.3), "V": w(2 * hidden, classes, scale=0.2), "c": np.zeros(classes, np.float32)}
+        self.p = {"E": w(256, embed, scale=0.3), "V": w(classes, 2 * hidden, scale=0.2), "c": np.zeros((classes, 1), np.float32)}
         for d in "fb":
-            self.p |= {"W" + d: w(embed, 3 * hidden, scale=0.3), "U" + d: w(hidden, 3 * hidden, scale=0.25), "b" + d: np.zeros(3 * hidden, np.float32)}
+            self.p |= {"W" + d: w(embed, 3 * hidden, scale=0.3), "U" + d: w(3 * hidden, hidden, scale=0.25), "b" + d: np.zeros(3 * hidden, np.float32)}
 
     @staticmethod
-    def padded(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Bytes (time, word) and a mask; sequences are left-aligned."""
-        lens = np.fromiter(map(len, words), np.int64, len(words))
-        x = np.zeros((int(lens.max(initial=1)), len(words)), np.int64)
-        rows = np.repeat(np.arange(len(words)), lens)
-        x[np.arange(lens.sum()) - np.repeat(np.cumsum(lens) - lens, lens), rows] = np.frombuffer(b"".join(words), np.uint8)
-        return x, (np.arange(len(x))[:, None] < lens).astype(np.float32)
-
-    def _run(self, x, mask, d, keep=False):
-        """Hidden states in time order. Beyond a sequence's end the state stays, so the backward run starts at the end."""
+    def batch(data: np.ndarray, start: np.ndarray, lens: np.ndarray) -> np.ndarray:
+        """Bytes (time, sequence) of the sequences of data that begin at start; what lies beyond an end is 0."""
+        at = np.arange(int(lens.max(initial=1)))[:, None]
+        return np.where(at < lens, data[np.minimum(start + at, len(data) - 1)], 0).astype(np.uint8)
+
+    def _run(self, x: np.ndarray, lens: np.ndarray, d: str, keep: bool = False):
+        """Hidden states (time, state, sequence)."""
         p, H = self.p, self.hidden
         T, B = x.shape
-        table = p["E"] @ p["W" + d] + p["b" + d]  # the input part of the gates, one row a byte value
-        U, h = p["U" + d], np.zeros((B, H), np.float32)
-        out, saved = np.empty((T, B, H), np.float32), {}
+        table = np.ascontiguousarray((p["E"] @ p["W" + d] + p["b" + d]).T)  # the byte's part of the gates
+        U, h, least = p["U" + d], np.zeros((H, B), np.float32), int(lens.min(initial=T))
+        out, saved = np.empty((T, H, B), np.float32), {}
         for t in range(T) if d == "f" else range(T - 1, -1, -1):
-            a, m = table[x[t]], mask[t][:, None]
-            zr = _gates(a[:, : 2 * H] + h @ U[:, : 2 * H])
-            z, r = zr[:, :H], zr[:, H:]
-            n = np.tanh(a[:, 2 * H :] + (r * h) @ U[:, 2 * H :])
-            new = h + m * z * (n - h)
+            a, s = table.take(x[t], axis=1), U @ h
+            zr = a[: 2 * H]
+            zr += s[: 2 * H]
+            np.negative(zr, out=zr)
+            np.exp(zr, out=zr)
+            zr += 1
+            np.reciprocal(zr, out=zr)
+            z, r, sn = zr[:H], zr[H:], s[2 * H :]
+            n = r * sn
+            n += a[2 * H :]
+            np.tanh(n, out=n)
             if keep:
-                saved[t] = (h, z, r, n, m)
+                saved[t] = (h, z, r, n, sn)
+            new = n - h
+            new *= z
+            new += h
+            if d == "b" and t >= least:
+                new *= t < lens
             out[t] = h = new
         return (out, saved) if keep else out
 
-    def probabilities(self, x, mask):
-        h = np.concatenate((self._run(x, mask, "f"), self._run(x, mask, "b")), axis=2)
-        s = h @ self.p["V"] + self.p["c"]
-        s = np.exp(s - s.max(axis=2, keepdims=True))
-        return s / s.sum(axis=2, keepdims=True)
-
-    def gradients(self, x, mask, y, weight):
-        """Cross-entropy of every position's label, by word weight, and its gradients through time."""
+    def probabilities(self, x: np.ndarray, lens: np.ndarray) -> np.ndarray:
+        """(time, class, sequence)."""
+        h = np.concatenate((self._run(x, lens, "f"), self._run(x, lens, "b")), axis=1)
+        s = self.p["V"] @ h
+        s += self.p["c"]
+        s -= s.max(axis=1, keepdims=True)
+        np.exp(s, out=s)
+        s /= s.sum(axis=1, keepdims=True)
+        return s
+
+    def gradients(self, x: np.ndarray, lens: np.ndarray, y: np.ndarray, weight: np.ndarray):
+        """Cross-entropy of every position's label, by sequence weight, and its gradients through time."""
         p, H = self.p, self.hidden
         T, B = x.shape
-        runs = {d: self._run(x, mask, d, keep=True) for d in "fb"}
-        h = np.concatenate((runs["f"][0], runs["b"][0]), axis=2)
-        s = h @ p["V"] + p["c"]
-        s = np.exp(s - s.max(axis=2, keepdims=True))
-        s /= s.sum(axis=2, keepdims=True)
-        scale = mask * weight / max(float((mask * weight).sum()), 1e-9)
-        loss = float(-(np.log(s[:, np.arange(B), y] + 1e-9) * scale).sum())
+        runs = {d: self._run(x, lens, d, keep=True) for d in "fb"}
+        h = np.concatenate((runs["f"][0], runs["b"][0]), axis=1)
+        s = p["V"] @ h + p["c"]
+        s = np.exp(s - s.max(axis=1, keepdims=True))
+        s /= s.sum(axis=1, keepdims=True)
+        scale = (np.arange(T)[:, None] < lens) * weight
+        scale = (scale / max(float(scale.sum()), 1e-9)).astype(np.float32)
+        loss = float(-(np.log(s[:, y, np.arange(B)] + 1e-9) * scale).sum())
         ds = s
-        ds[:, np.arange(B), y] -= 1
-        ds *= scale[:, :, None]
-        g = {k: np.zeros_like(v) for k, v in p.items()}
-        g["V"] = h.reshape(-1, 2 * H).T @ ds.reshape(-1, self.classes)
-        g["c"] = ds.sum(axis=(0, 1))
-        dh_all = ds @ p["V"].T
+        ds[:, y, np.arange(B)] -= 1
+        ds *= scale[:, None]
+        g = {"V": np.einsum("tlb,thb->lh", ds, h, optimize=True), "c": ds.sum(axis=(0, 2))[:, None], "E": np.zeros_like(p["E"])}
+        dh_all = p["V"].T @ ds
+        order = np.argsort(x, axis=None, kind="stable")
+        found, first = np.unique(x.ravel()[order], return_index=True)
         for d, part in (("f", slice(0, H)), ("b", slice(H, 2 * H))):
-            saved, U, W = runs[d][1], p["U" + d], p["W" + d]
-            carry = np.zeros((B, H), np.float32)
-            by_byte = np.zeros((256, 3 * H), np.float32)
+            saved, U = runs[d][1], p["U" + d]
+            gU, carry, da = np.zeros_like(U), np.zeros((H, B), np.float32), np.empty((T, B, 3 * H), np.float32)
             for t in range(T - 1, -1, -1) if d == "f" else range(T):
-                hp, z, r, n, m = saved[t]
-                dh = dh_all[t, :, part] + carry
-                dz, dn = dh * m * (n - hp) * z * (1 - z), dh * m * z * (1 - n * n)
-                drh = dn @ U[:, 2 * H :].T
-                dr = drh * hp * r * (1 - r)
-                dzr = np.concatenate((dz, dr), axis=1)
-                g["U" + d][:, : 2 * H] += hp.T @ dzr
-                g["U" + d][:, 2 * H :] += (r * hp).T @ dn
-                carry = dh * (1 - m * z) + drh * r + dzr @ U[:, : 2 * H].T
-                da = np.concatenate((dzr, dn), axis=1)
-                np.add.at(by_byte, x[t], da)
-            g["b" + d] = by_byte.sum(axis=0)
-            g["W" + d] = p["E"].T @ by_byte
-            g["E"] += by_byte @ W.T
+                hp, z, r, n, sn = saved[t]
+                dh = dh_all[t, part] + carry
+                if d == "b":
+                    dh = dh * (t < lens)
+                dz, dn = dh * (n - hp) * z * (1 - z), dh * z * (1 - n * n)
+                dr = dn * sn * r * (1 - r)
+                back = np.concatenate((dz, dr, dn * r))
+                gU += back @ hp.T
+                carry = dh * (1 - z) + U.T @ back
+                da[t] = np.concatenate((dz, dr, dn)).T
+            by_byte = np.zeros((256, 3 * H), np.float32)
+            by_byte[found] = np.add.reduceat(da.reshape(T * B, 3 * H)[order], first, axis=0)
+            g |= {"U" + d: gU, "b" + d: by_byte.sum(axis=0), "W" + d: p["E"].T @ by_byte}
+            g["E"] += by_byte @ p["W" + d].T
         return loss, g
 
-    def fit(self, words: list[bytes], y: np.ndarray, weight: np.ndarray, epochs: int = 5, batch: int = 256, rate: float = 0.01, seed: int = 11, least_steps: int = 300) -> float:
-        """Adam over batches of words of like length; few words are gone through more often, for `least_steps` steps."""
+    def fit(self, texts: list[bytes], y: np.ndarray, span: int = 64, epochs: int = 2, batch: int = 256, rate: float = 0.02, seed: int = 11, least_steps: int = 240) -> float:
+        """Adam over batches of runs of `span` bytes of the texts, classes alike; little text is gone through more often,
+        for `least_steps` steps."""
         r = np.random.default_rng(seed)
-        lens = np.fromiter(map(len, words), np.int64, len(words))
+        data = np.frombuffer(b"".join(texts), np.uint8)
+        at = np.cumsum([0, *map(len, texts)])
+        start = np.concatenate([np.arange(a, b, span) for a, b in zip(at, at[1:])])
+        of = np.repeat(np.arange(len(texts)), [-(-len(t) // span) for t in texts])
+        lens, label = np.minimum(span, at[of + 1] - start), y[of]
+        weight = (1 / np.maximum(np.bincount(label, lens, self.classes), 1))[label]
         m1, m2, step, loss = {k: 0 for k in self.p}, {k: 0 for k in self.p}, 0, 0.0
-        parts = -(-len(words) // batch)
-        epochs = max(epochs, -(-least_steps // max(1, parts)))
-        total = max(1, epochs * parts)
-        for _ in range(epochs):
-            order = np.argsort(lens + r.random(len(words)), kind="stable")  # words of one length go together
-            parts = [order[k : k + batch] for k in range(0, len(order), batch)]
-            for k in r.permutation(len(parts)):
-                ids = parts[k]
-                x, mask = self.padded([words[i] for i in ids])
-                loss, g = self.gradients(x, mask, y[ids], weight[ids].astype(np.float32))
+        parts = -(-len(start) // batch)
+        total = max(epochs * parts, least_steps) if len(start) else 0
+        while step < total:
+            order = r.permutation(len(start))
+            for k in range(0, len(order), batch):
+                ids = order[k : k + batch]
+                loss, g = self.gradients(self.batch(data, start[ids], lens[ids]), lens[ids], label[ids], weight[ids])
                 step += 1
-                eta = rate * (1 - 0.9 * step / total)
+                eta = rate * (1 - 0.95 * min(1.0, step / total))
                 norm = max(1.0, np.sqrt(sum(float((v * v).sum()) for v in g.values())))
                 for k2, v in g.items():
                     v = v / norm
                     m1[k2] = 0.9 * m1[k2] + 0.1 * v
                     m2[k2] = 0.999 * m2[k2] + 0.001 * v * v
                     self.p[k2] -= (eta * (m1[k2] / (1 - 0.9**step)) / (np.sqrt(m2[k2] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
+                if step >= total:
+                    break
         return loss
 
-    def pooled(self, words: list[bytes], batch: int = 4096) -> np.ndarray:
-        """For each word the sum over its positions of the label probabilities."""
-        out = np.empty((len(words), self.classes), np.float64)
-        order = sorted(range(len(words)), key=lambda i: len(words[i]))
+    def pooled(self, texts: list[bytes], batch: int = 1024, core: int = CORE, edge: int = EDGE) -> np.ndarray:
+        """For each text the sum over all its bytes of the label probabilities."""
+        out = np.zeros((len(texts), self.classes))
+        cut = [windows(t, core, edge) for t in texts]
+        at = np.cumsum([0, *map(len, texts)])
+        of = np.repeat(np.arange(len(texts)), list(map(len, cut)))
+        if not len(of):
+            return out
+        rows = np.array([w for c in cut for w in c], np.int64)
+        start, lens, lead = rows[:, 0] + at[of], rows[:, 1] - rows[:, 0], rows[:, 2]
+        data = np.frombuffer(b"".join(texts), np.uint8)
+        order = np.argsort(lens, kind="stable")  # like lengths go together
         for k in range(0, len(order), batch):
             ids = order[k : k + batch]
-            x, mask = self.padded([words[i] for i in ids])
-            out[ids] = (self.probabilities(x, mask) * mask[:, :, None]).sum(axis=0)
+            p = self.probabilities(self.batch(data, start[ids], lens[ids]), lens[ids])
+            t = np.arange(len(p))[:, None]
+            held = (t >= lead[ids]) & (t < np.minimum(lead[ids] + core, lens[ids]))
+            np.add.at(out, of[ids], np.einsum("tlb,tb->bl", p, held.astype(np.float32)))
         return out
 
 
-def pieces(word: str) -> list[bytes]:
-    """The byte sequences of a letter run: lower case, marked at both ends, cut at PIECE bytes."""
-    b = b" " + word.lower().encode("utf-8", "ignore") + b" "
-    return [b] if len(b) <= PIECE else [b[i : i + PIECE] for i in range(0, len(b), PIECE)]
-
-
 class LanguageModel:
     """Learned languages and their network; labels whole texts."""
 
     def __init__(self, languages: list[str], net: ByteGRU):
         self.languages, self.net = languages, net
-        self.known: dict[str, int] = {}
-        self.sums = np.empty((0, len(languages)))
-
-    def __getstate__(self):
-        return {"languages": self.languages, "net": self.net}
-
-    def __setstate__(self, state):
-        self.__init__(**state)
-
-    def _learn(self, words: list[str]) -> None:
-        cut = [pieces(w) for w in words]
-        flat = self.net.pooled([p for c in cut for p in c])
-        at = np.cumsum([0] + [len(c) for c in cut])[:-1]
-        rows = np.add.reduceat(flat, at) if len(flat) else flat
-        self.known.update(zip(words, range(len(self.sums), len(self.sums) + len(words))))
-        self.sums = np.concatenate((self.sums, rows))
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         import regex
 
-        find = regex.compile(WORD).findall
-        counts = [Counter(find(t)) if t else Counter() for t in texts]
-        new = {w for c in counts for w in c if w not in self.known}
-        if len(self.known) + len(new) > KEPT_WORDS:
-            self.known, self.sums = {}, self.sums[:0]
-            new = {w for c in counts for w in c}
-        if new and self.languages:
-            self._learn(sorted(new))
-        names, scores = [], []
-        for c in counts:
-            if not c or not self.languages:
-                names.append(UNKNOWN), scores.append(0.0)
-                continue
-            s = np.fromiter(c.values(), np.float64, len(c)) @ self.sums[[self.known[w] for w in c]]
-            s /= s.sum()
+        letter = regex.compile(r"\p{L}").search
+        names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
+        known = [i for i, t in enumerate(texts) if t and letter(t)] if self.languages else []
+        sums = self.net.pooled([texts[i].encode("utf-8", "ignore") for i in known])
+        for i, s in zip(known, sums):
             k = int(s.argmax())
-            names.append(self.languages[k]), scores.append(min(1.0, float(s[k])))
+            names[i], scores[i] = self.languages[k], min(1.0, float(s[k] / s.sum()))
         return names, scores
 
 
-def fit(labelled: DataFrame, documents: int = TRAIN_DOCUMENTS, words: int = TRAIN_WORDS) -> LanguageModel:
-    """Fit on labelled (doc_id, text, lang). Bounded: of each language the `documents` documents with the lowest hash of
-    doc_id, of their whole texts the `words` most frequent distinct words; at most LANGUAGES languages (most frequent
-    first). Rows without lang or text aren't read. Words weigh by frequency, each language alike."""
-    spark = labelled.sparkSession
-    light = labelled.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "lang")
-    by_lang = light.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    languages = sorted(r["lang"] for r in by_lang)
-    chosen: list[int] = []
-    for lang in languages:
-        top = light.where(F.col("lang") == lang).orderBy(F.xxhash64("doc_id"), "doc_id").limit(documents)
-        chosen += [r[0] for r in top.select("doc_id").collect()]
-    if not chosen:
+def fit(labelled: DataFrame, documents: int = TRAIN_DOCUMENTS) -> LanguageModel:
+    """Fit on labelled (doc_id, text, lang). Bounded: of each language, however many there are, the `documents` documents
+    with the lowest hash of doc_id, with their whole texts. Rows without lang, doc_id or text aren't read. Each language
+    weighs alike. No such row: a model that knows no language."""
+    have = labelled.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull())
+    have = have.select("lang", F.xxhash64("doc_id").alias("h"), F.xxhash64("doc_id", "text").alias("t"), "text")
+    order = Window.partitionBy("lang").orderBy("h", "t")
+    ids = have.select("lang", "h", "t").withColumn("k", F.row_number().over(order)).where(F.col("k") <= documents)
+    ids = ids.groupBy("lang", "h", "t").agg(F.min("k").alias("k"))  # repeated rows count once
+    rows = sorted({(r["lang"], r["k"], r["text"]) for r in have.join(F.broadcast(ids), ["lang", "h", "t"]).collect()})
+    languages = sorted({r[0] for r in rows})
+    texts = [(languages.index(lang), text.encode("utf-8", "ignore")) for lang, _, text in rows if text]
+    if not texts:
         return LanguageModel([], ByteGRU(1))
-    picked = labelled.where(F.col("lang").isin(languages) & F.col("doc_id").isin(sorted(set(chosen)))).select("lang", "text")
-
-    def found(batches):
-        import regex
-
-        find = regex.compile(WORD).findall
-        for batch in batches:
-            c: Counter = Counter()
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for w, n in Counter(find((text or "").lower())).items():
-                    c[lang, w] += n
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in c], pa.string()), pa.array([k[1] for k in c], pa.string()), pa.array(list(c.values()), pa.int64())], names=["lang", "word", "n"])
-
-    counted = picked.mapInArrow(found, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    rows = []
-    for lang in languages:
-        rows += counted.where(F.col("lang") == lang).orderBy(F.desc("n"), "word").limit(words).collect()
-    seq, y, weight = [], [], []
-    of = {lang: k for k, lang in enumerate(languages)}
-    total = Counter()
-    for r in rows:
-        total[r["lang"]] += r["n"]
-    for r in rows:
-        for p in pieces(r["word"]):
-            seq.append(p), y.append(of[r["lang"]]), weight.append((r["n"] / total[r["lang"]]) ** 0.75)
     net = ByteGRU(len(languages))
-    if seq:
-        net.fit(seq, np.array(y), np.array(weight))
-    return LanguageModel(languages if seq else [], net)
+    net.fit([t for _, t in texts], np.array([k for k, _ in texts]))
+    return LanguageModel(languages, net)
 
 
 def identify(df: DataFrame, model: LanguageModel, id_columns: tuple[str, ...] = ("doc_id",), text_column: str = "text") -> DataFrame:
     """id columns, lang_pred and score for every row of df, from the whole text alone.
 
-    The network labels every byte of every letter run; a document's distribution is the mean over its positions, score
-    the winner's share. Null texts and texts without letters: `und`, score 0. Each distinct word runs through the
-    network once a task. Narrow: no shuffle.
+    The network labels every byte of the text; a document's distribution is the mean over its positions, score the
+    winner's share (ties: the first language by name). Null texts and texts without letters: `und`, score 0. Repeated
+    rows give repeated rows, an empty table none. Very long texts go through the network some windows at a time.
+    Narrow: no shuffle.
     """
 
     def run(batches):
@@ -262,7 +234,7 @@ def identify(df: DataFrame, model: LanguageModel, id_columns: tuple[str, ...] =
             at = 0
             while at < batch.num_rows:
                 part, size = [], 0
-                while at + len(part) < batch.num_rows and size < 4_000_000:
+                while at + len(part) < batch.num_rows and size < 2_000_000:
                     part.append(texts[at + len(part)].as_py())
                     size += len(part[-1] or "")
                 lang, score = model.predict(part)
@@ -281,7 +253,7 @@ def fit_on_rest(documents: DataFrame) -> LanguageModel:
 
 def keep_identified(documents: DataFrame, model: LanguageModel, least: float = 0.4) -> DataFrame:
     """documents, all columns, without those that the model rejects: no letters at all, or no language has `least` of
-    the positions (text in none of the learned languages, or an even mixture)."""
+    the bytes (text in none of the learned languages, or an even mixture)."""
     whole = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("_whole"), F.col("text").alias("_text"))
     scored = identify(whole, model, ("_whole",), "_text")
     return scored.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("_whole.*")
