@@ -12,12 +12,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import table
+from .base import table, written
 
-#: Bounds of what a fit reads: labelled documents, and unlabelled documents that take part in co-training.
-LABELLED, POOL = 4000, 4000
+#: Bound of the labelled documents that a fit reads. All others take part in co-training.
+LABELLED = 4000
 #: Hashed word features of the text view, hashed features of the metadata view.
-WORDS, META = 1 << 12, 1 << 10
+WORDS, META = 1 << 12, 1 << 12
+#: Rounds of co-training, and documents that each view hands to the other in a round.
 ROUNDS, MOVED = 4, 300
 _SIGNS = re.compile(r"[%#$&*|@!=~^<>{}\[\]\\/_+]")
 
@@ -33,6 +34,7 @@ def content_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     stops = sum(w[-1] in ".!?" for w in words)
     letters = sum(map(str.isalpha, text))
     upper = sum(w.isupper() and len(w) > 1 for w in words) / n
+    longest = max(map(len, lines))
     shape = [
         1.0,
         len(counts) / n,
@@ -48,6 +50,10 @@ def content_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
         min(2.0, letters / max(1, len(text))),
         sum(map(str.isdigit, words)) / n,
         sum(n for _, n in counts.items() if n > 1) / n,
+        math.log1p(len(lines)) / 10,
+        math.log1p(longest) / 12,
+        longest / max(1, len(text)),
+        float(text[-1:] in tuple(".!?")),
     ]
     # each bucket gives steps, so that a linear model can bend
     idx, val = list(range(len(shape))), list(shape)
@@ -63,13 +69,11 @@ def content_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return np.array(idx, np.int32), np.array(val, np.float32)
 
 
-def page_features(source: str | None, lang: str | None, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Indexes and values of the metadata view: where the page is from and how it is laid out, not what it says."""
-    text = text or ""
-    size = len(text)
-    lines = text.count("\n") + 1
-    longest = max(map(len, text.split("\n")))
-    keys = [f"s{source}", f"l{lang}", f"n{int(2 * math.log2(size + 1))}", f"m{int(2 * math.log2(lines))}", f"a{int(2 * math.log2(size / lines + 1))}", f"x{int(2 * math.log2(longest + 1))}", f"e{text[-1:] in '.!?'}", f"r{min(20, int(20 * longest / max(1, size)))}"]
+def page_features(source: str | None, lang: str | None, n_chars: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Indexes and values of the metadata view: where the page is from, its declared language and its recorded size,
+    alone and together. It never sees the text."""
+    size = "null" if n_chars is None else int(4 * math.log2(max(n_chars, 0) + 1))
+    keys = [f"s{source}", f"l{lang}", f"n{size}", f"sl{source}|{lang}", f"sn{source}|{size}", f"ln{lang}|{size}"]
     found = sorted({zlib.crc32(k.encode("utf-8", "ignore")) % (META - 1) + 1 for k in keys})
     return np.array([0, *found], np.int32), np.ones(len(found) + 1, np.float32)
 
@@ -132,38 +136,39 @@ class CoTrained:
     def __init__(self):
         self.views = (Logistic(WORDS), Logistic(META))
         self.mix = (1.0, 0.0, 0.0)
-        self.rounds: list[tuple[int, int]] = []
+        self.rounds: list[int] = []
 
-    def fit(self, views, y: np.ndarray, pool, rounds: int = ROUNDS, moved: int = MOVED) -> CoTrained:
-        """views: feature rows of the labelled documents, one list a view; pool: the same of unlabelled ones.
+    def fit(self, views, y: np.ndarray, surest=None, rounds: int = ROUNDS, moved: int = MOVED) -> CoTrained:
+        """views: feature rows of the labelled documents, one list a view. surest(models, low, high, given) gives for
+        each view the `low` unlabelled documents it scores lowest and the `high` it scores highest, as lists of
+        (key, label, feature rows of both views), without those whose key is in given.
 
-        Each round both views train on their own labelled set, score the pool, and each hands the `moved` documents it
-        is surest of (in the ratio of the classes) to the OTHER view's set with its label, at half weight. A quarter of
-        the labelled documents is held back from both for calibration and for the mix."""
+        Each round both views train on their own labelled set, and each hands the `moved` documents it is surest of (in
+        the ratio of the classes) to the OTHER view's set with its label, at half weight. A quarter of the labelled
+        documents is held back from both for calibration and for the mix."""
         if not len(y):
             return self
         back = np.arange(len(y)) % 4 == 3
         if len(set(y[~back].tolist())) < 2 or len(set(y[back].tolist())) < 2:
             back[:] = False
         own = [[[v[i] for i in np.flatnonzero(~back)], list(y[~back]), [1.0] * int((~back).sum())] for v in views]
-        free = list(range(len(pool[0])))
+        given: set = set()
         for turn in range(rounds + 1):
             for model, (rows, t, w) in zip(self.views, own):
                 model.fit(rows, np.array(t, float), np.array(w))
-            if turn == rounds or not free:
+            if turn == rounds or surest is None:
                 break
             share = float(np.mean(y))
-            given: set[int] = set()
-            for k, model in enumerate(self.views):
-                s = model.raw([pool[k][i] for i in free])
-                order = np.argsort(s, kind="stable")
-                low, high = max(1, round(moved * (1 - share))), max(1, round(moved * share))
-                for i, label in [(free[j], 0.0) for j in order[:low]] + [(free[j], 1.0) for j in order[::-1][:high]]:
-                    rows, t, w = own[1 - k]
-                    rows.append(pool[1 - k][i]), t.append(label), w.append(0.5)
-                    given.add(i)
-            free = [i for i in free if i not in given]
-            self.rounds.append((len(given), len(free)))
+            found = surest(self.views, max(1, round(moved * (1 - share))), max(1, round(moved * share)), given)
+            now = {key for x in found for key, _, _ in x}
+            if not now:
+                break
+            for k, x in enumerate(found):
+                rows, t, w = own[1 - k]
+                for _, label, both in x:
+                    rows.append(both[1 - k]), t.append(label), w.append(0.5)
+            given |= now
+            self.rounds.append(len(now))
         held = np.flatnonzero(back) if back.any() else np.arange(len(y))
         for model, v in zip(self.views, views):
             model.calibrate([v[i] for i in held], y[held].astype(float))
@@ -186,57 +191,101 @@ class CoTrained:
         return 1 / (1 + np.exp(-np.clip(a * odds[0] + b * odds[1] + c, -30, 30)))
 
 
-def _views(texts, sources, langs):
-    return [content_features(t) for t in texts], [page_features(s, g, t) for s, g, t in zip(sources, langs, texts)]
+def features(documents: DataFrame) -> DataFrame:
+    """(rid, doc_id, and the two views' feature rows: indexes ai, bi and values av, bv) of every row of documents
+    (doc_id, text, source, lang and, if there, n_chars), from whole texts, written once. Null texts are empty texts."""
+    size = F.col("n_chars").cast("long") if "n_chars" in documents.columns else F.lit(None).cast("long")
 
+    def run(batches):
+        for batch in batches:
+            a = [content_features(t.as_py()) for t in batch.column("text")]
+            b = [page_features(*x) for x in zip(*(batch.column(c).to_pylist() for c in ("source", "lang", "n")))]
+            rows = [[i.astype(np.int16).tobytes() for i, _ in a], [v.tobytes() for _, v in a], [i.astype(np.int16).tobytes() for i, _ in b], [v.tobytes() for _, v in b]]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, pa.binary()) for x in rows)], names=["doc_id", "ai", "av", "bi", "bv"])
+
+    kind = documents.schema["doc_id"].dataType.simpleString()
+    made = documents.select("doc_id", "text", "source", "lang", size.alias("n")).mapInArrow(run, f"doc_id {kind}, ai binary, av binary, bi binary, bv binary")
+    return written(made.withColumn("rid", F.monotonically_increasing_id()), "features")
+
+
+def _open(columns) -> list[tuple[np.ndarray, np.ndarray]]:
+    return [(np.frombuffer(i, np.int16).astype(np.int32), np.frombuffer(v, np.float32)) for i, v in zip(*columns)]
 
-def fit(documents: DataFrame, labels: DataFrame, target: str = "quality", labelled: int = LABELLED, pool: int = POOL) -> CoTrained:
-    """Co-train on the `labelled` documents with the lowest hash of doc_id that have a label, and a pool of `pool`
-    without one. Both samples are bounded by these parameters; of documents that repeat a doc_id one is used."""
-    marks = labels.where(F.col(target).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(target).alias("_y"))
-    known = documents.select("doc_id").join(marks, "doc_id", "left").where(F.col("doc_id").isNotNull()).distinct()
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    take = known.where("_y IS NOT NULL").orderBy(*order).limit(labelled).collect() + known.where("_y IS NULL").orderBy(*order).limit(pool).collect()
-    y_of = {r["doc_id"]: r["_y"] for r in take}
-    model = CoTrained()
-    if not any(v is not None for v in y_of.values()):
-        return model
 
-    def features(batches):
+def _both(batch):
+    return [_open([batch.column(k + x).to_pylist() for x in "iv"]) for k in "ab"]
+
+
+def _surest(rows: DataFrame, models, low: int, high: int, given: set) -> list[list[tuple]]:
+    """For each view the rows it scores lowest and highest. Every task passes on as many as may be among these, so the
+    choice is of all rows, and what the driver gets is bounded by low and high."""
+    out_of = np.array(sorted(given), np.int64)  # at most the sample and what the rounds moved
+
+    def best(batches):
+        kept: list[tuple] = [() for _ in range(4)]
+
+        def narrowed():
+            for k in range(4):
+                n = (low, high)[k % 2]
+                kept[k] = tuple(sorted(kept[k])[:n])
+
         for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("text", "source", "lang")]
-            a, b = _views(*cols)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), *(pa.array([x.tobytes() for x in c], pa.binary()) for c in ([i for i, _ in a], [v for _, v in a], [i for i, _ in b], [v for _, v in b]))],
-                names=["doc_id", "ai", "av", "bi", "bv"],
-            )
-
-    chosen = documents.where(F.col("doc_id").isin(list(y_of))).select("doc_id", "text", "source", "lang")
-    kind = documents.schema["doc_id"].dataType.simpleString()
-    rows = {r["doc_id"]: r for r in chosen.mapInArrow(features, f"doc_id {kind}, ai binary, av binary, bi binary, bv binary").collect()}
-    unpack = lambda r, k: (np.frombuffer(r[k + "i"], np.int32), np.frombuffer(r[k + "v"], np.float32))
-    ids = [d for d in y_of if d in rows]
-    have, free = [d for d in ids if y_of[d] is not None], [d for d in ids if y_of[d] is None]
-    return model.fit([[unpack(rows[d], k) for d in have] for k in "ab"], np.array([int(y_of[d] > 0) for d in have]), [[unpack(rows[d], k) for d in free] for k in "ab"])
+            for k in range(0, batch.num_rows, 1024):
+                part = batch.slice(k, 1024)
+                rid = part.column("rid").to_numpy()
+                free = np.flatnonzero(~np.isin(rid, out_of))
+                views = _both(part)
+                for v, model in enumerate(models):
+                    s = model.raw(views[v])
+                    for end, (n, sign) in enumerate(((low, 1), (high, -1))):
+                        order = free[np.lexsort((rid[free], sign * s[free]))[:n]]
+                        kept[2 * v + end] += tuple((float(sign * s[i]), int(rid[i]), *(part.column(c)[int(i)].as_py() for c in ("ai", "av", "bi", "bv"))) for i in order)
+                narrowed()
+        rows = [(k, *x) for k in range(4) for x in kept[k]]
+        types = [pa.int32(), pa.float64(), pa.int64()] + [pa.binary()] * 4
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["k", "s", "rid", "ai", "av", "bi", "bv"])
+
+    found = written(rows.select("rid", "ai", "av", "bi", "bv").mapInArrow(best, "k int, s double, rid long, ai binary, av binary, bi binary, bv binary"), "surest")
+    out: list[list[tuple]] = [[], []]
+    for k in range(4):
+        for r in found.where(F.col("k") == k).orderBy("s", "rid").limit((low, high)[k % 2]).collect():
+            out[k // 2].append((r["rid"], float(k % 2), [_open([[r[v + "i"]], [r[v + "v"]]])[0] for v in "ab"]))
+    return out
+
+
+def fit(rows: DataFrame, labels: DataFrame, target: str = "quality", labelled: int = LABELLED, rounds: int = ROUNDS, moved: int = MOVED) -> CoTrained:
+    """Co-train on features() rows: on the `labelled` documents with the lowest hash of doc_id that have a label, and on
+    all other rows as unlabelled. Of labels that repeat a doc_id the highest counts, null ones don't; of rows that repeat
+    a labelled doc_id one is used. Without labels all scores are a half."""
+    marks = labels.where(F.col(target).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(target).alias("_y")).withColumnRenamed("doc_id", "_id")
+    known = rows.select("doc_id", "rid").join(marks, F.col("doc_id") == F.col("_id")).groupBy("doc_id", "_y").agg(F.min("rid").alias("rid"))
+    take = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled).select(F.col("rid").alias("_rid"), "_y")
+    chosen = rows.join(F.broadcast(take), F.col("rid") == F.col("_rid")).select("rid", "_y", "ai", "av", "bi", "bv").orderBy(F.xxhash64("doc_id"), "rid").collect()
+    model = CoTrained()
+    if not chosen:
+        return model
+    views = [_open([[r[v + x] for r in chosen] for x in "iv"]) for v in "ab"]
+    own = {r["rid"] for r in chosen}
+    return model.fit(views, np.array([int(r["_y"] > 0) for r in chosen]), lambda models, low, high, given: _surest(rows, models, low, high, given | own), rounds, moved)
 
 
-def score(documents: DataFrame, model: CoTrained, name: str = "quality_score") -> DataFrame:
-    """doc_id, the combined score, and the two views' calibrated scores for every row, from whole texts. Null texts are
-    empty texts. Narrow: no shuffle."""
+def score(rows: DataFrame, model: CoTrained, name: str = "quality_score") -> DataFrame:
+    """doc_id, the combined score, and the two views' calibrated scores for every row of features(). Repeated rows give
+    repeated rows, an empty table none. Narrow: no shuffle."""
 
     def run(batches):
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
-                views = _views(*(part.column(c).to_pylist() for c in ("text", "source", "lang")))
+            for k in range(0, batch.num_rows, 1024):
+                part = batch.slice(k, 1024)
+                views = _both(part)
                 own = [m.probability(v) for m, v in zip(model.views, views)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(model.score(views)), pa.array(own[0]), pa.array(own[1])], names=["doc_id", name, "content_score", "page_score"])
 
-    kind = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select("doc_id", "text", "source", "lang").mapInArrow(run, f"doc_id {kind}, {name} double, content_score double, page_score double")
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.select("doc_id", "ai", "av", "bi", "bv").mapInArrow(run, f"doc_id {kind}, {name} double, content_score double, page_score double")
 
 
 def op7_quality_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    scored = score(docs, fit(docs, table(spark, sf_dir, "labels")))
+    rows = features(table(spark, sf_dir, "documents"))
+    scored = score(rows, fit(rows, table(spark, sf_dir, "labels")))
     return scored.withColumn("quality_pred", (F.col("quality_score") >= 0.5).cast("int"))
