@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .base import ascii_lower, split_words, table
+from .base import ascii_lower, beside, checkpoint, split_words, table, written
 
 #: Everything but ASCII digits, lower-case letters and non-ASCII characters parts words (after lower-casing A-Z).
 NON_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -15,8 +15,8 @@ NON_WORD_RAW = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 SPANS = "array<struct<s:int,e:int>>"
 WINDOW = 13
-#: The window set is broadcast up to this size; a larger one is joined by shuffle.
-BROADCAST_ROWS = 2_000_000
+#: The window set is broadcast up to this many bytes; a larger one is joined by shuffle.
+BROADCAST_BYTES = 64_000_000
 
 
 def words(text: Column) -> Column:
@@ -37,21 +37,34 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     )
 
 
-def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, one_in: int = 20) -> DataFrame:
+def _anchors(w: str, n: int) -> Column:
+    """(n, k, anchor) of the anchors that one window of n words needs hashed in an array of words w: a window covers just
+    one position k * step that has a words after it, so only such anchors are looked up."""
+    a, step = (n + 1) // 2, n - (n + 1) // 2 + 1
+    return F.expr(
+        f"CASE WHEN size({w}) < {n} THEN array() ELSE transform(sequence(1, size({w}) - {a - 1}, {step}), (i, k) -> named_struct('n', {n}, 'k', k * {step}, 'anchor', xxhash64({n}, slice({w}, i, {a})))) END"
+    )
+
+
+def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, one_in: int = 20, limit: int = BROADCAST_BYTES) -> DataFrame:
     """Rows of documents (doc_id, text) with what they share with benchmark (item_id, text).
 
     Adds n_words, n_hit (words inside any occurrence of a benchmark window), spans (array of covered word ranges
     [start, end), 0-based, merged), item_ids (sorted as strings) and contaminated (n_hit > 0 and n_hit * one_in >= n_words).
     An item of fewer words than the window, but not none, is one window. Null and word-free texts have n_words 0 and no
-    hits. Rows that repeat a doc_id are judged each by its own text. Other columns of documents are dropped.
+    hits. Rows that repeat a doc_id, or whose doc_id is null, are judged each by its own text. An item of null id hits
+    without a name. Other columns of documents are dropped. Empty tables: no rows, or no hits. A very long text is one
+    array of words in one row.
 
-    Only built-in functions: hashes of a document's words are looked up in the broadcast set of window hashes; the
-    words themselves are compared for each hash hit. What is shuffled is hits and one small row a document.
+    Only built-in functions: documents are cut to words once for all lengths of windows, anchors of the words are looked
+    up in the broadcast set of anchors, and the words of each window about a hit in the broadcast set of windows. Beyond
+    `limit` bytes both sets are joined by shuffle: what moves is a hash an anchor, and words only where anchors hit.
     """
     spark = documents.sparkSession
-    grams = benchmark_windows(benchmark, window).persist()
-    lengths = sorted(r[0] for r in grams.select("gram_len").distinct().collect())  # at most `window` values
-    small = grams.count() <= BROADCAST_ROWS
+    grams = written(benchmark_windows(benchmark, window), "benchmark-windows")
+    size = F.sum(F.octet_length(F.concat_ws(" ", "gram")) + 24 * F.size("gram") + 200 + 8 * F.size("item_ids"))
+    lengths, held = grams.agg(F.collect_set("gram_len"), size).first()  # at most `window` lengths
+    narrow = (held or 0) <= limit
     docs = documents.select("doc_id", "text")
     key = F.xxhash64("doc_id", "text").alias("_row")
     base = docs.select("doc_id", key, F.size(words(F.col("text"))).cast("long").alias("n_words"))
@@ -59,21 +72,24 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WIND
         hits = spark.createDataFrame([], f"_id long, _key long, _hit long, spans {SPANS}, item_ids array<long>")
     else:
         w = docs.select("doc_id", key, words(F.col("text")).alias("_w"))
-        at = None
-        for n in lengths:
-            # A window of n words covers just one position that is a multiple of n - a + 1 with a words after it, so
-            # only such anchors are hashed; windows about an anchor that the benchmark has are looked up in full.
-            a = (n + 1) // 2
-            step = n - a + 1
-            anchors = grams.where(F.col("gram_len") == n).select(F.explode(F.expr(f"transform(sequence(1, {step}), i -> xxhash64(slice(gram, i, {a})))")).alias("_anchor")).distinct()
-            hashes = F.expr(f"CASE WHEN size(_w) < {n} THEN array() ELSE transform(sequence(1, size(_w) - {a - 1}, {step}), i -> xxhash64(slice(_w, i, {a}))) END")
-            part = w.select("doc_id", "_row", "_w", F.posexplode(hashes).alias("_k", "_anchor"))
-            part = part.join(F.broadcast(anchors) if small else anchors, "_anchor")
-            part = part.select("doc_id", "_row", "_w", F.explode(F.expr(f"sequence(greatest(_k * {step} - {step - 1}, 0), least(_k * {step}, size(_w) - {n}))")).alias("_pos"), F.lit(n).alias("_len"))
-            part = part.withColumn("gram_hash", F.xxhash64(F.slice("_w", F.col("_pos") + 1, n)))
-            at = part if at is None else at.unionByName(part)
-        side = F.broadcast(grams) if small else grams
-        found = at.join(side, "gram_hash").where((F.col("_len") == F.col("gram_len")) & (F.slice("_w", F.col("_pos") + 1, F.col("_len")) == F.col("gram")))
+        # every place of an anchor in a window
+        of = [grams.where(F.col("gram_len") == n).select(F.lit(n).alias("n"), F.explode(F.expr(f"transform(sequence(1, {n - (n + 1) // 2 + 1}), i -> xxhash64({n}, slice(gram, i, {(n + 1) // 2})))")).alias("anchor")) for n in sorted(lengths)]
+        anchors = of[0]
+        for x in of[1:]:
+            anchors = anchors.unionByName(x)
+        anchors = anchors.distinct()
+        every = F.flatten(F.array(*[_anchors("_w", n) for n in sorted(lengths)]))
+        if narrow:
+            near = w.select("doc_id", "_row", "_w", F.inline(every)).join(F.broadcast(anchors), ["n", "anchor"])
+        else:
+            at = w.select("doc_id", "_row", F.inline(every)).join(anchors, ["n", "anchor"])
+            at = at.groupBy(F.col("doc_id").alias("_id"), F.col("_row").alias("_key")).agg(F.collect_set(F.struct("n", "k")).alias("at"))
+            near = w.join(checkpoint(at), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_row") == F.col("_key"))).select("doc_id", "_row", "_w", F.inline("at"))
+        step = F.expr("n - div(n + 1, 2)")  # one less than the distance of anchors
+        first = F.explode(F.sequence(F.greatest(F.col("k") - step, F.lit(0)).cast("int"), F.least(F.col("k"), F.size("_w") - F.col("n")).cast("int")))
+        placed = near.select("doc_id", "_row", "_w", "n", first.alias("_pos")).select("doc_id", "_row", "_pos", F.expr("slice(_w, _pos + 1, n)").alias("_gram"))
+        placed = placed.withColumn("gram_hash", F.xxhash64("_gram")).withColumn("_len", F.size("_gram"))
+        found = placed.join(F.broadcast(grams) if narrow else grams, "gram_hash").where(F.col("_gram") == F.col("gram"))
         doc = ["_id", "_key"]
         before = Window.partitionBy(*doc).orderBy("s", "e").rowsBetween(Window.unboundedPreceding, -1)
         upto = Window.partitionBy(*doc).orderBy("s", "e").rowsBetween(Window.unboundedPreceding, 0)
@@ -101,23 +117,31 @@ def without_spans(text: Column, spans: Column) -> Column:
     """text without the words of spans and what stands between them."""
     parts = F.split(text, ANY_CASE)  # what follows each word, after the head
     raw = F.array_remove(F.split(text, NON_WORD_RAW), "")
-    head = F.when(F.element_at(parts, 1) == "", F.lit("")).otherwise(F.element_at(parts, 1))
-    body = F.transform(raw, lambda w, i: F.when(F.exists(spans, lambda x: (i >= x["s"]) & (i < x["e"])), F.lit("")).otherwise(F.concat(w, F.element_at(parts, i + 2))))
-    return F.concat(head, F.array_join(body, ""))
+    body = F.zip_with(raw, F.slice(parts, F.lit(2), F.size(raw)), lambda w, x: F.concat(w, x))
+    # what lies between spans, slice by slice
+    start = F.concat(F.array(F.lit(0)), F.transform(spans, lambda x: x["e"]))
+    end = F.concat(F.transform(spans, lambda x: x["s"]), F.array(F.size(raw)))
+    kept = F.flatten(F.zip_with(start, end, lambda s, e: F.slice(body, s + 1, e - s)))
+    return F.concat(F.element_at(parts, 1), F.array_join(kept, ""))
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, remove: str = "documents", window: int = WINDOW, one_in: int = 20) -> DataFrame:
-    """documents, all columns, without contaminated ones (remove="documents"), or with every hit span cut from the
-    text (remove="spans"; a null text stays null). Clean documents stay as they are, however often a row repeats."""
+    """documents, all columns whatever their names, without contaminated ones (remove="documents"), or with every hit
+    span cut from the text (remove="spans"; a null text stays null). Clean documents stay as they are, however often a
+    row repeats; rows of one doc_id, or of a null one, are judged each by its own text. Very long texts, empty tables: as
+    in contamination."""
     if remove not in ("documents", "spans"):
         raise ValueError(f"remove must be 'documents' or 'spans', not {remove!r}")
     found = contamination(documents, benchmark, window, one_in).where(F.col("contaminated") if remove == "documents" else F.col("n_hit") > 0)
-    found = found.select(F.col("_row").alias("__row"), F.col("spans").alias("__spans")).dropDuplicates(["__row"])
-    keyed = documents.withColumn("__key", F.xxhash64("doc_id", "text"))
+    found = found.select(F.col("doc_id").alias("id"), F.col("_row").alias("row"), "spans").dropDuplicates(["id", "row"])
+    on = lambda left, right: left["id"].eqNullSafe(right["id"]) & (left["row"] == right["row"])
+    keys = {"id": F.col("doc_id"), "row": F.xxhash64("doc_id", "text")}
     if remove == "documents":
-        return keyed.join(found, F.col("__key") == F.col("__row"), "left_anti").drop("__key")
-    cut = F.when(F.col("__spans").isNull(), F.col("text")).otherwise(without_spans(F.col("text"), F.col("__spans")))
-    return keyed.join(found, F.col("__key") == F.col("__row"), "left").withColumn("text", cut).select(*documents.columns)
+        return beside(documents, found, on, "left_anti", **keys)
+    out = beside(documents, found, on, "left", **keys)
+    columns = {c: F.col("whole")[f"c{k}"] for k, c in enumerate(documents.columns)}
+    columns["text"] = F.when(F.col("spans").isNull(), columns["text"]).otherwise(without_spans(columns["text"], F.col("spans")))
+    return out.select(*[v.alias(c) for c, v in columns.items()])
 
 
 def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
