@@ -36,7 +36,7 @@ def documents(spark, corpus):
 def odd(spark, corpus):
     """Repeated rows, a repeated and a null doc_id, and extra columns whose names the operators use inside."""
     rows = [*corpus[:12], corpus[0], corpus[5], (5, "another text of document five", "en", "s1", 1), (None, corpus[1][1], None, None, None), (None, None, None, None, None)]
-    extra = ["_row", "_key", "_id", "h", "all", "spans", "starts", "score", "lang_pred", "fp", "node", "w0", "u", "rid", "slice", "copies", "_whole", "_left", "hashes"]
+    extra = ["_row", "_key", "_id", "h", "all", "spans", "starts", "score", "lang_pred", "fp", "node", "w0", "u", "rid", "slice", "copies", "_whole", "_left", "hashes", "__key", "__row", "__spans", "__id", "id", "row", "whole", "c0", "n", "m", "g", "p", "at", "key", "t", "cell"]
     return spark.createDataFrame([(*r, *["?"] * len(extra)) for r in rows], DOCS + ", " + ", ".join(f"{c} string" for c in extra))
 
 

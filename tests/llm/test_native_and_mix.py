@@ -39,8 +39,8 @@ def items(corpus):
 def test_contamination_matches_brute_force(spark, documents, odd, corpus, empty):
     its = items(corpus)
     bench = spark.createDataFrame(its, "item_id long, text string")
-    for df in (documents, odd):
-        got = sorted([(r.doc_id, r.n_words, r.n_hit, tuple(r.item_ids), r.contaminated) for r in dc.contamination(df, bench).collect()], key=str)
+    for df, limit in ((documents, dc.BROADCAST_BYTES), (odd, dc.BROADCAST_BYTES), (documents, 0)):
+        got = sorted([(r.doc_id, r.n_words, r.n_hit, tuple(r.item_ids), r.contaminated) for r in dc.contamination(df, bench, limit=limit).collect()], key=str)
         assert got == brute([(r.doc_id, r.text) for r in df.collect()], its)
     assert dc.contamination(empty, bench).count() == 0
     none = dc.contamination(documents, bench.limit(0)).collect()
@@ -53,7 +53,9 @@ def test_removal_of_documents_and_spans(spark, documents, corpus, odd):
     assert bad
     left = dc.decontaminate(documents, bench)
     assert left.columns == documents.columns and {r.doc_id for r in left.collect()} == {r[0] for r in corpus} - bad
-    assert dc.decontaminate(odd, bench).columns == odd.columns
+    for how in ("documents", "spans"):
+        own = dc.decontaminate(odd, bench, remove=how)
+        assert own.columns == odd.columns and all(r["__key"] == r["__row"] == r["__spans"] == "?" for r in own.collect())
     cut = {r.doc_id: r.text for r in dc.decontaminate(documents, bench, remove="spans").collect()}
     hits = {r.doc_id: r for r in dc.contamination(documents, bench).collect()}
     for d, t, *_ in corpus:

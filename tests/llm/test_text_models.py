@@ -59,6 +59,81 @@ def test_short_blocks_between_long_ones_are_kept_on_unmarked_pages():
     assert html_text.main_text("<p>menu</p><h1>Title</h1><div>" + long + "</div>").split("\n\n")[0] == "Title"
 
 
+def brute_extract(found):
+    """The rule of html_text.stretch for lines (text, link characters, content?, heading?, own block?), written out."""
+    texts = [i for i, x in enumerate(found) if x[0]]
+    if not texts:
+        return []
+    total, content = sum(len(found[i][0]) for i in texts), sum(len(found[i][0]) for i in texts if found[i][2])
+    marked = content * 2 >= total
+    value = {i: (len(t) if c else html_text.NEUTRAL * (len(t) - min(a, len(t)))) if marked else len(t) - min(a, len(t)) for i, (t, a, c, *_) in enumerate(found)}
+    lengths = sorted((len(found[i][0]) for i in texts), reverse=True)
+    typical = next(n for k, n in enumerate(lengths) if 2 * sum(lengths[: k + 1]) >= total)
+    window = {i: value[i] + value.get(i - 1, 0) + value.get(i - 2, 0) for i in value}
+    high = [i for i in window if window[i] >= typical / 2] or [max(window, key=lambda i: (window[i], -i))]
+    inside = [i for i in range(max(0, high[0] - 2), high[-1] + 1)]
+    low = next((i for i in inside if value[i]), inside[-1])
+    up = next((i for i in reversed(inside) if found[i][0]), low)
+    if marked:
+        while (more := [i for i in texts if i < low]) and value[more[-1]] >= 1:
+            low = more[-1]
+        while (more := [i for i in texts if i > up]) and value[more[0]] >= 1:
+            up = more[0]
+        return [found[i][0] for i in texts if low <= i <= up and value[i] >= 1]
+    at = low
+    while (more := [i for i in texts if i < at]) and at - more[-1] <= 3:
+        at = more[-1]
+        if found[at][3]:
+            low = at
+            break
+    while low and (not found[low - 1][0] or found[low - 1][3]):
+        low -= 1
+    while (more := [i for i in texts if i > up]) and more[0] - up <= 3 and found[more[0]][4]:
+        up = more[0]
+    return [found[i][0] for i in texts if low <= i <= up]
+
+
+def test_extraction_matches_the_rule_written_out(spark):
+    r = random.Random(6)
+
+    def line():
+        return " ".join(r.choice(["word", "in", "sentence", "a"]) for _ in range(r.choice([1, 2, 5, 40, 80])))
+
+    pages = []
+    for _ in range(600):
+        parts = []
+        for _ in range(r.randint(0, 12)):
+            tag = r.choice(["p", "p", "p", "div", "h2", "li", "td"])
+            text = line() if r.random() < 0.8 else f'<a href="x">{line()}</a>'
+            parts.append(f"<{tag}>{text}</{tag}>" if r.random() < 0.9 else text)
+        body = "".join(parts)
+        cut = r.randint(0, len(parts))
+        if r.random() < 0.4:
+            kind = r.choice(["article", "main", "div", "section"])
+            body = f"{''.join(parts[:cut])}<{kind}>{''.join(parts[cut:])}</{kind}><footer>{line()}</footer>{line()}"
+        pages.append(body)
+    pages += [x[0] for x in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("html").collect()]
+    changed = 0
+    for page in pages:
+        found = html_text.lines(page)
+        assert html_text.main_text(page) == "\n\n".join(brute_extract(found)), page
+        changed += html_text.main_text(page) != "\n\n".join(x[0] for x in found if x[0])
+    assert changed > 300  # without surge and dive every line would stay
+
+
+def test_pages_without_names_keep_their_text(spark):
+    import re
+    from collections import Counter
+
+    same = extra = lost = 0
+    for page in [x[0] for x in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect()]:
+        bare = re.sub(r"<(/?)(article|nav|footer|header|aside|main|section)\b[^>]*>", r"<\1div>", re.sub(r'\s(class|id|role|itemprop)="[^"]*"', "", page))
+        a, b = Counter(html_text.main_text(page).split()), Counter(html_text.main_text(bare).split())
+        both = sum((a & b).values())
+        same, extra, lost = same + both, extra + sum(b.values()) - both, lost + sum(a.values()) - both
+    assert same / (same + extra) >= 0.98 and same / (same + lost) >= 0.98
+
+
 def test_elements_without_end_tags_keep_the_rest():
     for page in ("<html><head><title>x</title><meta a=b><body><p>text", "<html><head><title>x</title><script>'<p>'</script><p>text", "<svg class=i/><p>text", "<math/><p>text</p>", "<p><svg class=i><p>text", "<select><p>text", "<svg><title>x</title></svg><p>text"):
         assert html_text.main_text(page) == "text", page
@@ -69,24 +144,52 @@ def test_elements_without_end_tags_keep_the_rest():
 def test_gradients_match_finite_differences():
     net = language_id.ByteGRU(3, 4, 5)
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
-    x, mask = net.padded([b" ab ", b" xyzzy ", b" q "])
-    mask, y, w = mask.astype(np.float64), np.array([0, 2, 1]), np.array([1.0, 2.0, 0.5])
-    _, g = net.gradients(x, mask, y, w)
+    data, start, lens = np.frombuffer(b" ab  xyzzy  q ", np.uint8), np.array([0, 4, 11]), np.array([4, 7, 3])
+    x = net.batch(data, start, lens)
+    mask, y, w = np.arange(len(x))[:, None] < lens, np.array([0, 2, 1]), np.array([1.0, 2.0, 0.5])
+    _, g = net.gradients(x, lens, y, w)
     r = np.random.default_rng(0)
     for name, p in net.p.items():
         for _ in range(6):
             at = tuple(r.integers(0, n) for n in p.shape)
             if name == "E":
-                at = (r.choice(x[mask > 0]), at[1])
+                at = (r.choice(x[mask]), at[1])
             old, e = p[at], 1e-3
             p[at] = old + e
-            up = net.gradients(x, mask, y, w)[0]
+            up = net.gradients(x, lens, y, w)[0]
             p[at] = old - e
-            down = net.gradients(x, mask, y, w)[0]
+            down = net.gradients(x, lens, y, w)[0]
             p[at] = old
             assert g[name][at] == pytest.approx((up - down) / (2 * e), rel=0.05, abs=2e-3)
 
 
+def test_every_byte_is_labelled_as_by_the_network_written_out():
+    net = language_id.ByteGRU(3, 4, 5)
+    p = {k: v.astype(np.float64) for k, v in net.p.items()}
+
+    def states(text, d):
+        h, out = np.zeros(5), []
+        for byte in text if d == "f" else text[::-1]:
+            a, s = p["E"][byte] @ p["W" + d] + p["b" + d], p["U" + d] @ h
+            z, r = 1 / (1 + np.exp(-(a[:5] + s[:5]))), 1 / (1 + np.exp(-(a[5:10] + s[5:10])))
+            h = h + z * (np.tanh(a[10:] + r * s[10:]) - h)
+            out.append(h)
+        return out if d == "f" else out[::-1]
+
+    texts = [b"", b"a", "Straße 12, été!".encode(), bytes(range(1, 120)), b"xy " * 50]
+    for core, edge in ((224, 16), (20, 7)):
+        want = np.zeros((len(texts), 3))
+        for i, text in enumerate(texts):
+            assert sum(min(e - s - lead, core) for s, e, lead in language_id.windows(text, core, edge)) == len(text)
+            for k in range(0, len(text), core):
+                s = max(0, k - edge)
+                piece = text[s : k + core + edge]
+                for f, b in list(zip(states(piece, "f"), states(piece, "b")))[k - s :][:core]:
+                    o = np.exp(p["V"] @ np.concatenate((f, b)) + p["c"][:, 0])
+                    want[i] += o / o.sum()
+        assert net.pooled(texts, 3, core, edge) == pytest.approx(want, rel=1e-4)
+
+
 @pytest.fixture(scope="module")
 def tongues(spark):
     r = random.Random(2)
@@ -122,17 +225,27 @@ def test_cotraining_scores_held_out_documents(spark):
     for i in range(400):
         good = i % 3 > 0
         w = [f"w{r.randrange(3000)}" for _ in range(80)] if good else [r.choice(["buy", "now", "!!!", "%%%"]) for _ in range(80)]
-        rows.append((i, " ".join(w) + ".", "en", "good" if good and i % 2 else "mixed"))
-    docs = spark.createDataFrame([*rows, (900, None, None, None), (901, "", "en", "x"), (None, "text", "en", "x")], "doc_id long, text string, lang string, source string")
+        rows.append((i, " ".join(w) + ".", "en", "good" if good and i % 2 else "mixed", len(w) * 3))
+    docs = spark.createDataFrame([*rows, (900, None, None, None, None), (901, "", "en", "x", 0), (None, "text", "en", "x", 4)], "doc_id long, text string, lang string, source string, n_chars int")
     labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(0, 400, 2)] + [(5, None), (None, 1)], "doc_id long, quality int")
-    model = quality.fit(docs, labels)
-    assert model.rounds and all(n for n, _ in model.rounds[:1])
-    got = {x.doc_id: x for x in quality.score(docs, model).collect()}
+    own = quality.features(docs)
+    model = quality.fit(own, labels, moved=30)
+    assert len(model.rounds) == quality.ROUNDS and all(0 < n <= 60 for n in model.rounds)
+    got = {x.doc_id: x for x in quality.score(own, model).collect()}
     test = range(1, 400, 2)
     assert sum((got[i].quality_score >= 0.5) == (i % 3 > 0) for i in test) >= 0.97 * len(test)
     assert all(0 <= x.quality_score <= 1 for x in got.values()) and len(got) == 403
-    blank = quality.fit(docs, labels.limit(0))
-    assert quality.score(docs, blank).count() == 403 and quality.score(docs.limit(0), model).count() == 0
+    blank = quality.fit(own, labels.limit(0))
+    assert quality.score(own, blank).count() == 403 and quality.score(quality.features(docs.limit(0)), model).count() == 0
+    assert quality.score(quality.features(docs.drop("n_chars")), model).count() == 403
+    # the surest documents are the surest of all
+    rows = {r["rid"]: r for r in own.collect()}
+    given = set(list(rows)[:40])
+    found = quality._surest(own.repartition(5), model.views, 7, 4, given)
+    for v, k in enumerate("ab"):
+        s = sorted((float(model.views[v].raw(quality._open([[r[k + "i"]], [r[k + "v"]]]))[0]), rid) for rid, r in rows.items() if rid not in given)
+        top = sorted((-x, rid) for x, rid in s)[:4]
+        assert [(rid, y) for rid, y, _ in found[v]] == [(rid, 0.0) for _, rid in s[:7]] + [(rid, 1.0) for _, rid in top]
 
 
 def brute_top(rows, k):
