@@ -13,6 +13,13 @@ EXCLUDED_DIRS = (
 )
 
 
+#: Directory names whose changes no watch reports.
+IGNORED_DIRS = (
+    ".git", ".hg", ".svn", "__pycache__", ".mypy_cache", ".pytest_cache", ".ruff_cache", "node_modules", ".venv", "venv", ".env", "env",
+    ".tox", ".nox", ".eggs", "dist", "build", ".idea", ".vscode",
+)
+
+
 def is_handle(c: Column) -> Column:
     return c.isNotNull() & c.rlike(HANDLE)
 
@@ -39,6 +46,33 @@ def prefixes(c: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), depth(c)), lambda k: F.array_join(F.slice(parts(c), 1, k), "."))
 
 
+def posix_path(c: Column) -> Column:
+    """A path with forward slashes, single ones, and without `.` steps and a slash at its end."""
+    plain = F.regexp_replace(F.replace(c, F.lit("\\"), F.lit("/")), "/+", "/")
+    plain = F.regexp_replace(F.regexp_replace(plain, r"(?<=/|^)\./", ""), r"/\.$", "")
+    return F.when(F.length(plain) > 1, F.regexp_replace(plain, "/$", "")).otherwise(plain)
+
+
+def path_key(c: Column, base: str | Column = "/") -> Column:
+    """One text for a path however it is written: absolute (from base), forward slashes, `.` and `..` steps taken. Links
+    are resolved where files are listed, not here."""
+    base = F.lit(base) if isinstance(base, str) else base
+    path = posix_path(c)
+    whole = F.when(F.startswith(path, F.lit("/")), path).otherwise(F.concat_ws("/", base, path))
+    steps = F.filter(F.split(whole, "/"), lambda x: ~x.isin("", "."))
+    walk = F.aggregate(steps, F.array().cast("array<string>"), lambda acc, x: F.when(x == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(x))))
+    return F.concat(F.lit("/"), F.array_join(walk, "/"))
+
+
+def same_path(a: Column, b: Column, base: str | Column = "/") -> Column:
+    return path_key(a, base) == path_key(b, base)
+
+
+def is_identifier(c: Column) -> Column:
+    """A bare name: letters, digits and underscores, not a digit first."""
+    return c.isNotNull() & c.rlike(r"^[a-zA-Z_][a-zA-Z0-9_]*$")
+
+
 def sanitize_name(c: Column) -> Column:
     return F.regexp_replace(c, "[^A-Za-z0-9_]", "_")
 

@@ -5,8 +5,10 @@ from __future__ import annotations
 import json
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from ..functions.scalar import relative_import
 
@@ -80,13 +82,23 @@ def split_top_level(text: str, sep: str = ",") -> list[str]:
 
 
 def leaf_types(text: str) -> list[str]:
-    """The types at the leaves of generics and unions, in order, each once; None and Ellipsis aren't types."""
+    """The types at the leaves of generics and unions, in order, repeats included."""
     out: list[str] = []
     for part in split_top_level(text, "|"):
         head, bracket, rest = part.partition("[")
-        inner = split_top_level(rest[: rest.rfind("]")]) if bracket else []
-        out += [x for p in inner for x in leaf_types(p)] if inner else [part]
-    return [x for x in dict.fromkeys(out) if x not in ("None", "...")]
+        inner = split_top_level(rest[: rest.rfind("]")] if "]" in rest else rest) if bracket else []
+        out += [x for p in inner for x in leaf_types(p)] if bracket else [part]
+    return out
+
+
+def leaf_types_of(text: Column) -> Column:
+    """leaf_types of a column, in Arrow batches; null stays null."""
+
+    @F.pandas_udf(ArrayType(StringType()))
+    def each(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda x: None if x is None else leaf_types(x))
+
+    return each(text)
 
 
 def resolve_scope(scope: str | list[str] | None, method: str, defaults: dict[str, str], aliases: dict[str, str | list[str]], general: str | None = None) -> list[str]:

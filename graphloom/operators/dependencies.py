@@ -17,6 +17,13 @@ def imported_by(imports: DataFrame, modules: DataFrame) -> DataFrame:
     return reach.join(modules.select(F.col("module").alias("_m")), F.col("_t") == F.col("_m")).where(F.col("module") != F.col("_m")).select(F.col("_m").alias("src"), F.col("module").alias("dst")).distinct()
 
 
+def written_imports(imports: DataFrame) -> DataFrame:
+    """(module, name): module names that a module's import statements spell, at any depth: what stands after `import`, or
+    between `from` and `import` without its dots, or, where nothing stands there, the imported names. An independent
+    second derivation: nothing is resolved. imports(module, target, name)."""
+    return imports.select("module", F.coalesce("target", "name").alias("name")).where("name IS NOT NULL").distinct()
+
+
 def dependency_graph(imports: DataFrame, modules: DataFrame) -> DataFrame:
     """(from, to): edges between modules of the project, each once."""
     known = modules.select(F.col("module").alias("to"))

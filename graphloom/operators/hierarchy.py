@@ -9,22 +9,30 @@ from pyspark.sql import functions as F
 from ..plans.checkpoints import cut
 
 
-def closure(pairs: DataFrame, start: DataFrame | None = None, most: int = 1000) -> DataFrame:
+def closure(pairs: DataFrame, start: DataFrame | None = None) -> DataFrame:
     """(root, handle, depth): everything that child -> parent pairs (child, parent) reach from each root, with the least
-    depth. start(root) narrows the roots. Level by level: each round joins only the pairs found in the round before."""
-    up = pairs.select(F.col("parent").alias("_p"), F.col("child").alias("_c")).where("_p <> _c").distinct()
+    depth, however deep. start(root) narrows the roots.
+
+    Two levels a round: a round joins only what the round before found to the pairs, which are written once, and to the
+    pairs of what that gives. What an earlier round found is dropped; circles end that way."""
+    up = cut(pairs.select(F.col("parent").alias("_p"), F.col("child").alias("_c")).where("_p <> _c").distinct(), "pairs")
     level = up.select(F.col("_p").alias("root"), F.col("_c").alias("handle"))
     if start is not None:
         level = level.join(start.select("root").distinct(), "root", "left_semi")
-    level = cut(level.withColumn("depth", F.lit(1)))
-    found = level
-    for d in range(2, most + 1):
-        new = level.join(up, F.col("handle") == F.col("_p")).select("root", F.col("_c").alias("handle")).distinct().where("root <> handle")
-        level = cut(new.join(found.select("root", "handle"), ["root", "handle"], "left_anti").withColumn("depth", F.lit(d)))
-        if level.isEmpty():
+    below = lambda df, d: df.join(up, F.col("handle") == F.col("_p")).select("root", F.col("_c").alias("handle"), F.lit(d).alias("depth")).where("root <> handle")
+    found, d = None, 1
+    level = level.withColumn("depth", F.lit(d))
+    while True:
+        two = level.unionByName(below(level.where(F.col("depth") == d), d + 1)).groupBy("root", "handle").agg(F.min("depth").alias("depth"))
+        if found is not None:
+            two = two.join(found.select("root", "handle"), ["root", "handle"], "left_anti")
+        level = cut(two, "levels")
+        found = level if found is None else found.unionByName(level)  # a union of written tables
+        d += 2
+        edge = level.where(F.col("depth") == d - 1)
+        if edge.isEmpty():
             return found
-        found = found.unionByName(level)  # a union of checkpoints
-    return found
+        level = below(edge, d)
 
 
 def subclasses(bases: DataFrame, base: str, indirect: bool = True) -> DataFrame:
@@ -35,6 +43,36 @@ def subclasses(bases: DataFrame, base: str, indirect: bool = True) -> DataFrame:
     return closure(bases, start).select("handle", (F.col("depth") == 1).alias("is_direct"), "depth").orderBy("handle")
 
 
+def find_subclasses(name: str, classes: DataFrame, bases: DataFrame, names: DataFrame | None = None, indirect: bool = True, hierarchy: bool = False) -> tuple[list[str] | None, DataFrame | None]:
+    """(candidates, subclasses): a simple name that several classes(name, handle) have gives their handles and no rows; a
+    dotted name, or one that one class has, the rows of subclasses(), with `hierarchy` also chain: the least path of
+    handles from the class up to the asked one. names(alias, handle) tells what re-exported dotted names mean."""
+    known = classes.where(F.col("handle" if "." in name else "name") == name).select("handle").distinct()
+    if "." in name and names is not None:
+        known = known.unionByName(names.where(F.col("alias") == name).select("handle")).distinct()
+    found = sorted(r[0] for r in known.limit(1000).collect())
+    if "." not in name and len(found) > 1:
+        return found, None
+    base = found[0] if found else name
+    rows = subclasses(bases, base, indirect)
+    if not hierarchy:
+        return None, rows
+    # the parent one level up, level by level: as many joins as there are levels
+    tree = rows.unionByName(rows.sparkSession.createDataFrame([(base, False, 0)], rows.schema)).select("handle", "depth")
+    chain = tree.where("depth = 0").select("handle", F.array("handle").alias("chain"))
+    out, depth = [], rows.agg(F.max("depth")).first()[0] or 0
+    for d in range(1, depth + 1):
+        level = tree.where(F.col("depth") == d).join(bases.select(F.col("child").alias("handle"), "parent"), "handle").join(chain.select(F.col("handle").alias("parent"), F.col("chain").alias("_c")), "parent")
+        chain = cut(level.groupBy("handle").agg(F.min(F.concat(F.array("handle"), "_c")).alias("chain")), "chain")
+        out.append(chain)
+    if not out:
+        return None, rows.withColumn("chain", F.array("handle"))
+    whole = out[0]
+    for x in out[1:]:
+        whole = whole.unionByName(x)
+    return None, rows.join(whole, "handle")
+
+
 def superclasses(bases: DataFrame, nodes: DataFrame) -> DataFrame:
     """(src, dst): direct bases that are nodes; of nodes with one handle those of kind class come first."""
     best = nodes.groupBy("handle").agg(F.min(F.struct(F.when(F.col("kind") == "class", 0).otherwise(1).alias("k"), "kind")).alias("b"))
@@ -59,7 +97,11 @@ def inheritance_chain(bases: DataFrame, base_names: DataFrame, child: str) -> Da
 
 def linearize(handle: str, bases: dict[str, list[str]]) -> list[str]:
     """C3: the class, then the merge of its bases' orders and its bases; what can't be merged follows as it stands."""
+    held: dict[str, list[str]] = {}
+
     def order(name: str, path: frozenset[str]) -> list[str]:
+        if name in held:
+            return held[name]
         own = [b for b in bases.get(name, []) if b not in path]
         queues = [q for q in [*(order(b, path | {b}) for b in own), own[:]] if q]
         out = [name]
@@ -70,7 +112,10 @@ def linearize(handle: str, bases: dict[str, list[str]]) -> list[str]:
                 break
             out.append(head)
             queues = [r for r in ([n for n in q if n != head] for q in queues) if r]
-        return list(dict.fromkeys(out))
+        out = list(dict.fromkeys(out))
+        if len(own) == len(bases.get(name, [])):  # not cut short by a circle on the way here
+            held[name] = out
+        return out
 
     return order(handle, frozenset({handle}))
 

@@ -56,6 +56,11 @@ def top(stats: DataFrame, column: str, k: int = 5) -> DataFrame:
     return stats.orderBy(F.desc(column), "name").limit(k).select("name", column)
 
 
+def as_json(stats: DataFrame) -> DataFrame:
+    """(name, json): a metric as a JSON document."""
+    return stats.select("name", F.to_json(F.struct(*[F.col(c) for c in stats.columns])).alias("json"))
+
+
 def prometheus(stats: DataFrame, prefix: str = "graphloom") -> DataFrame:
     """(name, ord, line): four sample lines a metric in the text exposition format."""
     safe = F.translate("name", ".-", "__")
@@ -78,6 +83,7 @@ def error_patterns(calls: DataFrame, by: str = "key", burst: int = 10, seconds:
     key are ranked."""
     latest = calls.groupBy(by).agg(F.max(F.when(F.col("error").isNull(), F.col("seq"))).alias("_ok"), F.count("error").alias("errors"))
     errors = calls.where("error IS NOT NULL")
+    # the keys that end in a success have none; only the errors of the others are joined, to a row a key
     since = errors.join(latest.select(by, "_ok"), by).where(F.col("_ok").isNull() | (F.col("seq") > F.col("_ok"))).groupBy(by).agg(F.count("*").alias("consecutive"))
     last = errors.withColumn("_r", F.row_number().over(Window.partitionBy(by).orderBy(F.desc("seq")))).where(F.col("_r") <= burst)
     span = last.groupBy(by).agg(F.count("*").alias("_n"), (F.max(F.when(F.col("_r") == 1, F.unix_micros(F.to_timestamp("ts")))) - F.min(F.when(F.col("_r") == burst, F.unix_micros(F.to_timestamp("ts"))))).alias("_us"))

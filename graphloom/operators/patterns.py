@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.code import of
+from ..sources.code import UNIT, of
 
 #: Extension packages that the web pattern knows.
 FLASK_EXTENSIONS = (
-    "flask_sqlalchemy", "flask_login", "flask_wtf", "flask_migrate", "flask_mail", "flask_restful", "flask_cors", "flask_jwt_extended",
-    "flask_socketio", "flask_caching", "flask_limiter", "flask_admin",
+    "flask_sqlalchemy", "flask_migrate", "flask_login", "flask_wtf", "flask_cors", "flask_mail", "flask_restful", "flask_marshmallow",
+    "flask_jwt_extended", "flask_socketio", "flask_admin", "flask_limiter",
 )
 PYDANTIC_BASES = ("BaseModel", "BaseSettings", "RootModel")
 VALIDATORS = ("validator", "field_validator", "root_validator", "model_validator")
@@ -78,7 +78,7 @@ def django_models(facts: DataFrame) -> DataFrame:
 def django_views(facts: DataFrame) -> DataFrame:
     """In views.py: functions whose first parameter is request, classes with a base whose name holds View."""
     here = F.col("file").rlike(r"(^|/)views\.py$")
-    f = _defs(facts, "function").where(here & F.startswith(F.element_at("items", 1), F.lit("request|"))).select("name", "file", "line", F.lit("function").alias("view"))
+    f = _defs(facts, "function").where(here & F.startswith(F.element_at("items", 1), F.lit("request" + UNIT))).select("name", "file", "line", F.lit("function").alias("view"))
     c = _with_base(facts, F.contains("base", F.lit("View"))).where(here).select("name", "file", "line", F.lit("class").alias("view")).distinct()
     return f.unionByName(c)
 
@@ -103,6 +103,30 @@ def pydantic_validators(facts: DataFrame) -> DataFrame:
     return v.select("name", "file", "line", "decorator", F.col("args").alias("fields"), F.coalesce("mode", F.lit("after")).alias("mode"))
 
 
+def model_schema(facts: DataFrame, model: str) -> DataFrame:
+    """The schema of the models of one simple name: fields, required and optional ones, validators (method names by source
+    order), computed fields and the style of its settings; no row if there is no such model."""
+    m = pydantic_models(facts).where(F.col("name") == model).select(F.col("full_name").alias("_m"), F.col("name").alias("model"), "file", "fields", "required", "optional")
+    inside = _decorated(facts).withColumn("_m", F.regexp_replace("full_name", r"\.[^.]*$", ""))
+    pick = lambda *names: F.array_sort(F.collect_set(F.when(F.col("decorator").isin(*names), F.struct("line", "name"))))
+    d = inside.groupBy("_m").agg(pick(*VALIDATORS).alias("_v"), pick("computed_field", "property").alias("_c"))
+    c = pydantic_config(facts).groupBy(F.col("model").alias("_m")).agg(F.max("style").alias("config"))
+    out = m.join(d, "_m", "left").join(c, "_m", "left")
+    none = F.array().cast("array<string>")
+    named = lambda x: F.coalesce(F.transform(x, lambda y: y["name"]), none)
+    return out.select("model", "file", "fields", "required", "optional", named("_v").alias("validators"), named("_c").alias("computed_fields"), "config")
+
+
+def flask_templates(facts: DataFrame, files: DataFrame) -> DataFrame:
+    """One row: templates, (name, file) of the template files of files(file) below a templates folder, and render_calls,
+    (template, file, line) of render_template with a constant name, both by file. It wraps two lists into one result, so
+    it is as large as they are: ask the two parts by themselves for large projects."""
+    name = F.regexp_extract("file", r"(?:^|/)templates/(.+\.(?:html|jinja2))$", 1)
+    here = files.select(F.struct("file", name.alias("name")).alias("t")).where("t.name <> ''").agg(F.array_sort(F.collect_list("t")).alias("templates"))
+    calls = template_calls(facts).select(F.struct("file", "line", F.col("name").alias("template")).alias("c")).agg(F.array_sort(F.collect_list("c")).alias("render_calls"))
+    return here.crossJoin(calls)  # each side is one row
+
+
 def pydantic_field_validators(facts: DataFrame) -> DataFrame:
     return pydantic_validators(facts).where(F.col("decorator").isin("validator", "field_validator"))
 

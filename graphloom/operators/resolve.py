@@ -7,7 +7,7 @@ import re
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import reexport_statements
+from ..functions.scalar import parent, reexport_statements
 from ..plans.checkpoints import cut
 
 HOPS = 20
@@ -90,10 +90,30 @@ def resolve_at(positions: DataFrame, occurrences: DataFrame) -> DataFrame:
     return tight.select("file", "line", "column", F.col("b.handle").alias("handle"))
 
 
-def resolve(identifier: str, nodes: DataFrame, defs: DataFrame, canonical_names: DataFrame, occurrences: DataFrame | None = None) -> DataFrame:
+def namespace_anchor(names: DataFrame, spaces: DataFrame) -> DataFrame:
+    """(name, handle, file) of names (name) that are top-level namespace packages of spaces(namespace, roots): anchored at
+    the first root's directory of that name. Only names of which no match has a file may ask."""
+    here = F.concat_ws("/", F.element_at("roots", 1), "namespace")
+    return names.join(spaces.select(F.col("namespace").alias("name"), here.alias("file")), "name").select("name", F.col("name").alias("handle"), "file")
+
+
+def external_names(names: DataFrame, stubs: DataFrame) -> DataFrame:
+    """(name, handle, kind) of dotted names (name) that a stub table of installed packages knows: stubs(module, leaf, target,
+    kind) says what `leaf` means in `module`, target being its own definition, or null if it is defined there."""
+    asked = names.where(F.instr("name", ".") > 0).select("name", parent(F.col("name")).alias("module"), F.substring_index("name", ".", -1).alias("leaf"))
+    hit = asked.join(stubs, ["module", "leaf"])
+    best = hit.groupBy("name").agg(F.min(F.struct(F.coalesce("target", "name").alias("handle"), "kind")).alias("b"))
+    return best.select("name", "b.handle", "b.kind")
+
+
+def resolve(
+    identifier: str, nodes: DataFrame, defs: DataFrame, canonical_names: DataFrame, occurrences: DataFrame | None = None, spaces: DataFrame | None = None, stubs: DataFrame | None = None
+) -> DataFrame:
     """One row: found, ambiguous, handle, candidates, reason. Forms by priority: path:line, path, dotted name, bare name.
 
-    A line is asked at the column of the name it defines, if it defines one, else at its first occurrence."""
+    A line is asked at the column of the name it defines, if it defines one, else at its first occurrence, else at what
+    stands at column 0. A dotted name that the project doesn't define is looked up in the stub table, a bare name of
+    which no match has a file among the namespace packages."""
     spark = nodes.sparkSession
     schema = "found boolean, ambiguous boolean, handle string, candidates array<string>, reason string"
     m = re.fullmatch(r"(.+):(\d+)", identifier)
@@ -106,11 +126,22 @@ def resolve(identifier: str, nodes: DataFrame, defs: DataFrame, canonical_names:
             here = nodes.where((F.col("file") == path) & (F.col("line_start") == int(m[2])) & (F.col("kind") != "module")).orderBy("handle").select("handle").limit(1).collect()
             if not here and occurrences is not None:
                 here = occurrences.where((F.col("file") == path) & (F.col("line") == int(m[2]))).orderBy("col_start", "handle").select("handle").limit(1).collect()
+            if not here and occurrences is not None:
+                at = spark.createDataFrame([(path, int(m[2]), 0)], "file string, line int, column int")
+                here = resolve_at(at, occurrences).where("handle IS NOT NULL").select("handle").collect()
             return spark.createDataFrame([(bool(here), False, here[0][0] if here else None, None, None if here else "unresolved")], schema)
         return spark.createDataFrame([(bool(module), False, module[0][0] if module else None, None, None if module else "unresolved")], schema)
     if "." in identifier:
         hit = nodes.where(F.col("handle") == identifier).select("handle").union(canonical_names.where(F.col("alias") == identifier).select("handle")).limit(1).collect()
+        if not hit and stubs is not None:
+            hit = external_names(spark.createDataFrame([(identifier,)], "name string"), stubs).select("handle").collect()
         return spark.createDataFrame([(bool(hit), False, hit[0][0] if hit else None, None, None if hit else "unresolved")], schema)
+    if spaces is not None:
+        ask = spark.createDataFrame([(identifier,)], "name string")
+        filed = defs.where(F.col("name") == identifier).select(F.col("full_name").alias("handle")).join(nodes.where("file IS NOT NULL AND file <> ''"), "handle", "left_semi")
+        anchored = namespace_anchor(ask, spaces).select("handle").limit(1).collect()
+        if anchored and filed.isEmpty():
+            return spark.createDataFrame([(True, False, anchored[0][0], None, None)], schema)
     row = bare_names(spark.createDataFrame([(identifier,)], "name string"), defs, nodes).first()
     names = [r["handle"] for r in candidates(identifier, defs, nodes).collect()] if row["ambiguous"] else None
     return spark.createDataFrame([(row["found"], row["ambiguous"], row["handle"], names, row["reason"])], schema)
@@ -122,7 +153,7 @@ def edge_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     n = edges.groupBy(F.col("src").alias("handle")).agg(*[F.count_if(F.col("kind") == k).alias(f"_{k}") for k in ("members", "submodules", "superclasses", "callees")])
     out = nodes.join(n, "handle", "left")
     gate = {"members": ("class", "module"), "submodules": ("package",), "superclasses": ("class",), "callees": ("function", "method")}
-    is_package = F.col("_submodules") > 0 if "is_package" not in nodes.columns else F.col("is_package")
+    is_package = F.col("_submodules") > 0 if "is_package" not in nodes.columns else F.coalesce("is_package", F.col("_submodules") > 0)
     cols = []
     for k, kinds in gate.items():
         has = F.coalesce(is_package, F.lit(False)) if k == "submodules" else F.col("kind").isin(*kinds)
@@ -130,25 +161,98 @@ def edge_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return out.select("handle", "kind", *cols)
 
 
-def inspect(nodes: DataFrame, edges: DataFrame, exports: DataFrame, handle: str) -> DataFrame:
+#: What a node of a kind has beside what every node has; other kinds have null there.
+KIND_FIELDS = {
+    "superclasses": ("class",), "signature": ("class", "function", "method"), "parameters": ("function", "method"), "return_type": ("function", "method"),
+    "is_async": ("function", "method"), "is_classmethod": ("function", "method"), "is_staticmethod": ("function", "method"), "is_package": ("module",), "package": ("module",),
+    "type": ("attribute", "property", "variable"), "default": ("attribute", "variable"),
+}
+
+
+def details(nodes: DataFrame, bases: DataFrame, type_refs: DataFrame) -> DataFrame:
+    """nodes with the fields of their kind (KIND_FIELDS). bases(owner, dst, target, ord): a class's declared bases, those
+    that don't resolve as they are written; type_refs(owner, name, path, raw, handle) of annotations.
+
+    parameters is an array of (name, kind, type, default), type the annotation's text; return_type and an attribute's
+    type are arrays of (path, raw, handle), the annotation first and its arguments below it."""
+    unit = "\x1f"
+    field = lambda p, i: F.nullif(F.element_at(F.split(p, unit), i), F.lit(""))
+    parameter = lambda p: F.struct(field(p, 1).alias("name"), field(p, 2).alias("kind"), field(p, 3).alias("type"), field(p, 4).alias("default"))
+    up = bases.groupBy(F.col("owner").alias("_o")).agg(F.array_sort(F.collect_list(F.struct("ord", F.coalesce("dst", "target", "name").alias("h")))).alias("_b"))
+    tree = F.array_sort(F.collect_list(F.struct("path", "raw", "handle")))
+    back = type_refs.where("name = 'return'").groupBy(F.col("owner").alias("_r")).agg(tree.alias("_return"))
+    own = type_refs.where("name <> 'return'").groupBy(F.concat_ws(".", "owner", "name").alias("_t")).agg(tree.alias("_type"))
+    out = nodes.withColumnRenamed("type", "_text") if "type" in nodes.columns else nodes
+    out = out.join(up, F.col("handle") == F.col("_o"), "left").join(back, F.col("handle") == F.col("_r"), "left").join(own, F.col("handle") == F.col("_t"), "left")
+    made = {
+        "superclasses": F.coalesce(F.transform("_b", lambda x: x["h"]), F.array().cast("array<string>")), "parameters": F.coalesce(F.transform("parameters", parameter), F.array().cast("array<struct<name:string,kind:string,type:string,default:string>>")),
+        "return_type": F.col("_return"), "type": F.col("_type"), "package": parent(F.col("handle")),
+    }
+    for name, kinds in KIND_FIELDS.items():
+        out = out.withColumn(name, F.when(F.col("kind").isin(*kinds), made.get(name, F.col(name) if name in out.columns else F.lit(None))))
+    return out.drop("_o", "_b", "_r", "_return", "_t", "_type", "_text")
+
+
+def inspect(nodes: DataFrame, edges: DataFrame, exports: DataFrame, handle: str, bases: DataFrame | None = None, type_refs: DataFrame | None = None) -> DataFrame:
     """One row for any handle: the node with its counts and re-exports (null for modules, an empty array if there are
-    none); an unknown handle gives a minimal external variable."""
+    none), and with bases and type_refs the fields of its kind; an unknown handle gives a minimal external variable."""
     spark = nodes.sparkSession
     ask = spark.createDataFrame([(handle,)], "handle string")
     node = nodes.where(F.col("handle") == handle)
     counts = edge_counts(node, edges.where(F.col("src") == handle)).drop("kind")
+    if bases is not None and type_refs is not None:
+        mine = (F.col("owner") == handle) | (F.concat_ws(".", "owner", "name") == handle)
+        node = details(node, bases.where(F.col("owner") == handle), type_refs.where(mine))
     found = ask.join(node, "handle", "left").join(counts, "handle", "left").join(exports.where(F.col("handle") == handle), "handle", "left")
     known = F.col("kind").isNotNull()
     none = F.array().cast("array<string>")
     return found.withColumn("re_exports", F.when(known & (F.col("kind") != "module"), F.coalesce("re_exports", none))).withColumn("kind", F.coalesce("kind", F.lit("variable"))).withColumn("scope", F.coalesce("scope", F.lit("external")))
 
 
-def find_symbol(defs: DataFrame, name: str, fuzzy: bool = False) -> DataFrame:
-    """Definitions by exact name, or by a case-sensitive substring; `A.b` asks for member b of a parent named A. One row
-    for each (full name, file, line)."""
-    if "." in name and not fuzzy:
+def type_info(positions: DataFrame, occurrences: DataFrame, nodes: DataFrame, bases: DataFrame, members: DataFrame) -> DataFrame:
+    """What stands at positions(file, line, column): the definition's handle, name, kind, module and docstring, and for a
+    class its base_classes, mro (ending in builtins.object), methods and attributes, by name. Null where nothing is.
+
+    bases(owner, dst, target, name, ord), members(src, dst, ord). Names mean what they are bound to: types that only
+    inference would tell aren't given."""
+    from .hierarchy import resolution_orders
+
+    at = resolve_at(positions, occurrences)
+    about = nodes.select("handle", F.substring_index("handle", ".", -1).alias("name"), "kind", "docstring", parent(F.col("handle")).alias("module_name"))
+    named = bases.select(F.col("owner").alias("child"), "ord", F.coalesce("dst", "target", "name").alias("parent"))
+    up = named.groupBy(F.col("child").alias("handle")).agg(F.array_sort(F.collect_list(F.struct("ord", "parent"))).alias("_b")).select("handle", F.transform("_b", lambda x: x["parent"]).alias("_bases"))
+    order = resolution_orders(named).groupBy("handle").agg(F.array_sort(F.collect_list(F.struct("ord", "name"))).alias("_o")).select("handle", F.transform("_o", lambda x: x["name"]).alias("_mro"))
+    kinds = members.where("kind = 'members'").select(F.col("src").alias("handle"), F.col("dst").alias("_d")).join(nodes.select(F.col("handle").alias("_d"), F.col("kind").alias("_k")), "_d")
+    leaf = F.substring_index("_d", ".", -1)
+    own = kinds.groupBy("handle").agg(F.array_sort(F.collect_set(F.when(F.col("_k") == "method", leaf))).alias("_m"), F.array_sort(F.collect_set(F.when(F.col("_k").isin("attribute", "property"), leaf))).alias("_a"))
+    out = at.join(about, "handle", "left").join(up, "handle", "left").join(order, "handle", "left").join(own, "handle", "left")
+    cls, none = F.col("kind") == "class", F.array().cast("array<string>")
+    mro = F.concat(F.array_remove(F.coalesce("_mro", F.array("handle")), "object"), F.array(F.lit("builtins.object")))
+    return out.select(
+        "file", "line", "column", "handle", "name", "kind", "module_name", "docstring", F.when(cls, F.coalesce("_bases", none)).alias("base_classes"), F.when(cls, F.array_distinct(mro)).alias("mro"),
+        F.when(cls, F.coalesce("_m", none)).alias("methods"), F.when(cls, F.coalesce("_a", none)).alias("attributes"),
+    )
+
+
+def find_symbol(defs: DataFrame, name: str, fuzzy: bool = False, roots: DataFrame | None = None, names: DataFrame | None = None) -> DataFrame:
+    """Definitions by exact name, or by a case-sensitive substring; `A.b` asks for member b of a parent named A (fuzzy: both
+    by substring). One row for each (full name, file, line). roots(root) narrows to files below one of them; names
+    (alias, handle) adds import_paths, every statement that imports the symbol, its own module's first."""
+    if roots is not None:
+        # a file is below a root if one of its own folders is that root: an equi-join, not a comparison with every root
+        steps = F.split("file", "/")
+        above = F.transform(F.sequence(F.lit(1), F.size(steps)), lambda k: F.array_join(F.slice(steps, F.lit(1), k), "/"))
+        inside = defs.select("file").distinct().select("file", F.explode(above).alias("_up")).join(roots.select(F.col("root").alias("_up")), "_up", "left_semi")
+        defs = defs.join(inside.select("file").distinct(), "file", "left_semi")
+    if names is not None:
+        found = find_symbol(defs, name, fuzzy).withColumnRenamed("full_name", "handle")
+        return with_import_paths(found, names).withColumnRenamed("handle", "full_name")
+    if "." in name:
         head, last = name.rsplit(".", 1)
-        hit = defs.where((F.col("name") == last) & (F.col("parent").isNotNull()) & ((F.col("parent") == head) | F.endswith("parent", F.lit("." + head))))
+        if fuzzy:
+            hit = defs.where(F.contains("name", F.lit(last)) & F.contains("parent", F.lit(head)))
+        else:
+            hit = defs.where((F.col("name") == last) & (F.col("parent").isNotNull()) & ((F.col("parent") == head) | F.endswith("parent", F.lit("." + head))))
     else:
         hit = defs.where(F.contains("name", F.lit(name)) if fuzzy else F.col("name") == name)
     first = Window.partitionBy("full_name", "file", "line").orderBy("column")

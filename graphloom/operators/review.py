@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import handle_set, non_issue_key, normal_claim
+from ..functions.scalar import handle_set, non_issue_key, normal_claim, prefixes
 
 TIERS = {"ambiguous": 0, "deterministic_single": 1, "mechanical_fact": 1, "no_signal": 2}
 BUCKETS = {"high": 2, "med": 1, "low": 0}
@@ -70,6 +70,13 @@ def cross_derivation_guard(findings: DataFrame, corroborated: DataFrame) -> Data
     return out.withColumn("possible_extractor_bug", F.when(diverges, F.lit(True))).withColumn("grade", F.when(diverges, DOWNGRADE).otherwise(F.col("grade"))).drop("_i")
 
 
+def corroborated_by_imports(findings: DataFrame, written: DataFrame) -> DataFrame:
+    """(id) of findings(id, module, target) that module imports target, which the statements themselves confirm:
+    written(module, name), or a name below it. For cross_derivation_guard."""
+    spelled = written.select(F.col("module").alias("_m"), F.explode(prefixes(F.col("name"))).alias("_n")).distinct()
+    return findings.join(spelled, (F.col("module") == F.col("_m")) & (F.col("target") == F.col("_n")), "left_semi").select("id").distinct()
+
+
 def non_issues(findings: DataFrame) -> DataFrame:
     return findings.select("id", "handles", F.col("claim").alias("structural_fact"), non_issue_key(F.col("handles"), F.col("claim")).alias("key"))
 

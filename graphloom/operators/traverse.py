@@ -22,6 +22,11 @@ class Expanded:
     unsupported: str | None = None
     unresolved_call_sites: DataFrame | None = None
     unresolved_imports: DataFrame | None = None
+    transitive_hint: str | None = None
+
+
+#: What expand says beside the direct subclasses of a class.
+TRANSITIVE_HINT = "these are direct subclasses; trace from the class along subclasses for all of them"
 
 
 def neighbours(nodes: DataFrame, edges: DataFrame, kind: str, sources: DataFrame | None = None) -> DataFrame:
@@ -33,20 +38,22 @@ def neighbours(nodes: DataFrame, edges: DataFrame, kind: str, sources: DataFrame
 
 
 def expand(nodes: DataFrame, edges: DataFrame, unresolved: DataFrame, handle: str, edge: str) -> Expanded:
-    """One hop. The status of the edge is judged before the handle is looked up; an unknown handle gives no stubs; a
-    handle of a kind that doesn't have the edge is refused for module edges and gives no stubs for the others."""
+    """One hop. The status of the edge is judged before the handle is looked up; an unknown handle gives no stubs, 0
+    unresolved call sites and, as its imports weren't measured, no list of unresolved ones; a handle of a kind that doesn't have the edge is refused for module edges and gives no stubs for the others."""
     if status(edge) != "implemented":
         return Expanded(None, status(edge))
-    if edge in MODULE_ONLY:
-        known = nodes.where(F.col("handle") == handle).select("kind").limit(1).collect()
-        if known and known[0][0] != "module":
-            return Expanded(None, "wrong_kind")
+    known = nodes.where(F.col("handle") == handle).select("kind").limit(1).collect()
+    kind = known[0][0] if known else None
+    if edge in MODULE_ONLY and kind not in (None, "module"):
+        return Expanded(None, "wrong_kind")
     e = edges.where((F.col("src") == handle) & (F.col("kind") == edge)).select("dst", "ord")
-    out = Expanded(e.join(nodes, e["dst"] == nodes["handle"]).drop("dst").orderBy("ord"))
+    out = Expanded(e.join(nodes, e["dst"] == nodes["handle"]).drop("dst").orderBy("ord", "handle"))
+    if edge == "subclasses" and kind == "class":
+        out.transitive_hint = TRANSITIVE_HINT
     mine = unresolved.where((F.col("src") == handle) & (F.col("edge") == edge))
     if edge == "callees":
         out.unresolved_call_sites = mine.agg(F.count("*").alias("unresolved_call_sites"))
-    elif edge == "imports":
+    elif edge == "imports" and kind:  # not measured for what isn't a parsed module
         out.unresolved_imports = mine.select("target").distinct().orderBy("target")
     return out
 
@@ -113,51 +120,66 @@ def trace(nodes: DataFrame, edges: DataFrame, unresolved: DataFrame, start: list
     )
 
 
-def outline(nodes: DataFrame, edges: DataFrame, root: str, max_depth: int = 2, max_nodes: int = 200, kind: str = "members") -> DataFrame:
+def outline(nodes: DataFrame, edges: DataFrame, root: str, max_depth: int | None = None, max_nodes: int = 200, kind: str | None = None) -> DataFrame:
     """Budgeted tree walk, flat: (ord, parent, depth, handle, node_kind, scope, truncated, truncation_reason, member_count,
-    leaf).
-
-    A level is fetched by one join and folded in resolver order: a node whose members don't fit the budget is cut whole
-    and uses nothing up, so a later one may still fit; that fold is sequential. A tree walk doesn't drop handles that
-    it met before. The walk holds at most max_nodes nodes and, for each of them, the number of its members; only the
-    members of nodes that are let in are fetched.
+    leaf, place).
+
+    A package root is surveyed: the walk follows submodules, plain modules are leaves, and without a depth one level is
+    shown. Any other root is walked by members, to the end. `kind` asks for one of the two. A level is fetched by one
+    join, with the number of members of each of its nodes, and folded in resolver order (ord): a node whose members
+    don't fit the budget is cut whole and uses nothing up, so a later one may still fit; that fold is sequential. place
+    is a node's place among its siblings as they are shown, by first line and handle. A tree walk doesn't drop handles
+    that it met before. The walk holds at most max_nodes nodes; only members of nodes that are let in are fetched.
     """
     spark = nodes.sparkSession
-    e = edges.where(F.col("kind") == kind).select("src", "dst", "ord")
-    first = nodes.where(F.col("handle") == root).select("handle", "kind", "scope").first()
+    about = [c if c in nodes.columns else F.lit(None).cast(t).alias(c) for c, t in (("is_package", "boolean"), ("line_start", "int"))]
+    known = nodes.select("handle", F.col("kind").alias("node_kind"), "scope", *about)
+    first = known.where(F.col("handle") == root).first()
     if first is None:
         return spark.createDataFrame([], _OUTLINE)
-    rows = [{"ord": 0, "parent": None, "depth": 0, "handle": root, "node_kind": first["kind"], "scope": first["scope"]}]
-    level = rows[:]
+    if kind is None:
+        survey = first["is_package"] or (first["is_package"] is None and first["node_kind"] == "module" and not edges.where((F.col("kind") == "submodules") & (F.col("src") == root)).isEmpty())
+        kind = "submodules" if survey else "members"
+        max_depth = 1 if survey and max_depth is None else max_depth
+    e = edges.where(F.col("kind") == kind).select("src", "dst", "ord").join(known.select(F.col("handle").alias("dst")), "dst", "left_semi")
+
+    def with_sizes(level: DataFrame) -> list:
+        sizes = e.join(level.select(F.col("handle").alias("src")).distinct(), "src", "left_semi").groupBy(F.col("src").alias("handle")).agg(F.count("*").alias("n"))
+        return level.join(sizes, "handle", "left").orderBy("_at", "_ord", "handle").collect()
+
+    level = with_sizes(known.where(F.col("handle") == root).limit(1).withColumn("_at", F.lit(None).cast("long")).withColumn("_ord", F.lit(0).cast("long")))
+    rows: list[dict] = []
+    depth = 0
     while level:
-        frontier = spark.createDataFrame([(r["ord"], r["handle"]) for r in level], "_at long, src string")
-        sizes = {r["_at"]: r["n"] for r in frontier.join(e.select("src", "dst").join(nodes.select(F.col("handle").alias("dst")), "dst", "left_semi"), "src").groupBy("_at").agg(F.count("*").alias("n")).collect()}
-        admitted = []
-        total = len(rows)
+        begin = len(rows)
         for r in level:
-            k = sizes.get(r["ord"], 0)
-            why = None
-            if r["node_kind"] in ("class", "module", "package"):
-                if r["scope"] == "external" and r["depth"] >= 1:
+            rows.append({"ord": len(rows), "parent": r["_at"], "depth": depth, "handle": r["handle"], "node_kind": r["node_kind"], "scope": r["scope"], "line": r["line_start"] or 0, "place": 0})
+        admitted, total = [], len(rows)
+        for r, row in zip(level, rows[begin:]):
+            k, why = r["n"] or 0, None
+            if row["node_kind"] in ("class", "module", "package") and (kind == "members" or r["is_package"] is not False):
+                if total >= max_nodes:
+                    why = "max_nodes" if k else None
+                elif row["scope"] == "external" and depth >= 1:
                     why = "external"
-                elif r["depth"] >= max_depth:
+                elif max_depth is not None and depth >= max_depth:
                     why = "max_depth" if k else None
                 elif k and total + k > max_nodes:
                     why = "max_nodes"
                 elif k:
                     total += k
-                    admitted.append(r["ord"])
-            r |= {"truncated": True if why else None, "truncation_reason": why, "member_count": k if why == "max_nodes" else None, "leaf": not why and r["ord"] not in set(admitted)}
+                    admitted.append(row)
+            let = bool(admitted) and admitted[-1] is row
+            row |= {"truncated": True if why else None, "truncation_reason": why, "member_count": k if why == "max_nodes" else None, "leaf": not why and not let}
         if not admitted:
             break
-        let = spark.createDataFrame([(o,) for o in admitted], "_at long")
-        of = {r["ord"]: r for r in level}
-        children = frontier.join(let, "_at").join(e, "src").join(nodes.select(F.col("handle").alias("dst"), F.col("kind").alias("node_kind"), "scope"), "dst")
-        level = []
-        for c in children.orderBy("_at", "ord", "dst").collect():
-            level.append({"ord": len(rows), "parent": c["_at"], "depth": of[c["_at"]]["depth"] + 1, "handle": c["dst"], "node_kind": c["node_kind"], "scope": c["scope"]})
-            rows.append(level[-1])
+        frontier = spark.createDataFrame([(r["ord"], r["handle"]) for r in admitted], "_at long, src string")
+        level = with_sizes(frontier.join(e, "src").select("_at", F.col("ord").alias("_ord"), F.col("dst").alias("handle")).join(known, "handle"))
+        depth += 1
+    seen: dict = {}
+    for r in sorted(rows, key=lambda r: (r["line"], r["handle"])):
+        r["place"] = seen[r["parent"]] = seen.get(r["parent"], -1) + 1
     return spark.createDataFrame([tuple(r.get(f.split()[0]) for f in _OUTLINE.split(", ")) for r in rows], _OUTLINE)
 
 
-_OUTLINE = "ord long, parent long, depth int, handle string, node_kind string, scope string, truncated boolean, truncation_reason string, member_count long, leaf boolean"
+_OUTLINE = "ord long, parent long, depth int, handle string, node_kind string, scope string, truncated boolean, truncation_reason string, member_count long, leaf boolean, place int"

@@ -1,22 +1,34 @@
-"""Reliable cuts of lineage for iterative plans."""
+"""Reliable cuts of lineage: tables written to the folder that driver and executors share, and read again."""
 
 from __future__ import annotations
 
 import atexit
 import shutil
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """checkpoint() in the folder that the session names in spark.checkpoint.dir; a temporary one only where none is set."""
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        at = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not at:
-            local = tempfile.mkdtemp(prefix="graphloom-")
-            atexit.register(shutil.rmtree, local, ignore_errors=True)
-            at = f"file://{local}"
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir of the session. Only where none is named and the master is local does a temporary folder take
+    its place; on a cluster that is an error, as executors would write where the driver can't read."""
+    sc = spark.sparkContext
+    held = sc._jsc.sc().getCheckpointDir()
+    at = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None) or (held.get() if held.isDefined() else None)
+    if not at:
+        if not (sc.master or "").startswith("local") or (sc.master or "").startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        local = tempfile.mkdtemp(prefix="graphloom-")
+        atexit.register(shutil.rmtree, local, ignore_errors=True)
+        at = f"file://{local}"
         sc.setCheckpointDir(at)
-    return df.checkpoint()
+    return at
+
+
+def cut(df: DataFrame, name: str = "cut", partition_by: tuple[str, ...] = ()) -> DataFrame:
+    """df computed once, as Parquet in the shared folder. Files stay until that folder is cleared."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.partitionBy(*partition_by).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

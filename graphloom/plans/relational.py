@@ -7,11 +7,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import sanitize_name
+from .checkpoints import cut
 
 #: Only such parts can be resolved: the declared rule that makes unresolved call sites.
 RESOLVABLE = "p_size > 25"
-#: What counts as an import between nations.
-IMPORTING = "l_quantity = 50 AND l_discount = 0.1"
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -95,7 +94,7 @@ def unresolved(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def nation_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(module, target): the customer's nation imports from the supplier's."""
-    l = read(spark, sf_dir, "lineitem").where(IMPORTING).select("l_orderkey", "l_suppkey")
+    l = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey")
     o = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     c, s = read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), read(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     pairs = l.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(c, F.col("o_custkey") == F.col("c_custkey")).join(s, F.col("l_suppkey") == F.col("s_suppkey")).select("c_nationkey", "s_nationkey").distinct()
@@ -127,6 +126,15 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+def graph(spark: SparkSession, sf_dir: str, *kinds) -> tuple[DataFrame, DataFrame]:
+    """nodes, and edges of the given kinds (functions of this module), each derived once and written, as a traversal reads
+    them level by level."""
+    e = None
+    for kind in kinds:
+        e = kind(spark, sf_dir) if e is None else e.unionByName(kind(spark, sf_dir))
+    return cut(nodes(spark, sf_dir), "nodes"), cut(e, "edges", ("kind",))
+
+
 def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events as metric calls: (name, key, seq, ts, duration_ms, error); a type 'error' or 'view' of odd value fails."""
     e = read(spark, sf_dir, "events")

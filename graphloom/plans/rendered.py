@@ -46,3 +46,81 @@ def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse(sources(spark, sf_dir))
+
+
+_BASE = '''class Root%1$s:
+    """Root of nation %1$s."""
+
+    count: int = %1$s
+
+    def run(self, a, /, b: int = 1, *args, c: "list[Root%1$s] | None" = None, **kw) -> "Root%1$s":
+        return self.stop()
+
+    @staticmethod
+    def stop():
+        return make%1$s()
+
+
+class Left%1$s(Root%1$s):
+    pass
+
+
+class Right%1$s(Root%1$s):
+    async def run(self):
+        self.stop()
+
+
+class Base%1$s(Left%1$s, Right%1$s):
+    def __init__(self, size: int, name="x"):
+        self.size = size
+
+
+def make%1$s():
+    return Base%1$s(1)
+'''
+_ITEM = '''import os
+import missing_%3$s
+from . import base
+from .base import Base%2$s as Own, make%2$s
+from shop.n%4$s import Base%4$s
+
+
+class Item%1$s(Own, Base%4$s):
+    limit = %1$s
+
+
+class Problem%1$s(Exception):
+    @classmethod
+    def of(cls, item: Item%1$s, others: dict[str, Item%1$s] = {}) -> Own:
+        make%2$s()
+        base.make%2$s()
+        os.getcwd()
+        return cls.of(item)
+
+
+def use%1$s(x: int = len("a")):
+    return Item%1$s(x)
+'''
+
+
+def project(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(module, file, content) of a project with packages, namespace packages, re-exports, diamonds and relative imports:
+    a package a nation, with a module of base classes and a module a supplier."""
+    n, k = F.col("n_nationkey").cast("string"), F.col("s_suppkey").cast("string")
+    nation = read(spark, sf_dir, "nation").select("n_nationkey")
+    rows = lambda df, module, file, text: df.select(module.alias("module"), file.alias("file"), text.alias("content"))
+    here = F.concat(F.lit("/p/shop/n"), n)
+    out = rows(nation, F.concat(F.lit("shop.n"), n), F.concat(here, F.lit("/__init__.py")), F.format_string("from .base import Base%1$s\n", n))
+    out = out.unionByName(rows(nation, F.concat(F.lit("shop.n"), n, F.lit(".base")), F.concat(here, F.lit("/base.py")), F.format_string(_BASE, n)))
+    out = out.unionByName(rows(nation, F.concat(F.lit("space.n"), n, F.lit(".part")), F.concat(F.lit("/p/space/n"), n, F.lit("/part.py")), F.lit("VALUE = 1\n")))
+    out = out.unionByName(rows(nation.limit(1), F.lit("shop"), F.lit("/p/shop/__init__.py"), F.lit('"""Shop."""\n')))
+    out = out.unionByName(rows(nation.limit(1), F.lit("broken"), F.lit("/p/broken.py"), F.lit("import shop\ndef (:\n")))
+    s = read(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("n_nationkey"))
+    text = F.format_string(_ITEM, k, n, (F.col("s_suppkey") % 3).cast("string"), ((F.col("n_nationkey") + 1) % 25).cast("string"))
+    return out.unionByName(rows(s, F.concat(F.lit("shop.n"), n, F.lit(".s"), k), F.concat(here, F.lit("/s"), k, F.lit(".py")), text))
+
+
+def project_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    from ..sources.code import tables
+
+    return tables(parse(project(spark, sf_dir)))

@@ -35,7 +35,7 @@ m AS (
   SELECT src, 'PARTS.P' || l_partkey AS dst, min(l_linenumber::BIGINT * 4294967296 + l_partkey) AS ord FROM sites WHERE resolvable GROUP BY src, l_partkey
 ), imp AS (
   SELECT DISTINCT a.module, b.module AS target FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey
-    JOIN m a ON c_nationkey = a.n_nationkey JOIN m b ON s_nationkey = b.n_nationkey WHERE l_quantity = 50 AND l_discount = 0.1
+    JOIN m a ON c_nationkey = a.n_nationkey JOIN m b ON s_nationkey = b.n_nationkey
 ), bas AS (
   SELECT 'PARTS.P' || p_partkey AS child, 'PARTS.P' || (p_partkey // 2) AS parent, p_partkey AS ord FROM part WHERE p_partkey > 1
 ), calls AS (
@@ -178,9 +178,9 @@ allnodes AS (SELECT handle, 0 AS depth FROM start UNION ALL SELECT handle, 1 FRO
 
 
 def _wide(s, d):
-    e = g.members(s, d).unionByName(g.callees(s, d))
+    n, e = g.graph(s, d, g.members, g.callees)
     first = g.methods(s, d).select("class").distinct().orderBy(F.substring_index("class", ".C", -1).cast("long")).first()
-    return traverse.trace(g.nodes(s, d), e, g.unresolved(s, d), [first[0]] if first else [], ["members", "callees"], max_depth=2, max_nodes=100_000)
+    return traverse.trace(n, e, g.unresolved(s, d), [first[0]] if first else [], ["members", "callees"], max_depth=2, max_nodes=100_000)
 
 
 @query(_WIDE + "SELECT handle, depth FROM allnodes")
@@ -204,7 +204,7 @@ def outline_packages(s, d):
 @query("AND c AS (SELECT class AS handle FROM met ORDER BY substr(class, strpos(class, '.C') + 2)::BIGINT LIMIT 1) SELECT handle, 0 AS depth, 'class' AS node_kind, false AS leaf FROM c UNION ALL SELECT t.handle, 1, 'method', true FROM met t JOIN c ON t.class = c.handle")
 def outline_members(s, d):
     first = g.methods(s, d).select("class").distinct().orderBy(F.substring_index("class", ".C", -1).cast("long")).first()
-    return traverse.outline(g.nodes(s, d), g.members(s, d), first[0] if first else "", max_depth=3).select("handle", "depth", "node_kind", "leaf")
+    return traverse.outline(*g.graph(s, d, g.members), first[0] if first else "", max_depth=3).select("handle", "depth", "node_kind", "leaf")
 
 
 @query()
@@ -239,13 +239,15 @@ def resolve_bare(s, d):
     return resolve.bare_names(asked, _defs(s, d), _files(s, d))
 
 
-@query("SELECT region || '.ALL' AS name, module AS handle, row_number() OVER (PARTITION BY region ORDER BY module) AS place FROM m")
+@query("AND a AS (SELECT module || '.Item' AS handle, 'project' AS scope, module || '.py' AS file, n_nationkey % 3 AS line FROM m UNION ALL SELECT 'lib' || p_partkey || '.Item', 'external', 'lib.py', p_size FROM part WHERE p_size = 1) SELECT handle, row_number() OVER (ORDER BY CASE scope WHEN 'project' THEN 0 ELSE 1 END, file, line, handle) AS place FROM a")
 def resolve_ambiguous_order(s, d):
-    from pyspark.sql import Window
-
-    m = g.modules(s, d).select(F.concat("region", F.lit(".ALL")).alias("name"), F.col("module").alias("handle"), F.lit("project").alias("scope"))
-    order = Window.partitionBy("name").orderBy(F.when(F.col("scope") == "project", 0).otherwise(1), "handle")
-    return m.select("name", "handle", F.row_number().over(order).cast("long").alias("place"))
+    """What the name Item may mean, in the order that candidates come in."""
+    own = g.modules(s, d).select(F.concat("module", F.lit(".Item")).alias("handle"), F.lit("project").alias("scope"), F.concat("module", F.lit(".py")).alias("file"), (F.col("n_nationkey") % 3).cast("int").alias("line_start"))
+    lib = g.read(s, d, "part").where("p_size = 1").select(F.concat(F.lit("lib"), F.col("p_partkey").cast("string"), F.lit(".Item")).alias("handle"), F.lit("external").alias("scope"), F.lit("lib.py").alias("file"), F.col("p_size").cast("int").alias("line_start"))
+    nodes = own.unionByName(lib)
+    defs = nodes.select(F.lit("Item").alias("name"), F.col("handle").alias("full_name"))
+    rows = resolve.candidates("Item", defs, nodes).select("handle").collect()
+    return s.createDataFrame([(r[0], i + 1) for i, r in enumerate(rows)], "handle string, place long")
 
 
 @query("SELECT DISTINCT n_name AS file, l_linenumber AS line, (l_partkey % 100)::INTEGER AS \"column\", CASE WHEN l_partkey % 100 < 60 THEN 'H' || l_linenumber || '_' || (l_partkey % 100 // 20) END AS handle FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey", base=False)
@@ -266,9 +268,13 @@ def canonicalize_chain(s, d):
     return resolve.canonical(b, s.createDataFrame([("PARTS.P1",)], "handle string"))
 
 
-@query("SELECT 'PARTS.P1' AS handle, count(*) AS n, min('PARTS.P' || p_partkey) AS first_alias FROM part WHERE p_partkey > 1", base=False)
+@query("SELECT 'PARTS.P' || (p_partkey // 50 * 50) AS handle, count(*) AS n, min('PARTS.P' || p_partkey) AS first_alias FROM part WHERE p_partkey % 50 > 0 AND p_partkey > 50 GROUP BY 1", base=False)
 def re_exports(s, d):
-    return resolve.re_exports(canonicalize_chain(s, d)).select("handle", F.size("re_exports").cast("long").alias("n"), F.element_at("re_exports", 1).alias("first_alias"))
+    """Parts re-export the fiftieth before them."""
+    k = F.col("p_partkey")
+    p, home = g.read(s, d, "part").where("p_partkey > 50 AND p_partkey % 50 > 0"), g.part_handle(F.floor(k / 50).cast("long") * 50)
+    names = resolve.canonical(p.select(F.lit("PARTS").alias("module"), F.concat(F.lit("P"), k.cast("string")).alias("surface"), home.alias("target")), p.select(home.alias("handle")).distinct())
+    return resolve.re_exports(names).select("handle", F.size("re_exports").cast("long").alias("n"), F.element_at("re_exports", 1).alias("first_alias"))
 
 
 @query(
@@ -337,7 +343,7 @@ def affected_symbols(s, d):
 
 _STATS = """AND tail AS (SELECT name, duration_ms FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY seq DESC) AS r FROM calls) WHERE r <= 1000),
 ring AS (SELECT name, list_sort(list(duration_ms)) AS l FROM tail GROUP BY name),
-stats AS (SELECT name, count(*) AS n, count(error) AS errors, min(duration_ms) AS min_ms, max(duration_ms) AS max_ms, round(sum(duration_ms::DECIMAL(18, 4)), 2)::DOUBLE AS total_ms FROM calls GROUP BY name) """
+stats AS (SELECT name, count(*) AS n, count(error) AS errors, min(duration_ms) AS min_ms, max(duration_ms) AS max_ms, round((sum(duration_ms::DECIMAL(18, 4)) / count(*))::DOUBLE, 3) AS avg_ms, round(sum(duration_ms::DECIMAL(18, 4)), 2)::DOUBLE AS total_ms FROM calls GROUP BY name) """
 
 
 def _stats(s, d):
@@ -346,11 +352,11 @@ def _stats(s, d):
 
 @query(
     _STATS
-    + """SELECT name, n AS "count", errors, round(errors / (n + errors), 6) AS error_rate, min_ms, max_ms, l[least(floor(len(l) * 50 / 100), len(l) - 1)::INTEGER + 1] AS p50_ms,
+    + """SELECT name, n AS "count", errors, round(errors / (n + errors), 6) AS error_rate, avg_ms, min_ms, max_ms, l[least(floor(len(l) * 50 / 100), len(l) - 1)::INTEGER + 1] AS p50_ms,
   l[least(floor(len(l) * 95 / 100), len(l) - 1)::INTEGER + 1] AS p95_ms, l[least(floor(len(l) * 99 / 100), len(l) - 1)::INTEGER + 1] AS p99_ms, total_ms FROM stats JOIN ring USING (name)"""
 )
 def metric_percentiles(s, d):
-    return _stats(s, d).select("name", "count", "errors", F.round("error_rate", 6).alias("error_rate"), "min_ms", "max_ms", "p50_ms", "p95_ms", "p99_ms", F.round("total_ms", 2).alias("total_ms"))
+    return _stats(s, d).select("name", "count", "errors", F.round("error_rate", 6).alias("error_rate"), F.round("avg_ms", 3).alias("avg_ms"), "min_ms", "max_ms", "p50_ms", "p95_ms", "p99_ms", F.round("total_ms", 2).alias("total_ms"))
 
 
 @query(_STATS + "SELECT CASE WHEN name LIKE '%symbol%' OR name LIKE '%find%' THEN 'symbol_search' WHEN name LIKE '%cache%' THEN 'cache_operations' WHEN name LIKE '%file%' OR name LIKE '%read%' OR name LIKE '%write%' THEN 'file_operations' ELSE 'other' END AS section, count(*) AS metrics, sum(n)::BIGINT AS operations, sum(errors)::BIGINT AS errors, round(sum(total_ms), 2) AS total_ms FROM stats GROUP BY 1")
@@ -363,9 +369,12 @@ def slowest_operations(s, d):
     return metrics.top(_stats(s, d), "max_ms", 3)
 
 
-@query(_STATS + """SELECT name, 0 AS ord, 'graphloom_operation_count{operation="' || replace(name, '.', '_') || '"} ' || n AS line FROM stats""")
+@query(_STATS + """SELECT name, 0 AS ord, 'graphloom_operation_count{operation="' || replace(replace(name, '.', '_'), '-', '_') || '"} ' AS label, n::DOUBLE AS value FROM stats
+UNION ALL SELECT name, i, 'graphloom_operation_duration_ms{operation="' || replace(replace(name, '.', '_'), '-', '_') || '",quantile="0.' || q || '"} ', l[least(floor(len(l) * p / 100), len(l) - 1)::INTEGER + 1] FROM ring, (VALUES (1, '5', 50), (2, '95', 95), (3, '99', 99)) t(i, q, p)""")
 def prometheus_lines(s, d):
-    return metrics.prometheus(_stats(s, d)).where("ord = 0")
+    """All four lines of every metric, cut into label and value."""
+    x = metrics.prometheus(_stats(s, d))
+    return x.select("name", "ord", F.regexp_extract("line", r"^(.*\} )", 1).alias("label"), F.regexp_extract("line", r"\} (.*)$", 1).cast("double").alias("value"))
 
 
 @query("SELECT error, count(*) AS n FROM calls WHERE error IS NOT NULL GROUP BY error")
@@ -426,9 +435,9 @@ def debounce_sessions(s, d):
     return changes.sessions(g.read(s, d, "events"), "6 hours", "user_id")
 
 
-@query("SELECT event_type AS name, date_trunc('day', ts) AS \"start\", count(*) AS calls, count(*) FILTER (floor(value)::BIGINT % 3 = 0) AS errors, max(value) AS max_ms FROM events GROUP BY 1, 2", base=False)
+@query("SELECT event_type AS name, date_trunc('day', ts) AS \"start\", count(*) AS calls, count(*) FILTER (floor(value)::BIGINT % 3 = 0) AS errors, max(value) AS max_ms, round(sum(value::DECIMAL(18, 4)), 2)::DOUBLE AS total_ms FROM events GROUP BY 1, 2", base=False)
 def live_metrics(s, d):
-    return changes.live_metrics(g.calls(s, d), "1 day").drop("total_ms")
+    return changes.live_metrics(g.calls(s, d), "1 day").withColumn("total_ms", F.round("total_ms", 2))
 
 
 @query("SELECT user_id AS key, max(ts) AS ts FROM events GROUP BY 1 ORDER BY ts DESC, key LIMIT 10", base=False)
@@ -465,6 +474,20 @@ def rank_findings(s, d):
     return review.rank(review.blast(_findings(s, d), mag), _AXES, _PRIORS).select("id", "tier", "bucket", "blast", "prior")
 
 
+@query(
+    _FINDINGS
+    + """, b AS (SELECT id, max(p_retailprice) AS blast FROM (SELECT id, unnest(handles) AS h FROM f) JOIN part ON h = 'PARTS.P' || p_partkey GROUP BY id),
+  o AS (SELECT id, CASE grade WHEN 'ambiguous' THEN 0 WHEN 'deterministic_single' THEN 1 ELSE 2 END AS tier, CASE axis WHEN 'src0' THEN 2 WHEN 'src1' THEN 1 ELSE 0 END AS bucket, coalesce(blast, 0) AS blast,
+    CASE axis WHEN 'src0' THEN 0.9 WHEN 'src1' THEN 0.5 ELSE 0.25 END AS prior FROM f LEFT JOIN b USING (id))
+  SELECT id, row_number() OVER (ORDER BY tier, bucket DESC, blast DESC, prior DESC, id) AS place FROM o QUALIFY place <= 50"""
+)
+def top_findings(s, d):
+    """The fifty that a person sees first, in their order."""
+    mag = g.read(s, d, "part").select(g.part_handle(F.col("p_partkey")).alias("handle"), F.col("p_retailprice").alias("value"))
+    rows = review.rank(review.blast(_findings(s, d), mag), _AXES, _PRIORS).select("id").limit(50).collect()
+    return s.createDataFrame([(r[0], i + 1) for i, r in enumerate(rows)], "id long, place long")
+
+
 @query(
     _FINDINGS
     + """SELECT id, 0 AS origin FROM k WHERE id % 2 = 0 UNION ALL SELECT min(id), 1 FROM k WHERE id % 2 = 1 AND eq NOT IN (SELECT eq FROM k WHERE id % 2 = 0) GROUP BY eq"""
@@ -618,10 +641,10 @@ def find_imports(s, d):
     return catalog.find_imports(of(_facts(s, d), "import"), "pydantic").select("file", "line", "statement")
 
 
-@query("SELECT count(*) AS bases, 0::BIGINT AS resolved, 0.0::DOUBLE AS ratio FROM supplier", base=False)
+@query("SELECT bases, resolved, resolved / bases AS ratio FROM (SELECT 4 * n + 3 * s AS bases, 4 * n + 2 * s AS resolved FROM (SELECT (SELECT count(*) FROM nation) AS n, (SELECT count(*) FROM supplier) AS s))", base=False)
 def base_resolution(s, d):
-    """All rendered classes derive from an external class, which tables alone don't resolve."""
+    """Of a parsed project: bases outside it are what tables alone don't resolve."""
     from .operators import catalog
-    from .sources.code import tables as derived
+    from .plans.rendered import project_tables
 
-    return catalog.base_resolution(derived(_facts(s, d))["bases"])
+    return catalog.base_resolution(project_tables(s, d)["bases"])

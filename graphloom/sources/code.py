@@ -13,6 +13,8 @@ SCHEMA = (
     " col int, end_line int, target string, level int, flag boolean, items array<string>, text string"
 )
 _NAMES = [f.split()[0] for f in SCHEMA.replace("\n", "").split(", ")]
+#: Stands between the fields of a parameter: no annotation holds it.
+UNIT = "\x1f"
 _SCOPES = (ast.FunctionDef, ast.AsyncFunctionDef, ast.Lambda, ast.ClassDef)
 
 
@@ -30,21 +32,46 @@ def signature(node) -> str:
     return out + (f" -> {ast.unparse(node.returns)}" if node.returns else "")
 
 
+def literal(node) -> str:
+    """The text of a default that is a plain literal, else ""."""
+    if node is None:
+        return ""
+    text = ast.unparse(node)
+    try:
+        ast.literal_eval(text)
+    except (ValueError, SyntaxError, TypeError, MemoryError, RecursionError):
+        return ""
+    return text
+
+
 def parameters(node) -> list[str]:
-    """name|kind|annotation|default of each parameter."""
+    """name, kind, annotation and default of each parameter, apart by UNIT; a default that isn't a plain literal is left out."""
     a = node.args
     rows = []
-    plain = [(p, "positional_only") for p in a.posonlyargs] + [(p, "positional_or_keyword") for p in a.args]
+    plain = [(p, "positional") for p in a.posonlyargs] + [(p, "positional_or_keyword") for p in a.args]
     gap = len(plain) - len(a.defaults)
     text = lambda x: "" if x is None else ast.unparse(x)
     for i, (p, kind) in enumerate(plain):
-        rows.append((p.arg, kind, text(p.annotation), text(a.defaults[i - gap]) if i >= gap else ""))
+        rows.append((p.arg, kind, text(p.annotation), literal(a.defaults[i - gap]) if i >= gap else ""))
     if a.vararg:
         rows.append((a.vararg.arg, "var_positional", text(a.vararg.annotation), ""))
-    rows += [(p.arg, "keyword_only", text(p.annotation), text(d)) for p, d in zip(a.kwonlyargs, a.kw_defaults)]
+    rows += [(p.arg, "keyword_only", text(p.annotation), literal(d)) for p, d in zip(a.kwonlyargs, a.kw_defaults)]
     if a.kwarg:
         rows.append((a.kwarg.arg, "var_keyword", text(a.kwarg.annotation), ""))
-    return ["|".join(r) for r in rows]
+    return [UNIT.join(r) for r in rows]
+
+
+def constructor(node) -> str | None:
+    """The arguments a class takes, by its own __init__; none for a class without bases; else not known here."""
+    own = next((n for n in reversed(node.body) if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef)) and n.name == "__init__"), None)
+    if own is None:
+        return None if node.bases else "()"
+    args = ast.parse(f"def f({ast.unparse(own.args)}): 0").body[0].args
+    if args.posonlyargs or args.args:
+        (args.posonlyargs or args.args).pop(0)
+    total = len(args.posonlyargs) + len(args.args)
+    args.defaults = args.defaults[len(args.defaults) - min(len(args.defaults), total) :]
+    return f"({ast.unparse(args)})"
 
 
 def type_refs(node, at: str = "0") -> list[tuple[str, str, str]]:
@@ -115,7 +142,7 @@ def facts_of(module: str, file: str, content: str | None) -> list[dict]:
                 imports(node, top, owner)
             elif isinstance(node, ast.ClassDef):
                 full = f"{owner}.{node.name}"
-                add("def", name=node.name, full_name=full, parent=owner, kind="class", line=node.lineno, col=node.col_offset, end_line=node.end_lineno, flag=False, text=ast.get_docstring(node))
+                add("def", name=node.name, full_name=full, parent=owner, kind="class", line=node.lineno, col=node.col_offset, end_line=node.end_lineno, flag=False, target=constructor(node), text=ast.get_docstring(node))
                 for i, b in enumerate(node.bases):
                     add("base", full_name=full, name=(dotted(b) or ast.unparse(b)).split("[")[0].rpartition(".")[2], target=dotted(b if not isinstance(b, ast.Subscript) else b.value), level=i, line=node.lineno)
                 decorators(node, full)
@@ -167,7 +194,7 @@ def facts_of(module: str, file: str, content: str | None) -> list[dict]:
                 first = value.args[0].value if isinstance(value, ast.Call) and value.args and isinstance(value.args[0], ast.Constant) else None
                 add("assign", name=name, full_name=f"{owner}.{name}", parent=owner, kind=inside or "module", target=made, text=note, flag=isinstance(node, ast.AnnAssign) and value is None, line=node.lineno, items=[str(first)] if first is not None else None)
                 if "." not in name and inside in (None, "class"):
-                    add("def", name=name, full_name=f"{owner}.{name}", parent=owner, kind="variable" if inside is None else "attribute", line=node.lineno, col=t.col_offset, end_line=node.end_lineno, flag=False)
+                    add("def", name=name, full_name=f"{owner}.{name}", parent=owner, kind="variable" if inside is None else "attribute", line=node.lineno, col=t.col_offset, end_line=node.end_lineno, flag=False, target=note, items=[literal(value)] if literal(value) else None)
         if isinstance(node, ast.AnnAssign):
             refs(owner, dotted(node.target) or "?", node.annotation)
 
@@ -180,10 +207,19 @@ def facts(files: DataFrame) -> DataFrame:
     kinds = {"ord": pa.int32(), "line": pa.int32(), "col": pa.int32(), "end_line": pa.int32(), "level": pa.int32(), "flag": pa.bool_(), "items": pa.list_(pa.string())}
 
     def run(batches):
+        rows: list[dict] = []
+
+        def out():
+            made = pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], kinds.get(n, pa.string())) for n in _NAMES], names=_NAMES)
+            rows.clear()
+            return made
+
         for batch in batches:
             for m, f, c in zip(*(batch.column(x).to_pylist() for x in ("module", "file", "content"))):
-                rows = facts_of(m, f, c)
-                yield pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], kinds.get(n, pa.string())) for n in _NAMES], names=_NAMES)
+                rows += facts_of(m, f, c)
+                if len(rows) > 10_000:
+                    yield out()
+        yield out()
 
     return files.select("module", "file", "content").mapInArrow(run, SCHEMA)
 
@@ -193,18 +229,47 @@ def of(table: DataFrame, fact: str) -> DataFrame:
 
 
 def tables(table: DataFrame) -> dict[str, DataFrame]:
-    """nodes, edges and unresolved of facts, by table lookups alone.
+    """nodes, edges of all eight kinds, and unresolved of facts, by table lookups alone. The facts are written once to the
+    shared folder, by fact, so that files are parsed once however many of these tables are read.
 
     A called name is looked up as a member of its class (self.), as a name of its module, or through the module's
-    imports; what isn't found that way is counted as unresolved, never guessed."""
-    from ..functions.scalar import relative_import
+    imports; what isn't found that way is counted as unresolved, never guessed. A file that can't be parsed is no node.
+    Directories that hold modules without an __init__.py of their own are package nodes with the directory as file."""
+    from ..functions.scalar import parent, prefixes, relative_import
+    from ..operators import dependencies
     from ..operators.resolve import canonical
+    from ..plans.checkpoints import cut
 
+    table = cut(table, "facts", ("fact",))
     defs, files, imports = of(table, "def"), of(table, "file"), of(table, "import")
-    nodes = files.select(F.col("module").alias("handle"), F.lit("module").alias("kind"), "file", F.col("line").alias("line_start"), F.col("end_line").alias("line_end"), F.lit(None).cast("string").alias("signature"))
+    none = lambda kind: F.lit(None).cast(kind)
+    package = F.col("file").rlike(r"(^|/)__init__\.py$")
+    modules = files.select(
+        F.col("module").alias("handle"), F.lit("module").alias("kind"), "file", F.col("line").alias("line_start"), F.col("end_line").alias("line_end"), none("string").alias("signature"),
+        F.col("text").alias("docstring"), package.alias("is_package"), none("boolean").alias("is_async"), none("boolean").alias("is_classmethod"), none("boolean").alias("is_staticmethod"),
+        none("array<string>").alias("parameters"), none("string").alias("type"), none("string").alias("default"),
+    )
+    # one module of a name: a package before a plain file
+    modules = modules.groupBy("handle").agg(F.min_by(F.struct(*[c for c in modules.columns if c != "handle"]), F.struct(~F.col("is_package"), "file")).alias("b")).select("handle", "b.*")
+    above = files.select(F.explode(prefixes(F.col("module"))).alias("handle"), "module", "file").where("handle <> module")
+    depth = F.size(F.split("module", r"\.")) - F.size(F.split("handle", r"\.")) + package.cast("int")
+    folder = F.regexp_replace("file", F.concat(F.lit("(/[^/]*){"), depth.cast("string"), F.lit("}$")), F.lit(""))
+    spaces = above.groupBy("handle").agg(F.min(folder).alias("file")).join(modules.select("handle"), "handle", "left_anti")
+    spaces = spaces.select("handle", *[{"kind": F.lit("module"), "file": F.col("file"), "is_package": F.lit(True), "line_start": F.lit(1), "line_end": F.lit(1)}.get(f.name, none(f.dataType)).alias(f.name) for f in modules.schema.fields[1:]])
+    function, marks = F.col("kind").isin("function", "method"), of(table, "decorator").where("level = 0 AND name IN ('classmethod', 'staticmethod')")
+    marks = marks.groupBy(F.col("parent").alias("full_name"), F.col("line").alias("_at")).agg(F.max(F.col("name") == "classmethod").alias("_c"), F.max(F.col("name") == "staticmethod").alias("_s"))
+    marks = marks.groupBy("full_name").agg(F.max_by(F.struct("_c", "_s"), "_at").alias("_m"))
     # a later definition of a name replaces an earlier one
-    last = defs.groupBy(F.col("full_name").alias("handle")).agg(F.max_by(F.struct("kind", "file", F.col("line").alias("line_start"), F.col("end_line").alias("line_end"), F.col("target").alias("signature")), "ord").alias("b"))
-    nodes = nodes.unionByName(last.select("handle", "b.*")).withColumn("scope", F.lit("project"))
+    last = defs.groupBy("full_name").agg(F.max_by(F.struct("kind", "file", "line", "end_line", "target", "name", "text", "flag", "items"), "ord").alias("b")).select("full_name", "b.*").join(marks, "full_name", "left")
+    named = function | (F.col("kind") == "class")
+    held = F.col("kind").isin("variable", "attribute")
+    last = last.select(
+        F.col("full_name").alias("handle"), "kind", "file", F.col("line").alias("line_start"), F.col("end_line").alias("line_end"), F.when(named, F.concat("name", "target")).alias("signature"),
+        F.col("text").alias("docstring"), none("boolean").alias("is_package"), F.when(function, F.col("flag")).alias("is_async"),
+        F.when(function, F.coalesce("_m._c", F.lit(False))).alias("is_classmethod"), F.when(function, F.coalesce("_m._s", F.lit(False))).alias("is_staticmethod"),
+        F.when(function, F.col("items")).alias("parameters"), F.when(held, F.col("target")).alias("type"), F.when(held, F.element_at("items", 1)).alias("default"),
+    )
+    nodes = modules.unionByName(spaces).unionByName(last).withColumn("scope", F.lit("project"))
     full = relative_import(F.col("module"), F.col("target"), F.coalesce("level", F.lit(0)), F.coalesce(F.col("kind") == "package", F.lit(False)))
     imported = imports.withColumn("source", full)
     bindings = imported.where("flag AND name IS NOT NULL AND name <> '*'").select("module", F.col("full_name").alias("surface"), F.concat_ws(".", "source", "name").alias("target"))
@@ -225,16 +290,26 @@ def tables(table: DataFrame) -> dict[str, DataFrame]:
 
     called = looked_up(of(table, "call").select("module", F.col("parent").alias("owner"), "target", "ord"))
     based = looked_up(of(table, "base").select("module", F.col("full_name").alias("owner"), "target", F.col("level").alias("ord"), "name"))
+    heads = looked_up(of(table, "type_ref").select("module", F.col("parent").alias("owner"), "target", "ord", "name", F.col("full_name").alias("path"), F.col("text").alias("raw")))
     top = imported.where("flag AND (name IS NULL OR name <> '*')").withColumn("want", F.when(F.col("name").isNull(), F.col("source")).otherwise(F.concat_ws(".", "source", "name")))
     found = top.join(known.select(F.col("alias").alias("want"), F.col("handle").alias("dst")), "want", "left")
     members = defs.groupBy(F.col("parent").alias("src"), F.col("full_name").alias("dst")).agg(F.min("ord").alias("ord"))
-    edge = lambda df, kind: df.select("src", F.lit(kind).alias("kind"), "dst", F.col("ord").cast("long").alias("ord"))
+    edge = lambda df, kind, ord=None: df.select("src", F.lit(kind).alias("kind"), "dst", (F.col("ord") if ord is None else F.lit(ord)).cast("long").alias("ord"))
     edges = edge(members, "members")
-    edges = edges.unionByName(edge(members.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(0).alias("ord")), "enclosing_scope"))
+    edges = edges.unionByName(edge(members.select(F.col("dst").alias("src"), F.col("src").alias("dst")), "enclosing_scope", 0))
     edges = edges.unionByName(edge(called.where("dst IS NOT NULL").groupBy(F.col("owner").alias("src"), "dst").agg(F.min("ord").alias("ord")), "callees"))
-    supers = based.where("dst IS NOT NULL").groupBy(F.col("owner").alias("src"), "dst").agg(F.min("ord").alias("ord"))
-    edges = edges.unionByName(edge(supers, "superclasses")).unionByName(edge(supers.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "ord"), "subclasses"))
-    edges = edges.unionByName(edge(found.where("dst IS NOT NULL").groupBy(F.col("module").alias("src"), "dst").agg(F.min("ord").alias("ord")), "imports"))
+    supers = based.where("dst IS NOT NULL").select(F.col("owner").alias("src"), "dst").distinct()
+    # these come in the order of their handles
+    edges = edges.unionByName(edge(supers, "superclasses", 0)).unionByName(edge(supers.select(F.col("dst").alias("src"), F.col("src").alias("dst")), "subclasses", 0))
+    edges = edges.unionByName(edge(found.where("dst IS NOT NULL").select(F.col("module").alias("src"), "dst").distinct(), "imports", 0))
+    every = imported.where("source IS NOT NULL").select("module", F.col("source").alias("target"), "name")
+    holders = modules.select(F.col("handle").alias("module")).unionByName(spaces.select(F.col("handle").alias("module")))
+    edges = edges.unionByName(edge(dependencies.imported_by(every, holders), "imported_by", 0))
+    child = F.when(F.col("file").endswith(".py"), F.when(F.col("is_package"), "package").otherwise("module")).otherwise("namespace")
+    listing = modules.unionByName(spaces).where(F.instr("handle", ".") > 0).select(parent(F.col("handle")).alias("package"), F.substring_index("handle", ".", -1).alias("child"), F.lit(0).alias("root_rank"), child.alias("kind"))
+    children = dependencies.submodules(listing).select(F.col("package").alias("src"), F.concat_ws(".", "package", "child").alias("dst"))
+    edges = edges.unionByName(edge(children, "submodules", 0))
     unresolved = called.where("dst IS NULL").select(F.col("owner").alias("src"), F.lit("callees").alias("edge"), F.lit(None).cast("string").alias("target"))
     unresolved = unresolved.unionByName(found.where("dst IS NULL").select(F.col("module").alias("src"), F.lit("imports").alias("edge"), F.concat(F.repeat(F.lit("."), F.coalesce("level", F.lit(0))), F.concat_ws(".", "target", "name")).alias("target")))
-    return {"nodes": nodes, "edges": edges, "unresolved": unresolved, "canonical": names, "bases": based, "imports": imported}
+    type_refs = heads.select("owner", "name", "path", "raw", F.col("dst").alias("handle"), "ord")
+    return {"nodes": nodes, "edges": edges, "unresolved": unresolved, "canonical": names, "bases": based, "imports": imported, "type_refs": type_refs, "facts": table}

@@ -3,39 +3,77 @@
 from __future__ import annotations
 
 import json
+import re
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalar import excluded_path, module_name
+from ..functions.scalar import EXCLUDED_DIRS, excluded_path, module_name
 
 MOST_BYTES = 10 * 1024 * 1024
 
 
 def listing(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
-    """(uri, file, length) of the files under a root, by the session's own file systems. Spark's file sources hide names
-    that begin with an underscore, so they would miss every package's __init__.py."""
+    """(uri, file, length) of the files under a root. Spark's file sources hide names that begin with an underscore, so they
+    would miss every package's __init__.py. The driver lists the root itself, executors what is below its folders; names
+    of folders that no scan enters are left out before they are walked."""
     jvm = spark._jvm
     path = jvm.org.apache.hadoop.fs.Path(root)
-    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(path, recursive)
-    rows = []
-    while found.hasNext():
-        f = found.next()
-        rows.append((f.getPath().toString(), f.getPath().toUri().getPath(), f.getLen()))
-    return spark.createDataFrame(rows, "uri string, file string, length long")
+    files, folders = [], []
+    for f in path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path):
+        at = f.getPath()
+        if f.isFile():
+            files.append((at.toString(), at.toUri().getPath(), f.getLen()))
+        elif recursive and at.getName() not in EXCLUDED_DIRS:
+            folders.append((at.toString(), at.toUri().getPath()))
+    out = spark.createDataFrame(files, _LISTED)
+    if not folders:
+        return out
+    below = spark.createDataFrame(folders, "uri string, file string").repartition(len(folders))
+    return out.unionByName(below.mapInArrow(_walk, _LISTED))
+
+
+_LISTED = "uri string, file string, length long"
+
+
+def _system(uri: str):
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri if "://" in uri else "file://" + uri.removeprefix("file:"))
+
+
+def _walk(batches):
+    """The files below folders, by pyarrow's file systems; a folder that can't be read has none."""
+    import pyarrow as pa
+    from pyarrow import fs
+
+    for batch in batches:
+        for uri, path in zip(batch.column("uri").to_pylist(), batch.column("file").to_pylist()):
+            todo = [""]
+            system, base = _system(uri)
+            while todo:
+                step = todo.pop()
+                try:
+                    found = system.get_file_info(fs.FileSelector(base + step))
+                except OSError:
+                    continue
+                todo += [f"{step}/{x.base_name}" for x in found if x.type == fs.FileType.Directory and x.base_name not in EXCLUDED_DIRS]
+                rows = [(f"{step}/{x.base_name}", x.size) for x in found if x.type == fs.FileType.File]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([uri + r for r, _ in rows], pa.string()), pa.array([path + r for r, _ in rows], pa.string()), pa.array([n for _, n in rows], pa.int64())], names=["uri", "file", "length"]
+                )
 
 
 def _contents(batches):
     """Contents by pyarrow's file systems on the executors; null for what can't be read or isn't UTF-8."""
     import pyarrow as pa
-    from pyarrow import fs
 
     for batch in batches:
         texts = []
         for uri in batch.column("uri").to_pylist():
             try:
-                system, path = fs.FileSystem.from_uri(uri if "://" in uri else "file://" + uri.removeprefix("file:"))
+                system, path = _system(uri)
                 with system.open_input_stream(path) as f:
                     texts.append(f.read().decode("utf-8"))
             except (OSError, UnicodeDecodeError, pa.ArrowInvalid):
@@ -56,7 +94,7 @@ def source_files(spark: SparkSession, roots: list[str], suffix: str = ".py", rec
     first = ok.groupBy("file").agg(F.min_by(F.struct("uri", "root", "root_rank"), "root_rank").alias("b")).select("file", "b.*")
     files = first.mapInArrow(_contents, "file string, root string, root_rank int, content string").where("content IS NOT NULL")
     if contains:
-        files = files.where(F.col("content").rlike(contains))
+        files = files.where(text_matches(F.col("content"), contains))
     name = None
     for root in roots:
         here = F.when(F.col("root") == root.rstrip("/"), module_name(F.col("file"), root))
@@ -64,6 +102,15 @@ def source_files(spark: SparkSession, roots: list[str], suffix: str = ".py", rec
     return files.withColumn("module", name)
 
 
+def text_matches(content: Column, pattern: str) -> Column:
+    """content holds the pattern; a pattern that doesn't compile is looked for as it is written."""
+    try:
+        re.compile(pattern)
+    except re.error:
+        return F.contains(content, F.lit(pattern))
+    return content.rlike(pattern)
+
+
 def read_settings(project: str, override: dict | None = None, home: str | None = None) -> dict:
     """Settings of a project: the global file, then the first project file there is, then the override, later keys first.
     JSON always; TOML from Python's own parser; YAML only if a parser is installed."""
@@ -135,6 +182,34 @@ def scope_problem(scope: str, namespaces: list[str]) -> str | None:
     return None if kind in ("main", "all", "packages", "namespaces", "package") else f"unknown scope {scope!r}"
 
 
+def list_scopes(settings: dict, aliases: dict | None = None) -> dict[str, list[str]]:
+    """The scopes that may be asked for, by what they are."""
+    return {
+        "predefined": ["main", "all", "packages", "namespaces"], "namespaces": [f"namespace:{n}" for n in settings.get("namespaces", {})],
+        "packages": [f"package:{p}" for p in settings.get("packages", [])], "aliases": list(aliases or {}),
+    }
+
+
+def suggest_scopes(partial: str, settings: dict, aliases: dict | None = None) -> list[str]:
+    """Scopes that begin with what is typed, whatever its case; packages aren't suggested."""
+    known = list_scopes(settings, aliases)
+    return [s for kind in ("predefined", "namespaces", "aliases") for s in known[kind] if s.lower().startswith(partial.lower())]
+
+
+def explain_scope(roots: DataFrame, scope: str | list[str]) -> str:
+    """What a scope comes to, in words: its roots by path."""
+    found = sorted(r["root"] for r in roots_for(roots, scope).collect())
+    return f"Scope: {scope}\nResolves to {len(found)} paths:\n" + "".join(f"  - {p}\n" for p in found)
+
+
+def save_settings(project: str, settings: dict) -> None:
+    """Settings as the project's JSON file, moved into place whole; readers see the old file or the new one."""
+    path = Path(project) / ".graphloom.json"
+    part = path.with_suffix(".json.part")
+    part.write_text(json.dumps(settings, indent=2, sort_keys=True), "utf-8")
+    part.replace(path)
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: str, keep_bad: bool = False) -> DataFrame:
     """JSON lines. Malformed ones are dropped, or with keep_bad kept in _corrupt_record."""
     if keep_bad:

@@ -5,23 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import EXCLUDED_DIRS
+from ..functions.scalar import IGNORED_DIRS
 
 QUIET = "500 milliseconds"
 
 
-def changes(events: DataFrame, quiet: str = QUIET, late: str = "10 seconds", key: str | None = None) -> DataFrame:
+def changes(events: DataFrame, quiet: str = QUIET, late: str = "10 seconds", key: str = "project") -> DataFrame:
     """Bursts of modifications, each ended by a quiet gap: start, end, files (all of the burst, sorted). events(ts, file);
     only Python files outside excluded directories count. For batches and streams; a stream drops what is later than
-    `late`. key: a column by which bursts are apart (a project)."""
-    ok = F.endswith("file", F.lit(".py")) & ~F.exists(F.split("file", "/"), lambda p: p.isin(*EXCLUDED_DIRS))
+    `late`. key: the column by which bursts are apart, so that no group holds the events of all projects."""
+    ok = F.endswith("file", F.lit(".py")) & ~F.exists(F.split("file", "/"), lambda p: p.isin(*IGNORED_DIRS))
     mine = events.where(ok)
     if events.isStreaming:
         mine = mine.withWatermark("ts", late)
     window = F.session_window("ts", quiet)
-    # a stream has no session windows without a key: an empty text that isn't a constant to the optimizer
-    g = mine.groupBy(window, F.col(key) if key else F.substring("file", 1, 0).alias("_all")).agg(F.array_sort(F.collect_set("file")).alias("files"))
-    return g.select(*([key] if key else []), F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "files")
+    g = mine.groupBy(window, key).agg(F.array_sort(F.collect_set("file")).alias("files"))
+    return g.select(key, F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "files")
 
 
 def sessions(events: DataFrame, gap: str, key: str, late: str = "1 hour") -> DataFrame:

@@ -27,7 +27,9 @@ def test_projects_and_namespaces(spark):
 
 
 def test_types_scopes_and_state(spark, tmp_path):
-    assert catalog.leaf_types("dict[str, list[A.B] | None] | tuple[int, ...]") == ["str", "A.B", "int"]
+    df = spark.createDataFrame([("list[a] | b",), (None,)], "t string").select(catalog.leaf_types_of(F.col("t")).alias("l"))
+    assert [r.l for r in df.collect()] == [["a", "b"], None]
+    assert catalog.leaf_types("dict[str, list[A.B] | None] | tuple[int, ...]") == ["str", "A.B", "None", "int", "..."]
     assert catalog.split_top_level("a, f(b, c), [d, e],") == ["a", "f(b, c)", "[d, e]"]
     assert catalog.resolve_scope(None, "m", {"m": "main"}, {}) == ["main"] and catalog.resolve_scope(["own", "x"], "m", {}, {"own": ["main", "packages"]}) == ["main", "packages", "x"]
     assert catalog.resolve_scope(None, "q", {}, {}) == ["all"] and json.loads(catalog.about())["name"] == "graphloom"

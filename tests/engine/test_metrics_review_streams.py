@@ -61,11 +61,11 @@ def test_fields(spark):
 def test_bursts_in_batch_and_stream(spark, tmp_path):
     at = lambda s: T0 + dt.timedelta(milliseconds=s)
     rows = [(at(0), "a.py"), (at(300), "b.py"), (at(400), "a.py"), (at(2000), "a.py"), (at(2100), "x.txt"), (at(2100), "venv/c.py")]
-    df = spark.createDataFrame(rows, "ts timestamp, file string")
+    df = spark.createDataFrame([(*r, "p") for r in rows], "ts timestamp, file string, project string")
     want = [["a.py", "b.py"], ["a.py"]]
     assert [r.files for r in changes.changes(df).orderBy("start").collect()] == want
     df.coalesce(1).write.parquet(f"{tmp_path}/in")
-    spark.createDataFrame([(at(60_000), "z.py")], "ts timestamp, file string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    spark.createDataFrame([(at(60_000), "z.py", "p")], "ts timestamp, file string, project string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
     s = spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in")
     q = changes.changes(s).writeStream.outputMode("append").format("parquet").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start(f"{tmp_path}/out")
     q.awaitTermination(60)

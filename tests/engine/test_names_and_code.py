@@ -41,7 +41,7 @@ def facts(spark):
 def test_tables_of_sources(spark, facts):
     t = code.tables(facts)
     nodes = {r.handle: r for r in t["nodes"].collect()}
-    assert nodes["pkg.base.Root.run"].kind == "method" and nodes["pkg.mid"].kind == "module" and nodes["pkg.base.helper"].signature == "(x: int) -> 'list[str] | None'"
+    assert nodes["pkg.base.Root.run"].kind == "method" and nodes["pkg.mid"].kind == "module" and nodes["pkg.base.helper"].signature == "helper(x: int) -> 'list[str] | None'"
     edges = {(r.src, r.kind, r.dst) for r in t["edges"].collect()}
     assert {d for s, k, d in edges if (s, k) == ("pkg.base.Root.run", "callees")} == {"pkg.base.helper", "pkg.base.Root.stop"}
     assert ("pkg.mid.Mid", "superclasses", "pkg.base.Root") in edges and ("pkg.base.Root", "subclasses", "pkg.mid.Leaf") in edges

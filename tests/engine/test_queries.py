@@ -5,6 +5,7 @@ import os
 import duckdb
 import pytest
 
+import graphloom.parsed_queries  # noqa: F401  registers its queries
 from graphloom.queries import ORACLES, QUERIES
 
 SMALL = "/root/testdata/sf0.001"
