@@ -89,6 +89,57 @@ def narrower(piece: bytes, length: int, gram: int, grams: int):
     yield from zip(key[cut].view(np.int64).tolist(), cut.tolist(), (np.append(cut[1:], len(key)) - cut).tolist())
 
 
+def _shared_prefix(a: bytes, b: bytes) -> int:
+    n = min(len(a), len(b))
+    if a[:n] == b[:n]:
+        return n
+    lo, hi = 0, n
+    while hi - lo > 1:
+        mid = (lo + hi) // 2
+        if a[lo:mid] == b[lo:mid]:
+            lo = mid
+        else:
+            hi = mid
+    return lo
+
+
+def _reach(sides: list[bytes]) -> list[int]:
+    """For each string its longest common prefix with any other: with a neighbour in sorted order."""
+    order = sorted(range(len(sides)), key=sides.__getitem__)
+    out, before = [0] * len(sides), 0
+    for x, y in zip(order, order[1:]):
+        common = _shared_prefix(sides[x], sides[y])
+        out[x] = max(before, common)
+        before = common
+    if order:
+        out[order[-1]] = before
+    return out
+
+
+def trimmed(m: int, pieces: list[bytes], times: list[int], length: int, gram: int):
+    """What of one gram's different segments can hold repeats: (string, times, [(piece, window offset)]).
+
+    Where every segment holds the gram once, a repeated window reaches no further left and right of it than the segment
+    agrees with another one; what lies beyond is cut off, and strings that are equal then go on as one that weighs as
+    much as they do together. Nothing is decided here: that is the merge's."""
+    places = []
+    for p in pieces:
+        at = np.flatnonzero(gram_hashes(np.frombuffer(p, np.uint8), gram).view(np.int64) == m)
+        if len(at) != 1:
+            return [(p, t, [(i, 0)]) for i, (p, t) in enumerate(zip(pieces, times))]
+        places.append(int(at[0]))
+    right = _reach([p[k:] for p, k in zip(pieces, places)])
+    left = _reach([p[:k][::-1] for p, k in zip(pieces, places)])
+    found: dict[bytes, list] = {}
+    for i, (p, k, t) in enumerate(zip(pieces, places, times)):
+        a, b = (k, len(p) - k) if t > 1 else (left[i], right[i])  # a segment with copies shares all of itself
+        if a + b >= length:
+            entry = found.setdefault(p[k - a : k + b], [0, []])
+            entry[0] += t
+            entry[1].append((i, k - a))
+    return [(s, t, who) for s, (t, who) in found.items()]
+
+
 def _runs(mask: np.ndarray) -> np.ndarray:
     """(start, end) pairs of the true runs, flat."""
     edge = np.flatnonzero(np.diff(np.concatenate(([False], mask, [False])).astype(np.int8)))
@@ -169,36 +220,56 @@ def repeats(docs: DataFrame, length: int, gram: int, group: int) -> DataFrame:
     level = 1
     while level < length:
         level *= 2
-        bytes_of = F.sum(F.octet_length("data")).alias("size")
-        large = checkpoint(pieces.groupBy("m").agg(bytes_of).where(F.col("size") > group).select(F.col("m").alias("_m")))
+        # every different segment counts once, however many batches have it
+        sizes = pieces.groupBy("m", "a", "b").agg(F.max(F.octet_length("data")).alias("size")).groupBy("m").agg(F.sum("size").alias("size"))
+        large = checkpoint(sizes.where(F.col("size") > group).select(F.col("m").alias("_m")))
         if large.isEmpty():
             break
         pieces, places = _split(pieces, places, large, length, gram, level)
 
     def judge(batches):
-        strings, times, names, size, last = [], [], [], 0, None
+        groups, size, last = [], 0, None
 
         def out():
-            of = Counter(m for m, _, _ in names)
-            # a group of one segment that has no gram twice repeats nothing
-            kept = [i for i, s in enumerate(strings) if times[i] > 1 or of[names[i][0]] > 1 or len(np.unique(h := gram_hashes(np.frombuffer(s, np.uint8), gram))) < len(h)]
-            marks = repeated([strings[i] for i in kept], [times[i] for i in kept], length, SHARD) if kept else []
-            rows = [(*names[i], _runs(w).tobytes()) for i, w in zip(kept, marks) if w.any()]
-            strings.clear(), times.clear(), names.clear()
+            strings, times, owner = [], [], []
+            found: dict[tuple, np.ndarray] = {}
+
+            def marked(g, who, marks):
+                for i, at in who if marks.any() else ():
+                    piece = groups[g][1][i]
+                    mask = found.setdefault((groups[g][0], *groups[g][3][i]), np.zeros(len(piece) - length + 1, bool))
+                    mask[at : at + len(marks)] |= marks
+
+            for g, (m, pieces, n, _) in enumerate(groups):
+                cut = trimmed(m, pieces, n, length, gram)
+                if all(t > 1 for _, t, _ in cut):  # every interval of theirs weighs two or more: nothing to merge
+                    for s, _, who in cut:
+                        marked(g, who, np.ones(len(s) - length + 1, bool))
+                    continue
+                for s, t, who in cut:
+                    # a group of one segment that has no gram twice repeats nothing
+                    if len(pieces) > 1 or len(np.unique(h := gram_hashes(np.frombuffer(s, np.uint8), gram))) < len(h):
+                        strings.append(s), times.append(t), owner.append((g, who))
+            for (g, who), marks in zip(owner, repeated(strings, times, length, SHARD) if strings else ()):
+                marked(g, who, marks)
+            groups.clear()
+            rows = [(*key, _runs(mask).tobytes()) for key, mask in found.items()]
             return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(3)] + [pa.array([r[3] for r in rows], pa.binary())], names=["m", "a", "b", "runs"])
 
         for batch in batches:
             for m, a, b, n, data in zip(*(batch.column(c).to_pylist() for c in ("m", "a", "b", "n", "data"))):
                 if (m, a, b) == last:
-                    times[-1] += n
+                    groups[-1][2][-1] += n
                     continue
-                if size > BATCH and m != last[0]:
-                    yield out()
-                    size = 0
-                strings.append(data), times.append(n), names.append((m, a, b))
+                if last is None or m != last[0]:
+                    if size > BATCH:
+                        yield out()
+                        size = 0
+                    groups.append((m, [], [], []))
+                groups[-1][1].append(data), groups[-1][2].append(n), groups[-1][3].append((a, b))
                 size += len(data)
                 last = (m, a, b)
-        if strings:
+        if groups:
             yield out()
 
     judged = pieces.repartition("m").sortWithinPartitions("m", "a", "b").mapInArrow(judge, "m long, a long, b long, runs binary")
@@ -244,8 +315,9 @@ def _split(pieces: DataFrame, places: DataFrame, large: DataFrame, length: int,
     links = parts.select(*[F.col(c).alias(f"_{c}2") for c in "mab"], "_pm", "_pa", "_pb", "at")
     moved = places.join(links, (F.col("m") == F.col("_pm")) & (F.col("a") == F.col("_pa")) & (F.col("b") == F.col("_pb")))
     moved = moved.select(*[F.col(f"_{c}2").alias(c) for c in "mab"], "doc_id", "_row", (F.col("start") + F.col("at")).alias("start"))
+    once = parts.groupBy("m", "a", "b").agg(F.sum("n").alias("n"), F.first("data").alias("data"))
     return (
-        pieces.join(large, of, "left_anti").unionByName(parts.select("m", "a", "b", "n", "data")),
+        written(pieces.join(large, of, "left_anti").unionByName(once), "pieces"),
         written(places.join(large, of, "left_anti").unionByName(moved), "places"),
     )
 
