@@ -7,6 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .base import ascii_lower, beside, checkpoint, split_words, table, written
+from .rows import attach
 
 #: Everything but ASCII digits, lower-case letters and non-ASCII characters parts words (after lower-casing A-Z).
 NON_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -37,13 +38,16 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     )
 
 
+def _step(n: int) -> int:
+    """Distance of the anchors that a window of n words is looked up by: it covers just one position that is a multiple of
+    this and has an anchor's (n + 1) // 2 words after it."""
+    return n - (n + 1) // 2 + 1
+
+
 def _anchors(w: str, n: int) -> Column:
-    """(n, k, anchor) of the anchors that one window of n words needs hashed in an array of words w: a window covers just
-    one position k * step that has a words after it, so only such anchors are looked up."""
-    a, step = (n + 1) // 2, n - (n + 1) // 2 + 1
-    return F.expr(
-        f"CASE WHEN size({w}) < {n} THEN array() ELSE transform(sequence(1, size({w}) - {a - 1}, {step}), (i, k) -> named_struct('n', {n}, 'k', k * {step}, 'anchor', xxhash64({n}, slice({w}, i, {a})))) END"
-    )
+    """Hashes of the anchors for windows of n words in an array of words w, in their order."""
+    a = (n + 1) // 2
+    return F.expr(f"CASE WHEN size({w}) < {n} THEN array() ELSE transform(sequence(1, size({w}) - {a - 1}, {_step(n)}), i -> xxhash64(slice({w}, i, {a}))) END")
 
 
 def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, one_in: int = 20, limit: int = BROADCAST_BYTES) -> DataFrame:
@@ -56,40 +60,36 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WIND
     without a name. Other columns of documents are dropped. Empty tables: no rows, or no hits. A very long text is one
     array of words in one row.
 
-    Only built-in functions: documents are cut to words once for all lengths of windows, anchors of the words are looked
-    up in the broadcast set of anchors, and the words of each window about a hit in the broadcast set of windows. Beyond
-    `limit` bytes both sets are joined by shuffle: what moves is a hash an anchor, and words only where anchors hit.
+    Only built-in functions: documents are cut to words once for all lengths of windows, and the hashes of their anchors
+    written; these are looked up in the broadcast set of anchors, and the words of each window about a hit in the
+    broadcast set of windows. Beyond `limit` bytes both sets are joined by shuffle: what moves is a hash an anchor, and
+    words only where anchors hit.
     """
     spark = documents.sparkSession
     grams = written(benchmark_windows(benchmark, window), "benchmark-windows")
     size = F.sum(F.octet_length(F.concat_ws(" ", "gram")) + 24 * F.size("gram") + 200 + 8 * F.size("item_ids"))
-    lengths, held = grams.agg(F.collect_set("gram_len"), size).first()  # at most `window` lengths
-    narrow = (held or 0) <= limit
-    docs = documents.select("doc_id", "text")
-    key = F.xxhash64("doc_id", "text").alias("_row")
-    base = docs.select("doc_id", key, F.size(words(F.col("text"))).cast("long").alias("n_words"))
+    lengths, held = grams.agg(F.sort_array(F.collect_set("gram_len")), size).first()  # at most `window` lengths
+    narrow = lambda df: F.broadcast(df) if (held or 0) <= limit else df
+    docs = documents.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("_row"))
+    w = docs.select("doc_id", "_row", words(F.col("text")).alias("_w"))
+    base = written(w.select("doc_id", "_row", F.size("_w").cast("long").alias("n_words"), *[_anchors("_w", n).alias(f"h{n}") for n in lengths or ()]), "anchors")
     if not lengths:
         hits = spark.createDataFrame([], f"_id long, _key long, _hit long, spans {SPANS}, item_ids array<long>")
     else:
-        w = docs.select("doc_id", key, words(F.col("text")).alias("_w"))
-        # every place of an anchor in a window
-        of = [grams.where(F.col("gram_len") == n).select(F.lit(n).alias("n"), F.explode(F.expr(f"transform(sequence(1, {n - (n + 1) // 2 + 1}), i -> xxhash64({n}, slice(gram, i, {(n + 1) // 2})))")).alias("anchor")) for n in sorted(lengths)]
-        anchors = of[0]
-        for x in of[1:]:
-            anchors = anchors.unionByName(x)
-        anchors = anchors.distinct()
-        every = F.flatten(F.array(*[_anchors("_w", n) for n in sorted(lengths)]))
-        if narrow:
-            near = w.select("doc_id", "_row", "_w", F.inline(every)).join(F.broadcast(anchors), ["n", "anchor"])
-        else:
-            at = w.select("doc_id", "_row", F.inline(every)).join(anchors, ["n", "anchor"])
-            at = at.groupBy(F.col("doc_id").alias("_id"), F.col("_row").alias("_key")).agg(F.collect_set(F.struct("n", "k")).alias("at"))
-            near = w.join(checkpoint(at), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_row") == F.col("_key"))).select("doc_id", "_row", "_w", F.inline("at"))
-        step = F.expr("n - div(n + 1, 2)")  # one less than the distance of anchors
-        first = F.explode(F.sequence(F.greatest(F.col("k") - step, F.lit(0)).cast("int"), F.least(F.col("k"), F.size("_w") - F.col("n")).cast("int")))
-        placed = near.select("doc_id", "_row", "_w", "n", first.alias("_pos")).select("doc_id", "_row", "_pos", F.expr("slice(_w, _pos + 1, n)").alias("_gram"))
+        near = None
+        for n in lengths:
+            a, step = (n + 1) // 2, _step(n)
+            known = grams.where(F.col("gram_len") == n).select(F.explode(F.expr(f"transform(sequence(1, {step}), i -> xxhash64(slice(gram, i, {a})))")).alias("anchor")).distinct()
+            part = base.select("doc_id", "_row", F.posexplode(f"h{n}").alias("_i", "anchor")).join(narrow(known), "anchor")
+            part = part.select("doc_id", "_row", F.lit(n).alias("n"), (F.col("_i") * step).alias("k"))
+            near = part if near is None else near.unionByName(part)
+        at = checkpoint(near.groupBy("doc_id", "_row").agg(F.collect_set(F.struct("n", "k")).alias("at")))
+        # the words of the windows about each hit; no row that carries a whole text is made for each of them
+        first, last = "greatest(x.k - x.n + div(x.n + 1, 2), 0)", "least(x.k, size(_w) - x.n)"
+        about = F.expr(f"flatten(transform(at, x -> transform(sequence(cast({first} AS int), cast({last} AS int)), p -> named_struct('_pos', p, '_gram', slice(_w, p + 1, x.n)))))")
+        placed = attach(docs, at, "inner").select("doc_id", "_row", words(F.col("text")).alias("_w"), "at").select("doc_id", "_row", F.inline(about))
         placed = placed.withColumn("gram_hash", F.xxhash64("_gram")).withColumn("_len", F.size("_gram"))
-        found = placed.join(F.broadcast(grams) if narrow else grams, "gram_hash").where(F.col("_gram") == F.col("gram"))
+        found = placed.join(narrow(grams), "gram_hash").where(F.col("_gram") == F.col("gram"))
         doc = ["_id", "_key"]
         before = Window.partitionBy(*doc).orderBy("s", "e").rowsBetween(Window.unboundedPreceding, -1)
         upto = Window.partitionBy(*doc).orderBy("s", "e").rowsBetween(Window.unboundedPreceding, 0)

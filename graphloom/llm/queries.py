@@ -19,6 +19,8 @@ QUERIES = {
 #: Where SQL can express the query.
 ORACLES = {
     "op1_benchmark_decontamination": decontaminate.OP1_SQL,
+    "op3_suffix_array_dedup": suffix_dedup.OP3_SQL,
     "op5_source_mixing": mix_sources.OP5_SQL,
+    "op6_substring_dedup": substring_dedup.OP6_SQL,
     "op9_exact_topk": topk_search.OP9_SQL,
 }

@@ -43,7 +43,7 @@ def attach(docs: DataFrame, side: DataFrame, how: str = "left", limit: int = SID
     narrow = small(side, limit)
     on = docs["doc_id"].eqNullSafe(side["_id"]) & (docs["_row"] == side["_key"])
     out = docs.join(F.broadcast(side) if narrow else side, on, how)
-    return out.drop("_id", "_key") if how == "left" else out
+    return out if how in ("left_anti", "left_semi") else out.drop("_id", "_key")
 
 
 def hash_filter(shared: DataFrame, bits: int = FILTER_BITS):
@@ -65,14 +65,6 @@ def passes(values: np.ndarray, held: np.ndarray) -> np.ndarray:
     return (held[(values >> np.uint64(6)) & np.uint64(len(held) - 1)] >> (values & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
-def covered(starts: np.ndarray, length: int, n: int) -> np.ndarray:
-    """Which of n items lie in a window of `length` that begins at one of starts."""
-    change = np.zeros(n + 1, np.int64)
-    np.add.at(change, starts, 1)
-    np.add.at(change, np.minimum(starts + length, n), -1)
-    return np.cumsum(change[:n]) > 0
-
-
 def doubled(codes: np.ndarray, n: int, base: int) -> np.ndarray:
     """Polynomial hash (mod 2^64) of every window of n codes, by doubling."""
     h, span = codes, 1

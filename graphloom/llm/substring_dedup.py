@@ -312,3 +312,26 @@ def _packed(hits: DataFrame) -> DataFrame:
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring_dedup(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP6_SQL = r"""WITH d AS (
+  SELECT doc_id, row_number() OVER () AS r, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), win AS (
+  SELECT r, doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS k FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50 AND doc_id IS NOT NULL)
+), hit AS (
+  SELECT r, i FROM win JOIN (SELECT k, min(doc_id) AS least FROM win GROUP BY k) USING (k) WHERE least < doc_id
+), runs AS (
+  SELECT r, g, min(i) AS s, max(i) + 50 AS e FROM (
+    SELECT r, i, sum(fresh) OVER (PARTITION BY r ORDER BY i) AS g FROM (
+      SELECT r, i, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + 50 THEN 0 ELSE 1 END AS fresh FROM hit))
+  GROUP BY r, g
+), left_over AS (
+  SELECT r, coalesce(lag(e) OVER (PARTITION BY r ORDER BY s), 1) AS a, s AS z FROM runs UNION ALL SELECT r, max(e), NULL FROM runs GROUP BY r
+), kept AS (
+  SELECT r, array_to_string(flatten(list(w[a:coalesce(z - 1, len(w))] ORDER BY a)), ' ') AS k FROM left_over JOIN d USING (r) GROUP BY r
+), gone AS (
+  SELECT r, sum(e - s)::BIGINT AS n_removed FROM runs GROUP BY r
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(k, array_to_string(w, ' '))) AS kept_sha256
+FROM d LEFT JOIN kept USING (r) LEFT JOIN gone USING (r)
+"""

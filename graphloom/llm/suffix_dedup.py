@@ -404,3 +404,28 @@ def drop_repeats(documents: DataFrame, length: int = LENGTH, **how) -> DataFrame
 
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+OP3_SQL = r"""WITH d AS (
+  SELECT doc_id, row_number() OVER () AS r, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, '')))::BIGINT AS n FROM documents
+), blocks AS (
+  SELECT r, b, substr(h, 2 * b + 1, 2 * (2048 + 199)) AS p FROM (SELECT r, h, unnest(range(0, n - 199, 2048)) AS b FROM d WHERE n >= 200)
+), win AS (
+  SELECT r, b + j AS i, md5(substr(p, 2 * j + 1, 400)) AS k FROM (SELECT r, b, p, unnest(range(0, least(2048, len(p) // 2 - 199))) AS j FROM blocks)
+), hit AS (
+  SELECT r, i FROM win JOIN (SELECT k FROM win GROUP BY k HAVING count(*) > 1) USING (k)
+), runs AS (
+  SELECT r, g, min(i) AS s, max(i) + 200 AS e FROM (
+    SELECT r, i, sum(fresh) OVER (PARTITION BY r ORDER BY i) AS g FROM (
+      SELECT r, i, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + 200 THEN 0 ELSE 1 END AS fresh FROM hit))
+  GROUP BY r, g
+), left_over AS (
+  SELECT r, coalesce(lag(e) OVER (PARTITION BY r ORDER BY s), 0) AS a, s AS z FROM runs UNION ALL SELECT r, max(e), NULL FROM runs GROUP BY r
+), kept AS (
+  SELECT r, string_agg(substr(h, 2 * a + 1, 2 * (coalesce(z, n) - a)), '' ORDER BY a) AS k FROM left_over JOIN d USING (r) GROUP BY r
+), gone AS (
+  SELECT r, sum(e - s)::BIGINT AS n_removed, count(*) AS n_spans FROM runs GROUP BY r
+)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(k, h))) AS kept_sha256
+FROM d LEFT JOIN kept USING (r) LEFT JOIN gone USING (r)
+"""

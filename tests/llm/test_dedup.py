@@ -57,7 +57,9 @@ def brute_bytes(texts, n):
 
 
 @pytest.mark.parametrize("how", [{}, {"group": 1}, {"group": 3000, "length": 60, "gram": 16}])
-def test_suffix_dedup_matches_brute_force(documents, odd, empty, how):
+def test_suffix_dedup_matches_brute_force(documents, odd, empty, how, monkeypatch):
+    if how:
+        monkeypatch.setattr(rows.attach, "__defaults__", ("left", 0))  # side tables by shuffle
     for df in (documents, odd):
         data = df.select("doc_id", "text").collect()
         want = sorted((str(r.doc_id), *x) for r, x in zip(data, brute_bytes([r.text for r in data], how.get("length", 200))))
@@ -196,7 +198,10 @@ def brute_shingles(t, n=5):
     return {" ".join(w[k : k + n]) for k in range(max(1, len(w) - n + 1))} if w else set()
 
 
-def test_similar_documents_match_brute_force_on_both_sides(spark):
+@pytest.mark.parametrize("cell,part", [(4000, 1 << 20), (6, 400)])
+def test_similar_documents_match_brute_force_on_both_sides(spark, monkeypatch, cell, part):
+    """With small limits every meeting and every loose component is dealt out."""
+    monkeypatch.setattr(simhash, "CELL", cell)
     r = random.Random(12)
     word, texts = lambda: f"v{r.randrange(10**6)}", []
     for size in [8, 9, 10, 14, 24, 44, 60, 100, 184, 400]:
@@ -222,10 +227,23 @@ def test_similar_documents_match_brute_force_on_both_sides(spark):
                 label = [low if z == high else z for z in label]
     assert any(4 * len(x | y) == 5 * len(x & y) for i, x in enumerate(sets) for y in sets[:i] if x & y)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {x.doc_id: x.component_id for x in simhash.similar_documents(df).collect()}
+    got = {x.doc_id: x.component_id for x in simhash.similar_documents(df, part=part).collect()}
     assert got == dict(enumerate(label))
 
 
+def test_meeting_keys_grow_with_the_table():
+    for n in (0, 1000, 10**6, 10**10):
+        bits, keys = simhash.meeting_plan(n, 0.8)
+        assert n / 2**bits <= 12 and (1 - (1 - 0.1515) ** bits) ** keys <= 1.1 * simhash.MISS
+
+
+def test_filter_passes_what_it_holds(spark):
+    r = np.random.default_rng(1)
+    held, other = r.integers(-(2**63), 2**63 - 1, (2, 500), dtype=np.int64)
+    table = rows.hash_filter(spark.createDataFrame([(int(x),) for x in held], "h long"), 20).value
+    assert rows.passes(held, table).all() and rows.passes(other, table).mean() < 0.02 and len(table) == 1 << 14
+
+
 def test_components_of_chains_and_hubs(spark):
     chain = [(i, i + 1) for i in range(1, 60)] + [(1000, k) for k in range(100, 160)] + [(7, 7)]
     for size in (None, 7):
@@ -241,4 +259,3 @@ def test_window_hashes_and_cover():
         h = rows.doubled(codes, n, 31)
         want = [sum(int(c) * 31 ** (n - 1 - k) for k, c in enumerate(codes[i : i + n])) % (1 << 64) for i in range(len(codes) - n + 1)]
         assert h.tolist() == want
-    assert rows.covered(np.array([0, 3]), 2, 6).tolist() == [True, True, False, True, True, False]
