@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import checkpoint, table, written
-from .rows import attach, copies, doubled, hash_filter, keyed, mixed, passes
+from .base import checkpoint, discard, table, written
+from .rows import SIDE_BYTES, attach, copies, doubled, hash_filter, keyed, mixed, passes, small
 
 WINDOW = 50
 #: A perfect difference set: every residue modulo PERIOD is a difference of two of these.
@@ -98,71 +99,85 @@ def extended(own: list[bytes], at: int, other: list[bytes], there: int, size: in
     return left, right
 
 
-def _anchors(rest: DataFrame, window: int, mask: np.ndarray) -> DataFrame:
-    """(h) of the anchors that occur in two documents or more."""
+def _hashes(rest: DataFrame, window: int, mask: np.ndarray) -> DataFrame:
+    """(doc_id, _row, h: the hashes of all anchors of a text in their order)."""
     kind = rest.schema["doc_id"].dataType.simpleString()
 
     def found(coder, ids, rows, texts):
         hashes = [anchor_hashes(coder(words_of(t)), window, mask)[0] for t in texts.to_pylist()]
-        return [pa.array(np.concatenate(hashes)), _repeat(ids, [len(x) for x in hashes])]
+        return [ids, rows, pa.array(hashes, pa.list_(pa.int64()))]
 
-    spread = _per_text(rest, ["h", "doc_id"], f"h long, doc_id {kind}", found).groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
-    return spread.where("lo < hi").select("h")
+    return _per_text(rest, ["doc_id", "_row", "h"], f"doc_id {kind}, _row long, h array<long>", found)
 
 
-def _places(rest: DataFrame, held, window: int, mask: np.ndarray) -> DataFrame:
-    """(h, a, b, l, doc_id, _row, p, r) of the anchors that pass the filter `held`: where they are, how many words of the
-    text lie left and right of them within reach of a window, and 128 bits of all these words."""
-    kind = rest.schema["doc_id"].dataType.simpleString()
-    reach = len(mask) - 1
+def _known(hashes: DataFrame, held, mask: np.ndarray) -> DataFrame:
+    """(doc_id, _row, h, p) of the texts with anchors that pass the filter `held`: those anchors and where they are."""
+    kind = hashes.schema["doc_id"].dataType.simpleString()
+    cover, period = np.flatnonzero(mask), len(mask)
+
+    def run(batches):
+        for batch in batches:
+            h = batch.column("h")
+            flat, lens = h.flatten().to_numpy(zero_copy_only=False), pc.list_value_length(h).to_numpy(zero_copy_only=False).astype(np.int64)
+            index = np.arange(len(flat)) - np.repeat(np.cumsum(lens) - lens, lens)
+            ok = passes(flat, held.value) if len(flat) else np.zeros(0, bool)
+            n = np.bincount(np.repeat(np.arange(len(lens)), lens)[ok], minlength=len(lens))
+            index = index[ok]
+            at = (index // len(cover) * period + cover[index % len(cover)]).astype(np.int32)
+            offsets = pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32())
+            arrays = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (flat[ok], at)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_row"), *arrays], names=["doc_id", "_row", "h", "p"]).filter(pa.array(n > 0))
+
+    return hashes.mapInArrow(run, f"doc_id {kind}, _row long, h array<long>, p array<int>")
+
+
+def _places(docs: DataFrame, known: DataFrame, window: int, reach: int) -> DataFrame:
+    """(h, a, b, doc_id, _row, p, l, r): for each anchor of known how many words of the text lie left and right of it within
+    reach of a window, and 128 bits of all these words."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
     size = window - reach
 
-    def found(coder, ids, rows, texts):
+    def found(_, ids, rows, texts, hashes, places):
         import xxhash
 
-        digest, sums, h_all, at, lefts, rights, n = xxhash.xxh3_128_digest, [], [], [], [], [], []
-        for t in texts.to_pylist():
-            w = Words(t)
-            h, p = anchor_hashes(coder(w.words), window, mask)
-            if len(p):
-                known = passes(h, held.value)
-                h, p = h[known], p[known]
-            n.append(len(p))
-            if not len(p):
-                continue
+        digest, sums, lefts, rights, n = xxhash.xxh3_128_digest, [], [], [], []
+        for t, p in zip(texts.to_pylist(), places.to_pylist()):
+            w, p = Words(t), np.array(p, np.int64)
             left, right = np.minimum(p, reach), np.minimum(len(w.words) - p - size, reach)
             first = p - left
             begin = np.where(first > 0, w.ends[first - 1] + 1, 0)
             end = w.ends[p + size + right - 1]
             sums += [digest(w.joined[x:y]) for x, y in zip(begin.tolist(), end.tolist())]
-            h_all.append(h), at.append(p), lefts.append(left), rights.append(right)
-        flat = lambda x: np.concatenate(x) if x else np.empty(0, np.int64)
+            lefts.append(left), rights.append(right), n.append(len(p))
         both = np.frombuffer(b"".join(sums), np.int64).reshape(-1, 2)
-        numbers = [pa.array(flat(x).astype(np.int32)) for x in (at, lefts, rights)]
-        return [pa.array(flat(h_all)), pa.array(both[:, 0]), pa.array(both[:, 1]), _repeat(ids, n), _repeat(rows, n), *numbers]
+        numbers = [pa.array((np.concatenate(x) if x else np.empty(0)).astype(np.int32)) for x in (lefts, rights)]
+        return [hashes.flatten(), pa.array(both[:, 0]), pa.array(both[:, 1]), _repeat(ids, n), _repeat(rows, n), places.flatten(), *numbers]
 
-    return _per_text(rest, ["h", "a", "b", "doc_id", "_row", "p", "l", "r"], f"h long, a long, b long, doc_id {kind}, _row long, p int, l int, r int", found)
+    names = ["h", "a", "b", "doc_id", "_row", "p", "l", "r"]
+    return _per_text(attach(docs, known, "inner"), names, f"h long, a long, b long, doc_id {kind}, _row long, p int, l int, r int", found, "h", "p")
+
+
+KEY = ["h", "doc_id", "_row", "p"]
 
 
 def _surroundings(docs: DataFrame, ones: DataFrame, size: int) -> DataFrame:
-    """(g, doc_id, _row, p, l, a, b, words): for anchors (h, doc_id, _row, p, l, r) the words within reach."""
+    """(g, h, doc_id, _row, p, l, a, b, ref, words): for anchors (h, doc_id, _row, p, l, r, ref) the words within reach."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    where = checkpoint(ones.groupBy("doc_id", "_row").agg(F.collect_list(F.struct("h", "p", "l", "r")).alias("at")))
+    where = checkpoint(ones.groupBy("doc_id", "_row").agg(F.collect_list(F.struct("h", "p", "l", "r", "ref")).alias("at")))
+    names = ["g", "h", "doc_id", "_row", "p", "l", "a", "b", "ref", "words"]
 
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
                 w, at = Words(batch.column("text")[i].as_py()), batch.column("at")[i].as_py()
-                k = pa.array(np.full(len(at), i))
+                k, zero = pa.array(np.full(len(at), i)), pa.array(np.zeros(len(at), np.int32))
+                h = pa.array([x["h"] for x in at], pa.int64())
                 texts = [w.run(x["p"] - x["l"], x["p"] + size + x["r"]) for x in at]
-                zero = pa.array(np.zeros(len(at), np.int32))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([x["h"] for x in at], pa.int64()), batch.column("doc_id").take(k), batch.column("_row").take(k), pa.array([x["p"] for x in at], pa.int32()), pa.array([x["l"] for x in at], pa.int32()), zero, zero, pa.array(texts, pa.binary())],
-                    names=["g", "doc_id", "_row", "p", "l", "a", "b", "words"],
-                )
+                numbers = [pa.array([x[c] for x in at], pa.int32()) for c in "pl"]
+                yield pa.RecordBatch.from_arrays([h, h, batch.column("doc_id").take(k), batch.column("_row").take(k), *numbers, zero, zero, pa.array([x["ref"] for x in at]), pa.array(texts, pa.binary())], names=names)
 
-    source = attach(docs, where).where(F.col("at").isNotNull())
-    return source.select("doc_id", "_row", "text", "at").mapInArrow(run, f"g long, doc_id {kind}, _row long, p int, l int, a int, b int, words binary").dropDuplicates(["g", "doc_id", "_row", "p"])
+    source = attach(docs, where, "inner").select("doc_id", "_row", "text", "at")
+    return source.mapInArrow(run, f"g long, h long, doc_id {kind}, _row long, p int, l int, a int, b int, ref boolean, words binary")
 
 
 def _extension(rows: DataFrame, size: int, reach: int) -> DataFrame:
@@ -173,8 +188,8 @@ def _extension(rows: DataFrame, size: int, reach: int) -> DataFrame:
     more words can still share windows with rows that leave it at the same place with the same word: with these it
     makes up the next group on that side, as long as a window has room for what they agree in."""
     kind = rows.schema["doc_id"].dataType.simpleString()
-    names = ["g", "doc_id", "_row", "p", "l", "a", "b", "words", "lo", "hi"]
-    kinds = [pa.int64(), None, pa.int64(), *[pa.int32()] * 4, pa.binary(), pa.int32(), pa.int32()]
+    names = ["g", "h", "doc_id", "_row", "p", "l", "a", "b", "lo", "hi"]
+    kinds = [pa.int64(), pa.int64(), None, pa.int64(), *[pa.int32()] * 6]
 
     def run(batches):
         import xxhash
@@ -182,12 +197,12 @@ def _extension(rows: DataFrame, size: int, reach: int) -> DataFrame:
         for batch in batches:
             out: list[list] = [[] for _ in names]
             ids = []
-            columns = [batch.column(c).to_pylist() for c in ("g", "_row", "p", "l", "a", "b", "words", "x_l", "x_words", "smaller")]
-            for i, (g, row, p, at, a, b, words, there, x_words, smaller) in enumerate(zip(*columns)):
+            columns = [batch.column(c).to_pylist() for c in ("g", "h", "_row", "p", "l", "a", "b", "words", "x_l", "x_words", "smaller")]
+            for i, (g, h, row, p, at, a, b, words, there, x_words, smaller) in enumerate(zip(*columns)):
                 own = words.split(b" ")
 
-                def put(g, a, b, words=None, lo=None, hi=None):
-                    for column, x in zip(out, (g, None, row, p, at, a, b, words, lo, hi)):
+                def put(g, a, b, lo=None, hi=None):
+                    for column, x in zip(out, (g, h, None, row, p, at, a, b, lo, hi)):
                         column.append(x)
                     ids.append(i)
 
@@ -196,55 +211,67 @@ def _extension(rows: DataFrame, size: int, reach: int) -> DataFrame:
 
                 met = extended(own, at, x_words.split(b" "), there, size)
                 if met is None or met[0] < a or met[1] < b:  # one hash, other words: on with those of the same words
-                    put(group(a, b, g + 1), a, b, words)
+                    put(group(a, b, g + 1), a, b)
                     continue
                 left, right = met
                 if smaller and left + right >= reach:
-                    put(None, None, None, None, p - min(left, reach), p - (reach - min(right, reach)))
+                    put(None, None, None, p - min(left, reach), p - (reach - min(right, reach)))
                 if left < at and left + 1 + b <= reach:
-                    put(group(left + 1, b), left + 1, b, words)
+                    put(group(left + 1, b), left + 1, b)
                 if right < len(own) - at - size and a + right + 1 <= reach:
-                    put(group(a, right + 1), a, right + 1, words)
+                    put(group(a, right + 1), a, right + 1)
             made = [batch.column("doc_id").take(pa.array(ids, pa.int64())) if t is None else pa.array(x, t) for x, t in zip(out, kinds)]
             yield pa.RecordBatch.from_arrays(made, names=names)
 
-    return rows.mapInArrow(run, f"g long, doc_id {kind}, _row long, p int, l int, a int, b int, words binary, lo int, hi int")
+    return rows.mapInArrow(run, f"g long, h long, doc_id {kind}, _row long, p int, l int, a int, b int, lo int, hi int")
+
+
+def _with_reference(rows: DataFrame, group: str) -> DataFrame:
+    """The rows of groups of two documents or more, with ref: is it the first row of the group's smallest document?"""
+    first = rows.groupBy(F.col(group).alias("_group")).agg(F.min(F.struct("doc_id", "_row", "p")).alias("x"), F.max("doc_id").alias("hi")).where("x.doc_id < hi")
+    # materialised, so that the join deals both sides anew and a very frequent anchor can be split
+    out = rows.join(checkpoint(first), F.col(group) == F.col("_group"))
+    ref = (F.col("doc_id") == F.col("x.doc_id")) & (F.col("_row") == F.col("x._row")) & (F.col("p") == F.col("x.p"))
+    return out.select(*rows.columns, ref.alias("ref"))
 
 
 def shared_windows(docs: DataFrame, rest: DataFrame, window: int, period: int, cover: tuple[int, ...]) -> DataFrame:
     """(doc_id, _row, lo, hi): ranges of first words of rest's windows that also start in a document of a smaller doc_id.
 
     Anchors that two documents have meet by hash, with 128 bits of the words in reach: of places where these agree only
-    the one of the smallest doc_id goes on, the others lose all windows about it. What goes on is extended word by word
+    those of the smallest doc_id go on, the others lose all windows about them. What goes on is extended word by word
     from the anchor, against the reference of its group (the smallest doc_id), and regroups where it leaves the
-    reference, until no group has two rows. A row can leave it at most `period` times; no group is gathered anywhere."""
+    reference, until no group has two documents. A row can leave it at most `period` times; no group is gathered."""
     mask = difference_cover(period, cover)
     reach = period - 1
     size = window - reach
-    held = hash_filter(_anchors(rest, window, mask))
-    places = written(_places(rest, held, window, mask), "anchors")
+    hashes = written(_hashes(rest, window, mask), "hashes")
+    spread = hashes.select("doc_id", F.explode("h").alias("h")).groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
+    held = hash_filter(spread.where("lo < hi").select("h"))
+    known = written(_known(hashes, held, mask), "known")
+    discard(hashes)
     held.unpersist()
+    places = written(_places(docs, known, window, reach), "places")
     one = ["h", "a", "b", "l"]
     classes = checkpoint(places.groupBy(*one).agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("hi")))
     many = classes.groupBy("h").agg(F.min("least").alias("lo"), F.max("least").alias("up")).where("lo < up").select(F.col("h").alias("_g"))
     classes = classes.select(*[F.col(c).alias(f"_{c}") for c in one], "least", "hi")
     classes = checkpoint(classes.join(checkpoint(many), F.col("_h") == F.col("_g"), "left").withColumn("open", F.col("_g").isNotNull()).where("least < hi OR open"))
-    met = written(places.join(classes, [F.col(c) == F.col(f"_{c}") for c in one]).where("least < doc_id OR open").select("h", "doc_id", "_row", "p", "l", "r", (F.col("least") < F.col("doc_id")).alias("later")), "places")
+    met = written(places.join(classes, [F.col(c) == F.col(f"_{c}") for c in one]).where("least < doc_id OR open").select("h", "doc_id", "_row", "p", "l", "r", (F.col("least") < F.col("doc_id")).alias("later")), "met")
+    discard(places, classes)
     marks = [met.where("later").select("doc_id", "_row", (F.col("p") - F.col("l")).alias("lo"), (F.col("p") - F.lit(reach) + F.col("r")).alias("hi"))]
-    ones = met.where("NOT later").drop("later")
-    left = written(_surroundings(docs, ones, size), "surroundings")
+    words = left = written(_surroundings(docs, _with_reference(met.where("NOT later").drop("later").distinct(), "h"), size), "surroundings")
     while True:
-        # materialised, so that the join deals both sides anew and a very frequent anchor can be split
-        reference = F.min(F.struct("doc_id", "_row", "p", "l", "words"))
-        refs = written(left.groupBy(F.col("g").alias("_g")).agg(reference.alias("x"), F.count("*").alias("n")).where("n > 1"), "references")
-        if refs.isEmpty():
-            break
-        rows = left.join(refs, F.col("g") == F.col("_g"))
-        itself = (F.col("doc_id") == F.col("x.doc_id")) & (F.col("_row") == F.col("x._row")) & (F.col("p") == F.col("x.p"))
-        rows = rows.where(~itself).select(*left.columns, F.col("x.l").alias("x_l"), F.col("x.words").alias("x_words"), (F.col("x.doc_id") < F.col("doc_id")).alias("smaller"))
+        refs = written(left.where("ref").dropDuplicates(["g"]).select(F.col("g").alias("_g"), F.col("doc_id").alias("x_doc"), F.col("l").alias("x_l"), F.col("words").alias("x_words")), "references")
+        rows = left.where("NOT ref").join(refs, F.col("g") == F.col("_g")).withColumn("smaller", F.col("x_doc") < F.col("doc_id"))
         out = written(_extension(rows, size, reach), "extended")
         marks.append(out.where("g IS NULL").select("doc_id", "_row", "lo", "hi"))
-        left = out.where("g IS NOT NULL").select(*left.columns).dropDuplicates(["g", "doc_id", "_row", "p"])
+        following = written(_with_reference(out.where("g IS NOT NULL").drop("lo", "hi").distinct(), "g"), "following")
+        discard(refs, *([left] if left is not words else []))
+        if following.isEmpty():
+            break
+        again = F.broadcast(following) if small(following, SIDE_BYTES) else following
+        left = written(words.select(*KEY, "words").join(again, KEY), "surroundings")
     found = marks[0]
     for x in marks[1:]:
         found = found.unionByName(x)
