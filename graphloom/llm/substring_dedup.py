@@ -100,61 +100,47 @@ def extended(own: list[bytes], at: int, other: list[bytes], there: int, size: in
 
 
 def _hashes(rest: DataFrame, window: int, mask: np.ndarray) -> DataFrame:
-    """(doc_id, _row, h: the hashes of all anchors of a text in their order)."""
+    """(doc_id, _row, text, h: the hashes of all anchors of a text in their order)."""
     kind = rest.schema["doc_id"].dataType.simpleString()
 
     def found(coder, ids, rows, texts):
         hashes = [anchor_hashes(coder(words_of(t)), window, mask)[0] for t in texts.to_pylist()]
-        return [ids, rows, pa.array(hashes, pa.list_(pa.int64()))]
+        return [ids, rows, texts, pa.array(hashes, pa.list_(pa.int64()))]
 
-    return _per_text(rest, ["doc_id", "_row", "h"], f"doc_id {kind}, _row long, h array<long>", found)
+    return _per_text(rest, ["doc_id", "_row", "text", "h"], f"doc_id {kind}, _row long, text string, h array<long>", found)
 
 
-def _known(hashes: DataFrame, held, mask: np.ndarray) -> DataFrame:
-    """(doc_id, _row, h, p) of the texts with anchors that pass the filter `held`: those anchors and where they are."""
+def _places(hashes: DataFrame, held, window: int, mask: np.ndarray) -> DataFrame:
+    """(h, a, b, doc_id, _row, p, l, r): for each anchor that passes the filter `held` how many words of the text lie left
+    and right of it within reach of a window, and 128 bits of all these words."""
     kind = hashes.schema["doc_id"].dataType.simpleString()
     cover, period = np.flatnonzero(mask), len(mask)
-
-    def run(batches):
-        for batch in batches:
-            h = batch.column("h")
-            flat, lens = h.flatten().to_numpy(zero_copy_only=False), pc.list_value_length(h).to_numpy(zero_copy_only=False).astype(np.int64)
-            index = np.arange(len(flat)) - np.repeat(np.cumsum(lens) - lens, lens)
-            ok = passes(flat, held.value) if len(flat) else np.zeros(0, bool)
-            n = np.bincount(np.repeat(np.arange(len(lens)), lens)[ok], minlength=len(lens))
-            index = index[ok]
-            at = (index // len(cover) * period + cover[index % len(cover)]).astype(np.int32)
-            offsets = pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32())
-            arrays = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (flat[ok], at)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_row"), *arrays], names=["doc_id", "_row", "h", "p"]).filter(pa.array(n > 0))
-
-    return hashes.mapInArrow(run, f"doc_id {kind}, _row long, h array<long>, p array<int>")
-
-
-def _places(docs: DataFrame, known: DataFrame, window: int, reach: int) -> DataFrame:
-    """(h, a, b, doc_id, _row, p, l, r): for each anchor of known how many words of the text lie left and right of it within
-    reach of a window, and 128 bits of all these words."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    reach = period - 1
     size = window - reach
 
-    def found(_, ids, rows, texts, hashes, places):
+    def found(_, ids, rows, texts, own):
         import xxhash
 
-        digest, sums, lefts, rights, n = xxhash.xxh3_128_digest, [], [], [], []
-        for t, p in zip(texts.to_pylist(), places.to_pylist()):
-            w, p = Words(t), np.array(p, np.int64)
+        digest, sums, lefts, rights, places = xxhash.xxh3_128_digest, [], [], [], []
+        flat, lens = own.flatten().to_numpy(zero_copy_only=False), pc.list_value_length(own).to_numpy(zero_copy_only=False).astype(np.int64)
+        index, which = np.arange(len(flat)) - np.repeat(np.cumsum(lens) - lens, lens), np.repeat(np.arange(len(lens)), lens)
+        ok = passes(flat, held.value) if len(flat) else np.zeros(0, bool)
+        index, n = index[ok], np.bincount(which[ok], minlength=len(lens))
+        at = index // len(cover) * period + cover[index % len(cover)]
+        for i, p in zip(np.flatnonzero(n).tolist(), np.split(at, np.cumsum(n[n > 0])[:-1])):
+            w = Words(texts[i].as_py())
             left, right = np.minimum(p, reach), np.minimum(len(w.words) - p - size, reach)
             first = p - left
             begin = np.where(first > 0, w.ends[first - 1] + 1, 0)
             end = w.ends[p + size + right - 1]
             sums += [digest(w.joined[x:y]) for x, y in zip(begin.tolist(), end.tolist())]
-            lefts.append(left), rights.append(right), n.append(len(p))
+            lefts.append(left), rights.append(right), places.append(p)
         both = np.frombuffer(b"".join(sums), np.int64).reshape(-1, 2)
-        numbers = [pa.array((np.concatenate(x) if x else np.empty(0)).astype(np.int32)) for x in (lefts, rights)]
-        return [hashes.flatten(), pa.array(both[:, 0]), pa.array(both[:, 1]), _repeat(ids, n), _repeat(rows, n), places.flatten(), *numbers]
+        numbers = [pa.array((np.concatenate(x) if x else np.empty(0)).astype(np.int32)) for x in (places, lefts, rights)]
+        return [pa.array(flat[ok], pa.int64()), pa.array(both[:, 0]), pa.array(both[:, 1]), _repeat(ids, n), _repeat(rows, n), *numbers]
 
     names = ["h", "a", "b", "doc_id", "_row", "p", "l", "r"]
-    return _per_text(attach(docs, known, "inner"), names, f"h long, a long, b long, doc_id {kind}, _row long, p int, l int, r int", found, "h", "p")
+    return _per_text(hashes, names, f"h long, a long, b long, doc_id {kind}, _row long, p int, l int, r int", found, "h")
 
 
 KEY = ["h", "doc_id", "_row", "p"]
@@ -248,10 +234,9 @@ def shared_windows(docs: DataFrame, rest: DataFrame, window: int, period: int, c
     hashes = written(_hashes(rest, window, mask), "hashes")
     spread = hashes.select("doc_id", F.explode("h").alias("h")).groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
     held = hash_filter(spread.where("lo < hi").select("h"))
-    known = written(_known(hashes, held, mask), "known")
+    places = written(_places(hashes, held, window, mask), "places")
     discard(hashes)
     held.unpersist()
-    places = written(_places(docs, known, window, reach), "places")
     one = ["h", "a", "b", "l"]
     classes = checkpoint(places.groupBy(*one).agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("hi")))
     many = classes.groupBy("h").agg(F.min("least").alias("lo"), F.max("least").alias("up")).where("lo < up").select(F.col("h").alias("_g"))
