@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_text, language_id, mix_sources, quality, simhash, substring_dedup, suffix_dedup, token_counts, topk_search
+from . import conversation_trie, decontaminate, exact_dedup, html_text, language_id, mix_sources, quality, simhash, substring_dedup, suffix_dedup, token_counts, topk_search, whitening
 
 QUERIES = {
     "op1_benchmark_decontamination": decontaminate.op1_benchmark_decontamination,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_language_id": language_id.op8_language_id,
     "op9_exact_topk": topk_search.op9_exact_topk,
     "op10_token_counts": token_counts.op10_token_counts,
+    "op11_exact_dedup": exact_dedup.op11_exact_dedup,
+    "op12_conversation_trie": conversation_trie.op12_conversation_trie,
+    "op13_embedding_whitening": whitening.op13_embedding_whitening,
 }
 #: Where SQL can express the query.
 ORACLES = {
@@ -23,4 +26,6 @@ ORACLES = {
     "op5_source_mixing": mix_sources.OP5_SQL,
     "op6_substring_dedup": substring_dedup.OP6_SQL,
     "op9_exact_topk": topk_search.OP9_SQL,
+    "op11_exact_dedup": exact_dedup.OP11_SQL,
+    "op12_conversation_trie": conversation_trie.OP12_SQL,
 }
