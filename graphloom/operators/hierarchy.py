@@ -50,7 +50,7 @@ def find_subclasses(name: str, classes: DataFrame, bases: DataFrame, names: Data
     known = classes.where(F.col("handle" if "." in name else "name") == name).select("handle").distinct()
     if "." in name and names is not None:
         known = known.unionByName(names.where(F.col("alias") == name).select("handle")).distinct()
-    found = sorted(r[0] for r in known.limit(1000).collect())
+    found = [r[0] for r in known.orderBy("handle").collect()]  # every class of this name
     if "." not in name and len(found) > 1:
         return found, None
     base = found[0] if found else name
@@ -120,13 +120,88 @@ def linearize(handle: str, bases: dict[str, list[str]]) -> list[str]:
     return order(handle, frozenset({handle}))
 
 
+def merged_orders(name: str, bases: list[str], orders: list[list[str]]) -> list[str]:
+    """C3 of a class whose bases' orders are finished: as linearize, in time linear in their lengths."""
+    queues = [list(q) for q in (*orders, bases) if q]
+    at, later = [0] * len(queues), {}
+    for q in queues:
+        for n in q[1:]:
+            later[n] = later.get(n, 0) + 1
+    out, left = [name], sum(map(len, queues))
+    while left:
+        head = next((q[i] for q, i in zip(queues, at) if i < len(q) and not later.get(q[i])), None)
+        if head is None:
+            rest = [n for q, i in zip(queues, at) for n in q[i:]]
+            return list(dict.fromkeys([*out, *rest]))
+        out.append(head)
+        for k, q in enumerate(queues):
+            if at[k] < len(q) and q[at[k]] == head:
+                at[k] += 1
+                left -= 1
+                if at[k] < len(q):
+                    later[q[at[k]]] -= 1
+    return list(dict.fromkeys(out))
+
+
 def resolution_orders(base_names: DataFrame) -> DataFrame:
     """(handle, ord, name): the method resolution order of every class with bases. base_names(child, ord, parent).
 
-    Each class meets the bases of all its ancestors by the closure; then one group a class is merged."""
-    pairs = base_names.select("child", "parent").distinct()
-    ancestors = closure(pairs.select(F.col("parent").alias("child"), F.col("child").alias("parent"))).select(F.col("root").alias("handle"), F.col("handle").alias("c"))
-    own = pairs.select(F.col("child").alias("handle"), F.col("child").alias("c")).distinct()
+    Level by level: a class is merged once the orders of its bases are, by one join a level. Classes with one base need no
+    merge, their order is their own name before their base's; whole chains of them are contracted by pointer doubling, so
+    that only classes of several bases make levels. Classes on a circle, or below one, are merged one by one."""
+    b = cut(base_names.groupBy("child", "parent").agg(F.min("ord").alias("ord")), "bases")
+    number = b.groupBy("child").agg(F.count("*").alias("n"))
+    several = cut(b.join(number.where("n > 1").select("child"), "child", "left_semi"), "several")
+    # chains: (child, path, top), path from the child to the class before top, the first that isn't the child of one base
+    chain = cut(b.join(number.where("n = 1").select("child"), "child", "left_semi").select("child", F.array("child").alias("path"), F.col("parent").alias("top"), F.lit(False).alias("ended")), "chains")
+    rounds = max(1, chain.count()).bit_length() + 1
+    while rounds:
+        rounds -= 1
+        up = chain.select(F.col("child").alias("_c"), F.col("path").alias("_p"), F.col("top").alias("_t"), F.col("ended").alias("_e"))
+        nxt = chain.where("NOT ended").join(up, F.col("top") == F.col("_c"), "left")
+        nxt = nxt.select("child", F.when(F.col("_c").isNull(), F.col("path")).otherwise(F.concat("path", "_p")).alias("path"), F.coalesce("_t", "top").alias("top"), (F.col("_c").isNull() | F.col("_e")).alias("ended"))
+        chain = cut(nxt.unionByName(chain.where("ended")), "chains")
+        if chain.where("NOT ended").isEmpty():
+            break
+    chain = chain.where("ended")  # the others run in a circle
+    anchor = chain.select(F.col("child").alias("_c"), F.col("path").alias("_p"), F.col("top").alias("_t"))
+    need = several.join(anchor, F.col("parent") == F.col("_c"), "left").select("child", "ord", "parent", F.coalesce("_p", F.array().cast("array<string>")).alias("path"), F.coalesce("_t", "parent").alias("anchor"))
+    need = cut(need, "needs")
+    roots = b.select(F.col("parent").alias("handle")).distinct().join(b.select(F.col("child").alias("handle")), "handle", "left_anti")
+    done = cut(roots.select("handle", F.array("handle").alias("order")), "orders")
+    merge = lambda batches: (_merge(x) for x in batches)
+    while not need.isEmpty():
+        have = done.select(F.col("handle").alias("anchor"), F.col("order").alias("_o"))
+        met = need.join(have, "anchor", "left").groupBy("child").agg(
+            F.array_sort(F.collect_list(F.struct("ord", "parent", F.concat("path", F.coalesce("_o", F.array().cast("array<string>"))).alias("order")))).alias("up"), F.count_if(F.col("_o").isNull()).alias("missing"),
+        )
+        new = cut(met.where("missing = 0").select("child", "up").mapInArrow(merge, "handle string, order array<string>"), "orders")
+        if new.isEmpty():
+            break  # circles
+        done = done.unionByName(new)
+        need = cut(need.join(new.select(F.col("handle").alias("child")), "child", "left_anti"), "needs")
+    single = chain.join(done.select(F.col("handle").alias("top"), "order"), "top").select(F.col("child").alias("handle"), F.concat("path", "order").alias("order"))
+    orders = done.join(several.select(F.col("child").alias("handle")).distinct(), "handle", "left_semi").unionByName(single)
+    out = orders.select("handle", F.posexplode("order").alias("ord", "name"))
+    odd = cut(b.select("child").distinct().join(orders.select(F.col("handle").alias("child")), "child", "left_anti"), "circular")
+    return out if odd.isEmpty() else out.unionByName(_one_by_one(b, odd))
+
+
+def _merge(batch):
+    import pyarrow as pa
+
+    names, orders = [], []
+    for child, up in zip(batch.column("child").to_pylist(), batch.column("up").to_pylist()):
+        names.append(child)
+        orders.append(merged_orders(child, [x["parent"] for x in up], [x["order"] for x in up]))
+    return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(orders, pa.list_(pa.string()))], names=["handle", "order"])
+
+
+def _one_by_one(base_names: DataFrame, classes: DataFrame) -> DataFrame:
+    """(handle, ord, name) of classes(child): each meets the bases of all its ancestors, and is one group."""
+    pairs = base_names.select(F.col("parent").alias("child"), F.col("child").alias("parent"))
+    ancestors = closure(pairs, classes.select(F.col("child").alias("root"))).select(F.col("root").alias("handle"), F.col("handle").alias("c"))
+    own = classes.select(F.col("child").alias("handle"), F.col("child").alias("c"))
     facts = ancestors.unionByName(own).distinct().join(base_names.select(F.col("child").alias("c"), "ord", "parent"), "c")
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:

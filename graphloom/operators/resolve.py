@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,28 +17,99 @@ HOPS = 20
 def canonical(bindings: DataFrame, defined: DataFrame, stars: DataFrame | None = None, hops: int = HOPS) -> DataFrame:
     """(alias, handle, hops) for every name that a chain of at most `hops` re-exports leads to a definition.
 
-    bindings(module, surface, target), defined(handle), stars(module, ord, source). A definition beats an explicit
-    import, which beats star imports in their order. Chains are followed by pointer doubling: each round composes the
-    table with itself, so 20 hops take five joins; a chain that runs in a circle ends nowhere and is dropped.
+    bindings(module, surface, target[, ord]), defined(handle), stars(module, ord, source). A definition beats an explicit
+    import, of which the last (ord) counts; a name with neither comes from the first star import that leads to a
+    definition, through stars of stars. Chains are followed by pointer doubling: each round composes the table with
+    itself, so 20 hops take five joins; a chain that runs in a circle ends nowhere and is dropped.
     """
-    explicit = bindings.select(F.concat_ws(".", "module", "surface").alias("alias"), F.col("target").alias("next"), F.lit(0).alias("pref"), F.lit(0).alias("o"))
-    step = explicit
-    if stars is not None:
-        surface = bindings.select(F.col("module").alias("m"), F.col("surface").alias("s")).unionByName(
-            defined.select(F.regexp_replace("handle", r"\.[^.]*$", "").alias("m"), F.substring_index("handle", ".", -1).alias("s"))
-        ).distinct()
-        through = stars.join(surface, F.col("source") == F.col("m")).where(~F.startswith("s", F.lit("_")))
-        step = step.unionByName(through.select(F.concat_ws(".", "module", "s").alias("alias"), F.concat_ws(".", "source", "s").alias("next"), F.lit(1).alias("pref"), F.col("ord").cast("int").alias("o")))
-    best = step.groupBy("alias").agg(F.min(F.struct("pref", "o", "next")).alias("b")).select("alias", F.col("b.next").alias("next"))
     own = defined.select(F.col("handle").alias("alias")).distinct()
-    pointer = cut(best.join(own, "alias", "left_anti").where("alias <> next").select("alias", "next", F.lit(1).alias("n")))
+    last = F.max_by("target", "ord") if "ord" in bindings.columns else F.min("target")
+    explicit = bindings.groupBy(F.concat_ws(".", "module", "surface").alias("alias")).agg(last.alias("next")).join(own, "alias", "left_anti")
+    if stars is None or stars.isEmpty():
+        return _followed(explicit, own, hops).drop("next")
+    explicit, stars = cut(explicit, "explicit"), cut(stars.select("module", F.col("ord").cast("long").alias("ord"), "source").distinct(), "stars")
+    every = _alternatives(explicit, own, stars)
+    first = every.groupBy("alias").agg(F.min_by("next", "ord").alias("next"))
+    straight = cut(_followed(first, own, hops), "names")
+    # What the first alternatives lead round in a circle: the search of each such name, in order and without return.
+    lost = cut(first.join(straight.select("alias"), "alias", "left_anti").select("alias"), "lost")
+    if lost.isEmpty():
+        return straight.drop("next")
+    return straight.drop("next").unionByName(_searched(lost, every, own).where(F.col("hops") <= hops))
+
+
+def _followed(step: DataFrame, own: DataFrame, hops: int) -> DataFrame:
+    """(alias, handle, hops, next) of single steps(alias, next) that lead to a definition."""
+    pointer = cut(step.where("alias <> next").select("alias", "next", F.lit(1).alias("n")))
     span = 1
     while span < hops:
         on = pointer.select(F.col("alias").alias("_a"), F.col("next").alias("_n"), F.col("n").alias("_k"))
         pointer = cut(pointer.join(on, F.col("next") == F.col("_a"), "left").select("alias", F.coalesce("_n", "next").alias("next"), (F.col("n") + F.coalesce("_k", F.lit(0))).alias("n")))
         span *= 2
     found = pointer.where(F.col("n") <= hops).join(own.select(F.col("alias").alias("next")), "next", "left_semi")
-    return found.select("alias", F.col("next").alias("handle"), F.col("n").alias("hops"))
+    return found.select("alias", F.col("next").alias("handle"), F.col("n").alias("hops"), "next")
+
+
+def _alternatives(explicit: DataFrame, own: DataFrame, stars: DataFrame) -> DataFrame:
+    """(alias, ord, next): the steps that lead to a definition, of every name that reaches one. A semi-naive fixpoint: a
+    round takes only the names that the round before found through the explicit imports of them and the stars of their
+    modules. Names with an underscore in front don't pass through a star."""
+    taken = cut(own.unionByName(explicit.select("alias")).distinct(), "taken")
+    through = stars.select("module", F.col("source").alias("_m"))
+
+    def starred(names: DataFrame, via: DataFrame) -> DataFrame:
+        leaf = F.substring_index("alias", ".", -1)
+        inner = names.where((F.instr("alias", ".") > 0) & ~F.startswith(leaf, F.lit("_"))).select(parent(F.col("alias")).alias("_m"), leaf.alias("_leaf"), F.col("alias").alias("next"))
+        return inner.join(via, "_m").withColumn("alias", F.concat_ws(".", "module", "_leaf")).drop("_leaf")
+
+    reached, new = own, own
+    while True:
+        by_name = explicit.join(new.select(F.col("alias").alias("next")), "next", "left_semi").select("alias")
+        by_star = starred(new, through).select("alias").join(taken, "alias", "left_anti")
+        new = cut(by_name.unionByName(by_star).distinct().join(reached, "alias", "left_anti"), "reached")
+        if new.isEmpty():
+            break
+        reached = reached.unionByName(new)
+    reached = cut(reached, "reached")
+    stepped = starred(reached, stars.select("module", "ord", F.col("source").alias("_m"))).join(taken, "alias", "left_anti").select("alias", "ord", "next")
+    direct = explicit.join(reached.select(F.col("alias").alias("next")), "next", "left_semi").select("alias", F.lit(-1).cast("long").alias("ord"), "next")
+    return cut(stepped.unionByName(direct).distinct(), "alternatives")
+
+
+def _searched(lost: DataFrame, every: DataFrame, own: DataFrame) -> DataFrame:
+    """(alias, handle, hops) of names whose first alternatives go round: depth first over what each reaches, alternatives in
+    their order, no name entered twice. A group is what one name reaches through a circle of star imports."""
+    step = every.select(F.col("alias").alias("_a"), "next")
+    reach, new = None, lost.select("alias", F.col("alias").alias("at"))
+    while True:
+        new = new if reach is None else new.join(reach, ["alias", "at"], "left_anti")
+        new = cut(new, "reach")
+        if new.isEmpty():
+            break
+        reach = new if reach is None else reach.unionByName(new)
+        new = new.join(step, F.col("at") == F.col("_a")).select("alias", F.col("next").alias("at")).distinct()
+    ends = own.select(F.col("alias").alias("_e"))
+    edges = reach.join(every.select(F.col("alias").alias("at"), "ord", "next"), "at").join(ends, F.col("next") == F.col("_e"), "left")
+    edges = edges.select("alias", "at", "ord", "next", F.col("_e").isNotNull().alias("end"))
+
+    def search(pdf: pd.DataFrame) -> pd.DataFrame:
+        ways, end = {}, set(pdf.loc[pdf["end"], "next"])
+        for at, _, to in sorted(zip(pdf["at"], pdf["ord"], pdf["next"])):
+            ways.setdefault(at, []).append(to)
+        start = pdf["alias"].iloc[0]
+        seen, path = {start}, [iter(ways.get(start, ()))]
+        while path:
+            to = next(path[-1], None)
+            if to is None:
+                path.pop()
+            elif to in end:
+                return pd.DataFrame({"alias": [start], "handle": [to], "hops": [len(path)]})
+            elif to not in seen:
+                seen.add(to)
+                path.append(iter(ways.get(to, ())))
+        return pd.DataFrame({"alias": [], "handle": [], "hops": []})
+
+    return edges.groupBy("alias").applyInPandas(search, "alias string, handle string, hops int")
 
 
 def re_exports(canonical_names: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ n AS (SELECT n_nationkey AS n, 'shop.n' || n_nationkey AS pkg, 'shop.n' || n_nat
 
 
 def _edges(s, d, kind):
-    return project_tables(s, d)["edges"].where(F.col("kind") == kind).select("src", "dst")
+    return project_tables(s, d).edges_of(kind).select("src", "dst")
 
 
 @query(_P + """SELECT src, dst FROM (SELECT mod AS dst, unnest(['shop', pkg, pkg || '.base', 'shop.n' || m]) AS src FROM s UNION SELECT pkg, unnest(['shop', base]) FROM n)""", base=False)
@@ -37,19 +37,19 @@ def parsed_imports(s, d):
 
 @query(_P + "SELECT mod AS src, unnest(['os', 'missing_' || (k % 3)]) AS target FROM s", base=False)
 def parsed_unresolved_imports(s, d):
-    return project_tables(s, d)["unresolved"].where("edge = 'imports'").select("src", "target").distinct()
+    return project_tables(s, d).unresolved_of("imports").select("src", "target").distinct()
 
 
 @query(_P + """SELECT mod || '.Problem' || k || '.of' AS src, unnest([pkg || '.base.make' || n, mod || '.Problem' || k || '.of']) AS dst FROM s UNION ALL SELECT mod || '.use' || k, mod || '.Item' || k FROM s
-UNION ALL SELECT base || '.Root' || n || '.run', base || '.Root' || n || '.stop' FROM n UNION ALL SELECT base || '.Root' || n || '.stop', base || '.make' || n FROM n UNION ALL SELECT base || '.make' || n, base || '.Base' || n FROM n""", base=False)
+UNION ALL SELECT base || unnest(['.Root', '.Right']) || n || '.run', base || '.Root' || n || '.stop' FROM n UNION ALL SELECT base || '.Root' || n || '.stop', base || '.make' || n FROM n UNION ALL SELECT base || '.make' || n, base || '.Base' || n FROM n""", base=False)
 def parsed_callees(s, d):
-    """`make` is called by two names and counted once; inherited members aren't found without inference."""
+    """`make` is called by two names and counted once; an inherited member is its definer's."""
     return _edges(s, d, "callees")
 
 
-@query(_P + """SELECT mod || '.Problem' || k || '.of' AS src, 1::BIGINT AS sites FROM s UNION ALL SELECT base || '.Right' || n || '.run', 1 FROM n""", base=False)
+@query(_P + """SELECT mod || '.Problem' || k || '.of' AS src, 1::BIGINT AS sites FROM s""", base=False)
 def parsed_unresolved_calls(s, d):
-    return project_tables(s, d)["unresolved"].where("edge = 'callees'").groupBy("src").agg(F.count("*").alias("sites"))
+    return project_tables(s, d).unresolved_of("callees").groupBy("src").agg(F.count("*").alias("sites"))
 
 
 _CLS = """, c AS (SELECT base || '.Root' || n AS handle, [] AS up FROM n UNION ALL SELECT base || '.Left' || n, [base || '.Root' || n] FROM n UNION ALL SELECT base || '.Right' || n, [base || '.Root' || n] FROM n
@@ -125,10 +125,9 @@ UNION ALL SELECT '/p/shop/n' || n || '/s' || k || '.py', mod || '.use' || k, 'fu
 def parsed_type_info(s, d):
     """What stands at the names of all Base classes and of all use functions."""
     t = project_tables(s, d)
-    names = t["nodes"].where("kind IN ('class', 'function')").select("file", F.col("line_start").alias("line"), F.when(F.col("kind") == "class", 6).otherwise(4).alias("col_start"), "handle")
-    occurrences = names.withColumn("col_end", F.col("col_start") + F.length(scalar.leaf(F.col("handle"))))
-    asked = occurrences.where("handle LIKE '%.Base%' OR handle LIKE '%.use%'").select("file", "line", (F.col("col_start") + 1).alias("column"))
-    x = resolve.type_info(asked, occurrences, t["nodes"], t["bases"], t["edges"])
+    at = F.when(F.col("kind") == "class", 7).otherwise(5).alias("column")  # the second character of the name
+    asked = t["nodes"].where("(kind = 'class' AND handle LIKE '%.Base%') OR (kind = 'function' AND handle LIKE '%.use%')").select("file", F.col("line_start").alias("line"), at)
+    x = resolve.type_info(asked, t["occurrences"], t["nodes"], t["bases"], t["edges"])
     return x.select("file", "handle", "kind", *[F.array_join(c, ",").alias(c) for c in ("base_classes", "mro", "methods")])
 
 

@@ -120,7 +120,111 @@ def project(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.unionByName(rows(s, F.concat(F.lit("shop.n"), n, F.lit(".s"), k), F.concat(here, F.lit("/s"), k, F.lit(".py")), text))
 
 
-def project_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+#: Files of one package a supplier (%1$s), named and bound in ways that need more than a look into one file.
+_TWISTED = {
+    "__init__": "from .api import *\n",
+    "api": "from .dead import *\nfrom .more import *\n",
+    "dead": "from .gone import Widget%1$s\nfrom .api import *\n",
+    "more": "from .core import *\n",
+    "core": '''class Widget%1$s:
+    def __init__(self, size: int):
+        self.size = size
+
+    def grow(self) -> "Widget%1$s":
+        return self
+
+    def name(self):
+        return helper%1$s()
+
+
+class Base%1$s:
+    def own(self):
+        return 1
+
+    @property
+    def widget(self) -> Widget%1$s:
+        return make%1$s()
+
+
+def make%1$s():
+    return Widget%1$s(2)
+
+
+def helper%1$s(*parts: Base%1$s, **more: Widget%1$s):
+    return parts
+
+
+A%1$s, (B%1$s, *C%1$s) = 1, (2, 3)
+match A%1$s:
+    case 1:
+        from . import extra
+
+        def matched%1$s():
+            return make%1$s().grow()
+''',
+    "extra": "class Other:\n    def grow(self):\n        return len(str(self))\n",
+    "use": '''import os
+from .extra import Other as Thing
+from .core import Base%1$s as Thing
+from tw.s%1$s import Widget%1$s, make%1$s
+if os:
+    from .extra import Other
+
+
+class Child%1$s(Thing):
+    def go(self):
+        self.own()
+        super().own()
+        w = Widget%1$s(3)
+        w.grow().name()
+        self.held = make%1$s()
+        w = Other()
+        w.grow()
+        return self.widget.grow()
+
+
+class Leaf%1$s(Child%1$s, Widget%1$s):
+    def own(self):
+        return super().own()
+
+
+def run%1$s(c: Child%1$s, d: "Leaf%1$s | None" = None, *rest: Leaf%1$s):
+    global LAST
+    c.own()
+    d.own()
+    d.name()
+    d.held.grow()
+    for r in rest:
+        r.go()
+    v = make%1$s()
+    v.grow()
+    v = unknown()
+    v.grow()
+    os.getcwd()
+    LAST = [x for x in rest if x]
+''',
+}
+
+
+def twisted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(module, file, content) of a package a supplier, with rebound names, imports in blocks, stars of stars that go round
+    or lead nowhere, tuple targets, match blocks, inherited members, and calls of variables."""
+    k = F.col("s_suppkey").cast("string")
+    out = None
+    for name, text in _TWISTED.items():
+        own = F.lit("") if name == "__init__" else F.lit(f".{name}")
+        rows = read(spark, sf_dir, "supplier").select(F.concat(F.lit("tw.s"), k, own).alias("module"), F.concat(F.lit("/q/tw/s"), k, F.lit(f"/{name}.py")).alias("file"), F.format_string(text, k).alias("content"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def twisted_tables(spark: SparkSession, sf_dir: str):
+    from ..sources.code import tables
+
+    return tables(parse(twisted(spark, sf_dir)))
+
+
+def project_tables(spark: SparkSession, sf_dir: str):
     from ..sources.code import tables
 
     return tables(parse(project(spark, sf_dir)))

@@ -611,14 +611,14 @@ def find_validators(s, d):
 def rendered_callees(s, d):
     from .sources.code import tables as derived
 
-    return derived(_facts(s, d))["edges"].where("kind = 'callees'").select("src", "dst")
+    return derived(_facts(s, d)).edges_of("callees").select("src", "dst")
 
 
 @query("SELECT 'src.s' || s_suppkey AS src, 'pydantic.BaseModel' AS target FROM supplier", base=False)
 def rendered_unresolved_imports(s, d):
     from .sources.code import tables as derived
 
-    return derived(_facts(s, d))["unresolved"].where("edge = 'imports' AND target LIKE 'pydantic.BaseModel'").select("src", "target")
+    return derived(_facts(s, d)).unresolved_of("imports").where("target LIKE 'pydantic.BaseModel'").select("src", "target")
 
 
 # --- catalogue -------------------------------------------------------------------------------------------------------

@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import ast
 
+from functools import cached_property
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .lexical import Lexical
+
 SCHEMA = (
     "module string, file string, fact string, ord int, name string, full_name string, parent string, kind string, line int,"
-    " col int, end_line int, target string, level int, flag boolean, items array<string>, text string"
+    " col int, end_line int, target string, level int, flag boolean, items array<string>, text string, col_end int, head string, steps array<string>"
 )
 _NAMES = [f.split()[0] for f in SCHEMA.replace("\n", "").split(", ")]
 #: Stands between the fields of a parameter: no annotation holds it.
@@ -62,10 +66,10 @@ def parameters(node) -> list[str]:
 
 
 def constructor(node) -> str | None:
-    """The arguments a class takes, by its own __init__; none for a class without bases; else not known here."""
+    """The arguments a class takes by its own __init__; None if it has none."""
     own = next((n for n in reversed(node.body) if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef)) and n.name == "__init__"), None)
     if own is None:
-        return None if node.bases else "()"
+        return None
     args = ast.parse(f"def f({ast.unparse(own.args)}): 0").body[0].args
     if args.posonlyargs or args.args:
         (args.posonlyargs or args.args).pop(0)
@@ -113,10 +117,17 @@ def facts_of(module: str, file: str, content: str | None) -> list[dict]:
     try:
         tree = ast.parse(content or "")
     except (SyntaxError, ValueError, RecursionError, MemoryError) as e:
-        add("parse_error", text=str(e)[:500])
+        add("parse_error", text=str(e))
         return rows
     add("file", line=1, end_line=(content or "").count("\n") + 1, text=ast.get_docstring(tree))
     package = file.endswith("/__init__.py") or file == "__init__.py"
+    try:
+        lexical = Lexical(module, package, tree, content or "", add)
+    except RecursionError:  # expressions nested too deeply: the file's other facts stand
+        lexical = None
+        rows[:] = [r for r in rows if r["fact"] == "file"]
+        count.clear(), count.update(file=0)
+    means = lambda at, x: dict(zip(("head", "steps"), (getattr(lexical, at).get(id(x)) or (None, None)) if lexical else (None, None)))
 
     def imports(node, top: bool, owner: str) -> None:
         if isinstance(node, ast.Import):
@@ -133,10 +144,11 @@ def facts_of(module: str, file: str, content: str | None) -> list[dict]:
             if isinstance(n, _SCOPES):
                 continue
             if isinstance(n, ast.Call):
-                add("call", parent=owner, target=dotted(n.func), line=n.lineno, col=n.col_offset, items=[ast.unparse(x) for x in n.args[:3]])
+                add("call", parent=owner, target=dotted(n.func), line=n.lineno, col=n.col_offset, items=[ast.unparse(x) for x in n.args], flag=True, **means("called", n))
             todo += reversed(list(ast.iter_child_nodes(n)))
 
-    def visit(body, owner: str, inside: str | None, top: bool) -> None:
+    def visit(body, owner: str, inside: str | None, top: bool, scope) -> None:
+        """top: are these statements of the module itself, not of a block within it? scope: the definition around them."""
         for node in body:
             if isinstance(node, (ast.Import, ast.ImportFrom)):
                 imports(node, top, owner)
@@ -144,9 +156,9 @@ def facts_of(module: str, file: str, content: str | None) -> list[dict]:
                 full = f"{owner}.{node.name}"
                 add("def", name=node.name, full_name=full, parent=owner, kind="class", line=node.lineno, col=node.col_offset, end_line=node.end_lineno, flag=False, target=constructor(node), text=ast.get_docstring(node))
                 for i, b in enumerate(node.bases):
-                    add("base", full_name=full, name=(dotted(b) or ast.unparse(b)).split("[")[0].rpartition(".")[2], target=dotted(b if not isinstance(b, ast.Subscript) else b.value), level=i, line=node.lineno)
+                    add("base", full_name=full, name=(dotted(b) or ast.unparse(b)).split("[")[0].rpartition(".")[2], target=dotted(b if not isinstance(b, ast.Subscript) else b.value), level=i, line=node.lineno, **means("bases", b))
                 decorators(node, full)
-                visit(node.body, full, "class", False)
+                visit(node.body, full, "class", False, node)
             elif isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)):
                 full = f"{owner}.{node.name}"
                 kind = "method" if inside == "class" else "function"
@@ -154,25 +166,28 @@ def facts_of(module: str, file: str, content: str | None) -> list[dict]:
                 decorators(node, full)
                 calls(node, full)
                 if node.returns is not None:
-                    refs(full, "return", node.returns)
-                for p in [*node.args.posonlyargs, *node.args.args, *node.args.kwonlyargs]:
+                    refs(full, "return", node.returns, node)
+                for p in [*node.args.posonlyargs, *node.args.args, *([node.args.vararg] if node.args.vararg else []), *node.args.kwonlyargs, *([node.args.kwarg] if node.args.kwarg else [])]:
                     if p.annotation is not None:
-                        refs(full, p.arg, p.annotation)
-                visit(node.body, full, "function", False)
+                        refs(full, p.arg, p.annotation, node)
+                visit(node.body, full, "function", False, node)
             else:
                 if isinstance(node, (ast.Assign, ast.AnnAssign)):
-                    assigned(node, owner, inside)
+                    assigned(node, owner, inside, scope)
                 if isinstance(node, (ast.Assign, ast.AugAssign, ast.AnnAssign, ast.Expr, ast.Return)) and isinstance(node.value, ast.Call) and inside is None:
                     c = node.value
-                    add("call", parent=owner, target=dotted(c.func), line=c.lineno, col=c.col_offset, items=[ast.unparse(x) for x in c.args[:3]])
+                    add("call", parent=owner, target=dotted(c.func), line=c.lineno, col=c.col_offset, items=[ast.unparse(x) for x in c.args], flag=False)
                 for field in ("body", "orelse", "finalbody"):
-                    visit(getattr(node, field, None) or [], owner, inside, top)
-                for h in getattr(node, "handlers", None) or []:
-                    visit(h.body, owner, inside, top)
+                    visit(getattr(node, field, None) or [], owner, inside, False, scope)
+                for h in [*(getattr(node, "handlers", None) or []), *(getattr(node, "cases", None) or [])]:
+                    visit(h.body, owner, inside, False, scope)
 
-    def refs(owner: str, name: str, annotation) -> None:
+    def refs(owner: str, name: str, annotation, at) -> None:
+        """at: the definition whose surroundings the annotation is read in."""
         for path, raw, head in type_refs(annotation):
-            add("type_ref", parent=owner, name=name, full_name=path, text=raw, target=head or None)
+            where = lexical.scopes.get(id(at), lexical.top) if lexical else None
+            to = lexical.dotted(where, head) if where and head else (None, None)
+            add("type_ref", parent=owner, name=name, full_name=path, text=raw, target=head or None, head=to[0], steps=to[1])
 
     def decorators(node, full: str) -> None:
         for d in node.decorator_list:
@@ -184,10 +199,21 @@ def facts_of(module: str, file: str, content: str | None) -> list[dict]:
             args = [a.value for a in (call.args if call else []) if isinstance(a, ast.Constant) and isinstance(a.value, str)]
             add("decorator", parent=full, name=dotted(f).rpartition(".")[2] if dotted(f) else None, target=dotted(f), text=first, items=methods if methods is not None else args, kind=mode, flag=methods is not None, line=node.lineno, level=int(call is not None))
 
-    def assigned(node, owner: str, inside: str | None) -> None:
+    def single(targets: list) -> list:
+        """Targets, those inside tuples too."""
+        flat, todo = [], list(reversed(targets))
+        while todo:
+            t = todo.pop()
+            if isinstance(t, (ast.Tuple, ast.List)):
+                todo += reversed(t.elts)
+            else:
+                flat.append(t.value if isinstance(t, ast.Starred) else t)
+        return flat
+
+    def assigned(node, owner: str, inside: str | None, at) -> None:
         value = node.value
         made = dotted(value.func) if isinstance(value, ast.Call) else None
-        for t in node.targets if isinstance(node, ast.Assign) else [node.target]:
+        for t in single(node.targets if isinstance(node, ast.Assign) else [node.target]):
             name = dotted(t) if not isinstance(t, ast.Subscript) else dotted(t.value)
             if name:
                 note = ast.unparse(node.annotation) if isinstance(node, ast.AnnAssign) else None
@@ -196,15 +222,15 @@ def facts_of(module: str, file: str, content: str | None) -> list[dict]:
                 if "." not in name and inside in (None, "class"):
                     add("def", name=name, full_name=f"{owner}.{name}", parent=owner, kind="variable" if inside is None else "attribute", line=node.lineno, col=t.col_offset, end_line=node.end_lineno, flag=False, target=note, items=[literal(value)] if literal(value) else None)
         if isinstance(node, ast.AnnAssign):
-            refs(owner, dotted(node.target) or "?", node.annotation)
+            refs(owner, dotted(node.target) or "?", node.annotation, at)
 
-    visit(tree.body, module, None, True)
+    visit(tree.body, module, None, True, None)
     return rows
 
 
 def facts(files: DataFrame) -> DataFrame:
     """Facts of files(module, file, content): one Python pass, a file at a time; the errors of a file stay its own."""
-    kinds = {"ord": pa.int32(), "line": pa.int32(), "col": pa.int32(), "end_line": pa.int32(), "level": pa.int32(), "flag": pa.bool_(), "items": pa.list_(pa.string())}
+    kinds = {"ord": pa.int32(), "line": pa.int32(), "col": pa.int32(), "end_line": pa.int32(), "level": pa.int32(), "flag": pa.bool_(), "items": pa.list_(pa.string()), "col_end": pa.int32(), "steps": pa.list_(pa.string())}
 
     def run(batches):
         rows: list[dict] = []
@@ -228,88 +254,293 @@ def of(table: DataFrame, fact: str) -> DataFrame:
     return table.where(F.col("fact") == fact)
 
 
-def tables(table: DataFrame) -> dict[str, DataFrame]:
-    """nodes, edges of all eight kinds, and unresolved of facts, by table lookups alone. The facts are written once to the
-    shared folder, by fact, so that files are parsed once however many of these tables are read.
-
-    A called name is looked up as a member of its class (self.), as a name of its module, or through the module's
-    imports; what isn't found that way is counted as unresolved, never guessed. A file that can't be parsed is no node.
-    Directories that hold modules without an __init__.py of their own are package nodes with the directory as file."""
-    from ..functions.scalar import parent, prefixes, relative_import
-    from ..operators import dependencies
-    from ..operators.resolve import canonical
-    from ..plans.checkpoints import cut
-
-    table = cut(table, "facts", ("fact",))
-    defs, files, imports = of(table, "def"), of(table, "file"), of(table, "import")
-    none = lambda kind: F.lit(None).cast(kind)
-    package = F.col("file").rlike(r"(^|/)__init__\.py$")
-    modules = files.select(
-        F.col("module").alias("handle"), F.lit("module").alias("kind"), "file", F.col("line").alias("line_start"), F.col("end_line").alias("line_end"), none("string").alias("signature"),
-        F.col("text").alias("docstring"), package.alias("is_package"), none("boolean").alias("is_async"), none("boolean").alias("is_classmethod"), none("boolean").alias("is_staticmethod"),
-        none("array<string>").alias("parameters"), none("string").alias("type"), none("string").alias("default"),
-    )
-    # one module of a name: a package before a plain file
-    modules = modules.groupBy("handle").agg(F.min_by(F.struct(*[c for c in modules.columns if c != "handle"]), F.struct(~F.col("is_package"), "file")).alias("b")).select("handle", "b.*")
-    above = files.select(F.explode(prefixes(F.col("module"))).alias("handle"), "module", "file").where("handle <> module")
-    depth = F.size(F.split("module", r"\.")) - F.size(F.split("handle", r"\.")) + package.cast("int")
-    folder = F.regexp_replace("file", F.concat(F.lit("(/[^/]*){"), depth.cast("string"), F.lit("}$")), F.lit(""))
-    spaces = above.groupBy("handle").agg(F.min(folder).alias("file")).join(modules.select("handle"), "handle", "left_anti")
-    spaces = spaces.select("handle", *[{"kind": F.lit("module"), "file": F.col("file"), "is_package": F.lit(True), "line_start": F.lit(1), "line_end": F.lit(1)}.get(f.name, none(f.dataType)).alias(f.name) for f in modules.schema.fields[1:]])
-    function, marks = F.col("kind").isin("function", "method"), of(table, "decorator").where("level = 0 AND name IN ('classmethod', 'staticmethod')")
-    marks = marks.groupBy(F.col("parent").alias("full_name"), F.col("line").alias("_at")).agg(F.max(F.col("name") == "classmethod").alias("_c"), F.max(F.col("name") == "staticmethod").alias("_s"))
-    marks = marks.groupBy("full_name").agg(F.max_by(F.struct("_c", "_s"), "_at").alias("_m"))
-    # a later definition of a name replaces an earlier one
-    last = defs.groupBy("full_name").agg(F.max_by(F.struct("kind", "file", "line", "end_line", "target", "name", "text", "flag", "items"), "ord").alias("b")).select("full_name", "b.*").join(marks, "full_name", "left")
-    named = function | (F.col("kind") == "class")
-    held = F.col("kind").isin("variable", "attribute")
-    last = last.select(
-        F.col("full_name").alias("handle"), "kind", "file", F.col("line").alias("line_start"), F.col("end_line").alias("line_end"), F.when(named, F.concat("name", "target")).alias("signature"),
-        F.col("text").alias("docstring"), none("boolean").alias("is_package"), F.when(function, F.col("flag")).alias("is_async"),
-        F.when(function, F.coalesce("_m._c", F.lit(False))).alias("is_classmethod"), F.when(function, F.coalesce("_m._s", F.lit(False))).alias("is_staticmethod"),
-        F.when(function, F.col("items")).alias("parameters"), F.when(held, F.col("target")).alias("type"), F.when(held, F.element_at("items", 1)).alias("default"),
-    )
-    nodes = modules.unionByName(spaces).unionByName(last).withColumn("scope", F.lit("project"))
-    full = relative_import(F.col("module"), F.col("target"), F.coalesce("level", F.lit(0)), F.coalesce(F.col("kind") == "package", F.lit(False)))
-    imported = imports.withColumn("source", full)
-    bindings = imported.where("flag AND name IS NOT NULL AND name <> '*'").select("module", F.col("full_name").alias("surface"), F.concat_ws(".", "source", "name").alias("target"))
-    stars = imported.where("flag AND name = '*'").select("module", "ord", "source")
-    names = canonical(bindings, nodes.select("handle"), stars)
-    known = nodes.select(F.col("handle").alias("alias"), "handle").unionByName(names.select("alias", "handle"))
-    whole = imported.where("flag AND name IS NULL").select("module", F.col("full_name").alias("surface"), F.when(F.col("full_name") == F.substring_index("target", ".", 1), F.col("full_name")).otherwise(F.col("target")).alias("target"))
-    reach = bindings.unionByName(whole).groupBy("module", "surface").agg(F.max("target").alias("bound"))
-
-    def looked_up(rows):
-        """rows(module, owner, target, ...) with the handle that target means in its module, or null."""
-        head = F.substring_index("target", ".", 1)
-        rest = F.regexp_replace("target", r"^[^.]*\.?", "")
-        r = rows.withColumn("_h", head).join(reach.select(F.col("module").alias("_m"), F.col("surface").alias("_s"), "bound"), (F.col("module") == F.col("_m")) & (F.col("_h") == F.col("_s")), "left")
-        cls = F.regexp_replace("owner", r"\.[^.]*$", "")
-        want = F.when(F.col("target").isNull(), F.lit(None)).when(head.isin("self", "cls"), F.concat_ws(".", cls, F.when(rest != "", rest))).when(F.col("bound").isNotNull(), F.concat_ws(".", "bound", F.when(rest != "", rest))).otherwise(F.concat_ws(".", "module", "target"))
-        return r.withColumn("_w", want).join(known.select(F.col("alias").alias("_w"), F.col("handle").alias("dst")), "_w", "left").drop("_h", "_m", "_s", "bound", "_w")
-
-    called = looked_up(of(table, "call").select("module", F.col("parent").alias("owner"), "target", "ord"))
-    based = looked_up(of(table, "base").select("module", F.col("full_name").alias("owner"), "target", F.col("level").alias("ord"), "name"))
-    heads = looked_up(of(table, "type_ref").select("module", F.col("parent").alias("owner"), "target", "ord", "name", F.col("full_name").alias("path"), F.col("text").alias("raw")))
-    top = imported.where("flag AND (name IS NULL OR name <> '*')").withColumn("want", F.when(F.col("name").isNull(), F.col("source")).otherwise(F.concat_ws(".", "source", "name")))
-    found = top.join(known.select(F.col("alias").alias("want"), F.col("handle").alias("dst")), "want", "left")
-    members = defs.groupBy(F.col("parent").alias("src"), F.col("full_name").alias("dst")).agg(F.min("ord").alias("ord"))
-    edge = lambda df, kind, ord=None: df.select("src", F.lit(kind).alias("kind"), "dst", (F.col("ord") if ord is None else F.lit(ord)).cast("long").alias("ord"))
-    edges = edge(members, "members")
-    edges = edges.unionByName(edge(members.select(F.col("dst").alias("src"), F.col("src").alias("dst")), "enclosing_scope", 0))
-    edges = edges.unionByName(edge(called.where("dst IS NOT NULL").groupBy(F.col("owner").alias("src"), "dst").agg(F.min("ord").alias("ord")), "callees"))
-    supers = based.where("dst IS NOT NULL").select(F.col("owner").alias("src"), "dst").distinct()
-    # these come in the order of their handles
-    edges = edges.unionByName(edge(supers, "superclasses", 0)).unionByName(edge(supers.select(F.col("dst").alias("src"), F.col("src").alias("dst")), "subclasses", 0))
-    edges = edges.unionByName(edge(found.where("dst IS NOT NULL").select(F.col("module").alias("src"), "dst").distinct(), "imports", 0))
-    every = imported.where("source IS NOT NULL").select("module", F.col("source").alias("target"), "name")
-    holders = modules.select(F.col("handle").alias("module")).unionByName(spaces.select(F.col("handle").alias("module")))
-    edges = edges.unionByName(edge(dependencies.imported_by(every, holders), "imported_by", 0))
-    child = F.when(F.col("file").endswith(".py"), F.when(F.col("is_package"), "package").otherwise("module")).otherwise("namespace")
-    listing = modules.unionByName(spaces).where(F.instr("handle", ".") > 0).select(parent(F.col("handle")).alias("package"), F.substring_index("handle", ".", -1).alias("child"), F.lit(0).alias("root_rank"), child.alias("kind"))
-    children = dependencies.submodules(listing).select(F.col("package").alias("src"), F.concat_ws(".", "package", "child").alias("dst"))
-    edges = edges.unionByName(edge(children, "submodules", 0))
-    unresolved = called.where("dst IS NULL").select(F.col("owner").alias("src"), F.lit("callees").alias("edge"), F.lit(None).cast("string").alias("target"))
-    unresolved = unresolved.unionByName(found.where("dst IS NULL").select(F.col("module").alias("src"), F.lit("imports").alias("edge"), F.concat(F.repeat(F.lit("."), F.coalesce("level", F.lit(0))), F.concat_ws(".", "target", "name")).alias("target")))
-    type_refs = heads.select("owner", "name", "path", "raw", F.col("dst").alias("handle"), "ord")
-    return {"nodes": nodes, "edges": edges, "unresolved": unresolved, "canonical": names, "bases": based, "imports": imported, "type_refs": type_refs, "facts": table}
+def tables(table: DataFrame) -> Tables:
+    """The tables of facts, by name; each is derived when it is first asked for."""
+    return Tables(table)
+
+
+class Tables:
+    """nodes, edges of all eight kinds, unresolved and what else facts give, as t["nodes"]. The facts are written once to
+    the shared folder, by fact, so that files are parsed once however many of these tables are read; edges_of() derives
+    some kinds of edges only.
+
+    What is called, inherited from or named is followed by references (operators.flow): through imports and re-exports,
+    stars of stars, members that classes inherit, and the values of variables as far as constructors, annotations and
+    returns tell them. What isn't found that way is counted as unresolved, never guessed. A file that can't be parsed is
+    no node. Directories that hold modules without an __init__.py of their own are package nodes with the directory as
+    file. Names of a module: a definition comes before an import, of which the last counts, one at the module's own level
+    before one in a block; then come star imports in their order."""
+
+    def __init__(self, table: DataFrame):
+        from ..plans.checkpoints import cut
+
+        self.facts = cut(table, "facts", ("fact",))
+
+    def __getitem__(self, name: str) -> DataFrame:
+        return getattr(self, name)
+
+    @cached_property
+    def _modules(self) -> tuple[DataFrame, DataFrame]:
+        """Nodes of modules, and of the directories above them that are none."""
+        from ..functions.scalar import prefixes
+
+        files = of(self.facts, "file")
+        package = F.col("file").rlike(r"(^|/)__init__\.py$")
+        modules = files.select(
+            F.col("module").alias("handle"), F.lit("module").alias("kind"), "file", F.col("line").alias("line_start"), F.col("end_line").alias("line_end"), _none("string").alias("signature"),
+            F.col("text").alias("docstring"), package.alias("is_package"), _none("boolean").alias("is_async"), _none("boolean").alias("is_classmethod"), _none("boolean").alias("is_staticmethod"),
+            _none("array<string>").alias("parameters"), _none("string").alias("type"), _none("string").alias("default"),
+        )
+        # one module of a name: a package before a plain file
+        modules = modules.groupBy("handle").agg(F.min_by(F.struct(*[c for c in modules.columns if c != "handle"]), F.struct(~F.col("is_package"), "file")).alias("b")).select("handle", "b.*")
+        above = files.select(F.explode(prefixes(F.col("module"))).alias("handle"), "module", "file").where("handle <> module")
+        depth = F.size(F.split("module", r"\.")) - F.size(F.split("handle", r"\.")) + package.cast("int")
+        folder = F.regexp_replace("file", F.concat(F.lit("(/[^/]*){"), depth.cast("string"), F.lit("}$")), F.lit(""))
+        spaces = above.groupBy("handle").agg(F.min(folder).alias("file")).join(modules.select("handle"), "handle", "left_anti")
+        spaces = spaces.select("handle", *[{"kind": F.lit("module"), "file": F.col("file"), "is_package": F.lit(True), "line_start": F.lit(1), "line_end": F.lit(1)}.get(f.name, _none(f.dataType)).alias(f.name) for f in modules.schema.fields[1:]])
+        return modules, spaces
+
+    @cached_property
+    def plain(self) -> DataFrame:
+        """nodes before classes show the constructors they inherit."""
+        modules, spaces = self._modules
+        marked = of(self.facts, "decorator").where("level = 0 AND name IN ('classmethod', 'staticmethod')")
+        marks = marked.groupBy(F.col("parent").alias("full_name"), F.col("line").alias("_at")).agg(F.max(F.col("name") == "classmethod").alias("_c"), F.max(F.col("name") == "staticmethod").alias("_s"))
+        marks = marks.groupBy("full_name").agg(F.max_by(F.struct("_c", "_s"), "_at").alias("_m"))
+        # a later definition of a name replaces an earlier one
+        last = of(self.facts, "def").groupBy("full_name").agg(F.max_by(F.struct("kind", "file", "line", "end_line", "target", "name", "text", "flag", "items"), "ord").alias("b")).select("full_name", "b.*").join(marks, "full_name", "left")
+        function = F.col("kind").isin("function", "method")
+        named, held = function | (F.col("kind") == "class"), F.col("kind").isin("variable", "attribute")
+        last = last.select(
+            F.col("full_name").alias("handle"), "kind", "file", F.col("line").alias("line_start"), F.col("end_line").alias("line_end"), F.when(named, F.concat("name", "target")).alias("signature"),
+            F.col("text").alias("docstring"), _none("boolean").alias("is_package"), F.when(function, F.col("flag")).alias("is_async"),
+            F.when(function, F.coalesce("_m._c", F.lit(False))).alias("is_classmethod"), F.when(function, F.coalesce("_m._s", F.lit(False))).alias("is_staticmethod"),
+            F.when(function, F.col("items")).alias("parameters"), F.when(held, F.col("target")).alias("type"), F.when(held, F.element_at("items", 1)).alias("default"),
+        )
+        return modules.unionByName(spaces).unionByName(last).withColumn("scope", F.lit("project"))
+
+    @cached_property
+    def nodes(self) -> DataFrame:
+        """Nodes; a class without an __init__ of its own shows the first one that it inherits, without any in its whole
+        order no arguments, and nothing where a base is unknown before one is found."""
+        from ..operators.flow import linear
+
+        own = self.plain.where("kind = 'class'").select("handle", F.regexp_replace("signature", r"^[^(]*", "").alias("args"))
+        # of a hidden base nothing is known: it stands behind the class that names it
+        unknown = self.bases.where("dst IS NULL AND NOT (name <=> 'object')").select(F.col("owner").alias("_o")).distinct()
+        order = linear(own, self.orders).join(own.select(F.col("handle").alias("name"), "args"), "name").join(unknown, F.col("name") == F.col("_o"), "left")
+        first = order.groupBy("handle").agg(F.min(F.when(F.col("args").isNotNull(), F.struct("ord", "args"))).alias("a"), F.min(F.when(F.col("_o").isNotNull(), F.col("ord"))).alias("u"))
+        args = first.select("handle", F.when(F.col("a").isNotNull() & (F.col("u").isNull() | (F.col("a.ord") <= F.col("u"))), F.col("a.args")).when(F.col("a").isNull() & F.col("u").isNull(), "()").alias("_args"))
+        out = self.plain.join(args, "handle", "left")
+        leaf = F.substring_index("handle", ".", -1)
+        return out.withColumn("signature", F.coalesce("signature", F.concat(leaf, "_args"))).drop("_args")
+
+    @cached_property
+    def imports(self) -> DataFrame:
+        from ..functions.scalar import relative_import
+
+        full = relative_import(F.col("module"), F.col("target"), F.coalesce("level", F.lit(0)), F.coalesce(F.col("kind") == "package", F.lit(False)))
+        return of(self.facts, "import").withColumn("source", full)
+
+    @cached_property
+    def canonical(self) -> DataFrame:
+        from ..operators.resolve import canonical
+
+        own = F.col("parent") == F.col("module")
+        named = self.imports.where(own & F.expr("name IS NOT NULL AND name <> '*' AND source IS NOT NULL"))
+        # the last at the module's own level, else the last in a block
+        bindings = named.select("module", F.col("full_name").alias("surface"), F.concat_ws(".", "source", "name").alias("target"), F.struct("flag", "ord").alias("ord"))
+        stars = self.imports.where(own & F.expr("name = '*' AND source IS NOT NULL")).select("module", "ord", "source")
+        bound = named.where("flag").select(F.concat_ws(".", "module", "full_name").alias("handle"))
+        # a variable that an import binds as well is the import
+        defined = self.plain.where("kind <> 'variable'").select("handle").unionByName(self.plain.where("kind = 'variable'").select("handle").join(bound, "handle", "left_anti"))
+        return canonical(bindings, defined, stars)
+
+    @cached_property
+    def _names(self) -> DataFrame:
+        """(alias, handle) of all names that modules import, modules too."""
+        whole = self.imports.where((F.col("parent") == F.col("module")) & F.col("name").isNull()).select("module", F.col("full_name").alias("surface"), F.when(F.col("full_name") == F.substring_index("target", ".", 1), F.col("full_name")).otherwise(F.col("target")).alias("handle"), "ord")
+        whole = whole.groupBy("module", "surface").agg(F.max_by("handle", "ord").alias("handle"))
+        return self.canonical.select("alias", "handle").unionByName(whole.select(F.concat_ws(".", "module", "surface").alias("alias"), "handle"))
+
+    @cached_property
+    def _static(self) -> DataFrame:
+        """(key, handle) of what bases and annotations name: modules and nested classes only."""
+        from ..operators.flow import evaluate, offers, own_members
+
+        nodes = self.plain.select("handle", "kind")
+        classes = nodes.where("kind = 'class'").select(F.col("handle").alias("owner"))
+        offered = offers(nodes, self._names, own_members(nodes).join(classes, "owner", "left_semi"))
+        return evaluate(of(self.facts, "base").select("head", "steps").unionByName(of(self.facts, "type_ref").select("head", "steps")), offered, nodes)[0]
+
+    def _known(self, rows: DataFrame, found: DataFrame) -> DataFrame:
+        """rows(head, steps, ...) with dst, the node that the reference means."""
+        from ..operators.flow import key_of
+
+        there = found.join(self.plain.select("handle"), "handle", "left_semi").select(F.col("key").alias("_k"), F.col("handle").alias("dst"))
+        return rows.withColumn("_r", key_of(F.col("head"), F.col("steps"))).join(there, F.col("_r") == F.col("_k"), "left").drop("_r", "_k", "head", "steps")
+
+    @cached_property
+    def bases(self) -> DataFrame:
+        rows = of(self.facts, "base").select("module", F.col("full_name").alias("owner"), "target", F.col("level").alias("ord"), "name", "head", "steps")
+        return self._known(rows, self._static)
+
+    @cached_property
+    def type_refs(self) -> DataFrame:
+        rows = of(self.facts, "type_ref").select("parent", "ord", "name", F.col("full_name").alias("path"), F.col("text").alias("raw"), "head", "steps")
+        return self._known(rows, self._static).select(F.col("parent").alias("owner"), "name", "path", "raw", F.col("dst").alias("handle"), "ord")
+
+    @cached_property
+    def orders(self) -> DataFrame:
+        """(handle, ord, name): the resolution order of every class with bases in the project."""
+        from ..operators.hierarchy import resolution_orders
+        from ..plans.checkpoints import cut
+
+        return cut(resolution_orders(self.bases.where("dst IS NOT NULL").select(F.col("owner").alias("child"), "ord", F.col("dst").alias("parent"))), "orders")
+
+    @cached_property
+    def _scene(self) -> tuple[DataFrame, DataFrame]:
+        """(nodes, offers) with properties, attributes of instances and inherited members."""
+        from ..operators.flow import inherited, offers, own_members
+        from ..plans.checkpoints import cut
+
+        marks = of(self.facts, "decorator").where("name IN ('property', 'cached_property', 'setter')").select(F.col("parent").alias("handle")).distinct().withColumn("_p", F.lit(True))
+        nodes = self.plain.join(marks, "handle", "left").select("handle", F.when(F.col("_p"), "property").otherwise(F.col("kind")).alias("kind"))
+        nodes = cut(nodes, "kinds")
+        classes = nodes.where("kind = 'class'").select("handle")
+        members = own_members(nodes, of(self.facts, "attribute")).join(classes.select(F.col("handle").alias("owner")), "owner", "left_semi")
+        above = self.facts.where("fact IN ('call', 'flow', 'name') AND head LIKE 'u:%'").select(F.expr("substring(head, 3)").alias("handle")).distinct()
+        return nodes, offers(nodes, self._names, inherited(classes, members, self.orders, above))
+
+    @cached_property
+    def _followed(self) -> tuple[DataFrame, DataFrame | None]:
+        """What calls mean, and the values of variables, attributes and returns."""
+        from ..operators.flow import evaluate, key_of
+
+        nodes, offered = self._scene
+        flow = of(self.facts, "flow")
+        flows = flow.select(F.col("full_name").alias("name"), key_of(F.col("head"), F.col("steps")).alias("key")).distinct()
+        flows = flows.groupBy("name").agg(F.min("key").alias("key"))  # one file defines a name
+        asked = of(self.facts, "call").where("flag").select("head", "steps").unionByName(flow.select("head", "steps"))
+        return evaluate(asked, offered, nodes, flows)
+
+    @cached_property
+    def calls(self) -> DataFrame:
+        """(owner, target, ord, dst): the calls in functions."""
+        return self._known(of(self.facts, "call").where("flag").select(F.col("parent").alias("owner"), "target", "ord", "head", "steps"), self._followed[0])
+
+    @cached_property
+    def values(self) -> DataFrame:
+        """(name, state, at): what variables, attributes (a dotted handle), versions of local variables (with #) and returns
+        (with parentheses) hold: an instance (I) of a class, a class (C), a module (M) or a function (F)."""
+        known = self._followed[1]
+        return known if known is not None else self.facts.sparkSession.createDataFrame([], "name string, state string, at string")
+
+    @cached_property
+    def occurrences(self) -> DataFrame:
+        """(file, line, col_start, col_end, name, handle): every name in every file that stands for something known: local
+        variables and parameters by their function, definitions by their own handle, imports and what is reached through
+        them by the definition, builtins by `builtins`."""
+        from ..operators.flow import evaluate, key_of
+        from .lexical import BUILTINS
+
+        names = of(self.facts, "name")
+        nodes, offered = self._scene
+        far = names.where("full_name IS NULL")
+        found, _ = evaluate(far.select("head", "steps"), offered, nodes, values=self.values)
+        hit = far.withColumn("_r", key_of(F.col("head"), F.col("steps"))).join(found.withColumnRenamed("key", "_r"), "_r", "left")
+        builtin = F.substring("head", 1, 2).eqNullSafe("m:") & (F.size("steps") == 1) & F.col("name").isin(*sorted(BUILTINS))
+        hit = hit.withColumn("handle", F.coalesce("handle", F.when(builtin, F.concat(F.lit("builtins."), "name")))).where("handle IS NOT NULL")
+        columns = ("file", "line", F.col("col").alias("col_start"), "col_end", "name", "handle")
+        return names.where("full_name IS NOT NULL").withColumn("handle", F.col("full_name")).select(*columns).unionByName(hit.select(*columns)).distinct()
+
+    @cached_property
+    def members(self) -> DataFrame:
+        """(src, dst, ord): direct members; names that a module imports at its own level are none of its."""
+        bound = self.imports.where("flag AND (name IS NULL OR name <> '*')").select(F.col("parent").alias("src"), F.concat_ws(".", "parent", "full_name").alias("dst"))
+        every = of(self.facts, "def").groupBy(F.col("parent").alias("src"), F.col("full_name").alias("dst")).agg(F.min("ord").alias("ord"))
+        return every.join(bound, ["src", "dst"], "left_anti")
+
+    @cached_property
+    def inherited_members(self) -> DataFrame:
+        """(src, name, dst, defined_in): what a class has besides its own members, by its resolution order."""
+        from ..functions.scalar import parent
+        from ..operators.flow import inherited, own_members
+
+        nodes = self.plain.select("handle", "kind")
+        classes = nodes.where("kind = 'class'").select("handle")
+        own = own_members(nodes).join(classes.select(F.col("handle").alias("owner")), "owner", "left_semi")
+        got = inherited(classes, own, self.orders)
+        return got.select(F.col("owner").alias("src"), F.col("step").alias("name"), F.col("handle").alias("dst"), parent(F.col("handle")).alias("defined_in")).where("src <> defined_in")
+
+    @cached_property
+    def _imported(self) -> DataFrame:
+        """Imports at a module's own level with dst, the node each leads to."""
+        known = self.plain.select(F.col("handle").alias("alias"), "handle").unionByName(self.canonical.select("alias", "handle")).groupBy("alias").agg(F.min(F.struct(F.col("alias") != F.col("handle"), "handle")).alias("b"))
+        top = self.imports.where("flag AND (name IS NULL OR name <> '*')").withColumn("want", F.when(F.col("name").isNull(), F.col("source")).otherwise(F.concat_ws(".", "source", "name")))
+        return top.join(known.select(F.col("alias").alias("want"), F.col("b.handle").alias("dst")), "want", "left")
+
+    def edges_of(self, *kinds: str) -> DataFrame:
+        """(src, kind, dst, ord) of these kinds of edges."""
+        made = None
+        for kind in kinds:
+            rows = getattr(self, f"_{kind}")().select("src", F.lit(kind).alias("kind"), "dst", F.col("ord").cast("long").alias("ord"))
+            made = rows if made is None else made.unionByName(rows)
+        return made
+
+    @cached_property
+    def edges(self) -> DataFrame:
+        from ..plans.registry import IMPLEMENTED
+
+        return self.edges_of(*IMPLEMENTED)
+
+    def _members(self) -> DataFrame:
+        return self.members
+
+    def _enclosing_scope(self) -> DataFrame:
+        every = of(self.facts, "def").select(F.col("full_name").alias("src"), F.col("parent").alias("dst")).distinct()
+        return every.withColumn("ord", F.lit(0))
+
+    def _callees(self) -> DataFrame:
+        return self.calls.where("dst IS NOT NULL").groupBy(F.col("owner").alias("src"), "dst").agg(F.min("ord").alias("ord"))
+
+    def _superclasses(self) -> DataFrame:
+        """These, as the three kinds below, come in the order of their handles."""
+        return self.bases.where("dst IS NOT NULL").select(F.col("owner").alias("src"), "dst", F.lit(0).alias("ord")).distinct()
+
+    def _subclasses(self) -> DataFrame:
+        return self._superclasses().select(F.col("dst").alias("src"), F.col("src").alias("dst"), "ord")
+
+    def _imports(self) -> DataFrame:
+        return self._imported.where("dst IS NOT NULL").select(F.col("module").alias("src"), "dst", F.lit(0).alias("ord")).distinct()
+
+    def _imported_by(self) -> DataFrame:
+        from ..operators import dependencies
+
+        every = self.imports.where("source IS NOT NULL").select("module", F.col("source").alias("target"), "name")
+        modules, spaces = self._modules
+        holders = modules.select(F.col("handle").alias("module")).unionByName(spaces.select(F.col("handle").alias("module")))
+        return dependencies.imported_by(every, holders).withColumn("ord", F.lit(0))
+
+    def _submodules(self) -> DataFrame:
+        from ..functions.scalar import parent
+        from ..operators import dependencies
+
+        modules, spaces = self._modules
+        child = F.when(F.col("file").endswith(".py"), F.when(F.col("is_package"), "package").otherwise("module")).otherwise("namespace")
+        listing = modules.unionByName(spaces).where(F.instr("handle", ".") > 0).select(parent(F.col("handle")).alias("package"), F.substring_index("handle", ".", -1).alias("child"), F.lit(0).alias("root_rank"), child.alias("kind"))
+        return dependencies.submodules(listing).select(F.col("package").alias("src"), F.concat_ws(".", "package", "child").alias("dst"), F.lit(0).alias("ord"))
+
+    def unresolved_of(self, edge: str) -> DataFrame:
+        """(src, edge, target): call sites that lead nowhere (without a target), or imports that do (with it)."""
+        if edge == "callees":
+            return self.calls.where("dst IS NULL").select(F.col("owner").alias("src"), F.lit("callees").alias("edge"), _none("string").alias("target"))
+        return self._imported.where("dst IS NULL").select(F.col("module").alias("src"), F.lit("imports").alias("edge"), F.concat(F.repeat(F.lit("."), F.coalesce("level", F.lit(0))), F.concat_ws(".", "target", "name")).alias("target"))
+
+    @cached_property
+    def unresolved(self) -> DataFrame:
+        return self.unresolved_of("callees").unionByName(self.unresolved_of("imports"))
+
+
+def _none(kind):
+    return F.lit(None).cast(kind)

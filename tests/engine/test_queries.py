@@ -5,7 +5,8 @@ import os
 import duckdb
 import pytest
 
-import graphloom.parsed_queries  # noqa: F401  registers its queries
+import graphloom.named_queries  # noqa: F401  registers its queries
+import graphloom.parsed_queries  # noqa: F401
 from graphloom.queries import ORACLES, QUERIES
 
 SMALL = "/root/testdata/sf0.001"
