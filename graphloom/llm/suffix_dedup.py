@@ -272,7 +272,9 @@ def repeats(docs: DataFrame, length: int, gram: int, group: int) -> DataFrame:
         if groups:
             yield out()
 
-    judged = pieces.repartition("m").sortWithinPartitions("m", "a", "b").mapInArrow(judge, "m long, a long, b long, runs binary")
+    # a segment travels to its group once, however many batches have it
+    once = pieces.groupBy("m", "a", "b").agg(F.sum("n").alias("n"), F.first("data").alias("data"))
+    judged = once.repartition("m").sortWithinPartitions("m", "a", "b").mapInArrow(judge, "m long, a long, b long, runs binary")
     judged = checkpoint(judged.select(F.col("m").alias("_m"), F.col("a").alias("_a"), F.col("b").alias("_b"), "runs"))  # so that the join can split a segment with many places
     hits = places.join(judged, (F.col("m") == F.col("_m")) & (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b"))).groupBy("doc_id", "_row").agg(F.collect_set(F.struct("start", "runs")).alias("hits"))
 
