@@ -27,7 +27,7 @@ def canonical(bindings: DataFrame, defined: DataFrame, stars: DataFrame | None =
     explicit = bindings.groupBy(F.concat_ws(".", "module", "surface").alias("alias")).agg(last.alias("next")).join(own, "alias", "left_anti")
     if stars is None or stars.isEmpty():
         return _followed(explicit, own, hops).drop("next")
-    explicit, stars = cut(explicit, "explicit"), cut(stars.select("module", F.col("ord").cast("long").alias("ord"), "source").distinct(), "stars")
+    own, explicit, stars = cut(own, "defined"), cut(explicit, "explicit"), cut(stars.select("module", F.col("ord").cast("long").alias("ord"), "source").distinct(), "stars")
     every = _alternatives(explicit, own, stars)
     first = every.groupBy("alias").agg(F.min_by("next", "ord").alias("next"))
     straight = cut(_followed(first, own, hops), "names")

@@ -303,6 +303,8 @@ class Tables:
     @cached_property
     def plain(self) -> DataFrame:
         """nodes before classes show the constructors they inherit."""
+        from ..plans.checkpoints import cut
+
         modules, spaces = self._modules
         marked = of(self.facts, "decorator").where("level = 0 AND name IN ('classmethod', 'staticmethod')")
         marks = marked.groupBy(F.col("parent").alias("full_name"), F.col("line").alias("_at")).agg(F.max(F.col("name") == "classmethod").alias("_c"), F.max(F.col("name") == "staticmethod").alias("_s"))
@@ -317,7 +319,7 @@ class Tables:
             F.when(function, F.coalesce("_m._c", F.lit(False))).alias("is_classmethod"), F.when(function, F.coalesce("_m._s", F.lit(False))).alias("is_staticmethod"),
             F.when(function, F.col("items")).alias("parameters"), F.when(held, F.col("target")).alias("type"), F.when(held, F.element_at("items", 1)).alias("default"),
         )
-        return modules.unionByName(spaces).unionByName(last).withColumn("scope", F.lit("project"))
+        return cut(modules.unionByName(spaces).unionByName(last).withColumn("scope", F.lit("project")), "nodes")
 
     @cached_property
     def nodes(self) -> DataFrame:
@@ -345,6 +347,7 @@ class Tables:
     @cached_property
     def canonical(self) -> DataFrame:
         from ..operators.resolve import canonical
+        from ..plans.checkpoints import cut
 
         own = F.col("parent") == F.col("module")
         named = self.imports.where(own & F.expr("name IS NOT NULL AND name <> '*' AND source IS NOT NULL"))
@@ -354,7 +357,7 @@ class Tables:
         bound = named.where("flag").select(F.concat_ws(".", "module", "full_name").alias("handle"))
         # a variable that an import binds as well is the import
         defined = self.plain.where("kind <> 'variable'").select("handle").unionByName(self.plain.where("kind = 'variable'").select("handle").join(bound, "handle", "left_anti"))
-        return canonical(bindings, defined, stars)
+        return cut(canonical(bindings, defined, stars), "canonical")
 
     @cached_property
     def _names(self) -> DataFrame:
