@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from .operators import resolve
 from .plans import relational as g
-from .plans.rendered import twisted_tables
+from .plans.rendered import split, split_roots, split_tables, twisted_tables
+from .sources import layout
 from .queries import query
 
 _T = "WITH s AS (SELECT s_suppkey AS k, 'tw.s' || s_suppkey AS pkg, '/q/tw/s' || s_suppkey || '/use.py' AS file, length(s_suppkey::VARCHAR) - 1 AS x FROM supplier) "
@@ -112,3 +113,33 @@ def definition_at(s, d):
     at += [(30, 6, 0), (31, 6, 0), (31, 11, 0), (38, 4, 0), (39, 4, 0), (39, 23, 0)]
     asked = rows.join(s.createDataFrame(at, "line int, c int, m int")).select("file", "line", (F.col("c") + F.col("m") * F.col("x") + 1).alias("column"))
     return resolve.resolve_at(asked, t["occurrences"])
+
+
+_N = "WITH n AS (SELECT n_nationkey AS k, 'co.n' || n_nationkey AS pkg FROM nation) "
+
+
+@query(_N + """SELECT unnest(['/w/p/tool' || k, '/w/p/src/app' || k, '/w/a/co/n' || k || '/shared', '/w/b/co/n' || k || '/shared', '/w/a/co/n' || k || '/both', '/w/a/co/n' || k || '/both/__init__', '/w/a/co/n' || k || '/late', '/w/b/co/n' || k || '/late/__init__', '/w/b/co/n' || k || '/deep/part']) || '.py' AS file,
+  unnest(['/w/p', '/w/p/src', '/w/a', '/w/b/co', '/w/a', '/w/a', '/w/a', '/w/b/co', '/w/b/co']) AS root, unnest([1, 0, 2, 3, 2, 2, 2, 3, 3]) AS root_rank,
+  unnest(['tool' || k, 'app' || k, pkg || '.shared', pkg || '.shared', pkg || '.both', pkg || '.both', pkg || '.late', pkg || '.late', pkg || '.deep.part']) AS module FROM n""", base=False)
+def rooted_modules(s, d):
+    """Names by roots: the longest of the first kind. A namespace root may hold the namespace's folder or be it.
+    What lies in a folder whose name begins with a dot has no dotted name."""
+    return layout.rooted(split(s, d), split_roots(s)).select("file", "root", "root_rank", "module")
+
+
+@query(_N + """SELECT pkg AS src, pkg || '.' || unnest(['shared', 'both', 'late', 'deep']) AS dst FROM n UNION ALL SELECT 'co', pkg FROM n UNION ALL SELECT pkg || '.deep', pkg || '.deep.part' FROM n""", base=False)
+def split_submodules(s, d):
+    """All portions of a split namespace; folders whose names begin with a dot are none."""
+    return split_tables(s, d).edges_of("submodules").select("src", "dst")
+
+
+@query(_N + """SELECT pkg || unnest(['.shared', '.both', '.late', '.shared.where', '.both.B', '.late.A']) AS handle, unnest(['/w/a/co/n' || k || '/shared.py', '/w/a/co/n' || k || '/both/__init__.py', '/w/a/co/n' || k || '/late.py', '/w/a/co/n' || k || '/shared.py', '/w/a/co/n' || k || '/both/__init__.py', '/w/a/co/n' || k || '/late.py']) AS file FROM n""", base=False)
+def shadowed_nodes(s, d):
+    """Of one module in two roots the first counts, of two in one root the package; what the others define is no node."""
+    return split_tables(s, d).plain.where("handle RLIKE '^co[.]n[0-9]+[.](shared|both|late)'").select("handle", "file")
+
+
+@query(_N + "SELECT 'app' || k || '.main' AS src, pkg || '.shared.where' AS dst FROM n", base=False)
+def split_callees(s, d):
+    """Calls across roots."""
+    return split_tables(s, d).edges_of("callees").select("src", "dst")

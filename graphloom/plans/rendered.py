@@ -224,6 +224,37 @@ def twisted_tables(spark: SparkSession, sf_dir: str):
     return tables(parse(twisted(spark, sf_dir)))
 
 
+#: (path, text) of the files of a nation (%1$s) in four roots: the project, its source folder and two portions of a namespace.
+_SPLIT = [
+    ("/w/p/tool%1$s.py", "from app%1$s import main\n"), ("/w/p/src/app%1$s.py", "from co.n%1$s.shared import where\n\n\ndef main():\n    return where()\n"),
+    ("/w/a/co/n%1$s/shared.py", "def where():\n    return 'a'\n"), ("/w/b/co/n%1$s/shared.py", "def where():\n    return 'b'\n\n\ndef hidden():\n    return where()\n"),
+    ("/w/a/co/n%1$s/both.py", "A = 1\n"), ("/w/a/co/n%1$s/both/__init__.py", "B = 1\n"), ("/w/a/co/n%1$s/late.py", "A = 1\n"), ("/w/b/co/n%1$s/late/__init__.py", "B = 1\n"),
+    ("/w/b/co/n%1$s/deep/part.py", "from . import none\n"), ("/w/b/co/n%1$s/deep/.cache/x.py", "C = 1\n"), ("/w/elsewhere/n%1$s.py", "D = 1\n"),
+]
+
+
+def split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(file, content) of a project with a source folder and a namespace package in two portions."""
+    k = F.col("n_nationkey").cast("string")
+    out = None
+    for path, text in _SPLIT:
+        rows = read(spark, sf_dir, "nation").select(F.format_string(path, k).alias("file"), F.format_string(text, k).alias("content"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def split_tables(spark: SparkSession, sf_dir: str):
+    from ..sources.code import tables
+    from ..sources.layout import rooted
+
+    return tables(parse(rooted(split(spark, sf_dir), split_roots(spark))))
+
+
+def split_roots(spark: SparkSession) -> DataFrame:
+    rows = [("/w/p/src", "src", None, 0), ("/w/p", "main", None, 1), ("/w/a", "namespace", "co", 2), ("/w/b/co", "namespace", "co", 3)]
+    return spark.createDataFrame(rows, "root string, role string, namespace string, precedence int")
+
+
 def project_tables(spark: SparkSession, sf_dir: str):
     from ..sources.code import tables
 

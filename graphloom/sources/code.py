@@ -14,7 +14,7 @@ from .lexical import Lexical
 
 SCHEMA = (
     "module string, file string, fact string, ord int, name string, full_name string, parent string, kind string, line int,"
-    " col int, end_line int, target string, level int, flag boolean, items array<string>, text string, col_end int, head string, steps array<string>"
+    " col int, end_line int, target string, level int, flag boolean, items array<string>, text string, col_end int, head string, steps array<string>, root_rank int"
 )
 _NAMES = [f.split()[0] for f in SCHEMA.replace("\n", "").split(", ")]
 #: Stands between the fields of a parameter: no annotation holds it.
@@ -31,16 +31,24 @@ def dotted(node) -> str | None:
     return ".".join([node.id, *reversed(parts)]) if isinstance(node, ast.Name) else None
 
 
+def written_out(node) -> str:
+    """The text of an expression; "" for one nested too deeply to be written out."""
+    try:
+        return ast.unparse(node)
+    except RecursionError:
+        return ""
+
+
 def signature(node) -> str:
-    out = f"({ast.unparse(node.args)})"
-    return out + (f" -> {ast.unparse(node.returns)}" if node.returns else "")
+    out = f"({written_out(node.args)})"
+    return out + (f" -> {written_out(node.returns)}" if node.returns else "")
 
 
 def literal(node) -> str:
     """The text of a default that is a plain literal, else ""."""
     if node is None:
         return ""
-    text = ast.unparse(node)
+    text = written_out(node)
     try:
         ast.literal_eval(text)
     except (ValueError, SyntaxError, TypeError, MemoryError, RecursionError):
@@ -54,7 +62,7 @@ def parameters(node) -> list[str]:
     rows = []
     plain = [(p, "positional") for p in a.posonlyargs] + [(p, "positional_or_keyword") for p in a.args]
     gap = len(plain) - len(a.defaults)
-    text = lambda x: "" if x is None else ast.unparse(x)
+    text = lambda x: "" if x is None else written_out(x)
     for i, (p, kind) in enumerate(plain):
         rows.append((p.arg, kind, text(p.annotation), literal(a.defaults[i - gap]) if i >= gap else ""))
     if a.vararg:
@@ -70,12 +78,12 @@ def constructor(node) -> str | None:
     own = next((n for n in reversed(node.body) if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef)) and n.name == "__init__"), None)
     if own is None:
         return None
-    args = ast.parse(f"def f({ast.unparse(own.args)}): 0").body[0].args
+    args = ast.parse(f"def f({written_out(own.args)}): 0").body[0].args
     if args.posonlyargs or args.args:
         (args.posonlyargs or args.args).pop(0)
     total = len(args.posonlyargs) + len(args.args)
     args.defaults = args.defaults[len(args.defaults) - min(len(args.defaults), total) :]
-    return f"({ast.unparse(args)})"
+    return f"({written_out(args)})"
 
 
 def type_refs(node, at: str = "0") -> list[tuple[str, str, str]]:
@@ -86,7 +94,7 @@ def type_refs(node, at: str = "0") -> list[tuple[str, str, str]]:
             node = ast.parse(node.value, mode="eval").body
         except SyntaxError:
             return [(at, node.value, "")]
-    raw = ast.unparse(node)
+    raw = written_out(node)
     if isinstance(node, ast.BinOp) and isinstance(node.op, ast.BitOr):
         flat, todo = [], [node]
         while todo:
@@ -144,7 +152,7 @@ def facts_of(module: str, file: str, content: str | None) -> list[dict]:
             if isinstance(n, _SCOPES):
                 continue
             if isinstance(n, ast.Call):
-                add("call", parent=owner, target=dotted(n.func), line=n.lineno, col=n.col_offset, items=[ast.unparse(x) for x in n.args], flag=True, **means("called", n))
+                add("call", parent=owner, target=dotted(n.func), line=n.lineno, col=n.col_offset, items=[written_out(x) for x in n.args], flag=True, **means("called", n))
             todo += reversed(list(ast.iter_child_nodes(n)))
 
     def visit(body, owner: str, inside: str | None, top: bool, scope) -> None:
@@ -156,7 +164,7 @@ def facts_of(module: str, file: str, content: str | None) -> list[dict]:
                 full = f"{owner}.{node.name}"
                 add("def", name=node.name, full_name=full, parent=owner, kind="class", line=node.lineno, col=node.col_offset, end_line=node.end_lineno, flag=False, target=constructor(node), text=ast.get_docstring(node))
                 for i, b in enumerate(node.bases):
-                    add("base", full_name=full, name=(dotted(b) or ast.unparse(b)).split("[")[0].rpartition(".")[2], target=dotted(b if not isinstance(b, ast.Subscript) else b.value), level=i, line=node.lineno, **means("bases", b))
+                    add("base", full_name=full, name=(dotted(b) or written_out(b)).split("[")[0].rpartition(".")[2], target=dotted(b if not isinstance(b, ast.Subscript) else b.value), level=i, line=node.lineno, **means("bases", b))
                 decorators(node, full)
                 visit(node.body, full, "class", False, node)
             elif isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)):
@@ -176,7 +184,7 @@ def facts_of(module: str, file: str, content: str | None) -> list[dict]:
                     assigned(node, owner, inside, scope)
                 if isinstance(node, (ast.Assign, ast.AugAssign, ast.AnnAssign, ast.Expr, ast.Return)) and isinstance(node.value, ast.Call) and inside is None:
                     c = node.value
-                    add("call", parent=owner, target=dotted(c.func), line=c.lineno, col=c.col_offset, items=[ast.unparse(x) for x in c.args], flag=False)
+                    add("call", parent=owner, target=dotted(c.func), line=c.lineno, col=c.col_offset, items=[written_out(x) for x in c.args], flag=False)
                 for field in ("body", "orelse", "finalbody"):
                     visit(getattr(node, field, None) or [], owner, inside, False, scope)
                 for h in [*(getattr(node, "handlers", None) or []), *(getattr(node, "cases", None) or [])]:
@@ -216,7 +224,7 @@ def facts_of(module: str, file: str, content: str | None) -> list[dict]:
         for t in single(node.targets if isinstance(node, ast.Assign) else [node.target]):
             name = dotted(t) if not isinstance(t, ast.Subscript) else dotted(t.value)
             if name:
-                note = ast.unparse(node.annotation) if isinstance(node, ast.AnnAssign) else None
+                note = written_out(node.annotation) if isinstance(node, ast.AnnAssign) else None
                 first = value.args[0].value if isinstance(value, ast.Call) and value.args and isinstance(value.args[0], ast.Constant) else None
                 add("assign", name=name, full_name=f"{owner}.{name}", parent=owner, kind=inside or "module", target=made, text=note, flag=isinstance(node, ast.AnnAssign) and value is None, line=node.lineno, items=[str(first)] if first is not None else None)
                 if "." not in name and inside in (None, "class"):
@@ -229,8 +237,9 @@ def facts_of(module: str, file: str, content: str | None) -> list[dict]:
 
 
 def facts(files: DataFrame) -> DataFrame:
-    """Facts of files(module, file, content): one Python pass, a file at a time; the errors of a file stay its own."""
-    kinds = {"ord": pa.int32(), "line": pa.int32(), "col": pa.int32(), "end_line": pa.int32(), "level": pa.int32(), "flag": pa.bool_(), "items": pa.list_(pa.string()), "col_end": pa.int32(), "steps": pa.list_(pa.string())}
+    """Facts of files(module, file, content[, root_rank]): one Python pass, a file at a time; the errors of a file stay its
+    own. root_rank: the place of the root that the file lies below; of two files of one module the earlier root's counts."""
+    kinds = {"ord": pa.int32(), "line": pa.int32(), "col": pa.int32(), "end_line": pa.int32(), "level": pa.int32(), "flag": pa.bool_(), "items": pa.list_(pa.string()), "col_end": pa.int32(), "steps": pa.list_(pa.string()), "root_rank": pa.int32()}
 
     def run(batches):
         rows: list[dict] = []
@@ -241,13 +250,18 @@ def facts(files: DataFrame) -> DataFrame:
             return made
 
         for batch in batches:
-            for m, f, c in zip(*(batch.column(x).to_pylist() for x in ("module", "file", "content"))):
-                rows += facts_of(m, f, c)
+            for m, f, c, rank in zip(*(batch.column(x).to_pylist() for x in ("module", "file", "content", "root_rank"))):
+                try:
+                    found = facts_of(m, f, c)
+                except RecursionError as e:  # nested too deeply for any pass over it
+                    found = [{"module": m, "file": f, "fact": "parse_error", "ord": 0, "text": str(e)}]
+                rows += [r | {"root_rank": rank} for r in found]
                 if len(rows) > 10_000:
                     yield out()
         yield out()
 
-    return files.select("module", "file", "content").mapInArrow(run, SCHEMA)
+    rank = F.coalesce(F.col("root_rank").cast("int"), F.lit(0)) if "root_rank" in files.columns else F.lit(0)
+    return files.select("module", "file", "content", rank.alias("root_rank")).mapInArrow(run, SCHEMA)
 
 
 def of(table: DataFrame, fact: str) -> DataFrame:
@@ -274,7 +288,13 @@ class Tables:
     def __init__(self, table: DataFrame):
         from ..plans.checkpoints import cut
 
-        self.facts = cut(table, "facts", ("fact",))
+        every = cut(table, "facts", ("fact",))
+        #: The files of all roots; of two of one module the earlier root's counts, then a package before a plain file.
+        self.files = of(every, "file").select("module", "file", "root_rank", F.col("file").rlike(r"(^|/)__init__\.py$").alias("is_package"))
+        order = F.struct("root_rank", ~F.col("is_package"), "file")
+        first = self.files.groupBy("module").agg(F.min_by("file", order).alias("file"))
+        hidden = cut(self.files.join(first, ["module", "file"], "left_anti").select("module", "file"), "hidden")
+        self.facts = every if hidden.isEmpty() else every.join(hidden, ["module", "file"], "left_anti")
 
     def __getitem__(self, name: str) -> DataFrame:
         return getattr(self, name)
@@ -291,12 +311,10 @@ class Tables:
             F.col("text").alias("docstring"), package.alias("is_package"), _none("boolean").alias("is_async"), _none("boolean").alias("is_classmethod"), _none("boolean").alias("is_staticmethod"),
             _none("array<string>").alias("parameters"), _none("string").alias("type"), _none("string").alias("default"),
         )
-        # one module of a name: a package before a plain file
-        modules = modules.groupBy("handle").agg(F.min_by(F.struct(*[c for c in modules.columns if c != "handle"]), F.struct(~F.col("is_package"), "file")).alias("b")).select("handle", "b.*")
-        above = files.select(F.explode(prefixes(F.col("module"))).alias("handle"), "module", "file").where("handle <> module")
+        above = files.select(F.explode(prefixes(F.col("module"))).alias("handle"), "module", "file", "root_rank").where("handle <> module")
         depth = F.size(F.split("module", r"\.")) - F.size(F.split("handle", r"\.")) + package.cast("int")
         folder = F.regexp_replace("file", F.concat(F.lit("(/[^/]*){"), depth.cast("string"), F.lit("}$")), F.lit(""))
-        spaces = above.groupBy("handle").agg(F.min(folder).alias("file")).join(modules.select("handle"), "handle", "left_anti")
+        spaces = above.groupBy("handle").agg(F.min(F.struct("root_rank", folder.alias("file"))).getField("file").alias("file")).join(modules.select("handle"), "handle", "left_anti")
         spaces = spaces.select("handle", *[{"kind": F.lit("module"), "file": F.col("file"), "is_package": F.lit(True), "line_start": F.lit(1), "line_end": F.lit(1)}.get(f.name, _none(f.dataType)).alias(f.name) for f in modules.schema.fields[1:]])
         return modules, spaces
 
@@ -526,12 +544,15 @@ class Tables:
         return dependencies.imported_by(every, holders).withColumn("ord", F.lit(0))
 
     def _submodules(self) -> DataFrame:
-        from ..functions.scalar import parent
+        """Of split namespaces all portions count; of one child the first root's, in it a package before a module."""
+        from ..functions.scalar import parent, prefixes
         from ..operators import dependencies
 
-        modules, spaces = self._modules
-        child = F.when(F.col("file").endswith(".py"), F.when(F.col("is_package"), "package").otherwise("module")).otherwise("namespace")
-        listing = modules.unionByName(spaces).where(F.instr("handle", ".") > 0).select(parent(F.col("handle")).alias("package"), F.substring_index("handle", ".", -1).alias("child"), F.lit(0).alias("root_rank"), child.alias("kind"))
+        # what each root holds: its files, and the folders above them that it has no file for
+        own = self.files.select("module", "root_rank", F.when(F.col("is_package"), "package").otherwise("module").alias("kind"))
+        folders = own.select(F.explode(prefixes(parent(F.col("module")))).alias("module"), "root_rank").distinct().withColumn("kind", F.lit("namespace"))
+        listing = own.unionByName(folders).where(F.instr("module", ".") > 0)
+        listing = listing.select(parent(F.col("module")).alias("package"), F.substring_index("module", ".", -1).alias("child"), "root_rank", "kind")
         return dependencies.submodules(listing).select(F.col("package").alias("src"), F.concat_ws(".", "package", "child").alias("dst"), F.lit(0).alias("ord"))
 
     def unresolved_of(self, edge: str) -> DataFrame:

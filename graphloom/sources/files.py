@@ -14,27 +14,36 @@ from ..functions.scalar import EXCLUDED_DIRS, excluded_path, module_name
 MOST_BYTES = 10 * 1024 * 1024
 
 
-def listing(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
+#: Folders that a task walks before it hands what is left back, to be dealt out anew.
+FOLDERS = 2000
+_LISTED = "uri string, file string, length long"
+
+
+def listing(spark: SparkSession, root: str, recursive: bool = True, folders: int = FOLDERS) -> DataFrame:
     """(uri, file, length) of the files under a root. Spark's file sources hide names that begin with an underscore, so they
-    would miss every package's __init__.py. The driver lists the root itself, executors what is below its folders; names
-    of folders that no scan enters are left out before they are walked."""
+    would miss every package's __init__.py. The driver lists the root itself, executors what is below it: in rounds, each
+    dealing the folders left over all tasks, so that one deep tree is walked by all. Small trees take one round. Names of
+    folders that no scan enters are left out before they are walked."""
+    from ..plans.checkpoints import cut
+
     jvm = spark._jvm
     path = jvm.org.apache.hadoop.fs.Path(root)
-    files, folders = [], []
+    files, below = [], []
     for f in path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path):
         at = f.getPath()
         if f.isFile():
             files.append((at.toString(), at.toUri().getPath(), f.getLen()))
         elif recursive and at.getName() not in EXCLUDED_DIRS:
-            folders.append((at.toString(), at.toUri().getPath()))
+            below.append((at.toString(), at.toUri().getPath()))
     out = spark.createDataFrame(files, _LISTED)
-    if not folders:
-        return out
-    below = spark.createDataFrame(folders, "uri string, file string").repartition(len(folders))
-    return out.unionByName(below.mapInArrow(_walk, _LISTED))
-
-
-_LISTED = "uri string, file string, length long"
+    left, n = spark.createDataFrame(below, "uri string, file string"), len(below)
+    while n:
+        tasks = max(1, min(n, 4 * spark.sparkContext.defaultParallelism))
+        found = cut(left.repartition(tasks).mapInArrow(_walk(max(1, folders // max(1, n // tasks))), _LISTED), "listing")
+        out = out.unionByName(found.where("length IS NOT NULL"))
+        left = found.where("length IS NULL").select("uri", "file")
+        n = left.count()
+    return out
 
 
 def _system(uri: str):
@@ -43,56 +52,68 @@ def _system(uri: str):
     return fs.FileSystem.from_uri(uri if "://" in uri else "file://" + uri.removeprefix("file:"))
 
 
-def _walk(batches):
-    """The files below folders, by pyarrow's file systems; a folder that can't be read has none."""
-    import pyarrow as pa
-    from pyarrow import fs
-
-    for batch in batches:
-        for uri, path in zip(batch.column("uri").to_pylist(), batch.column("file").to_pylist()):
-            todo = [""]
-            system, base = _system(uri)
-            while todo:
-                step = todo.pop()
-                try:
-                    found = system.get_file_info(fs.FileSelector(base + step))
-                except OSError:
-                    continue
-                todo += [f"{step}/{x.base_name}" for x in found if x.type == fs.FileType.Directory and x.base_name not in EXCLUDED_DIRS]
-                rows = [(f"{step}/{x.base_name}", x.size) for x in found if x.type == fs.FileType.File]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([uri + r for r, _ in rows], pa.string()), pa.array([path + r for r, _ in rows], pa.string()), pa.array([n for _, n in rows], pa.int64())], names=["uri", "file", "length"]
-                )
+def _walk(folders: int):
+    """The files below each folder, by pyarrow's file systems, until so many folders are read; those left come without a
+    length. A folder that can't be read has none."""
+
+    def run(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+
+        for batch in batches:
+            for uri, path in zip(batch.column("uri").to_pylist(), batch.column("file").to_pylist()):
+                todo, read = [""], 0
+                system, base = _system(uri)
+                while todo and read < folders:
+                    step, read = todo.pop(), read + 1
+                    try:
+                        found = system.get_file_info(fs.FileSelector(base + step))
+                    except OSError:
+                        continue
+                    todo += [f"{step}/{x.base_name}" for x in found if x.type == fs.FileType.Directory and x.base_name not in EXCLUDED_DIRS]
+                    rows = [(f"{step}/{x.base_name}", x.size) for x in found if x.type == fs.FileType.File]
+                    rows += [(t, None) for t in todo] if read == folders else []
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([uri + r for r, _ in rows], pa.string()), pa.array([path + r for r, _ in rows], pa.string()), pa.array([n for _, n in rows], pa.int64())], names=["uri", "file", "length"]
+                    )
+                if todo and read == folders:
+                    todo = []
+
+    return run
 
 
 def _contents(batches):
-    """Contents by pyarrow's file systems on the executors; null for what can't be read or isn't UTF-8."""
+    """Contents by pyarrow's file systems on the executors; what can't be read or isn't UTF-8 has none, and says why."""
     import pyarrow as pa
 
     for batch in batches:
-        texts = []
+        texts, errors = [], []
         for uri in batch.column("uri").to_pylist():
+            text = error = None
             try:
                 system, path = _system(uri)
                 with system.open_input_stream(path) as f:
-                    texts.append(f.read().decode("utf-8"))
-            except (OSError, UnicodeDecodeError, pa.ArrowInvalid):
-                texts.append(None)
-        yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("file", "root", "root_rank")] + [pa.array(texts, pa.string())], names=["file", "root", "root_rank", "content"])
+                    text = f.read().decode("utf-8")
+            except (OSError, UnicodeDecodeError, pa.ArrowInvalid) as e:
+                error = f"{type(e).__name__}: {e}"
+            texts.append(text), errors.append(error)
+        yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("file", "root", "root_rank")] + [pa.array(texts, pa.string()), pa.array(errors, pa.string())], names=["file", "root", "root_rank", "content", "error"])
 
 
-def source_files(spark: SparkSession, roots: list[str], suffix: str = ".py", recursive: bool = True, contains: str | None = None) -> DataFrame:
-    """(file, root, root_rank, module, content) of every file under the roots, a file once: at its first root.
+def source_files(spark: SparkSession, roots: list[str], suffix: str = ".py", recursive: bool = True, contains: str | None = None, errors: bool = False) -> DataFrame:
+    """(file, root, root_rank, module, content) of every file under the roots, a file once: at its first root. errors: files
+    that can't be read are rows too, with null for content and an error; else they are skipped.
 
     Excluded directories, other suffixes and files over 10 MB are dropped before anything is read; `contains` is a
-    pattern that a content must match, applied ahead of any parse. Unreadable files are skipped."""
+    pattern that a content must match, applied ahead of any parse."""
     out = None
     for rank, root in enumerate(roots):
         part = listing(spark, root, recursive).select("*", F.lit(root.rstrip("/")).alias("root"), F.lit(rank).alias("root_rank"))
         out = part if out is None else out.unionByName(part)
     ok = out.where(F.endswith("file", F.lit(suffix)) & (F.col("length") <= MOST_BYTES) & ~excluded_path(F.col("file")))
     first = ok.groupBy("file").agg(F.min_by(F.struct("uri", "root", "root_rank"), "root_rank").alias("b")).select("file", "b.*")
-    files = first.mapInArrow(_contents, "file string, root string, root_rank int, content string").where("content IS NOT NULL")
+    files = first.mapInArrow(_contents, "file string, root string, root_rank int, content string, error string")
+    files = files if errors else files.where("content IS NOT NULL").drop("error")
     if contains:
         files = files.where(text_matches(F.col("content"), contains))
     name = None

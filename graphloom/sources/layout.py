@@ -9,6 +9,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scalar import is_handle
 from ..operators.catalog import resolve_scope
 from .files import roots_for, roots_table, source_files
 
@@ -102,3 +103,32 @@ def project_files(
     found = source_files(spark, chosen, suffix)
     found = found.where(F.substring_index("file", "/", -1).rlike(fnmatch.translate(pattern).replace(r"\Z", "$").replace(r"\z", "$")))
     return found.select("file", "root", "root_rank", "module", *(["content"] if contents else []))
+
+
+#: Roots that are tried first: packages and source folders, then the project itself, then namespaces.
+_ROLES = {"package": 0, "src": 0, "main": 1, "namespace": 2}
+
+
+def rooted(files: DataFrame, roots: DataFrame) -> DataFrame:
+    """files(file, ...) with root, root_rank and module: each at the root that names it. roots(root, role, namespace,
+    precedence), role being package, src, main or namespace.
+
+    A file's folders meet the roots by an equi-join; packages and source folders come before the project, which comes
+    before namespaces, and of one kind the longest path. A module is named by its path below the root, after the name of
+    a namespace unless its path begins with that, and after the project's own folder if that is a package itself. Files
+    below no root, and those whose name would be no handle, are left out; root_rank is the root's precedence."""
+    steps = F.split("file", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(steps) - 1), lambda k: F.array_join(F.slice(steps, F.lit(1), k), "/"))
+    known = roots.select(F.regexp_replace("root", "/+$", "").alias("_root"), "role", "namespace", F.col("precedence").cast("int").alias("_rank"))
+    pairs = files.select("file").distinct().select("file", F.explode(above).alias("_root")).join(known, "_root")
+    kind = F.element_at(F.create_map(*[F.lit(x) for kv in _ROLES.items() for x in kv]), F.col("role"))
+    best = pairs.groupBy("file").agg(F.min_by(F.struct(F.col("_root").alias("root"), "role", "namespace", F.col("_rank").alias("root_rank")), F.struct(kind, -F.length("_root"), "_rank")).alias("b")).select("file", "b.*")
+    itself = files.select(F.regexp_replace("file", r"/__init__\.py$", "").alias("_pkg"), F.endswith("file", F.lit("/__init__.py")).alias("_is")).where("_is").select("_pkg").distinct()
+    best = best.join(itself, (F.col("root") == F.col("_pkg")) & (F.col("role") == "main"), "left")
+    inner = F.expr("substring(file, length(root) + 2)")
+    path = F.when(F.col("_pkg").isNotNull(), F.concat(F.substring_index("root", "/", -1), F.lit("/"), inner)).otherwise(inner)
+    dotted = F.translate(F.regexp_replace(F.regexp_replace(path, r"\.py$", ""), r"(^|/)__init__$", ""), "/", ".")
+    dotted = F.when(dotted == "", "__init__").otherwise(dotted)
+    inside = (dotted == F.col("namespace")) | F.startswith(dotted, F.concat("namespace", F.lit(".")))
+    name = F.when((F.col("role") == "namespace") & F.col("namespace").isNotNull() & ~inside, F.concat_ws(".", "namespace", dotted)).otherwise(dotted)
+    return files.join(best.select("file", "root", "root_rank", name.alias("module")), "file").where(is_handle(F.col("module")))

@@ -149,3 +149,80 @@ def test_file_scan_and_settings(spark, tmp_path):
     (tmp_path / "l.jsonl").write_text('{"a": 1}\nnot json\n')
     assert files.read_jsonl(spark, f"{tmp_path}/l.jsonl", "a int").where("a IS NOT NULL").count() == 1
     assert files.read_jsonl(spark, f"{tmp_path}/l.jsonl", "a int", keep_bad=True).count() == 2
+
+
+def test_a_deep_tree_is_walked_by_all_tasks(spark, tmp_path):
+    deep = tmp_path / "one"
+    for k in range(40):
+        deep = deep / f"d{k % 3}"
+        (deep / f"side{k}").mkdir(parents=True)
+        (deep / f"m{k}.py").write_text("x = 1\n")
+        (deep / f"side{k}" / "n.py").write_text("y = 1\n")
+    (tmp_path / "one" / "venv").mkdir()
+    (tmp_path / "one" / "venv" / "z.py").write_text("z")
+    want = {str(p) for p in tmp_path.rglob("*.py") if "venv" not in p.parts}
+    for folders in (1, 7, files.FOLDERS):
+        rows = files.listing(spark, str(tmp_path), folders=folders).collect()
+        assert {r.file for r in rows} == want and len(rows) == len(want)
+    (tmp_path / "one" / "bad.py").write_bytes(b"\xff\xfe")
+    found = files.source_files(spark, [str(tmp_path)], errors=True).where("error IS NOT NULL").collect()
+    assert [(r.file.rsplit("/", 1)[1], r.content) for r in found] == [("bad.py", None)] and "UnicodeDecodeError" in found[0].error
+    assert files.source_files(spark, [str(tmp_path)]).count() == len(want)
+
+
+def test_long_chains_and_circles_of_classes(spark):
+    from pyspark.sql import functions as F
+
+    chain = spark.range(1, 1500).select(F.concat(F.lit("c"), F.col("id").cast("string")).alias("child"), F.lit(0).alias("ord"), F.concat(F.lit("c"), (F.col("id") - 1).cast("string")).alias("parent"))
+    got = hierarchy.resolution_orders(chain)
+    assert got.count() == sum(range(2, 1501)) and got.where("handle = 'c1499' AND ord = 1499").first()["name"] == "c0"
+    diamonds = [(f"{a}{k}", i, f"{b}{k}") for k in range(300) for a, i, b in (("B", 0, "A"), ("C", 0, "A"), ("D", 0, "B"), ("D", 1, "C"), ("E", 0, "D"), ("F", 0, "E"), ("F", 1, "D"))]
+    diamonds += [("x", 0, "y"), ("y", 0, "x"), ("z", 0, "x"), ("z", 1, "A0"), ("bad", 0, "B0"), ("bad", 1, "F0"), ("w", 0, "z")]
+    rows = {}
+    for r in hierarchy.resolution_orders(spark.createDataFrame(diamonds, "child string, ord int, parent string")).orderBy("ord").collect():
+        rows.setdefault(r.handle, []).append(r.name)
+    table = {}
+    for c, _, p in sorted(diamonds):
+        table.setdefault(c, []).append(p)
+    assert rows == {c: hierarchy.linearize(c, table) for c in table}
+
+
+def test_lexical_scopes(spark):
+    text = """import a.b as ab, os.path
+from . import c as cc
+X = 1
+class K:
+    Y = X
+    def f(self, p, *q: X, k=X, **r):
+        nonlocal_ = [p for p in q if p]
+        def g():
+            nonlocal nonlocal_
+            nonlocal_ = Y
+            return p, (lambda s: s + X)(1)
+        with ab.open(p) as h, h:
+            (u, [v, *w]) = p
+        try:
+            pass
+        except OSError as e:
+            e.args
+        match p:
+            case K(Y=z) | {"k": z, **m}:
+                z.é = m
+        del u
+        global X
+        X = len(r)
+        return (n := g())
+"""
+    rows = [r for r in code.facts_of("pk.m", "pk/m.py", text) if r["fact"] == "name"]
+    lines = text.splitlines()
+    assert all(lines[r["line"] - 1][r["col"] : r["col_end"]] == r["name"] for r in rows)
+    seen = {(r["line"], r["col"]): r["full_name"] or (r["head"], tuple(r["steps"])) for r in rows}
+    at = lambda line, what, nth=0: seen.get((line, [i for i in range(len(lines[line - 1])) if lines[line - 1].startswith(what, i)][nth]))
+    assert at(1, "b") == ("a:a.b", ()) and at(1, "path") == ("a:os.path", ()) and at(2, "cc") == ("a:pk", ("c",))
+    assert at(5, "X") == "pk.m.X" and at(6, "X") == "pk.m.X" and at(6, "q") == "pk.m.K.f.q" and at(10, "Y") == ("m:pk.m", ("Y",))  # a class's names are not seen inside its methods
+    assert at(10, "nonlocal_") == "pk.m.K.f.nonlocal_" and at(11, "p") == "pk.m.K.f.p" and at(11, "X") == "pk.m.X"
+    assert at(12, "open") == ("a:a.b", ("open",)) and at(12, "h", 1) == "pk.m.K.f.h" and at(13, "w") == "pk.m.K.f.w" and at(15, "pass") is None
+    assert at(19, "K") == "pk.m.K" and at(20, "m") == "pk.m.K.f.m" and at(23, "X") == "pk.m.X" and at(23, "len") == ("m:pk.m", ("len",)) and at(24, "g") == "pk.m.K.f.g"
+    assert code.facts_of("m", "m.py", "x = " + "(" * 60 + "1" + ")" * 60)[0]["fact"] == "file"
+    huge = "x = " + "+".join(["y"] * 5000) + "\nclass C: pass\n"
+    assert {r["fact"] for r in code.facts_of("m", "m.py", huge)} >= {"file", "def"} or code.facts_of("m", "m.py", huge)[0]["fact"] == "parse_error"
