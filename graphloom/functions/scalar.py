@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -120,8 +122,27 @@ def import_text(target: Column, level: Column) -> Column:
 
 
 def normal_claim(c: Column) -> Column:
-    """Trimmed, white space collapsed, lower case (which, unlike case folding, keeps characters such as sharp s)."""
-    return F.lower(F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " ")))
+    """Trimmed, white space collapsed, case folded."""
+    return casefold(F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " ")))
+
+
+def casefold(c: Column) -> Column:
+    """Lower case, and what folding does beyond it, such as sharp s to ss. The table of such characters is derived from the
+    character data; texts without any of them are only lowered."""
+    low = F.lower(c)
+    single, longer = _folded()
+    plain = F.translate(low, "".join(single), "".join(single.values()))
+    out = plain
+    for a, b in longer.items():
+        out = F.replace(out, F.lit(a), F.lit(b))
+    return F.when(low.rlike(f"[{''.join(longer)}]"), out).otherwise(plain)
+
+
+@cache
+def _folded() -> tuple[dict[str, str], dict[str, str]]:
+    """Lower-case characters that folding changes: to one character, and to several. Beyond the basic plane none does."""
+    every = {x: x.casefold() for x in map(chr, range(0x10000)) if x.lower() == x and x.casefold() != x}
+    return {a: b for a, b in every.items() if len(b) == 1}, {a: b for a, b in every.items() if len(b) > 1}
 
 
 def handle_set(c: Column) -> Column:

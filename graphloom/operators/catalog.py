@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from pathlib import Path
 
 import pandas as pd
@@ -128,6 +129,24 @@ def write_state(path: str, state: dict) -> None:
     part.replace(p)
 
 
+def update_document(path: str, change: Callable[[dict], None], empty: Callable[[], dict] = dict) -> dict:
+    """Read a JSON document of the driver, change it and write it whole, under a lock beside it: of writers at once each
+    sees what the one before wrote. A document that can't be read starts empty."""
+    import fcntl
+
+    p = Path(path)
+    p.parent.mkdir(parents=True, exist_ok=True)
+    with open(p.with_suffix(p.suffix + ".lock"), "w") as lock:
+        fcntl.flock(lock, fcntl.LOCK_EX)
+        try:
+            held = json.loads(p.read_text("utf-8"))
+        except (OSError, ValueError):
+            held = empty()
+        change(held)
+        write_state(path, held)
+    return held
+
+
 def state_tables(spark: SparkSession, state: dict) -> dict[str, DataFrame]:
     return {
         "coverage": spark.createDataFrame([(c["unit"], c["content_hash"]) for c in state["coverage"]], "unit string, content_hash string"),

@@ -14,12 +14,13 @@ from ..plans.checkpoints import cut
 HOPS = 20
 
 
-def canonical(bindings: DataFrame, defined: DataFrame, stars: DataFrame | None = None, hops: int = HOPS) -> DataFrame:
+def canonical(bindings: DataFrame, defined: DataFrame, stars: DataFrame | None = None, hops: int = HOPS, exports: DataFrame | None = None) -> DataFrame:
     """(alias, handle, hops) for every name that a chain of at most `hops` re-exports leads to a definition.
 
     bindings(module, surface, target[, ord]), defined(handle), stars(module, ord, source). A definition beats an explicit
     import, of which the last (ord) counts; a name with neither comes from the first star import that leads to a
-    definition, through stars of stars. Chains are followed by pointer doubling: each round composes the table with
+    definition, through stars of stars; a star gives what exports(module, name), the source's __all__, lists, without one
+    all names but those with an underscore in front. Chains are followed by pointer doubling: each round composes the table with
     itself, so 20 hops take five joins; a chain that runs in a circle ends nowhere and is dropped.
     """
     own = defined.select(F.col("handle").alias("alias")).distinct()
@@ -28,7 +29,7 @@ def canonical(bindings: DataFrame, defined: DataFrame, stars: DataFrame | None =
     if stars is None or stars.isEmpty():
         return _followed(explicit, own, hops).drop("next")
     own, explicit, stars = cut(own, "defined"), cut(explicit, "explicit"), cut(stars.select("module", F.col("ord").cast("long").alias("ord"), "source").distinct(), "stars")
-    every = _alternatives(explicit, own, stars)
+    every = _alternatives(explicit, own, stars, exports)
     first = every.groupBy("alias").agg(F.min_by("next", "ord").alias("next"))
     straight = cut(_followed(first, own, hops), "names")
     # What the first alternatives lead round in a circle: the search of each such name, in order and without return.
@@ -50,16 +51,23 @@ def _followed(step: DataFrame, own: DataFrame, hops: int) -> DataFrame:
     return found.select("alias", F.col("next").alias("handle"), F.col("n").alias("hops"), "next")
 
 
-def _alternatives(explicit: DataFrame, own: DataFrame, stars: DataFrame) -> DataFrame:
+def _alternatives(explicit: DataFrame, own: DataFrame, stars: DataFrame, exports: DataFrame | None) -> DataFrame:
     """(alias, ord, next): the steps that lead to a definition, of every name that reaches one. A semi-naive fixpoint: a
     round takes only the names that the round before found through the explicit imports of them and the stars of their
-    modules. Names with an underscore in front don't pass through a star."""
+    modules."""
+    listed = cut(exports.select(F.col("module").alias("_m"), F.col("name").alias("_leaf")), "exports") if exports is not None else None
     taken = cut(own.unionByName(explicit.select("alias")).distinct(), "taken")
     through = stars.select("module", F.col("source").alias("_m"))
 
     def starred(names: DataFrame, via: DataFrame) -> DataFrame:
         leaf = F.substring_index("alias", ".", -1)
-        inner = names.where((F.instr("alias", ".") > 0) & ~F.startswith(leaf, F.lit("_"))).select(parent(F.col("alias")).alias("_m"), leaf.alias("_leaf"), F.col("alias").alias("next"))
+        inner = names.where(F.instr("alias", ".") > 0).select(parent(F.col("alias")).alias("_m"), leaf.alias("_leaf"), F.col("alias").alias("next"))
+        public = ~F.startswith("_leaf", F.lit("_"))
+        if listed is None:
+            inner = inner.where(public)
+        else:
+            marks = listed.select("_m").distinct().withColumn("_all", F.lit(True)), listed.withColumn("_in", F.lit(True))
+            inner = inner.join(marks[0], "_m", "left").join(marks[1], ["_m", "_leaf"], "left").where(F.col("_in") | (F.col("_all").isNull() & public)).drop("_all", "_in")
         return inner.join(via, "_m").withColumn("alias", F.concat_ws(".", "module", "_leaf")).drop("_leaf")
 
     reached, new = own, own
@@ -120,10 +128,18 @@ def re_exports(canonical_names: DataFrame) -> DataFrame:
 
 
 def with_import_paths(nodes: DataFrame, canonical_names: DataFrame) -> DataFrame:
-    """nodes with the statements that import each: from its own packages and from every re-export, shortest first."""
-    extra = canonical_names.groupBy("handle").agg(F.array_sort(F.collect_set(F.concat(F.lit("from "), F.regexp_replace("alias", r"\.[^.]*$", ""), F.lit(" import "), F.substring_index("alias", ".", -1)))).alias("_x"))
-    own = reexport_statements(F.col("handle"))
-    return nodes.join(extra, "handle", "left").withColumn("import_paths", F.array_distinct(F.concat(own, F.coalesce("_x", F.array().cast("array<string>"))))).drop("_x")
+    """nodes with the statements that import each: from those of its own packages that do offer it, shortest first, from
+    its module, then from every other re-export by name."""
+    name = F.substring_index("alias", ".", -1)
+    said = F.concat(F.lit("from "), parent(F.col("alias")), F.lit(" import "), name)
+    above = F.startswith("handle", F.concat(parent(F.col("alias")), F.lit("."))) & (name == F.substring_index("handle", ".", -1))
+    extra = canonical_names.where(F.instr("alias", ".") > 0).groupBy("handle").agg(
+        F.array_sort(F.collect_set(F.when(above, F.struct(F.length("alias").alias("n"), said.alias("s"))))).alias("_own"), F.array_sort(F.collect_set(F.when(~above, said))).alias("_x"),
+    )
+    none = F.array().cast("array<string>")
+    direct = F.slice(reexport_statements(F.col("handle")), -1, 1)
+    paths = F.concat(F.coalesce(F.transform("_own", lambda x: x["s"]), none), F.when(F.instr("handle", ".") > 0, direct).otherwise(none), F.coalesce("_x", none))
+    return nodes.join(extra, "handle", "left").withColumn("import_paths", F.array_distinct(paths)).drop("_own", "_x")
 
 
 def bare_names(names: DataFrame, defs: DataFrame, nodes: DataFrame) -> DataFrame:

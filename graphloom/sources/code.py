@@ -185,6 +185,8 @@ def facts_of(module: str, file: str, content: str | None) -> list[dict]:
                 if isinstance(node, (ast.Assign, ast.AugAssign, ast.AnnAssign, ast.Expr, ast.Return)) and isinstance(node.value, ast.Call) and inside is None:
                     c = node.value
                     add("call", parent=owner, target=dotted(c.func), line=c.lineno, col=c.col_offset, items=[written_out(x) for x in c.args], flag=False)
+                if inside is None and isinstance(node, ast.AugAssign) and isinstance(node.target, ast.Name) and node.target.id == "__all__":
+                    exported(node.value)
                 for field in ("body", "orelse", "finalbody"):
                     visit(getattr(node, field, None) or [], owner, inside, False, scope)
                 for h in [*(getattr(node, "handlers", None) or []), *(getattr(node, "cases", None) or [])]:
@@ -218,9 +220,17 @@ def facts_of(module: str, file: str, content: str | None) -> list[dict]:
                 flat.append(t.value if isinstance(t, ast.Starred) else t)
         return flat
 
+    def exported(value) -> None:
+        """The names of a list that __all__ is, or grows by."""
+        for e in value.elts if isinstance(value, (ast.List, ast.Tuple)) else []:
+            if isinstance(e, ast.Constant) and isinstance(e.value, str):
+                add("export", name=e.value, line=e.lineno)
+
     def assigned(node, owner: str, inside: str | None, at) -> None:
         value = node.value
         made = dotted(value.func) if isinstance(value, ast.Call) else None
+        if inside is None and any(isinstance(t, ast.Name) and t.id == "__all__" for t in (node.targets if isinstance(node, ast.Assign) else [node.target])):
+            exported(value)
         for t in single(node.targets if isinstance(node, ast.Assign) else [node.target]):
             name = dotted(t) if not isinstance(t, ast.Subscript) else dotted(t.value)
             if name:
@@ -375,7 +385,8 @@ class Tables:
         bound = named.where("flag").select(F.concat_ws(".", "module", "full_name").alias("handle"))
         # a variable that an import binds as well is the import
         defined = self.plain.where("kind <> 'variable'").select("handle").unionByName(self.plain.where("kind = 'variable'").select("handle").join(bound, "handle", "left_anti"))
-        return cut(canonical(bindings, defined, stars), "canonical")
+        exports = of(self.facts, "export").select("module", "name").distinct()
+        return cut(canonical(bindings, defined, stars, exports=exports), "canonical")
 
     @cached_property
     def _names(self) -> DataFrame:

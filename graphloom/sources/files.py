@@ -217,10 +217,14 @@ def suggest_scopes(partial: str, settings: dict, aliases: dict | None = None) ->
     return [s for kind in ("predefined", "namespaces", "aliases") for s in known[kind] if s.lower().startswith(partial.lower())]
 
 
-def explain_scope(roots: DataFrame, scope: str | list[str]) -> str:
-    """What a scope comes to, in words: its roots by path."""
-    found = sorted(r["root"] for r in roots_for(roots, scope).collect())
-    return f"Scope: {scope}\nResolves to {len(found)} paths:\n" + "".join(f"  - {p}\n" for p in found)
+def explain_scope(roots: DataFrame, scope: str | list[str]) -> DataFrame:
+    """(scope, root, role): what each of the asked scopes comes to; root is null for one that comes to nothing."""
+    asked = roots.sparkSession.createDataFrame([(s,) for s in ([scope] if isinstance(scope, str) else scope)], "scope string")
+    found = None
+    for s in [scope] if isinstance(scope, str) else scope:
+        rows = roots_for(roots, s).select(F.lit(s).alias("scope"), "root", "role")
+        found = rows if found is None else found.unionByName(rows)
+    return asked.join(found, "scope", "left")
 
 
 def save_settings(project: str, settings: dict) -> None:

@@ -39,3 +39,18 @@ def test_types_scopes_and_state(spark, tmp_path):
     assert catalog.read_state(p)["version"] == 1
     catalog.write_state(p, {"version": 1, "coverage": [{"unit": "u", "content_hash": "h"}], "confirmed_non_issues": []})
     assert catalog.state_tables(spark, catalog.read_state(p))["coverage"].first().unit == "u"
+
+
+def test_documents_are_changed_under_a_lock(tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    path = str(tmp_path / "d" / "counts.json")
+
+    def one(k):
+        catalog.update_document(path, lambda d: d.update(n=d.get("n", 0) + 1))
+
+    with ThreadPoolExecutor(8) as pool:
+        list(pool.map(one, range(60)))
+    assert catalog.update_document(path, lambda d: None) == {"n": 60}
+    (tmp_path / "d" / "counts.json").write_text("not json")
+    assert catalog.update_document(path, lambda d: d.update(a=1), lambda: {"v": 1}) == {"v": 1, "a": 1}

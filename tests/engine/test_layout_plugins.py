@@ -85,7 +85,8 @@ def test_schema_templates_and_scopes(spark, tmp_path):
     settings = {"packages": ["lib"], "namespaces": {"Co": ["/c"]}}
     assert files.suggest_scopes("n", settings) == ["namespaces", "namespace:Co"] and files.suggest_scopes("M", settings, {"mine": "all"}) == ["main", "mine"]
     assert files.list_scopes(settings)["packages"] == ["package:lib"]
-    assert files.explain_scope(files.roots_table(spark, "/p", settings), "packages").endswith("1 paths:\n  - lib\n")
+    told = files.explain_scope(files.roots_table(spark, "/p", settings), ["packages", "namespaces"]).collect()
+    assert sorted((r.scope, str(r.root), str(r.role)) for r in told) == [("namespaces", "None", "None"), ("packages", "lib", "package")]
     files.save_settings(str(tmp_path), settings)
     assert files.read_settings(str(tmp_path)) == settings
     df = spark.createDataFrame([("a(b",), ("ab",)], "content string")

@@ -226,3 +226,21 @@ class K:
     assert code.facts_of("m", "m.py", "x = " + "(" * 60 + "1" + ")" * 60)[0]["fact"] == "file"
     huge = "x = " + "+".join(["y"] * 5000) + "\nclass C: pass\n"
     assert {r["fact"] for r in code.facts_of("m", "m.py", huge)} >= {"file", "def"} or code.facts_of("m", "m.py", huge)[0]["fact"] == "parse_error"
+
+
+def test_all_lists_what_a_star_gives(spark):
+    src = {
+        "p": ("p/__init__.py", "from .core import *\n__all__ = ['A']\n__all__ += ['_hidden']\n"), "p.core": ("p/core.py", "from .more import *\n__all__ = ('A', '_hidden', 'far')\nclass A: pass\nclass B: pass\ndef _hidden(): pass\n"),
+        "p.more": ("p/more.py", "def far(): pass\ndef _own(): pass\n"), "use": ("use.py", "from p import *\nclass C(A): pass\n\ndef f():\n    _hidden()\n    far()\n    B()\n"),
+    }
+    t = code.tables(code.facts(spark.createDataFrame([(m, *fc) for m, fc in src.items()], "module string, file string, content string")))
+    got = {(r.alias, r.handle) for r in t.canonical.collect()}
+    assert got == {("p.A", "p.core.A"), ("p._hidden", "p.core._hidden"), ("p.far", "p.more.far"), ("p.core.far", "p.more.far"), ("use.A", "p.core.A"), ("use._hidden", "p.core._hidden")}
+    assert {(r.src, r.dst) for r in t.edges_of("callees").collect()} == {("use.f", "p.core._hidden")} and t.unresolved_of("callees").count() == 2
+    paths = {r.handle: r.import_paths for r in resolve.with_import_paths(t.plain, t.canonical).collect()}
+    assert paths["p.core.A"] == ["from p import A", "from p.core import A", "from use import A"] and paths["p.core.B"] == ["from p.core import B"] and paths["p"] == []
+
+
+def test_claims_are_case_folded(spark):
+    texts = ["Straße ﬁn ΣΑΣ ς", "ẞ İ ŉ ΐ և", "plain Text", "ﬃ ẖ Ⅷ ᏸ Ა", "", None]
+    assert column(spark, scalar.normal_claim, *texts) == [" ".join((t or "").split()).casefold() for t in texts]
