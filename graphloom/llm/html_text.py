@@ -39,7 +39,7 @@ _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: An end tag may be missing: a new element of the kind ends the open one.
 _SINGLE = frozenset("p li dt dd tr td th option".split())
-_BOILER_TAGS = frozenset("nav footer aside form menu dialog button label".split())
+_BOILER_TAGS = frozenset("nav footer aside form menu dialog button".split())
 _BOILER_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar form".split())
 _BOILER_NAMES = frozenset(
     "nav navbar navigation menu menubar topbar header masthead footer sidebar side aside ad ads adv advert adverts advertisement advertising adsense"
@@ -47,6 +47,9 @@ _BOILER_NAMES = frozenset(
     " login share sharing social comment comments respond reply replies disqus discussion related recommended recommendations breadcrumb breadcrumbs"
     " pagination pager widget widgets copyright legal disclaimer skip toolbar tags taglist hidden".split()
 )
+#: Elements that are text themselves: inside the article only these names make furniture of them.
+_TEXT_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
+_ADVERT_NAMES = frozenset("ad ads adv advert adverts advertisement advertising adsense sponsor sponsored sponsors cookie cookies comment comments breadcrumb breadcrumbs hidden".split())
 _CONTENT_NAMES = frozenset("article articlebody content main post entry story body maincontent".split())
 
 
@@ -70,6 +73,8 @@ def _boiler(tag: str, attrs: str, in_content: bool) -> bool:
     found = names & _BOILER_NAMES
     if in_content:
         found -= {"header", "side", "body", "tags", "legal", "banner"}
+        if tag in _TEXT_TAGS:
+            found &= _ADVERT_NAMES
     return bool(found) and not (names & _CONTENT_NAMES and found <= {"header", "side", "body"})
 
 
@@ -103,7 +108,7 @@ def lines(page: str) -> list[tuple[str, int, int, bool, bool]]:
             opened[tag] -= 1
             if bad:
                 boiler -= 1
-                if not boiler:
+                if not boiler and tag in _BLOCK:
                     out.extend([BLANK] * BLANKS)
 
     at, endless = 0, set()
@@ -172,7 +177,7 @@ def lines(page: str) -> list[tuple[str, int, int, bool, bool]]:
             continue
         bad = _boiler(tag, m["attr"], held > 0)
         if block or bad:
-            if bad and not boiler:
+            if bad and not boiler and block:  # an inline one leaves its block in one piece
                 flush()
                 out.extend([BLANK] * BLANKS)
             boiler += bad

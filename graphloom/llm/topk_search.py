@@ -122,7 +122,8 @@ def top_k(vectors: DataFrame, query: F.Column = None, k: int = 20) -> DataFrame:
     its own. Every query block meets every candidate block once; each meeting gives at most k rows a query.
     """
     query = F.col("vec_id") % 20 == 0 if query is None else query
-    base = vectors.select(F.monotonically_increasing_id().alias("uid"), F.col("vec_id").cast("long").alias("vec_id"), "embedding")
+    # written once: a row has one number in both tables, whatever is computed again
+    base = written(vectors.select(F.monotonically_increasing_id().alias("uid"), F.col("vec_id").cast("long").alias("vec_id"), "embedding"), "vectors")
     c = written(base.mapInArrow(_packed(CANDIDATES), BLOCK), "candidates")
     q = written(base.where(query).mapInArrow(_packed(QUERIES), BLOCK), "queries")
     groups = max(1, c.count())

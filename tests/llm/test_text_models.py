@@ -270,3 +270,10 @@ def test_top_k_matches_brute_force(spark, monkeypatch, size, queries):
     assert topk_search.top_k(df.limit(0)).count() == 0
     wide = spark.createDataFrame([(0, [1e30, 1.0]), (1, [1e30, -1.0]), (2, [1.0, 1.0])], "vec_id long, embedding array<double>")
     assert [tuple(x) for x in topk_search.top_k(wide, k=2).orderBy("rank").collect()] == brute_top([(0, [1e30, 1.0]), (1, [1e30, -1.0]), (2, [1.0, 1.0])], 2)
+
+
+def test_inline_elements_and_names_of_paragraphs():
+    """An inline element never splits its block; inside the article a paragraph isn't furniture for being called related."""
+    tail = " more words" * 60
+    page = f'<article><p>He said <label>word</label> yes.{tail}</p><p class="related">See also this.</p><p class="ad">Buy.</p><p>Press <button>OK</button>now.{tail}</p></article>'
+    assert html_text.main_text(page) == f"He said word yes.{tail}\n\nSee also this.\n\nPress now.{tail}"
