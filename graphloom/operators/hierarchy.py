@@ -13,12 +13,25 @@ def closure(pairs: DataFrame, start: DataFrame | None = None) -> DataFrame:
     """(root, handle, depth): everything that child -> parent pairs (child, parent) reach from each root, with the least
     depth, however deep. start(root) narrows the roots.
 
-    Two levels a round: a round joins only what the round before found to the pairs, which are written once, and to the
-    pairs of what that gives. What an earlier round found is dropped; circles end that way."""
+    From all roots the depth doubles with each round: what lies exactly 2^k below a root reaches the rest of what lies up to
+    2^(k+1) below by what is known already, so a chain of 5,000 takes 13 joins. From given roots two levels a round: a
+    round joins only what the round before found to the pairs, which are written once. What an earlier round found is
+    dropped; circles end that way."""
     up = cut(pairs.select(F.col("parent").alias("_p"), F.col("child").alias("_c")).where("_p <> _c").distinct(), "pairs")
     level = up.select(F.col("_p").alias("root"), F.col("_c").alias("handle"))
-    if start is not None:
-        level = level.join(start.select("root").distinct(), "root", "left_semi")
+    if start is None:
+        found, span = level.withColumn("depth", F.lit(1)), 1
+        edge = found
+        while True:
+            right = found.select(F.col("root").alias("_r"), F.col("handle").alias("_h"), F.col("depth").alias("_d"))
+            new = edge.join(right, F.col("handle") == F.col("_r")).select("root", F.col("_h").alias("handle"), (F.col("depth") + F.col("_d")).alias("depth")).where("root <> handle")
+            new = cut(new.groupBy("root", "handle").agg(F.min("depth").alias("depth")).join(found.select("root", "handle"), ["root", "handle"], "left_anti"), "levels")
+            found = found.unionByName(new)  # a union of written tables
+            span *= 2
+            edge = new.where(F.col("depth") == span)
+            if edge.isEmpty():
+                return found
+    level = level.join(start.select("root").distinct(), "root", "left_semi")
     below = lambda df, d: df.join(up, F.col("handle") == F.col("_p")).select("root", F.col("_c").alias("handle"), F.lit(d).alias("depth")).where("root <> handle")
     found, d = None, 1
     level = level.withColumn("depth", F.lit(d))
@@ -27,7 +40,7 @@ def closure(pairs: DataFrame, start: DataFrame | None = None) -> DataFrame:
         if found is not None:
             two = two.join(found.select("root", "handle"), ["root", "handle"], "left_anti")
         level = cut(two, "levels")
-        found = level if found is None else found.unionByName(level)  # a union of written tables
+        found = level if found is None else found.unionByName(level)
         d += 2
         edge = level.where(F.col("depth") == d - 1)
         if edge.isEmpty():

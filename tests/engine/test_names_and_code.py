@@ -244,3 +244,26 @@ def test_all_lists_what_a_star_gives(spark):
 def test_claims_are_case_folded(spark):
     texts = ["Straße ﬁn ΣΑΣ ς", "ẞ İ ŉ ΐ և", "plain Text", "ﬃ ẖ Ⅷ ᏸ Ა", "", None]
     assert column(spark, scalar.normal_claim, *texts) == [" ".join((t or "").split()).casefold() for t in texts]
+
+
+def test_closures_double(spark):
+    import random
+
+    r = random.Random(3)
+    for n, m in ((12, 20), (40, 45), (1, 1)):
+        pairs = [(f"n{r.randrange(n)}", f"n{r.randrange(n)}") for _ in range(m)] + [(f"c{k}", f"c{k + 1}") for k in range(70)]
+        below = {}
+        for c, p in pairs:
+            below.setdefault(p, set()).add(c)
+        want = set()
+        for root in below:
+            seen, level, d = {root}, {root}, 0
+            while level:
+                d += 1
+                level = {c for x in level for c in below.get(x, ())} - seen
+                seen |= level
+                want |= {(root, x, d) for x in level}
+        df = spark.createDataFrame(pairs, "child string, parent string")
+        assert {tuple(x) for x in hierarchy.closure(df).collect()} == want
+        roots = sorted(below)[:3]
+        assert {tuple(x) for x in hierarchy.closure(df, spark.createDataFrame([(x,) for x in roots], "root string")).collect()} == {w for w in want if w[0] in roots}
