@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.checkpoints import shared_folder
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 #: Complement of a run of ASCII white space (space, tab to carriage return).
@@ -37,26 +36,6 @@ def space_words(c: Column) -> Column:
     return split_words(c, SPACE_RUN)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session.
-
-    Only where none is named and the master is local (tests on one machine) a temporary folder takes its place; on a
-    cluster that is an error, as executors would write where the driver can't read.
-    """
-    sc = spark.sparkContext
-    at = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    if not at:
-        at = sc._jsc.sc().getCheckpointDir().getOrElse(None) if sc._jsc.sc().getCheckpointDir().isDefined() else None
-    if not at:
-        if not (sc.master or "").startswith("local") or (sc.master or "").startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        local = tempfile.mkdtemp(prefix="graphloom-")
-        atexit.register(shutil.rmtree, local, ignore_errors=True)
-        at = f"file://{local}"
-        sc.setCheckpointDir(at)
-    return at
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: cuts the lineage, computes df once, survives executors."""
     spark = df.sparkSession

@@ -188,9 +188,10 @@ def _pieces(batches, cut):
 PIECE = ["m", "a", "b", "doc_id", "_row", "start", "n", "data"]
 
 
-def repeats(docs: DataFrame, length: int, gram: int, group: int) -> DataFrame:
+def repeats(docs: DataFrame, length: int, gram: int, group: int, merge_all: bool = False) -> DataFrame:
     """(doc_id, _row, spans: int32 bytes of start and end pairs) of the bytes of keyed docs (with n, the number of rows that
-    each stands for) that a repeated window covers."""
+    each stands for) that a repeated window covers. merge_all: strings that all weigh two or more are merged as well,
+    though every interval of theirs does."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"m long, a long, b long, doc_id {kind}, _row long, start int, n long, data binary"
 
@@ -242,13 +243,13 @@ def repeats(docs: DataFrame, length: int, gram: int, group: int) -> DataFrame:
 
             for g, (m, pieces, n, _) in enumerate(groups):
                 cut = trimmed(m, pieces, n, length, gram)
-                if all(t > 1 for _, t, _ in cut):  # every interval of theirs weighs two or more: nothing to merge
+                if not merge_all and all(t > 1 for _, t, _ in cut):  # every interval of theirs weighs two or more: nothing to merge
                     for s, _, who in cut:
                         marked(g, who, np.ones(len(s) - length + 1, bool))
                     continue
                 for s, t, who in cut:
                     # a group of one segment that has no gram twice repeats nothing
-                    if len(pieces) > 1 or len(np.unique(h := gram_hashes(np.frombuffer(s, np.uint8), gram))) < len(h):
+                    if t > 1 or len(pieces) > 1 or len(np.unique(h := gram_hashes(np.frombuffer(s, np.uint8), gram))) < len(h):
                         strings.append(s), times.append(t), owner.append((g, who))
             for (g, who), marks in zip(owner, repeated(strings, times, length, SHARD) if strings else ()):
                 marked(g, who, marks)
@@ -324,14 +325,14 @@ def _split(pieces: DataFrame, places: DataFrame, large: DataFrame, length: int,
     )
 
 
-def repeat_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int = GROUP) -> DataFrame:
+def repeat_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int = GROUP, merge_all: bool = False) -> DataFrame:
     """For keyed docs the rows that lose bytes: (doc_id, _row, spans: int32 bytes of start and end pairs). Of exact copies
     one row is searched for all of them, and counts as often as there are copies; all get its spans."""
     same = copies(docs)
     more = checkpoint(same.where(~F.col("first")).select("doc_id", "_row"))
     often = checkpoint(same.where("first").select("doc_id", "_row", F.col("n").alias("times")))
     single = attach(attach(docs, more, "left_anti"), often).withColumn("n", F.coalesce("times", F.lit(1).cast("long"))).select("doc_id", "_row", "text", "n")
-    spans = checkpoint(repeats(single, length, gram, group))
+    spans = checkpoint(repeats(single, length, gram, group, merge_all))
     of = spans.select(F.col("doc_id").alias("_i"), F.col("_row").alias("_r"), "spans")
     rest = same.where(~F.col("first")).join(of, F.col("least").eqNullSafe(F.col("_i")) & (F.col("least_row") == F.col("_r")))
     return checkpoint(spans.unionByName(rest.select("doc_id", "_row", "spans")))
@@ -347,7 +348,7 @@ def _cut(text: str | None, spans: bytes | None) -> tuple[bytes, bytes, bytes]:
     return data, spans or b"", b"".join([*stay, data[at:]])
 
 
-def without_repeats(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int = GROUP) -> DataFrame:
+def without_repeats(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int = GROUP, merge_all: bool = False) -> DataFrame:
     """One row for each row of documents (doc_id, text): doc_id, n_bytes, n_removed, n_spans, spans (int32 bytes of start
     and end pairs of maximal removed runs), kept_sha256, kept (the remaining bytes).
 
@@ -372,7 +373,7 @@ def without_repeats(documents: DataFrame, length: int = LENGTH, gram: int = GRAM
             ]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, t) for t, x in columns)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "spans", "kept_sha256", "kept"])
 
-    source = attach(docs, repeat_spans(docs, length, gram, group)).select("doc_id", "text", "spans")
+    source = attach(docs, repeat_spans(docs, length, gram, group, merge_all)).select("doc_id", "text", "spans")
     return source.mapInArrow(cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, spans binary, kept_sha256 string, kept binary")
 
 

@@ -56,7 +56,7 @@ def brute_bytes(texts, n):
     return out
 
 
-@pytest.mark.parametrize("how", [{}, {"group": 1}, {"group": 3000, "length": 60, "gram": 16}])
+@pytest.mark.parametrize("how", [{}, {"merge_all": True}, {"group": 1}, {"group": 3000, "length": 60, "gram": 16, "merge_all": True}])
 def test_suffix_dedup_matches_brute_force(documents, odd, empty, how, monkeypatch):
     if how:
         monkeypatch.setattr(rows.attach, "__defaults__", ("left", 0))  # side tables by shuffle
