@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -99,25 +98,44 @@ def _searched(lost: DataFrame, every: DataFrame, own: DataFrame) -> DataFrame:
     ends = own.select(F.col("alias").alias("_e"))
     edges = reach.join(every.select(F.col("alias").alias("at"), "ord", "next"), "at").join(ends, F.col("next") == F.col("_e"), "left")
     edges = edges.select("alias", "at", "ord", "next", F.col("_e").isNotNull().alias("end"))
+    # groups are many and small: they stream past in order, one is held
+    return edges.repartition("alias").sortWithinPartitions("alias", "at", "ord", "next").mapInArrow(_first_ways, "alias string, handle string, hops int")
 
-    def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        ways, end = {}, set(pdf.loc[pdf["end"], "next"])
-        for at, _, to in sorted(zip(pdf["at"], pdf["ord"], pdf["next"])):
+
+def _first_ways(batches):
+    """(alias, handle, hops) of edges(alias, at, next, end) that come by alias, and within it in the order of their steps."""
+    import pyarrow as pa
+
+    def made(rows: list[tuple[str, str, int]]):
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.string(), pa.string(), pa.int32()))], names=["alias", "handle", "hops"])
+
+    start, ways, ends = None, {}, set()
+    for batch in batches:
+        found = []
+        for alias, at, to, end in zip(*(batch.column(x).to_pylist() for x in ("alias", "at", "next", "end"))):
+            if alias != start:
+                found += _first_way(start, ways, ends)
+                start, ways, ends = alias, {}, set()
             ways.setdefault(at, []).append(to)
-        start = pdf["alias"].iloc[0]
-        seen, path = {start}, [iter(ways.get(start, ()))]
-        while path:
-            to = next(path[-1], None)
-            if to is None:
-                path.pop()
-            elif to in end:
-                return pd.DataFrame({"alias": [start], "handle": [to], "hops": [len(path)]})
-            elif to not in seen:
-                seen.add(to)
-                path.append(iter(ways.get(to, ())))
-        return pd.DataFrame({"alias": [], "handle": [], "hops": []})
-
-    return edges.groupBy("alias").applyInPandas(search, "alias string, handle string, hops int")
+            if end:
+                ends.add(to)
+        yield made(found)
+    yield made(_first_way(start, ways, ends))
+
+
+def _first_way(start: str | None, ways: dict[str, list[str]], ends: set[str]) -> list[tuple[str, str, int]]:
+    """The definition that start leads to, depth first; none if it leads to none."""
+    seen, path = {start}, [iter(ways.get(start, ()))]
+    while path:
+        to = next(path[-1], None)
+        if to is None:
+            path.pop()
+        elif to in ends:
+            return [(start, to, len(path))]
+        elif to not in seen:
+            seen.add(to)
+            path.append(iter(ways.get(to, ())))
+    return []
 
 
 def re_exports(canonical_names: DataFrame) -> DataFrame:
