@@ -26,39 +26,44 @@ def canonical(bindings: DataFrame, defined: DataFrame, stars: DataFrame | None =
     last = F.max_by("target", "ord") if "ord" in bindings.columns else F.min("target")
     explicit = bindings.groupBy(F.concat_ws(".", "module", "surface").alias("alias")).agg(last.alias("next")).join(own, "alias", "left_anti")
     if stars is None or stars.isEmpty():
-        return _followed(explicit, own, hops).drop("next")
+        ends = own.select(F.col("alias").alias("next"), F.lit(True).alias("_e"))
+        return _followed(explicit.join(ends, "next", "left").select("alias", "next", F.col("_e").isNotNull().alias("end")), hops)
     own, explicit, stars = cut(own, "defined"), cut(explicit, "explicit"), cut(stars.select("module", F.col("ord").cast("long").alias("ord"), "source").distinct(), "stars")
     every = _alternatives(explicit, own, stars, exports)
-    first = every.groupBy("alias").agg(F.min_by("next", "ord").alias("next"))
-    straight = cut(_followed(first, own, hops), "names")
+    first = cut(every.groupBy("alias").agg(F.min_by(F.struct("next", "end"), "ord").alias("b")).select("alias", "b.*"), "first")
+    straight = cut(_followed(first, hops), "names")
     # What the first alternatives lead round in a circle: the search of each such name, in order and without return.
     lost = cut(first.join(straight.select("alias"), "alias", "left_anti").select("alias"), "lost")
     if lost.isEmpty():
-        return straight.drop("next")
-    return straight.drop("next").unionByName(_searched(lost, every, own).where(F.col("hops") <= hops))
-
-
-def _followed(step: DataFrame, own: DataFrame, hops: int) -> DataFrame:
-    """(alias, handle, hops, next) of single steps(alias, next) that lead to a definition."""
-    pointer = cut(step.where("alias <> next").select("alias", "next", F.lit(1).alias("n")))
-    span = 1
-    while span < hops:
-        on = pointer.select(F.col("alias").alias("_a"), F.col("next").alias("_n"), F.col("n").alias("_k"))
-        pointer = cut(pointer.join(on, F.col("next") == F.col("_a"), "left").select("alias", F.coalesce("_n", "next").alias("next"), (F.col("n") + F.coalesce("_k", F.lit(0))).alias("n")))
+        return straight
+    return straight.unionByName(_searched(lost, every, straight).where(F.col("hops") <= hops))
+
+
+def _followed(step: DataFrame, hops: int) -> DataFrame:
+    """(alias, handle, hops) of single steps(alias, next, end) that lead to a definition; end: next is one. A round takes
+    on what has not ended yet, and drops what goes nowhere or comes back to itself."""
+    pointer = cut(step.where("alias <> next").select("alias", "next", F.lit(1).alias("n"), "end"), "pointers")
+    found, active, span = pointer.where("end"), pointer.where("NOT end"), 1
+    while span < hops and not active.isEmpty():
+        on = found.unionByName(active).select(F.col("alias").alias("_a"), F.col("next").alias("_n"), F.col("n").alias("_k"), F.col("end").alias("_e"))
+        now = active.join(on, F.col("next") == F.col("_a")).select("alias", F.col("_n").alias("next"), (F.col("n") + F.col("_k")).alias("n"), F.col("_e").alias("end"))
+        now = cut(now.where("alias <> next"), "pointers")
+        found, active = found.unionByName(now.where("end")), now.where("NOT end")
         span *= 2
-    found = pointer.where(F.col("n") <= hops).join(own.select(F.col("alias").alias("next")), "next", "left_semi")
-    return found.select("alias", F.col("next").alias("handle"), F.col("n").alias("hops"), "next")
+    return found.where(F.col("n") <= hops).select("alias", F.col("next").alias("handle"), F.col("n").alias("hops"))
 
 
 def _alternatives(explicit: DataFrame, own: DataFrame, stars: DataFrame, exports: DataFrame | None) -> DataFrame:
-    """(alias, ord, next): the steps that lead to a definition, of every name that reaches one. A semi-naive fixpoint: a
-    round takes only the names that the round before found through the explicit imports of them and the stars of their
-    modules."""
+    """(alias, ord, next, end): the steps that lead to a definition, of every name that reaches one; end: next is one. A
+    semi-naive fixpoint: a round takes only the names that the round before found through the explicit imports of them and
+    the stars of their modules."""
     listed = cut(exports.select(F.col("module").alias("_m"), F.col("name").alias("_leaf")), "exports") if exports is not None else None
-    taken = cut(own.unionByName(explicit.select("alias")).distinct(), "taken")
-    through = stars.select("module", F.col("source").alias("_m"))
+    if listed is not None and listed.isEmpty():
+        listed = None
+    taken = own.unionByName(explicit.select("alias"))
+    via = stars.select("module", "ord", F.col("source").alias("_m"))
 
-    def starred(names: DataFrame, via: DataFrame) -> DataFrame:
+    def starred(names: DataFrame) -> DataFrame:
         leaf = F.substring_index("alias", ".", -1)
         inner = names.where(F.instr("alias", ".") > 0).select(parent(F.col("alias")).alias("_m"), leaf.alias("_leaf"), F.col("alias").alias("next"))
         public = ~F.startswith("_leaf", F.lit("_"))
@@ -67,26 +72,28 @@ def _alternatives(explicit: DataFrame, own: DataFrame, stars: DataFrame, exports
         else:
             marks = listed.select("_m").distinct().withColumn("_all", F.lit(True)), listed.withColumn("_in", F.lit(True))
             inner = inner.join(marks[0], "_m", "left").join(marks[1], ["_m", "_leaf"], "left").where(F.col("_in") | (F.col("_all").isNull() & public)).drop("_all", "_in")
-        return inner.join(via, "_m").withColumn("alias", F.concat_ws(".", "module", "_leaf")).drop("_leaf")
+        return inner.join(via, "_m").select(F.concat_ws(".", "module", "_leaf").alias("alias"), "ord", "next").join(taken, "alias", "left_anti")
 
-    reached, new = own, own
+    every, later, new = None, None, own
     while True:
-        by_name = explicit.join(new.select(F.col("alias").alias("next")), "next", "left_semi").select("alias")
-        by_star = starred(new, through).select("alias").join(taken, "alias", "left_anti")
-        new = cut(by_name.unionByName(by_star).distinct().join(reached, "alias", "left_anti"), "reached")
+        direct = explicit.join(new.select(F.col("alias").alias("next")), "next", "left_semi").select("alias", F.lit(-1).cast("long").alias("ord"), "next")
+        steps = cut(direct.unionByName(starred(new)).withColumn("end", F.lit(every is None)), "alternatives")
+        every = steps if every is None else every.unionByName(steps)
+        new = steps.select("alias").distinct()  # none is a definition
+        new = cut(new if later is None else new.join(later, "alias", "left_anti"), "reached")
         if new.isEmpty():
-            break
-        reached = reached.unionByName(new)
-    reached = cut(reached, "reached")
-    stepped = starred(reached, stars.select("module", "ord", F.col("source").alias("_m"))).join(taken, "alias", "left_anti").select("alias", "ord", "next")
-    direct = explicit.join(reached.select(F.col("alias").alias("next")), "next", "left_semi").select("alias", F.lit(-1).cast("long").alias("ord"), "next")
-    return cut(stepped.unionByName(direct).distinct(), "alternatives")
+            return every
+        later = new if later is None else later.unionByName(new)
 
 
-def _searched(lost: DataFrame, every: DataFrame, own: DataFrame) -> DataFrame:
+def _searched(lost: DataFrame, every: DataFrame, straight: DataFrame) -> DataFrame:
     """(alias, handle, hops) of names whose first alternatives go round: depth first over what each reaches, alternatives in
-    their order, no name entered twice. A group is what one name reaches through a circle of star imports."""
-    step = every.select(F.col("alias").alias("_a"), "next")
+    their order, no name entered twice. A name of straight(alias, handle, hops) ends a search as a definition does: none of
+    its first steps was entered before. A group is the lost names that one reaches through a circle of star imports."""
+    known = straight.select(F.col("alias").alias("next"), F.lit(True).alias("_s"))
+    ways = every.join(lost, "alias", "left_semi").join(known, "next", "left")
+    ways = cut(ways.select(F.col("alias").alias("at"), "ord", "next", (F.col("end") | F.col("_s").isNotNull()).alias("end")), "ways")
+    step = ways.where("NOT end").select(F.col("at").alias("_a"), "next")
     reach, new = None, lost.select("alias", F.col("alias").alias("at"))
     while True:
         new = new if reach is None else new.join(reach, ["alias", "at"], "left_anti")
@@ -95,11 +102,11 @@ def _searched(lost: DataFrame, every: DataFrame, own: DataFrame) -> DataFrame:
             break
         reach = new if reach is None else reach.unionByName(new)
         new = new.join(step, F.col("at") == F.col("_a")).select("alias", F.col("next").alias("at")).distinct()
-    ends = own.select(F.col("alias").alias("_e"))
-    edges = reach.join(every.select(F.col("alias").alias("at"), "ord", "next"), "at").join(ends, F.col("next") == F.col("_e"), "left")
-    edges = edges.select("alias", "at", "ord", "next", F.col("_e").isNotNull().alias("end"))
+    edges = reach.join(ways, "at").select("alias", "at", "ord", "next", "end")
     # groups are many and small: they stream past in order, one is held
-    return edges.repartition("alias").sortWithinPartitions("alias", "at", "ord", "next").mapInArrow(_first_ways, "alias string, handle string, hops int")
+    found = edges.repartition("alias").sortWithinPartitions("alias", "at", "ord", "next").mapInArrow(_first_ways, "alias string, handle string, hops int")
+    rest = straight.select(F.col("alias").alias("handle"), F.col("handle").alias("_h"), F.col("hops").alias("_k"))
+    return found.join(rest, "handle", "left").select("alias", F.coalesce("_h", "handle").alias("handle"), (F.col("hops") + F.coalesce("_k", F.lit(0))).alias("hops"))
 
 
 def _first_ways(batches):

@@ -1,9 +1,41 @@
 import ast
 
+from graphloom.operators import resolve
 from graphloom.sources import lexical
 
 
+def _watched(monkeypatch, module, seen):
+    """Every table that module writes, by name."""
+    plain = module.cut
+
+    def cut(df, name="cut", *more):
+        out = plain(df, name, *more)
+        seen.append((name, df, out))
+        return out
+
+    monkeypatch.setattr(module, "cut", cut)
+
+
 def test_children_are_those_of_ast():
     text = "@d(1)\nasync def f(a: int = 1, *b, c=2, **k) -> x[y]:\n    async with a as q, b:\n        return [i for i in a if i < 2 and not b]\n    del q\nmatch z:\n    case {'k': [1, *r], **m} | C(n=2) as v if v: x += {**y, 'a': f'{x!r:>3}'}\ntype T[U] = list[U]\n"
     for node in ast.walk(ast.parse(text)):
         assert lexical.children(node) == [n for n in ast.iter_child_nodes(node) if not isinstance(n, (ast.expr_context, ast.operator, ast.unaryop, ast.cmpop, ast.boolop))]
+
+
+def test_ended_chains_take_no_further_rounds(spark, monkeypatch):
+    seen = []
+    _watched(monkeypatch, resolve, seen)
+    bindings = spark.createDataFrame([("a", "x", "b.x"), ("b", "x", "c.x"), ("p", "x", "q.x"), ("q", "x", "p.x"), ("o", "x", "p.x"), ("n", "x", "no.x")], "module string, surface string, target string")
+    got = resolve.canonical(bindings, spark.createDataFrame([("c.x",)], "handle string"))
+    assert sorted(map(tuple, got.collect())) == [("a.x", "c.x", 2), ("b.x", "c.x", 1)]
+    assert sum(name == "pointers" for name, *_ in seen) == 3  # not one for each doubling up to 20 hops: what points into a circle is dropped a round after it
+
+
+def test_searches_enter_only_names_that_go_round(spark, monkeypatch):
+    seen = []
+    _watched(monkeypatch, resolve, seen)
+    stars = spark.createDataFrame([("p", 0, "api"), ("api", 0, "dead"), ("api", 1, "more"), ("dead", 0, "api"), ("more", 0, "via"), ("via", 0, "core")], "module string, ord int, source string")
+    got = resolve.canonical(spark.createDataFrame([], "module string, surface string, target string"), spark.createDataFrame([("core.X",)], "handle string"), stars)
+    assert sorted(map(tuple, got.collect())) == [("api.X", "core.X", 3), ("dead.X", "core.X", 4), ("more.X", "core.X", 2), ("p.X", "core.X", 4), ("via.X", "core.X", 1)]
+    entered = {r["at"] for name, _, out in seen if name == "reach" for r in out.select("at").collect()}
+    assert entered == {"p.X", "api.X", "dead.X"}
