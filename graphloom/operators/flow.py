@@ -91,35 +91,43 @@ def evaluate(references: DataFrame, offered: DataFrame, nodes: DataFrame, flows:
     by_value = F.col("state").isin("V", "P") | ((F.col("state") == "F") & (first == _CALL))
     ask = F.when(F.col("state") == "V", F.col("at")).otherwise(F.concat("at", F.lit(_CALL)))
 
-    def advanced(rows: DataFrame, known: DataFrame | None) -> DataFrame:
-        x = rows.withColumn("_place", F.when(by_name, F.col("at"))).withColumn("_step", first).join(side, (F.col("_place") == F.col("_o")) & (F.col("_step") == F.col("_s")), "left")
-        if known is not None:
-            v = known.select(F.col("name").alias("_n"), F.col("state").alias("_vs"), F.col("at").alias("_va"))
-            x = x.withColumn("_ask", F.when(by_value, ask)).join(v, F.col("_ask") == F.col("_n"), "left")
-        else:
-            x = x.withColumn("_vs", F.lit(None).cast("string")).withColumn("_va", F.lit(None).cast("string"))
-        named, valued, made = F.col("_h").isNotNull(), F.col("_vs").isNotNull(), (F.col("state") == "C") & (first == _CALL)
-        step = named | made | (valued & (F.col("state") == "F"))
-        return x.select(
-            "key", F.when(named, F.col("_t")).when(made, "I").when(valued, F.col("_vs")).otherwise(F.col("state")).alias("state"),
-            F.when(named, F.col("_h")).when(valued, F.col("_va")).otherwise(F.col("at")).alias("at"),
-            # past a call a definition is no longer what the reference names
-            F.when(named, F.col("_h")).when(made | (valued & (F.col("state") == "F")), F.lit(None)).otherwise(F.col("handle")).alias("handle"),
-            F.when(step, tail).otherwise(F.col("rest")).alias("rest"), "_flow",
-            (F.coalesce("_moved", F.lit(False)) | named | made | valued).alias("_moved"), (by_name & ~named).alias("_dead"),
+    def made(rows: DataFrame) -> DataFrame:
+        """A class that is called is an instance; past a call a definition is no longer what the reference names."""
+        called = (F.col("state") == "C") & (first == _CALL)
+        return rows.select(
+            "key", F.when(called, "I").otherwise(F.col("state")).alias("state"), "at", F.when(~called, F.col("handle")).alias("handle"), F.when(called, tail).otherwise(F.col("rest")).alias("rest"), "_flow", "_moved",
         )
 
-    done, pending = [], start
+    def named(rows: DataFrame) -> DataFrame:
+        """One attribute on; what the place doesn't offer is dropped."""
+        x = rows.where(by_name).withColumn("_step", first).join(side, (F.col("at") == F.col("_o")) & (F.col("_step") == F.col("_s")))
+        return x.select("key", F.col("_t").alias("state"), F.col("_h").alias("at"), F.col("_h").alias("handle"), tail.alias("rest"), "_flow", F.lit(True).alias("_moved"))
+
+    def valued(rows: DataFrame, known: DataFrame | None) -> DataFrame:
+        """Variables, properties and calls by the values known so far; the others as they are. Only who asks is joined."""
+        rows = rows.where(~by_name).withColumn("_moved", F.lit(False))
+        if known is None:
+            return rows
+        v = known.select(F.col("name").alias("_n"), F.col("state").alias("_vs"), F.col("at").alias("_va"))
+        met, called = F.col("_vs").isNotNull(), F.col("state") == "F"
+        x = rows.where(by_value).withColumn("_ask", ask).join(v, F.col("_ask") == F.col("_n"), "left")
+        x = x.select(
+            "key", F.coalesce("_vs", "state").alias("state"), F.coalesce("_va", "at").alias("at"), F.when(~(met & called), F.col("handle")).alias("handle"),
+            F.when(met & called, tail).otherwise(F.col("rest")).alias("rest"), "_flow", met.alias("_moved"),
+        )
+        return rows.where(~by_value).unionByName(x)
+
+    done, pending = [], made(start.withColumn("_moved", F.lit(False))).drop("_moved")
     while True:
-        pending = pending.withColumn("_moved", F.lit(False))
-        now = cut(advanced(advanced(pending, values).where("NOT _dead"), values).where("NOT _dead"), "references")
+        pending = cut(pending, "pending") if not done else pending
+        now = cut(made(named(pending).unionByName(valued(pending, values))), "references")
         settled = (F.size("rest") == 0) & (F.col("_flow").isNull() | F.col("state").isin("M", "C", "I", "F"))
         done.append(now.where(settled))
         moved = now.agg(F.count_if(F.col("_moved") & ~settled), F.count_if(settled & F.col("_flow").isNotNull())).first()
         if flows is not None and moved[1]:
-            new = flows.join(now.where(settled).select("key", "state", "at"), "key").select("name", "state", "at")
-            values = cut(new if values is None else values.unionByName(new), "values")
-        pending = now.where(~settled).drop("_dead")
+            new = cut(flows.join(now.where(settled).select("key", "state", "at"), "key").select("name", "state", "at"), "values")
+            values = new if values is None else values.unionByName(new)
+        pending = now.where(~settled).drop("_moved")
         if not moved[0] and not (flows is not None and moved[1]):
             done.append(pending.where(F.size("rest") == 0))  # a variable of unknown value is a definition all the same
             break

@@ -1,6 +1,6 @@
 import ast
 
-from graphloom.operators import resolve
+from graphloom.operators import flow, resolve
 from graphloom.sources import lexical
 
 
@@ -39,3 +39,18 @@ def test_searches_enter_only_names_that_go_round(spark, monkeypatch):
     assert sorted(map(tuple, got.collect())) == [("api.X", "core.X", 3), ("dead.X", "core.X", 4), ("more.X", "core.X", 2), ("p.X", "core.X", 4), ("via.X", "core.X", 1)]
     entered = {r["at"] for name, _, out in seen if name == "reach" for r in out.select("at").collect()}
     assert entered == {"p.X", "api.X", "dead.X"}
+
+
+def test_rows_that_ask_for_nothing_are_not_joined(spark, monkeypatch):
+    """An outer join sends all rows without a key to one task."""
+    seen = []
+    _watched(monkeypatch, flow, seen)
+    nodes = spark.createDataFrame([("m", "module"), ("m.C", "class"), ("m.C.f", "method"), ("m.v", "variable")], "handle string, kind string")
+    offered = spark.createDataFrame([("m", "C", "m.C", "C"), ("m", "v", "m.v", "V"), ("m.C", "f", "m.C.f", "F")], "owner string, step string, handle string, state string")
+    refs = spark.createDataFrame([("a:m", ["C"]), ("a:m", ["v", "f"]), ("a:m", ["C", "()", "f"]), ("a:m", ["C", "()"]), ("a:m", ["gone"])], "head string, steps array<string>")
+    flows = spark.createDataFrame([("m.v", "a:m|C.()")], "name string, key string")
+    found, values = flow.evaluate(refs, offered, nodes, flows)
+    assert sorted(map(tuple, found.collect())) == [("a:m|C", "m.C"), ("a:m|C.().f", "m.C.f"), ("a:m|v.f", "m.C.f")]
+    assert [tuple(r) for r in values.collect()] == [("m.v", "I", "m.C")]
+    rounds = [df._jdf.queryExecution().optimizedPlan().toString() for name, df, _ in seen if name == "references"]
+    assert rounds and all("Join Inner" in p for p in rounds) and "LeftOuter" not in rounds[0]
