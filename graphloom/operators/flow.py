@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import parent
-from ..plans.checkpoints import cut
+from ..plans.checkpoints import cut, gathered
 
 #: Kinds of nodes as states.
 _STATE = {"module": "M", "class": "C", "function": "F", "method": "F", "property": "P", "variable": "V", "attribute": "V"}
@@ -41,7 +41,7 @@ def inherited(classes: DataFrame, members: DataFrame, orders: DataFrame, above:
         order = order.unionByName(order.join(above, "handle", "left_semi").where("handle <> name").select(F.concat("handle", F.lit(ABOVE)).alias("handle"), "ord", "name"))
     own = members.select(F.col("owner").alias("_o"), "step", F.col("handle").alias("_d"), "kind")
     met = order.join(own, F.col("name") == F.col("_o"))
-    best = met.groupBy(F.col("handle").alias("owner"), "step").agg(F.min_by(F.struct(F.col("_d").alias("handle"), "kind"), "ord").alias("b"))
+    best = gathered(met, "handle", "step").groupBy(F.col("handle").alias("owner"), "step").agg(F.min_by(F.struct(F.col("_d").alias("handle"), "kind"), "ord").alias("b"))
     return best.select("owner", "step", "b.*")
 
 
@@ -62,7 +62,7 @@ def offers(nodes: DataFrame, names: DataFrame, of_classes: DataFrame) -> DataFra
     alias = names.select(parent(F.col("alias")).alias("owner"), F.substring_index("alias", ".", -1).alias("step"), "handle").join(nodes.select("handle", "kind"), "handle")
     alias = alias.join(inner.select("owner", "step"), ["owner", "step"], "left_anti").select("owner", "step", "handle", "kind")
     every = inner.unionByName(alias).unionByName(of_classes.select("owner", "step", "handle", "kind"))
-    return every.groupBy("owner", "step").agg(F.min(F.struct("handle", state_of(F.col("kind")).alias("state"))).alias("b")).select("owner", "step", "b.*")
+    return gathered(every, "owner", "step").groupBy("owner", "step").agg(F.min(F.struct("handle", state_of(F.col("kind")).alias("state"))).alias("b")).select("owner", "step", "b.*")
 
 
 def key_of(head: Column, steps: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import parent, reexport_statements
-from ..plans.checkpoints import cut
+from ..plans.checkpoints import cut, gathered
 
 HOPS = 20
 
@@ -24,13 +24,14 @@ def canonical(bindings: DataFrame, defined: DataFrame, stars: DataFrame | None =
     """
     own = defined.select(F.col("handle").alias("alias")).distinct()
     last = F.max_by("target", "ord") if "ord" in bindings.columns else F.min("target")
-    explicit = bindings.groupBy(F.concat_ws(".", "module", "surface").alias("alias")).agg(last.alias("next")).join(own, "alias", "left_anti")
+    named = bindings.withColumn("alias", F.concat_ws(".", "module", "surface"))
+    explicit = gathered(named, "alias").groupBy("alias").agg(last.alias("next")).join(own, "alias", "left_anti")
     if stars is None or stars.isEmpty():
         ends = own.select(F.col("alias").alias("next"), F.lit(True).alias("_e"))
         return _followed(explicit.join(ends, "next", "left").select("alias", "next", F.col("_e").isNotNull().alias("end")), hops)
     own, explicit, stars = cut(own, "defined"), cut(explicit, "explicit"), cut(stars.select("module", F.col("ord").cast("long").alias("ord"), "source").distinct(), "stars")
     every = _alternatives(explicit, own, stars, exports)
-    first = cut(every.groupBy("alias").agg(F.min_by(F.struct("next", "end"), "ord").alias("b")).select("alias", "b.*"), "first")
+    first = cut(gathered(every, "alias").groupBy("alias").agg(F.min_by(F.struct("next", "end"), "ord").alias("b")).select("alias", "b.*"), "first")
     straight = cut(_followed(first, hops), "names")
     # What the first alternatives lead round in a circle: the search of each such name, in order and without return.
     lost = cut(first.join(straight.select("alias"), "alias", "left_anti").select("alias"), "lost")

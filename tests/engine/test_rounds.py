@@ -54,3 +54,19 @@ def test_rows_that_ask_for_nothing_are_not_joined(spark, monkeypatch):
     assert [tuple(r) for r in values.collect()] == [("m.v", "I", "m.C")]
     rounds = [df._jdf.queryExecution().optimizedPlan().toString() for name, df, _ in seen if name == "references"]
     assert rounds and all("Join Inner" in p for p in rounds) and "LeftOuter" not in rounds[0]
+
+
+def test_rows_of_a_key_meet_before_they_are_sorted(spark):
+    """A sort of what a task reads, ahead of the shuffle, would take memory that grows with the input."""
+    nodes = spark.createDataFrame([("m", "module"), ("m.C", "class"), ("m.C.f", "method"), ("m.v", "variable")], "handle string, kind string")
+    names = spark.createDataFrame([("m.D", "m.C"), ("m.v", "m.C")], "alias string, handle string")
+    offered = flow.offers(nodes, names, flow.own_members(nodes).where("owner = 'm.C'"))
+    assert sorted(map(tuple, offered.collect())) == [("m", "C", "m.C", "C"), ("m", "D", "m.C", "C"), ("m", "v", "m.v", "V"), ("m.C", "f", "m.C.f", "F")]
+    orders = spark.createDataFrame([("m.E", 0, "m.E"), ("m.E", 1, "m.C")], "handle string, ord int, name string")
+    classes = spark.createDataFrame([("m.C",), ("m.E",)], "handle string")
+    got = flow.inherited(classes, flow.own_members(nodes).where("owner = 'm.C'"), orders)
+    assert sorted(map(tuple, got.collect())) == [("m.C", "f", "m.C.f", "method"), ("m.E", "f", "m.C.f", "method")]
+    for table in (offered, got):
+        plan = table._jdf.queryExecution().sparkPlan().toString()
+        last = plan[plan.rindex("partial_m") :]  # a plan is written from its result down
+        assert plan.count("partial_m") == 1 and last.split("\n")[1].lstrip(" :+-").startswith("Exchange hashpartitioning")
