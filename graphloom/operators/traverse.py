@@ -141,11 +141,15 @@ def outline(nodes: DataFrame, edges: DataFrame, root: str, max_depth: int | None
         survey = first["is_package"] or (first["is_package"] is None and first["node_kind"] == "module" and not edges.where((F.col("kind") == "submodules") & (F.col("src") == root)).isEmpty())
         kind = "submodules" if survey else "members"
         max_depth = 1 if survey and max_depth is None else max_depth
-    e = edges.where(F.col("kind") == kind).select("src", "dst", "ord").join(known.select(F.col("handle").alias("dst")), "dst", "left_semi")
+    # written once: each level reads it beside at most max_nodes handles. merge: Spark takes nodes for smaller than they are
+    e = edges.where(F.col("kind") == kind).select("src", "dst", "ord")
+    e = cut(e.join(known.select(F.col("handle").alias("dst")).hint("merge"), "dst", "left_semi"), "tree")
 
-    def with_sizes(level: DataFrame) -> list:
-        sizes = e.join(level.select(F.col("handle").alias("src")).distinct(), "src", "left_semi").groupBy(F.col("src").alias("handle")).agg(F.count("*").alias("n"))
-        return level.join(sizes, "handle", "left").orderBy("_at", "_ord", "handle").collect()
+    def with_sizes(level: DataFrame) -> list[dict]:
+        found = [r.asDict() for r in level.orderBy("_at", "_ord", "handle").collect()]
+        asked = F.broadcast(spark.createDataFrame([(h,) for h in {r["handle"] for r in found}], "src string"))
+        sizes = {r["src"]: r["n"] for r in e.join(asked, "src", "left_semi").groupBy("src").agg(F.count("*").alias("n")).collect()} if found else {}
+        return [r | {"n": sizes.get(r["handle"])} for r in found]
 
     level = with_sizes(known.where(F.col("handle") == root).limit(1).withColumn("_at", F.lit(None).cast("long")).withColumn("_ord", F.lit(0).cast("long")))
     rows: list[dict] = []
@@ -174,7 +178,8 @@ def outline(nodes: DataFrame, edges: DataFrame, root: str, max_depth: int | None
         if not admitted:
             break
         frontier = spark.createDataFrame([(r["ord"], r["handle"]) for r in admitted], "_at long, src string")
-        level = with_sizes(frontier.join(e, "src").select("_at", F.col("ord").alias("_ord"), F.col("dst").alias("handle")).join(known, "handle"))
+        step = e.join(F.broadcast(frontier), "src").select("_at", F.col("ord").alias("_ord"), F.col("dst").alias("handle"))
+        level = with_sizes(known.join(F.broadcast(step), "handle"))
         depth += 1
     seen: dict = {}
     for r in sorted(rows, key=lambda r: (r["line"], r["handle"])):

@@ -7,8 +7,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom.operators import traverse
+from graphloom.plans import relational
 from graphloom.plans.registry import IMPLEMENTED, REFUSED, registry, status
 
+SMALL = "/root/testdata/sf0.001"
+
 
 def graph(spark, r, n, kinds=("members", "callees")):
     nodes = [(f"n.x{i}", r.choice(["class", "module", "function"]), r.choice(["project", "project", "external"])) for i in range(n)]
@@ -109,6 +112,18 @@ def test_outline_equals_the_sequential_fold(spark, seed):
     assert traverse.outline(n, e, "n.none").count() == 0
 
 
+def test_outline_and_bases_broadcast_no_table(spark, monkeypatch):
+    """Spark's estimate of one column of a large table lies below its broadcast limit."""
+    plans, cut = [], traverse.cut
+    monkeypatch.setattr(traverse, "cut", lambda df, *name: (plans.append(df._jdf.queryExecution().executedPlan().toString()), cut(df, *name))[1])
+    b = relational.bases(spark, SMALL)
+    plans.append(b._jdf.queryExecution().executedPlan().toString())
+    n = relational.read(spark, SMALL, "part").select(relational.part_handle(F.col("p_partkey")).alias("handle"), F.lit("class").alias("kind"), F.lit("project").alias("scope"))
+    found = traverse.outline(n, relational.inheritance(spark, SMALL), "PARTS.P1", max_depth=5, max_nodes=20, kind="subclasses")
+    assert [r.handle for r in found.orderBy("ord").collect()] == [f"PARTS.P{k}" for k in range(1, 20)]
+    assert len(plans) == 2 and not any("Broadcast" in p for p in plans)
+
+
 def test_expand_measured_empty_refused_and_unknown(spark):
     n = spark.createDataFrame([("a", "module", "project"), ("a.C", "class", "project"), ("a.C.f", "method", "project")], "handle string, kind string, scope string")
     e = spark.createDataFrame([("a", "members", "a.C", 0), ("a.C", "members", "a.C.f", 0)], "src string, kind string, dst string, ord long")
