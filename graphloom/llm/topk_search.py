@@ -126,9 +126,10 @@ def top_k(vectors: DataFrame, query: F.Column = None, k: int = 20) -> DataFrame:
     base = written(vectors.select(F.monotonically_increasing_id().alias("uid"), F.col("vec_id").cast("long").alias("vec_id"), "embedding"), "vectors")
     c = written(base.mapInArrow(_packed(CANDIDATES), BLOCK), "candidates")
     q = written(base.where(query).mapInArrow(_packed(QUERIES), BLOCK), "queries")
-    groups = max(1, c.count())
-    c = c.withColumn("g", F.pmod(F.xxhash64("uids"), F.lit(groups)).cast("int"))
-    q = q.select(*[F.col(x).alias(f"q_{x}") for x in q.columns], F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"))
+    spark = vectors.sparkSession
+    tasks = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    c = c.repartition(max(1, min(tasks, c.count())))
+    q = q.select(*[F.col(x).alias(f"q_{x}") for x in q.columns])
 
     def search(batches):
         last, opened = None, None
@@ -146,7 +147,8 @@ def top_k(vectors: DataFrame, query: F.Column = None, k: int = 20) -> DataFrame:
                 s = [max(-_LONG - 1, min(_LONG, int(x))) for x in scores[r, at]]
                 yield pa.RecordBatch.from_arrays([pa.array(q_uids[r]), pa.array(q_ids[r]), pa.array(ids[at]), pa.array(s, pa.int64()), pa.array(uids[at])], names=["q_uid", "query_id", "vec_id", "score", "uid"])
 
-    found = c.join(q, "g").mapInArrow(search, "q_uid long, query_id long, vec_id long, score long, uid long")
+    # a Cartesian product by tasks: nothing is broadcast, and a query block is read where it is needed, not written for each meeting
+    found = c.hint("shuffle_replicate_nl").crossJoin(q).mapInArrow(search, "q_uid long, query_id long, vec_id long, score long, uid long")
     order = Window.partitionBy("q_uid").orderBy(F.desc("score"), "vec_id", "uid")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

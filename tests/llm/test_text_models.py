@@ -277,3 +277,14 @@ def test_inline_elements_and_names_of_paragraphs():
     tail = " more words" * 60
     page = f'<article><p>He said <label>word</label> yes.{tail}</p><p class="related">See also this.</p><p class="ad">Buy.</p><p>Press <button>OK</button>now.{tail}</p></article>'
     assert html_text.main_text(page) == f"He said word yes.{tail}\n\nSee also this.\n\nPress now.{tail}"
+
+
+def test_top_k_broadcasts_no_block(spark, monkeypatch):
+    """A query block for each candidate block, broadcast, grows with the square of the table."""
+    monkeypatch.setattr(topk_search, "CANDIDATES", 7)
+    monkeypatch.setattr(topk_search, "QUERIES", 2)
+    rows = [(i, [float((i * k) % 11 - 5) for k in range(1, 4)]) for i in range(100)]
+    found = topk_search.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), k=3)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Broadcast" not in plan
+    assert sorted(tuple(x) for x in found.collect()) == brute_top(rows, 3)
