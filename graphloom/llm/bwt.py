@@ -42,7 +42,7 @@ def build(strings: list[bytes], first: int = 0) -> Shard:
     lens = np.bincount(string, minlength=len(strings)) if len(strings) else np.zeros(0, np.int64)
     left = lens[string] - offset if n else offset
     at, span = np.arange(n), STEP
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)  # what is equal is told apart below
     rank = np.empty(n, np.int64)
     part = key[order][1:] != key[order][:-1]
     while n:
@@ -53,7 +53,7 @@ def build(strings: list[bytes], first: int = 0) -> Shard:
         if span >= int(lens.max()):  # equal to their ends: string order decides
             then = string
         both = rank * (n + 1 + len(strings)) + then
-        order = np.argsort(both, kind="stable")
+        order = np.argsort(both)
         part = both[order][1:] != both[order][:-1]
         span *= 2
     before = np.zeros(n, np.uint64)

@@ -52,38 +52,48 @@ class ByteGRU:
         at = np.arange(int(lens.max(initial=1)))[:, None]
         return np.where(at < lens, data[np.minimum(start + at, len(data) - 1)], 0).astype(np.uint8)
 
-    def _run(self, x: np.ndarray, lens: np.ndarray, d: str, keep: bool = False):
-        """Hidden states (time, state, sequence)."""
+    def _run(self, x: np.ndarray, lens: np.ndarray, d: str, keep: bool = False, out: np.ndarray | None = None):
+        """Hidden states (time, state, sequence), written to out if given. Weights carry the signs and factors of
+        1 / (1 + exp(-v)) and tanh(v) = 2 / (1 + exp(-2 v)) - 1, so that a step has few passes over its arrays."""
         p, H = self.p, self.hidden
         T, B = x.shape
-        table = np.ascontiguousarray((p["E"] @ p["W" + d] + p["b" + d]).T)  # the byte's part of the gates
-        U, h, least = p["U" + d], np.zeros((H, B), np.float32), int(lens.min(initial=T))
-        out, saved = np.empty((T, H, B), np.float32), {}
+        scale = np.repeat(np.array([-1, -1, -2], np.float32), H)[:, None]
+        table = np.ascontiguousarray((p["E"] @ p["W" + d] + p["b" + d]).T) * scale  # the byte's part of the gates
+        U, h, least = p["U" + d] * scale, np.zeros((H, B), np.float32), int(lens.min(initial=T))
+        out = np.empty((T, H, B), np.float32) if out is None else out
+        saved, a, s, n = {}, np.empty((3 * H, B), np.float32), np.empty((3 * H, B), np.float32), np.empty((H, B), np.float32)
         for t in range(T) if d == "f" else range(T - 1, -1, -1):
-            a, s = table.take(x[t], axis=1), U @ h
-            zr = a[: 2 * H]
-            zr += s[: 2 * H]
-            np.negative(zr, out=zr)
+            if keep:
+                s, n = np.empty_like(s), np.empty_like(n)
+            np.take(table, x[t].astype(np.intp), axis=1, out=a, mode="clip")  # clip: numpy checks no bounds; bytes have none to pass
+            np.matmul(U, h, out=s)
+            zr, sn, new = s[: 2 * H], s[2 * H :], out[t]
+            zr += a[: 2 * H]
             np.exp(zr, out=zr)
             zr += 1
             np.reciprocal(zr, out=zr)
-            z, r, sn = zr[:H], zr[H:], s[2 * H :]
-            n = r * sn
+            z, r = zr[:H], zr[H:]
+            np.multiply(r, sn, out=n)
             n += a[2 * H :]
-            np.tanh(n, out=n)
+            np.exp(n, out=n)
+            n += 1
+            np.divide(2, n, out=n)
+            n -= 1
             if keep:
-                saved[t] = (h, z, r, n, sn)
-            new = n - h
+                saved[t] = (h, z, r, n, sn / -2)
+            np.subtract(n, h, out=new)
             new *= z
             new += h
             if d == "b" and t >= least:
                 new *= t < lens
-            out[t] = h = new
+            h = new
         return (out, saved) if keep else out
 
     def probabilities(self, x: np.ndarray, lens: np.ndarray) -> np.ndarray:
         """(time, class, sequence)."""
-        h = np.concatenate((self._run(x, lens, "f"), self._run(x, lens, "b")), axis=1)
+        h = np.empty((x.shape[0], 2 * self.hidden, x.shape[1]), np.float32)
+        self._run(x, lens, "f", out=h[:, : self.hidden])
+        self._run(x, lens, "b", out=h[:, self.hidden :])
         s = self.p["V"] @ h
         s += self.p["c"]
         s -= s.max(axis=1, keepdims=True)

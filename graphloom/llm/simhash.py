@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .base import LOWER, UPPER, beside, checkpoint, table, written
 from .components import components
-from .rows import SIDE_BYTES, small
+from .rows import SIDE_BYTES, mixed, slices, small
 
 SHINGLE = 5
 SEED = 42
@@ -27,6 +27,10 @@ SMALL = 40
 MISS = 5e-4
 #: Hashes of sets that a part of a loose component holds (a set counts as a thousandth of it at least).
 PART = 1 << 20
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 64
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_SPACE = np.isin(np.arange(256), list(b" \t\n\r\v\f"))
 _LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
 
@@ -62,24 +66,91 @@ def wide_simhash(text: str | None, shingle: int = SHINGLE, words: int = 4, seed:
     return _folded(_shingle_hashes(text, shingle, seed), words)
 
 
+def _remixed(h: np.ndarray, k: int) -> np.ndarray:
+    """The hashes that the bits 64 * k to 64 * k + 63 of a wide fingerprint come from."""
+    if not k:
+        return h
+    x = (h ^ np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(32))
+
+
 def _folded(parts, words: int) -> np.ndarray:
     ones, n = np.zeros(64 * words, np.int64), 0
     for h in parts:
         n += len(h)
         for k in range(words):
-            x = h
-            if k:
-                x = (h ^ np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64))) * np.uint64(0xBF58476D1CE4E5B9)
-                x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
-                x ^= x >> np.uint64(32)
+            x = _remixed(h, k)
             ones[64 * k : 64 * k + 64] += np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return np.packbits(2 * ones > n, bitorder="little").view(np.uint64)
 
 
-def shingle_set(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
-    """The distinct hashes of the word shingles, ascending; empty for null, empty and blank texts."""
-    parts = list(_shingle_hashes(text, shingle, seed))
-    return np.unique(np.concatenate(parts)) if parts else np.empty(0, np.uint64)
+def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(first byte, hash) of the words of data, in order. Eight bytes of all words are mixed in at once; the few words
+    of more than LONG_WORD bytes are hashed one by one."""
+    import xxhash
+
+    held = np.frombuffer(b" " + data + b" " * 8, np.uint8)
+    space = _SPACE[held]
+    flips = np.flatnonzero(space[1:] != space[:-1])  # in data the byte after
+    start, end = flips[::2], flips[1::2]
+    size = end - start
+    eight = np.ndarray(len(held) - 8, np.uint64, held, 1, (1,))
+    h, at = mixed(size.astype(np.uint64) * _BASE), np.arange(len(start))
+    for k in range(0, LONG_WORD, 8):
+        at = at[size[at] > k]
+        if not len(at):
+            break
+        rest = np.minimum(size[at] - k, 8).astype(np.uint64)
+        code = eight[start[at] + k] & (~np.uint64(0) >> (np.uint64(64) - np.uint64(8) * rest))
+        h[at] = mixed(mixed(h[at] ^ code) * _BASE)
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        h[i] = xxhash.xxh64_intdigest(data[start[i] : end[i]], SEED)
+    return start, h
+
+
+def shingle_sets(texts: list[str | None], shingle: int = SHINGLE) -> list[np.ndarray]:
+    """Of each text the distinct hashes of the word shingles, ascending, made of the hashes of their words; empty for
+    null, empty and blank texts. Words and short texts as in simhash()."""
+    held = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+    start, w = word_hashes(b" ".join(held).translate(_LOWER))
+    first = np.searchsorted(start, np.cumsum([0] + [len(x) + 1 for x in held])).tolist()
+
+    def of(w, n):
+        h = np.zeros(max(0, len(w) - n + 1), np.uint64)
+        for k in range(n):
+            h = mixed(h * _BASE + w[k : k + len(h)])
+        return h
+
+    every, out = of(w, shingle), []
+    for a, b in zip(first, first[1:]):
+        h = np.sort(every[a : b - shingle + 1] if b - a >= shingle else of(w[a:b], b - a)[: b - a])
+        out.append(h[np.concatenate(([True], h[1:] != h[:-1]))] if len(h) > 1 else h)
+    return out
+
+
+def set_fingerprints(sets: list[np.ndarray], words: int) -> np.ndarray:
+    """The wide fingerprint of each set of hashes, a row of `words` unsigned numbers: as _folded, all sets together.
+
+    Eight bits of a number are counted at once in its eight bytes, for at most 255 hashes, then bytes are added up."""
+    out = np.zeros((len(sets), words), np.uint64)
+    for i in (i for i, h in enumerate(sets) if len(h) > 1 << 15):
+        out[i] = _folded([sets[i][k : k + (1 << 15)] for k in range(0, len(sets[i]), 1 << 15)], words)
+    at = [i for i, h in enumerate(sets) if 0 < len(h) <= 1 << 15]
+    if not at:
+        return out
+    size = np.array([len(sets[i]) for i in at])
+    h, pieces = np.concatenate([sets[i] for i in at]), -(-size // 255)
+    first = np.cumsum(pieces) - pieces
+    start = np.repeat(np.cumsum(size) - size - 255 * first, pieces) + 255 * np.arange(pieces.sum())
+    ones = np.empty((len(at), words, 8, 8), np.int64)
+    for k in range(words):
+        x = _remixed(h, k)
+        for b in range(8):
+            lanes = np.add.reduceat(x >> np.uint64(b) & np.uint64(0x0101010101010101), start)
+            ones[:, k, :, b] = np.add.reduceat(lanes.view(np.uint8).reshape(-1, 8).astype(np.int64), first, axis=0)
+    out[at] = np.packbits(2 * ones.reshape(len(at), -1) > size[:, None], axis=1, bitorder="little").view(np.uint64)
+    return out
 
 
 def fingerprints(df: DataFrame, shingle: int = SHINGLE, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -279,15 +350,15 @@ def similar_documents(df: DataFrame, shingle: int = SHINGLE, least: float = 0.8,
     def mark(batches):
         import xxhash
 
-        for batch in batches:
+        for batch in slices(batches):
             out, first = np.zeros((3 + words, batch.num_rows), np.uint64), []
-            for i, text in enumerate(batch.column(2)):
-                h = shingle_set(text.as_py(), shingle)
+            found = shingle_sets(batch.column(2).to_pylist(), shingle)
+            out[3:] = set_fingerprints(found, words).T
+            for i, h in enumerate(found):
                 first.append(h[: len(h) - math.ceil(least * len(h) - 1e-9) + 1].view(np.int64) if 0 < len(h) <= SMALL else [])
                 if len(h):
                     out[:2, i] = np.frombuffer(xxhash.xxh3_128_digest(h.tobytes()), np.uint64)
                     out[2, i] = len(h)
-                    out[3:, i] = _folded([h[k : k + (1 << 15)] for k in range(0, len(h), 1 << 15)], words)
             arrays = [*map(pa.array, out.view(np.int64)), pa.array(first, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], names=["doc_id", "t", "s0", "s1", "size", *cols, "first"])
 
@@ -367,10 +438,10 @@ def _similar(loose: DataFrame, nodes: DataFrame, df: DataFrame, shingle: int, le
     need = written(need.select(F.col("doc_id").alias("_id"), F.col("t").alias("_t"), "node", cells.alias("cells")), "cells")
 
     def sets(batches):
-        for batch in batches:
-            for text, node, cells in zip(*(batch.column(k) for k in range(3))):
-                found, cells = shingle_set(text.as_py(), shingle).tobytes(), cells.as_py()
-                yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), pa.array([node.as_py()] * len(cells), pa.int64()), pa.array([found] * len(cells), pa.binary())], names=["cell", "node", "hashes"])
+        for batch in slices(batches):
+            found = shingle_sets(batch.column(0).to_pylist(), shingle)
+            for h, node, cells in zip(found, batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), pa.array([node] * len(cells), pa.int64()), pa.array([h.tobytes()] * len(cells), pa.binary())], names=["cell", "node", "hashes"])
 
     def judged(batches):
         last, held = None, {}

@@ -20,6 +20,8 @@ GRAM = 32
 BASE = 0x9E3779B97F4A7C15
 #: Windows taken at once from a long text, and at most in one segment.
 BLOCK, SEGMENT = 1 << 20, 1 << 14
+#: Bytes of short texts that are hashed together.
+PACK = 1 << 16
 #: Bytes of a shard, and of segments (whole groups) whose shards are merged together.
 SHARD, BATCH = 1 << 16, 1 << 19
 #: Bytes of a group's segments. A larger group is split by more of its windows' smallest grams.
@@ -51,26 +53,62 @@ def _blocks(text: bytes, length: int):
         yield at, data[at : at + min(BLOCK, n - at) + length - 1]
 
 
-def chosen_grams(text: bytes, length: int, gram: int) -> np.ndarray:
-    """Hashes of the grams that are smallest in some window, once for each place."""
-    out = [np.empty(0, np.uint64)]
-    for _, data in _blocks(text, length):
-        h = gram_hashes(data, gram)
-        low = minima(h, length, gram)
-        edge = np.zeros(length - gram, np.uint64)
-        out.append(h[_slide(np.concatenate((edge, low, edge)), length - gram + 1, np.maximum) == h])
-    return np.concatenate(out).view(np.int64)
+def _stretches(texts: list[bytes], length: int):
+    """([(number of the text, its first window here, where that is in data, windows)], data): texts of up to PACK bytes
+    together, as many as go into that, longer ones in blocks. Texts without a window are left out."""
+    held, size = [], 0
+
+    def out():
+        return held, np.frombuffer(b"".join(texts[i] for i, *_ in held), np.uint8)
+
+    for i, text in enumerate(texts):
+        n = len(text) - length + 1
+        if held and size + len(text) > PACK and n > 0:
+            yield out()
+            held, size = [], 0
+        if len(text) > PACK:
+            for at, data in _blocks(text, length):
+                yield [(i, at, 0, len(data) - length + 1)], data
+        elif n > 0:
+            held.append((i, 0, size, n))
+            size += len(text)
+    if held:
+        yield out()
 
 
-def segments(text: bytes, length: int, gram: int, held: np.ndarray):
-    """(gram hash, first window, windows) of maximal runs of windows with one smallest gram, if that passes held."""
-    for at, data in _blocks(text, length):
+def chosen_grams(texts: list[bytes], length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, numbers of their texts) of the grams that are smallest in some window, once for each place."""
+    out, of = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+    for parts, data in _stretches(texts, length):
+        h = gram_hashes(data, gram)
+        edge = np.zeros(length - gram, np.uint64)
+        low = np.concatenate((edge, minima(h, length, gram), edge))
+        for _, _, at, n in parts:
+            low[len(edge) + at + n : len(edge) + at + n + length - 1] = 0  # these reach into the next text
+        chosen = np.flatnonzero(_slide(low, length - gram + 1, np.maximum) == h)
+        out.append(h[chosen])
+        of.append(np.array([p[0] for p in parts])[np.searchsorted([p[2] for p in parts], chosen, "right") - 1])
+    return np.concatenate(out).view(np.int64), np.concatenate(of)
+
+
+def segments(texts: list[bytes], length: int, gram: int, held: np.ndarray):
+    """(number of the text, gram hash, first window, windows) of maximal runs of windows of a text with one smallest gram, if
+    that passes held."""
+    for parts, data in _stretches(texts, length):
         low = minima(gram_hashes(data, gram), length, gram).view(np.int64)
-        cut = np.flatnonzero(np.concatenate(([True], low[1:] != low[:-1])))
-        cut = np.unique(np.concatenate((cut, np.arange(0, len(low), SEGMENT))))
-        ok = passes(low[cut], held)
-        for m, s, e in zip(low[cut][ok].tolist(), cut[ok].tolist(), np.append(cut[1:], len(low))[ok].tolist()):
-            yield m, at + s, e - s
+        cuts = [1 + np.flatnonzero(low[1:] != low[:-1])]
+        valid = np.zeros(len(low) + 1, bool)
+        for _, _, at, n in parts:
+            cuts += [np.arange(at, at + n, SEGMENT), [at + n]]
+            valid[at : at + n] = True
+        cut = np.unique(np.concatenate(cuts))
+        ok = valid[cut[:-1]]
+        ok[ok] = passes(low[cut[:-1][ok]], held)
+        start, end = cut[:-1][ok], cut[1:][ok]
+        part = np.searchsorted([p[2] for p in parts], start, "right") - 1
+        for k, m, s, n in zip(part.tolist(), low[start].tolist(), start.tolist(), (end - start).tolist()):
+            i, first, at, _ = parts[k]
+            yield i, m, first + s - at, n
 
 
 def narrower(piece: bytes, length: int, gram: int, grams: int):
@@ -116,15 +154,31 @@ def _reach(sides: list[bytes]) -> list[int]:
     return out
 
 
-def trimmed(m: int, pieces: list[bytes], times: list[int], length: int, gram: int):
-    """What of one gram's different segments can hold repeats: (string, times, [(piece, window offset)]).
+def gram_places(groups: list[tuple[int, list[bytes]]], gram: int) -> list[list[np.ndarray]]:
+    """Of each group (gram hash m, pieces) the places of m in every piece."""
+    pieces = [p for _, held in groups for p in held]
+    if not pieces:
+        return []
+    size = np.fromiter(map(len, pieces), np.int64, len(pieces))
+    end = np.cumsum(size)
+    wanted = np.repeat(np.repeat(np.array([m for m, _ in groups], np.int64), [len(held) for _, held in groups]), size)
+    at = np.flatnonzero(gram_hashes(np.frombuffer(b"".join(pieces), np.uint8), gram).view(np.int64) == wanted[: end[-1] - gram + 1])
+    of = np.searchsorted(end, at, "right")
+    whole = at + gram <= end[of]  # else it reaches into the next piece
+    at, of = (at - (end - size)[of])[whole], of[whole]
+    found = iter(np.split(at, np.searchsorted(of, np.arange(1, len(pieces)))))
+    return [[next(found) for _ in held] for _, held in groups]
+
+
+def trimmed(m: int, pieces: list[bytes], times: list[int], length: int, gram: int, found: list[np.ndarray] | None = None):
+    """What of one gram's different segments can hold repeats: (string, times, [(piece, window offset)]). found: the
+    gram's places in every piece, if known.
 
     Where every segment holds the gram once, a repeated window reaches no further left and right of it than the segment
     agrees with another one; what lies beyond is cut off, and strings that are equal then go on as one that weighs as
     much as they do together. Nothing is decided here: that is the merge's."""
     places = []
-    for p in pieces:
-        at = np.flatnonzero(gram_hashes(np.frombuffer(p, np.uint8), gram).view(np.int64) == m)
+    for at in found or gram_places([(m, pieces)], gram)[0]:
         if len(at) != 1:
             return [(p, t, [(i, 0)]) for i, (p, t) in enumerate(zip(pieces, times))]
         places.append(int(at[0]))
@@ -202,18 +256,18 @@ def repeats(docs: DataFrame, length: int, gram: int, group: int, merge_all: bool
         for batch in batches:
             for k in range(0, batch.num_rows, 64):
                 part = batch.slice(k, 64)
-                found = [chosen_grams(encode(t), length, gram) for t in part.column("text").to_pylist()]
-                at = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), part.column("n").take(at)], names=["h", "n"])
+                found, of = chosen_grams([encode(t) for t in part.column("text").to_pylist()], length, gram)
+                yield pa.RecordBatch.from_arrays([pa.array(found), part.column("n").take(pa.array(of))], names=["h", "n"])
 
     counted = docs.select("text", "n").mapInArrow(grams, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
     held = hash_filter(counted.where("n > 1").select("h"))
 
     def cut(batch):
-        for i, (d, r, n) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("doc_id", "_row", "n")))):
-            text = encode(batch.column("text")[i].as_py())
-            for m, s, k in segments(text, length, gram, held.value):
-                yield d, r, n, m, s, text[s : s + k + length - 1]
+        for part in slices([batch], 64):
+            texts = [encode(t) for t in part.column("text").to_pylist()]
+            d, r, n = (part.column(c).to_pylist() for c in ("doc_id", "_row", "n"))
+            for i, m, s, k in segments(texts, length, gram, held.value):
+                yield d[i], r[i], n[i], m, s, texts[i][s : s + k + length - 1]
 
     found = written(docs.mapInArrow(lambda batches: _pieces(batches, cut), schema), "segments")
     pieces = found.where("data IS NOT NULL").select("m", "a", "b", "n", "data")
@@ -241,8 +295,9 @@ def repeats(docs: DataFrame, length: int, gram: int, group: int, merge_all: bool
                     mask = found.setdefault((groups[g][0], *groups[g][3][i]), np.zeros(len(piece) - length + 1, bool))
                     mask[at : at + len(marks)] |= marks
 
+            at = gram_places([x[:2] for x in groups], gram)
             for g, (m, pieces, n, _) in enumerate(groups):
-                cut = trimmed(m, pieces, n, length, gram)
+                cut = trimmed(m, pieces, n, length, gram, at[g])
                 if not merge_all and all(t > 1 for _, t, _ in cut):  # every interval of theirs weighs two or more: nothing to merge
                     for s, _, who in cut:
                         marked(g, who, np.ones(len(s) - length + 1, bool))

@@ -259,3 +259,41 @@ def test_window_hashes_and_cover():
         h = rows.doubled(codes, n, 31)
         want = [sum(int(c) * 31 ** (n - 1 - k) for k, c in enumerate(codes[i : i + n])) % (1 << 64) for i in range(len(codes) - n + 1)]
         assert h.tolist() == want
+
+
+def test_shingle_sets_are_made_of_all_texts_together(monkeypatch):
+    """Sets agree as sets of word sequences do, and no shingle or short word is hashed by a call of its own."""
+    calls, digest = [], xxhash.xxh64_intdigest
+    monkeypatch.setattr(xxhash, "xxh64_intdigest", lambda x, seed: (calls.append(x), digest(x, seed))[1])
+    r = random.Random(5)
+    parts = ["a", "B", "\u00e9", "word", "WORD", "0" * 8, "0" * 9, "q" * 64, "q" * 65, "\ud800", "\x1c", "\u00a0"]
+    texts = [None, "", " \n", "a", "a b", "A\tb c d e", "a b c d e f"] + [r.choice(["", " "]).join(r.choice(parts) + r.choice(["", " ", "\n\x0b"]) for _ in range(r.randint(0, 40))) for _ in range(80)]
+    words = [(t or "").encode("utf-8", "surrogatepass").lower().split() for t in texts]
+    want = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for w in words]
+    got = simhash.shingle_sets(texts)
+    assert [len(x) for x in got] == [len(x) for x in want] and all((x[1:] > x[:-1]).all() for x in got)
+    assert all(len(np.intersect1d(got[i], got[j])) == len(want[i] & want[j]) for i in range(len(texts)) for j in range(i))
+    assert len(calls) == sum(len(w) > 64 for ws in words for w in ws)
+    alone = [simhash._folded([x], 4) for x in got]
+    assert (simhash.set_fingerprints(got, 4) == np.array(alone)).all()
+
+
+def test_short_texts_are_hashed_together(monkeypatch):
+    calls, hashes = [], suf.gram_hashes
+    monkeypatch.setattr(suf, "gram_hashes", lambda data, gram: (calls.append(len(data)), hashes(data, gram))[1])
+    r = random.Random(6)
+    texts = [bytes(r.choice(b"ab") for _ in range(r.randint(0, 40))) for _ in range(60)]
+    held = np.full(4, ~np.uint64(0), np.uint64)
+    for length, gram in ((12, 4), (6, 6)):
+        calls.clear()
+        found, of = suf.chosen_grams(texts, length, gram)
+        runs = list(suf.segments(texts, length, gram, held))
+        assert len(calls) == 2
+        chosen, windows = [], []
+        for i, t in enumerate(texts):
+            h = hashes(np.frombuffer(t, np.uint8), gram).tolist() if len(t) >= length else []
+            low = [min(h[k : k + length - gram + 1]) for k in range(len(t) - length + 1)]
+            chosen += [(np.uint64(x).view(np.int64), i) for k, x in enumerate(h) if x in low[max(0, k - length + gram) : k + 1]]
+            windows += [(i, np.uint64(x).view(np.int64), k) for k, x in enumerate(low)]
+        assert list(zip(found, of)) == chosen
+        assert [(i, m, s + k) for i, m, s, n in runs for k in range(n)] == windows
